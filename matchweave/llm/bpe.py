@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
 #: Pre-tokens whose ids a worker remembers.
-CACHE_LIMIT = 400_000
+CACHE_LIMIT = 120_000
 
 _SURE_BOUNDARY = re.compile(r"\S[ \t\n]")
 
