@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from urllib.parse import urlparse
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-
-#: Bytes that end a word in the word-based contracts: space, tab, LF, VT, FF, CR.
-#: ``bytes.split()`` without arguments splits on exactly these.
-WORD_BREAKS = b"\x20\x09\x0a\x0b\x0c\x0d"
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +38,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_local_path(path: str) -> bool:
-    return urlparse(path).scheme in ("", "file")
+def hash_sample(df: DataFrame, key: str, size: int) -> DataFrame:
+    """About ``size`` rows, chosen by the hash of a column, and never more than twice as many.
+    Nothing is sorted, and nothing but those rows leaves the tasks."""
+    every = max(1, -(-df.count() // size))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).limit(2 * size)
 
 
 class WordHashes(dict):
@@ -82,3 +83,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+def repeated_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by key, those whose key occurs more than once."""
+    last: pd.DataFrame | None = None
+    kept = False
+    for batch in batches:
+        if last is not None:
+            batch = pd.concat([last, batch], ignore_index=True)
+        key = batch["key"].to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        if last is not None:
+            keep[0] |= kept
+        # the last row waits for its successor
+        kept = bool(keep[-1])
+        yield batch.iloc[:-1][keep[:-1]]
+        last = batch.iloc[-1:]
+    if last is not None and kept:
+        yield last
