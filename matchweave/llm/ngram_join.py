@@ -11,11 +11,14 @@ Rare means: by a sketch of fixed size that counts all shingles of all documents.
 orders the shingles, so its errors cost time, never links.
 
 Equal sets are one class from the start. Lists are then resolved in two passes. First each
-member is compared with one hub of its list (per size class), and links are closed to
-components. Then only members of one list that are still in different components are compared.
-Every comparison counts the shared shingles of the two full sets. So a group of near copies
-costs about one comparison per copy, and no link between different texts is lost: a pair that
-is never compared is connected already, or shares no list.
+member meets one hub of its list (per size class); those that meet one hub in many lists are
+compared with it, and links are closed to components. Then only members of one list that are
+still in different components meet. How many lists two sets share bounds their overlap: past
+its prefix the set that ends its prefix first can add n - p shingles at most. Pairs under that
+bound cannot link; the others are compared. Every comparison counts the shared shingles of the
+two full sets. So a group of near copies costs about one comparison per copy, and no link
+between different texts is lost: a pair that is never compared is connected already, shares no
+list, or shares too few.
 
 Edge cases: a document without words (null, empty) has no shingles and links with nothing; one
 with fewer words than a shingle has its whole sequence as its only shingle; doc_id must tell
@@ -31,10 +34,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, rolling, word_hashes
+from .common import cut, mix, repeated_keys, rolling, word_hashes
 from .components import components
 
 WORDS, NUM, DEN = 5, 75, 100
@@ -69,6 +72,13 @@ def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
     return n - -(-num * n // den) + 1
 
 
+def least_lists(n: Column, m: Column, boundary: int, num: int = NUM, den: int = DEN) -> Column:
+    """Least number of lists that linked sets of sizes ``n`` and ``m`` share."""
+    needed = F.ceil(num * (n + m) / (num + den) - 1e-9)
+    some = F.least(needed - F.ceil(num * n / den - 1e-9) + 1, needed - F.ceil(num * m / den - 1e-9) + 1)
+    return F.when(F.least(n, m) <= boundary, F.lit(1)).otherwise(F.greatest(F.lit(1), some))
+
+
 def subset_sizes(n: int, boundary: int, num: int = NUM, den: int = DEN) -> list[int]:
     """Subset sizes that a light set of ``n`` enumerates: one for each size of a light partner."""
     return sorted({shared(min(n, t), max(n, t), num, den) for t in range(1, boundary + 1) if den * min(n, t) >= num * max(n, t)})
@@ -160,26 +170,6 @@ def _postings(docs: DataFrame, kind: str, words: int, level: np.ndarray, boundar
     return docs.mapInPandas(scan, f"key long, doc_id {kind}")
 
 
-def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by key, those whose key occurs more than once."""
-    last: pd.DataFrame | None = None
-    kept = False
-    for batch in batches:
-        if last is not None:
-            batch = pd.concat([last, batch], ignore_index=True)
-        key = batch["key"].to_numpy()
-        same = key[1:] == key[:-1]
-        keep = np.append(False, same) | np.append(same, False)
-        if last is not None:
-            keep[0] = (keep[0] or kept)
-        # the last row waits for its successor
-        kept = bool(keep[-1])
-        yield batch.iloc[:-1][keep[:-1]]
-        last = batch.iloc[-1:]
-    if last is not None and kept:
-        yield last
-
-
 def _verify(docs: DataFrame, pairs: DataFrame, kind: str, words: int, num: int, den: int) -> DataFrame:
     """The pairs (u, v) whose full sets reach the threshold."""
 
@@ -219,26 +209,35 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     classes = cut(survey.join(equal, ["f1", "f2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
 
     posted = _postings(docs, kind, words, level, boundary, num, den)
-    repeated = cut(posted.repartition("key").sortWithinPartitions("key").mapInPandas(_repeated, posted.schema), "lists")
+    repeated = cut(posted.repartition("key").sortWithinPartitions("key").mapInPandas(repeated_keys, posted.schema), "lists")
     # size classes: sets that can link are in the same class or in neighbouring ones
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9)
     member = repeated.join(classes.dropDuplicates(["doc_id"]), "doc_id").select("key", F.col("rep").alias("u"), "n", step.cast("int").alias("size")).distinct()
     lists = cut(member, "members")
 
     fits = (den * F.col("n") >= num * F.col("m")) & (den * F.col("m") >= num * F.col("n"))
+    pair = F.struct(F.least(F.struct("u", "n"), F.struct(F.col("v").alias("u"), F.col("m").alias("n"))).alias("a"), F.greatest(F.struct("u", "n"), F.struct(F.col("v").alias("u"), F.col("m").alias("n"))).alias("b"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        """(u, v, n, m, lists): the different pairs of the rows and how many lists they meet in."""
+        return rows.select(pair.alias("p")).groupBy(F.col("p.a.u").alias("u"), F.col("p.b.u").alias("v"), F.col("p.a.n").alias("n"), F.col("p.b.n").alias("m")).agg(F.count("*").alias("lists"))
+
+    least = least_lists(F.col("n"), F.col("m"), boundary, num, den)
     hubs = lists.groupBy("key", "size").agg(F.min_by(F.struct("u", "n"), F.struct(F.xxhash64("u"), "u")).alias("hub"))
     below = hubs.select("key", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("hub.u").alias("v"), F.col("hub.n").alias("m"))
-    first = lists.join(below, ["key", "size"]).where((F.col("u") != F.col("v")) & fits)
-    first = cut(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "hub-pairs")
+    first = met(lists.alias("l").join(below.alias("h"), [F.col("l.key") == F.col("h.key"), F.col("l.size") == F.col("h.size"), F.col("u") != F.col("v"), fits]))
+    # a guess of what is worth comparing; the second pass loses nothing by it
+    first = cut(first.where(2 * F.col("lists") > least).select("u", "v"), "hub-pairs")
     links = cut(_verify(docs, first, kind, words, num, den), "hub-links")
     joined = cut(components(links), "joined")
 
     known = lists.join(joined, F.col("u") == F.col("node"), "left").select("key", "u", "n", "size", F.coalesce("component", "u").alias("c"))
     mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
     open_ = cut(known.join(mixed, "key", "left_semi"), "open")
-    other = open_.select("key", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("u").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
-    apart = open_.join(other, ["key", "size"]).where((F.col("c") != F.col("d")) & fits)
-    rest = apart.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    # each pair once: from the larger id of one size class, or from the class above
+    other = open_.select("key", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("size").alias("own"), F.col("u").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
+    apart = [F.col("l.key") == F.col("h.key"), F.col("l.size") == F.col("h.size"), F.col("c") != F.col("d"), (F.col("h.own") != F.col("l.size")) | (F.col("u") > F.col("v")), fits]
+    rest = met(open_.alias("l").join(other.alias("h"), apart)).where(F.col("lists") >= least).select("u", "v").join(first, ["u", "v"], "left_anti")
     more = _verify(docs, cut(rest, "open-pairs"), kind, words, num, den)
     final = cut(components(links.union(more)), "components")
     return classes.join(final, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
