@@ -120,5 +120,6 @@ def external_scores(rows: DataFrame, factors: tuple[str, ...] = ("skill", "exper
     between 0 and 1, 0.5 where it is missing or no number."""
     body = F.regexp_replace(F.coalesce("answer", F.lit("")), r"^\s*```(?:json)?|```\s*$", "")
     parsed = F.from_json(body, "map<string, string>")
-    value = lambda f: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_element_at(parsed, F.lit(f)).try_cast("double"))), F.lit(0.5))
+    number = lambda f: F.try_element_at(parsed, F.lit(f)).try_cast("double")
+    value = lambda f: F.when(number(f).isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number(f))))
     return rows.select("query_id", "job_id", *[value(f).alias(f) for f in factors])

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -38,9 +42,24 @@ def csv_encoding(spark: SparkSession, path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, with a header; quoted fields may span lines; a byte-order mark goes."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=csv_encoding(spark, path))
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    """All columns as text, with a header; quoted fields may span lines; a byte-order mark goes.
+
+    Spark's reader takes UTF-8. Files in another encoding are decoded and split a file at a time."""
+    encoding = csv_encoding(spark, path)
+    if encoding == "utf-8":
+        df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    files = spark.read.format("binaryFile").load(path).select("content")
+    head = files.select(F.substring("content", 1, 1 << 16).alias("head")).first()["head"]
+    names = next(csv.reader(io.StringIO(bytes(head).decode(encoding, "ignore"))))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                found = [[r.get(n) or None for n in names] for r in csv.DictReader(io.StringIO(bytes(content).decode(encoding)))]
+                yield pd.DataFrame(found, columns=names, dtype=object)
+
+    return files.mapInPandas(rows, ", ".join(f"`{n}` string" for n in names))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
