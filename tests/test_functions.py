@@ -189,3 +189,34 @@ def test_queries_from_profiles(spark):
     assert e["all_skills"] == ["python", "pandas"]
     s = resumes.external_scores(spark.createDataFrame([(1, 2, '```json\n{"skill": 3, "salary": "x"}\n```'), (1, 3, None)], "query_id long, job_id long, answer string")).orderBy("job_id").collect()
     assert (s[0]["skill"], s[0]["salary"], s[1]["skill"]) == (1.0, 0.5, 0.5)
+
+
+def test_search_chain(spark):
+    from matchweave.operators import packs, search
+
+    jobs = spark.createDataFrame([(1, "Data engineer", "pipes", "sql", "Rome", "IT", 10, [1.0, 0.0]), (2, "Cook", "food", "", "Paris", "FR", 20, [0.0, 1.0])], "job_id long, title string, description string, skills string, city string, state string, min_salary int, embedding array<double>")
+    asked = spark.createDataFrame([(7, "data engineer", [1.0, 0.0]), (8, "zzz", [0.0, 1.0])], "query_id long, text string, embedding array<double>")
+    assert [r["job_id"] for r in search.structured(jobs, place="IT", low=5, high=15).collect()] == [1]
+    text = search.text_search(jobs, asked, 5).withColumnRenamed("doc_id", "job_id")
+    assert [(r["query_id"], r["job_id"]) for r in text.collect()] == [(7, 1)]
+    near = spark.createDataFrame([(7, 2, 1), (7, 1, 2)], "query_id long, job_id long, rank int")
+    page = search.hybrid({"text": text, "graph": near}, asked, jobs, boosted="graph").orderBy("rank").collect()
+    assert [(r["job_id"], r["score"], r["sources"]) for r in page] == [(1, 1.5, "graph,text"), (2, 0.0, "graph")]
+    both = search.with_fallback(text.select("query_id", "job_id"), spark.createDataFrame([(7, 9), (8, 2)], "query_id long, job_id long"), asked)
+    assert {(r["query_id"], r["job_id"]) for r in both.collect()} == {(7, 1), (8, 2)}
+    pairs = spark.createDataFrame([(7, 1, "years"), (7, 2, None)], "query_id long, job_id long, r string")
+    kept, out = search.split_by_constraints(pairs, F.col("r"))
+    assert kept.first()["job_id"] == 2 and search.follow_ups(out).first()["prompts"] == ["How many years have you worked?"]
+    assert one(spark, search.path_reason(F.array().cast("array<string>"), F.lit(3), F.lit(1))) == "reached in 3 steps"
+    said = one(spark, search.factor_reasons({"skill": F.lit(0.5), "salary": F.lit(1.0)}, F.array(F.lit("a"), F.lit("b")), F.array(F.lit("a")), F.lit("x"), F.lit("y")))
+    assert said == {"skill": "0.50; shared: a; missing: b", "salary": "1.00"}
+    nested = spark.createDataFrame([(["a", "b"], ("c", 1), None)], "l array<string>, s struct<x: string, y: int>, n string")
+    assert nested.select(packs.row_text(nested, "l", "s", "n", "gone").alias("t")).first()["t"] == "a b c 1"
+    people = spark.createDataFrame([(i,) for i in range(8)], "candidate_id long")
+    labels = spark.createDataFrame([(0, 2, "silver"), (1, 1, "gold"), (7, 1, "gold")], "candidate_id long, job_id long, label_source string")
+    p, j, lab = packs.sample_pack(people, jobs, labels)
+    assert p.count() == 5 and [r["job_id"] for r in j.collect()] == [1, 2] and lab.count() == 2
+    assert packs.manifest(people=people).first()["rows"] == 8
+    ids = spark.createDataFrame([(1, None, ["x", "x"])], "query_id long, job_ids array<string>, ids array<string>")
+    assert packs.candidate_ids(ids).count() == 1
+    assert one(spark, packs.query_text(F.lit("IT"), F.array(F.lit("a"), F.lit("A")), F.array(F.lit("r")), F.lit("m"), F.lit(3))) == "IT a r m 3年经验"
