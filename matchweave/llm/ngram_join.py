@@ -11,14 +11,18 @@ Rare means: by a sketch of fixed size that counts all shingles of all documents.
 orders the shingles, so its errors cost time, never links.
 
 Equal sets are one class from the start. Lists are then resolved in two passes. First each
-member meets one hub of its list (per size class); those that meet one hub in many lists are
-compared with it, and links are closed to components. Then only members of one list that are
-still in different components meet. How many lists two sets share bounds their overlap: past
-its prefix the set that ends its prefix first can add n - p shingles at most. Pairs under that
-bound cannot link; the others are compared. Every comparison counts the shared shingles of the
-two full sets. So a group of near copies costs about one comparison per copy, and no link
-between different texts is lost: a pair that is never compared is connected already, shares no
-list, or shares too few.
+member meets a few hubs of its list (per size class): the members that hold the fewest rarer
+shingles, so the ones nearest to what the list shares. Those that meet a hub in many lists are
+compared with it, links are closed to components, and lists whose members are all in one
+component are done. Then all members of one list that are still in different components meet,
+if the shingle stands early enough in both: sets of sizes s and t that share c(s, t) shingles
+share one that is among the first s - c + 1 of the one and the first t - c + 1 of the other.
+Of these pairs, the lists they share in all bound what they can share: past its prefix the set
+whose prefix ends first adds n - p shingles at most. Those that can reach the threshold are
+compared.
+Every comparison counts the shared shingles of the two full sets. So a group of near copies
+costs a few comparisons per copy, and no link between different texts is lost: a pair that is
+never compared is connected already, or cannot reach the threshold.
 
 Edge cases: a document without words (null, empty) has no shingles and links with nothing; one
 with fewer words than a shingle has its whole sequence as its only shingle; doc_id must tell
@@ -36,16 +40,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import cut, mix, repeated_keys, rolling, word_hashes
 from .components import components
 
 WORDS, NUM, DEN = 5, 75, 100
-SKETCH_BITS = 21
+SKETCH_BITS = 22
 SKETCH_PARTS = 32
 #: Rows of an inverted list cost about so many rows of enumerated subsets (their sets are fetched).
 LIST_COST = 8
 LARGEST_BOUNDARY = 9
+#: Hubs of a list and size class.
+HUBS = 6
 #: Ids of compared documents fall into so many buckets, which bound what is broadcast.
 ID_BUCKETS = 1 << 19
 
@@ -54,13 +61,24 @@ _SHINGLE, _WHOLE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    h = word_hashes(found)
+    h = word_hashes((text or "").encode().lower())
+    if not len(h):
+        return h
     if len(h) < words:
         return rolling(h, len(h), _WHOLE + 2 * len(h))
-    return np.unique(rolling(h, words, _SHINGLE))
+    s = np.sort(rolling(h, words, _SHINGLE))
+    return s[np.append(True, s[1:] != s[:-1])]
+
+
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that tell sets apart."""
+    h = s ^ (s >> np.uint64(29))
+    h *= np.uint64(_SHINGLE)
+    one = h.sum(dtype=np.uint64)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_WHOLE)
+    h ^= h >> np.uint64(29)
+    return int(one.view(np.int64)), int(h.sum(dtype=np.uint64).view(np.int64))
 
 
 def shared(s: int, t: int, num: int = NUM, den: int = DEN) -> int:
@@ -103,20 +121,21 @@ def _survey(docs: DataFrame, kind: str, words: int) -> tuple[DataFrame, np.ndarr
     """(doc_id, n, f1, f2) of every row, and the sketch's level of each bucket (0: rare)."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 s = shingles(text, words)
                 np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).view(np.int64), 1)
-                f1, f2 = (mix(s ^ np.uint64(k)).sum(dtype=np.uint64) for k in (_SHINGLE, _WHOLE))
-                rows.append((doc, len(s), int(f1.view(np.int64)), int(f2.view(np.int64)), -1, None))
+                rows.append((doc, len(s), *fingerprint(s), -1, None))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "part", "counts"])
         for part, some in enumerate(np.split(counts, SKETCH_PARTS)):
-            yield pd.DataFrame({"doc_id": [None], "n": [0], "f1": [0], "f2": [0], "part": [part], "counts": [some.astype("<u4").tobytes()]}).astype({"doc_id": object})
+            yield pd.DataFrame({"doc_id": [None], "n": [0], "f1": [0], "f2": [0], "part": [part], "counts": [np.minimum(some, 65_535).astype("<u2").tobytes()]}).astype({"doc_id": object})
+
+    size, kind_of = (1 << SKETCH_BITS) // SKETCH_PARTS, {2: "<u2", 4: "<u4"}  # of tasks, of sums
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, "<u4").astype(np.int64) for c in parts["counts"])
+        total = sum(np.frombuffer(c, kind_of[len(c) // size]).astype(np.int64) for c in parts["counts"])
         return pd.DataFrame({"part": parts["part"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
 
     scanned = cut(docs.mapInPandas(scan, f"doc_id {kind}, n long, f1 long, f2 long, part int, counts binary"), "survey")
@@ -128,50 +147,55 @@ def _survey(docs: DataFrame, kind: str, words: int) -> tuple[DataFrame, np.ndarr
         return scanned.where("part < 0").select("doc_id", "n", "f1", "f2"), np.zeros(1 << SKETCH_BITS, np.uint8)
     counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]).astype(float)
     mean = np.median(counts)
-    level = np.clip((counts - mean) / (4 * math.sqrt(mean + 1)), 0, 255).astype(np.uint8)
+    level = np.clip((counts - mean) / (2.5 * math.sqrt(mean + 1)), 0, 255).astype(np.uint8)
     return scanned.where("part < 0").select("doc_id", "n", "f1", "f2"), level
 
 
-def _keys(s: np.ndarray, level: np.ndarray, boundary: int, num: int, den: int) -> list[np.ndarray]:
+def _keys(s: np.ndarray, level: np.ndarray, boundary: int, num: int, den: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, places) of a set: its subsets, all at place 0, and its rarest shingles in order."""
     n, out = len(s), []
     if 0 < n <= boundary:
         for c in subset_sizes(n, boundary, num, den):
-            out.append(np.array([mix(np.array([sum(int(x) for x in part) % 2**64], np.uint64) ^ np.uint64(_WHOLE + c))[0] for part in combinations(s, c)], np.uint64))
-    if den * n >= num * (boundary + 1):
+            keys = np.array([mix(np.array([sum(int(x) for x in part) % 2**64], np.uint64) ^ np.uint64(_WHOLE + c))[0] for part in combinations(s, c)], np.uint64)
+            out.append((keys, np.zeros(len(keys), np.int32)))
+    if n and den * n >= num * (boundary + 1):
         k = prefix_length(n, num, den)
-        rank = level[(s >> np.uint64(64 - SKETCH_BITS)).view(np.int64)]
-        spread = mix(s ^ np.uint64(_SHINGLE))
-        out.append(s[np.lexsort((spread, rank))[:k]] if k < n else s)
+        rank = level[(s >> np.uint64(64 - SKETCH_BITS)).view(np.int64)].astype(np.uint64)
+        order = (rank << np.uint64(56)) | (mix(s ^ np.uint64(_SHINGLE)) >> np.uint64(8))
+        first = np.argpartition(order, k - 1)[:k] if k < n else np.arange(n)
+        out.append((s[first[np.argsort(order[first])]], np.arange(len(first), dtype=np.int32)))
     return out
 
 
 def _postings(docs: DataFrame, kind: str, words: int, level: np.ndarray, boundary: int, num: int, den: int) -> DataFrame:
-    """(key, doc_id) of every enumerated subset and list entry; of equal sets in one task, one."""
+    """(key, doc_id, place) of every enumerated subset and list entry; of equal sets in a task, one."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set = set()
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
-                keys, owners = [], []
+                keys, owners, places = [], [], []
                 for doc, text in zip(part["doc_id"], part["text"]):
                     s = shingles(text, words)
-                    mark = (len(s), int(mix(s ^ np.uint64(_SHINGLE)).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(_WHOLE)).sum(dtype=np.uint64)))
+                    mark = (len(s), *fingerprint(s))
                     if not len(s) or mark in seen:
                         continue
                     if len(seen) < 200_000:
                         seen.add(mark)
-                    for k in _keys(s, level, boundary, num, den):
+                    for k, place in _keys(s, level, boundary, num, den):
                         keys.append(k)
                         owners.append(np.full(len(k), doc))
+                        places.append(place)
                 if keys:
-                    yield pd.DataFrame({"key": _as_long(np.concatenate(keys)), "doc_id": np.concatenate(owners)})
+                    yield pd.DataFrame({"key": _as_long(np.concatenate(keys)), "doc_id": np.concatenate(owners), "place": np.concatenate(places)})
 
-    return docs.mapInPandas(scan, f"key long, doc_id {kind}")
+    return docs.mapInPandas(scan, f"key long, doc_id {kind}, place int")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, kind: str, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold."""
+def _sets(docs: DataFrame, pairs: DataFrame, kind: str, words: int) -> DataFrame:
+    """(doc_id, s): the shingles of the documents of the pairs (u, v)."""
+    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -179,8 +203,18 @@ def _verify(docs: DataFrame, pairs: DataFrame, kind: str, words: int, num: int,
                 part = batch.iloc[at : at + 1000]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "s": [shingles(t, words).tobytes() for t in part["text"]]})
 
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).alias("bucket")
+    # at most ID_BUCKETS rows: thins the texts before they are shuffled to the exact join
+    near = docs.withColumn("bucket", bucket).join(F.broadcast(ids.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    wanted = near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return cut(wanted.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, s binary"), "sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) whose full sets reach the threshold."""
+
     @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+    def reach(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -188,14 +222,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, kind: str, words: int, num: int,
             out.append(den * both >= num * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).alias("bucket")
-    # at most ID_BUCKETS rows: thins the texts before they are shuffled to the exact join
-    near = docs.withColumn("bucket", bucket).join(F.broadcast(ids.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
-    wanted = near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(wanted.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, s binary"), "sets")
     sides = pairs.join(sets.withColumnsRenamed({"doc_id": "u", "s": "su"}), "u").join(sets.withColumnsRenamed({"doc_id": "v", "s": "sv"}), "v")
-    return sides.where(linked("su", "sv")).select("u", "v")
+    return cut(sides.where(reach("su", "sv")).select("u", "v"), "links")
 
 
 def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -212,34 +240,47 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     repeated = cut(posted.repartition("key").sortWithinPartitions("key").mapInPandas(repeated_keys, posted.schema), "lists")
     # size classes: sets that can link are in the same class or in neighbouring ones
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9)
-    member = repeated.join(classes.dropDuplicates(["doc_id"]), "doc_id").select("key", F.col("rep").alias("u"), "n", step.cast("int").alias("size")).distinct()
+    member = repeated.join(classes.dropDuplicates(["doc_id"]), "doc_id").groupBy("key", F.col("rep").alias("u"), "n", step.cast("int").alias("size")).agg(F.min("place").alias("p"))
     lists = cut(member, "members")
 
     fits = (den * F.col("n") >= num * F.col("m")) & (den * F.col("m") >= num * F.col("n"))
-    pair = F.struct(F.least(F.struct("u", "n"), F.struct(F.col("v").alias("u"), F.col("m").alias("n"))).alias("a"), F.greatest(F.struct("u", "n"), F.struct(F.col("v").alias("u"), F.col("m").alias("n"))).alias("b"))
+    needed = F.ceil(num * (F.col("n") + F.col("m")) / (num + den) - 1e-9)
+    early = (F.col("p") <= F.col("n") - needed) & (F.col("q") <= F.col("m") - needed)
+    least = least_lists(F.col("n"), F.col("m"), boundary, num, den)
+    left, right = F.struct(F.col("u").alias("i"), F.col("n").alias("k")), F.struct(F.col("v").alias("i"), F.col("m").alias("k"))
 
     def met(rows: DataFrame) -> DataFrame:
         """(u, v, n, m, lists): the different pairs of the rows and how many lists they meet in."""
-        return rows.select(pair.alias("p")).groupBy(F.col("p.a.u").alias("u"), F.col("p.b.u").alias("v"), F.col("p.a.n").alias("n"), F.col("p.b.n").alias("m")).agg(F.count("*").alias("lists"))
+        pair = rows.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"))
+        return pair.groupBy(F.col("a.i").alias("u"), F.col("b.i").alias("v"), F.col("a.k").alias("n"), F.col("b.k").alias("m")).agg(F.count("*").alias("lists"))
 
-    least = least_lists(F.col("n"), F.col("m"), boundary, num, den)
-    hubs = lists.groupBy("key", "size").agg(F.min_by(F.struct("u", "n"), F.struct(F.xxhash64("u"), "u")).alias("hub"))
-    below = hubs.select("key", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("hub.u").alias("v"), F.col("hub.n").alias("m"))
-    first = met(lists.alias("l").join(below.alias("h"), [F.col("l.key") == F.col("h.key"), F.col("l.size") == F.col("h.size"), F.col("u") != F.col("v"), fits]))
+    def partners(rows: DataFrame, *more: str) -> DataFrame:
+        """Rows as (key, size, own, v, m, q), where ``size`` is each class that may meet them."""
+        return rows.select("key", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("size").alias("own"), F.col("u").alias("v"), F.col("n").alias("m"), F.col("p").alias("q"), *more)
+
+    meet = [F.col("l.key") == F.col("h.key"), F.col("l.size") == F.col("h.size"), fits]
+    first = F.row_number().over(W.partitionBy("key", "size").orderBy("p", F.xxhash64("u"), "u"))
+    hubs = lists.withColumn("r", first).where(F.col("r") <= HUBS)
     # a guess of what is worth comparing; the second pass loses nothing by it
-    first = cut(first.where(2 * F.col("lists") > least).select("u", "v"), "hub-pairs")
-    links = cut(_verify(docs, first, kind, words, num, den), "hub-links")
+    likely = met(lists.alias("l").join(partners(hubs).alias("h"), [*meet, F.col("u") != F.col("v")])).where(2 * F.col("lists") > least)
+    likely = cut(likely.select("u", "v"), "hub-pairs")
+    links = _linked(likely, _sets(docs, likely, kind, words), num, den)
     joined = cut(components(links), "joined")
 
-    known = lists.join(joined, F.col("u") == F.col("node"), "left").select("key", "u", "n", "size", F.coalesce("component", "u").alias("c"))
+    known = lists.join(joined, F.col("u") == F.col("node"), "left").withColumn("c", F.coalesce("component", "u"))
     mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    open_ = cut(known.join(mixed, "key", "left_semi"), "open")
+    open_ = known.join(mixed, "key", "left_semi").select("key", "u", "n", "size", "p", "c")
+    open_ = cut(open_, "open")
     # each pair once: from the larger id of one size class, or from the class above
-    other = open_.select("key", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("size").alias("own"), F.col("u").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
-    apart = [F.col("l.key") == F.col("h.key"), F.col("l.size") == F.col("h.size"), F.col("c") != F.col("d"), (F.col("h.own") != F.col("l.size")) | (F.col("u") > F.col("v")), fits]
-    rest = met(open_.alias("l").join(other.alias("h"), apart)).where(F.col("lists") >= least).select("u", "v").join(first, ["u", "v"], "left_anti")
-    more = _verify(docs, cut(rest, "open-pairs"), kind, words, num, den)
-    final = cut(components(links.union(more)), "components")
+    once = (F.col("h.own") != F.col("l.size")) | (F.col("u") > F.col("v"))
+    other = partners(open_, "c").withColumnRenamed("c", "d")
+    rest = met(open_.alias("l").join(other.alias("h"), [*meet, F.col("c") != F.col("d"), once, early])).withColumnRenamed("lists", "early")
+    rest = cut(rest.join(likely, ["u", "v"], "left_anti"), "open-pairs")
+    # how many lists they share in all bounds what they can share; a document has few of them
+    held = open_.groupBy("u").agg(F.collect_list("key").alias("ku"))
+    rest = rest.join(held, "u").join(held.withColumnsRenamed({"u": "v", "ku": "kv"}), "v").where(F.size(F.array_intersect("ku", "kv")) >= least)
+    rest = cut(rest.select("u", "v"), "close-pairs")
+    final = cut(components(links.union(_linked(rest, _sets(docs, rest, kind, words), num, den))), "components")
     return classes.join(final, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 

@@ -113,9 +113,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool = False) -
             for part in range(0, len(batch), 1000):
                 keys, owners, places = [], [], []
                 for doc, text in zip(batch["doc_id"].iloc[part : part + 1000], batch["text"].iloc[part : part + 1000]):
-                    words = (text or "").encode().split()
-                    if len(words) >= min_words:
-                        runs, chosen = anchors(word_hashes(words), min_words, ANCHOR)
+                    hashes = word_hashes((text or "").encode())
+                    if len(hashes) >= min_words:
+                        runs, chosen = anchors(hashes, min_words, ANCHOR)
                         at = np.flatnonzero(chosen)
                         keys.append(runs[at])
                         owners.append(np.full(len(at), doc, np.int64))
@@ -138,9 +138,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool = False) -
         for batch in batches:
             done, open_, path, doc, start = [], [], [], [], []
             for k, (ident, z, places) in enumerate(zip(batch["doc_id"], batch["z"], batch["places"])):
-                words = unpack.decompress(z).split()
-                if places is not None and len(words) >= min_words:
-                    hashes = word_hashes(words)
+                text = unpack.decompress(z)
+                if places is not None:
+                    hashes = word_hashes(text)
                     runs = rolling(hashes, ANCHOR, _A)
                     known = np.full(len(runs), _TOP)
                     known[places] = runs[places]
@@ -149,8 +149,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool = False) -
                     path.append(paths(hashes, min_words, PREFIX)[at])
                     doc.append(np.full(len(at), ident, np.int64))
                     start.append(at)
-                    open_.append([ident, len(words), None, z, None, None, None])
+                    open_.append([ident, len(hashes), None, z, None, None, None])
                 else:
+                    words = text.split()
                     kept = hashlib.sha256(b" ".join(words)).hexdigest() if digest else None
                     done.append((ident, len(words), kept, None, None, None, None))
             if path:
