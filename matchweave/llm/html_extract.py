@@ -40,7 +40,7 @@ _WORDS = re.compile("[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template title textarea iframe svg object select xmp noembed noframes".split())
-NEVER = frozenset("head script style noscript template title textarea iframe svg object select button input".split())
+NEVER = frozenset("head button".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote div dl fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt".split())
 GROUPS = {
     "p": "text", "blockquote": "text", "pre": "text", "dd": "text", "figcaption": "text",
@@ -132,6 +132,11 @@ def parse(source: str) -> Page:
             if depth:
                 pop(depth)
             continue
+        if name in RAW:  # its content is no text, and the block around it goes on
+            if not m[3].endswith("/"):
+                end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
+                at = end.end() if end else size
+            continue
         hints, label = _hints(m[3]) if m[3] else ((False,) * 4, -1)
         inline = name in INLINE and not (hints[0] or hints[2] or hints[3])
         if name == "br":
@@ -142,10 +147,9 @@ def parse(source: str) -> Page:
             continue
         if not inline:
             flush()
-            if name in ENDS_PARAGRAPH:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-                if depth:
-                    pop(depth)
+            ended = ("p", "head") if name in ENDS_PARAGRAPH else ("head",) if name == "body" else ()
+            if depth := next((i for i in range(1, len(stack)) if stack[i][0] in ended), 0):
+                pop(depth)
             same = {"li": ("ul", "ol"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}.get(name)
             if same:
                 rivals = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
@@ -159,14 +163,11 @@ def parse(source: str) -> Page:
             page.tag.append(name)
             page.hints.append(hints)
             page.label.append(label)
-        if m[3].endswith("/") and name not in RAW:
+        if m[3].endswith("/"):
             continue
         stack.append((name, stack[-1][1] if inline else len(page.parent) - 1))
         links += name == "a"
         dead += name in NEVER
-        if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(source, at)
-            at = end.start() if end else size
     flush()
     n = len(page.parent)
     page.chars, page.linked, page.stops = [0] * n, [0] * n, [0] * n
