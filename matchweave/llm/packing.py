@@ -35,7 +35,7 @@ from .common import cut
 CAPACITY = 2048
 END_ID = 0
 SALTS = 64
-CACHE_LIMIT = 500_000
+CACHE_LIMIT = 250_000
 
 _NOT_LATIN1 = re.compile("[^\x00-\xff]")
 #: Byte that stands for the end of a word; UTF-8 has no such byte.

@@ -35,7 +35,7 @@ VOCABULARY = 30_000
 #: A clean text weighs so much in the final mapping: the sample holds fewer of them than there are.
 CLEAN_WEIGHT = 5.0
 #: Words whose network inputs a worker remembers.
-CACHE_LIMIT = 300_000
+CACHE_LIMIT = 150_000
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -227,22 +227,33 @@ class Lookup:
 
     def __init__(self, network: Network):
         self.network, self.row = network, {}
-        self.table = np.empty((0, 6 * HIDDEN), np.float32)
+        self.table = np.empty((4096, 6 * HIDDEN), np.float32)
+
+    def _keep(self, words: list[str]) -> None:
+        size = len(self.row)
+        while size + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[size : size + len(words)] = self.network.project(words)
+        self.row.update(zip(words, range(size, size + len(words))))
 
     def __call__(self, words: list[str]):
         new = list(dict.fromkeys(w for w in words if w not in self.row))
+        room = max(0, CACHE_LIMIT - len(self.row))
+        self._keep(new[:room])
         table, row = self.table, self.row
-        if new:
-            table = np.concatenate([self.table, self.network.project(new)])
-            if len(self.row) + len(new) <= CACHE_LIMIT:
-                self.row.update(zip(new, range(len(self.row), len(table))))
-                self.table = table
-            else:
-                extra = dict(zip(new, range(len(self.row), len(table))))
-                rows = np.fromiter((row[w] if w in row else extra[w] for w in words), np.int32, len(words))
-                return lambda at: table[rows[at]]
-        rows = np.fromiter(map(row.__getitem__, words), np.int32, len(words))
-        return lambda at: table[rows[at]]
+        if not (rest := new[room:]):
+            rows = np.fromiter(map(row.__getitem__, words), np.int32, len(words))
+            return lambda at: table[rows[at]]
+        more, place = self.network.project(rest), {w: -1 - i for i, w in enumerate(rest)}
+        rows = np.fromiter((row[w] if w in row else place[w] for w in words), np.int32, len(words))
+
+        def take(at: np.ndarray) -> np.ndarray:
+            r = rows[at]
+            out = table[np.maximum(r, 0)]
+            out[r < 0] = more[-1 - r[r < 0]]
+            return out
+
+        return take
 
 
 def _log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, least: int, limit: int) -> dict:
@@ -273,6 +284,7 @@ def fit_network(texts: list[str], labels: list[int]) -> Network | None:
     n = int((y[~held] == 1).sum()), int((y[~held] == 0).sum())
     words = _log_odds(seen[1], seen[0], *n, 3, VOCABULARY)
     gram_odds = _log_odds(gram_seen[1], gram_seen[0], *n, 3, 2 * VOCABULARY)
+    del seen, gram_seen
     words.pop("", None)
     gram_odds.pop(0, None)
     network = Network(words, gram_odds)
@@ -334,13 +346,15 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
 def scores_of(texts: list[str | None], network: Network | None, lookup: Lookup | None) -> np.ndarray:
     if network is None:
         return np.zeros(len(texts))
-    docs = [words_of(t) for t in texts]
-    out, begin, size = [], 0, 0
-    for end, d in enumerate(docs, 1):  # so many words at a time that memory stays small
-        size += len(d)
-        if size >= 100_000 or end == len(docs):
-            out.append(network.probability(network.highest(docs[begin:end], lookup)[0]))
-            begin, size = end, 0
+    out, docs, size = [], [], 0
+    for text in texts:  # so many words at a time that memory stays small
+        docs.append(words_of(text))
+        size += len(docs[-1])
+        if size >= 100_000:
+            out.append(network.probability(network.highest(docs, lookup)[0]))
+            docs, size = [], 0
+    if docs:
+        out.append(network.probability(network.highest(docs, lookup)[0]))
     return np.concatenate(out) if out else np.zeros(0)
 
 
