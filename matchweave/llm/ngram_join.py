@@ -130,9 +130,9 @@ def _survey(docs: DataFrame, kind: str, words: int) -> tuple[DataFrame, np.ndarr
                 rows.append((doc, len(s), *fingerprint(s), -1, None))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "part", "counts"])
         for part, some in enumerate(np.split(counts, SKETCH_PARTS)):
-            yield pd.DataFrame({"doc_id": [None], "n": [0], "f1": [0], "f2": [0], "part": [part], "counts": [np.minimum(some, 65_535).astype("<u2").tobytes()]}).astype({"doc_id": object})
+            yield pd.DataFrame({"doc_id": [None], "n": [0], "f1": [0], "f2": [0], "part": [part], "counts": [np.minimum(some, 255).astype("<u1").tobytes()]}).astype({"doc_id": object})
 
-    size, kind_of = (1 << SKETCH_BITS) // SKETCH_PARTS, {2: "<u2", 4: "<u4"}  # of tasks, of sums
+    size, kind_of = (1 << SKETCH_BITS) // SKETCH_PARTS, {1: "<u1", 4: "<u4"}  # of tasks, of sums
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, kind_of[len(c) // size]).astype(np.int64) for c in parts["counts"])
@@ -145,9 +145,11 @@ def _survey(docs: DataFrame, kind: str, words: int) -> tuple[DataFrame, np.ndarr
     rows = some.groupBy("part").applyInPandas(add, "part int, counts binary").orderBy("part").collect()
     if not rows:
         return scanned.where("part < 0").select("doc_id", "n", "f1", "f2"), np.zeros(1 << SKETCH_BITS, np.uint8)
-    counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]).astype(float)
-    mean = np.median(counts)
-    level = np.clip((counts - mean) / (2.5 * math.sqrt(mean + 1)), 0, 255).astype(np.uint8)
+    counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]).astype(np.float32)
+    usual = float(np.median(counts))
+    counts -= usual
+    counts /= 2.5 * math.sqrt(usual + 1)
+    level = np.clip(counts, 0, 255, out=counts).astype(np.uint8)
     return scanned.where("part < 0").select("doc_id", "n", "f1", "f2"), level
 
 
