@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, repeated_keys, rolling, word_hashes
 
-MIN_WORDS, ANCHOR, PREFIX = 20, 6, 4
+MIN_WORDS, ANCHOR, PREFIX = 20, 10, 4
 #: A prefix shared by more suffixes than this, or than a ten-thousandth of all, is lengthened.
 GROUP = 50_000
 HEAVY_PREFIXES = 10_000
