@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 KINDS = ("assign", "access", "hex", "learned")
 MIN_CANDIDATE = 16
 RECALL = 0.98
@@ -227,9 +229,9 @@ def labelled_findings(texts: list[str], n: int, seed: int = 11) -> tuple[np.ndar
 
 
 def train(docs: DataFrame, sample: int = SAMPLE_TEXTS, findings: int = 6000, recall: float = RECALL) -> tuple[Network, float]:
-    """A network and its threshold; surroundings come from ``sample`` texts chosen by hash."""
-    texts = docs.select("doc_id", "text").where("text is not null and length(text) between 20 and 20000").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    x, y = labelled_findings([r["text"] for r in texts.collect()], findings)
+    """A network and its threshold; surroundings come from about ``sample`` texts chosen by hash."""
+    texts = hash_sample(docs.select("doc_id", "text"), "doc_id", sample).where(F.length("text").between(20, 20_000))
+    x, y = labelled_findings(sorted(r["text"] for r in texts.collect()), findings)
     fit, held = slice(0, int(0.75 * findings)), slice(int(0.75 * findings), None)
     network = Network()
     network.fit(x[fit], y[fit])
