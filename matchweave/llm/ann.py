@@ -28,7 +28,7 @@ from pyspark.sql.window import Window as W
 
 from .vectors import best, usable
 
-TREES, LEAF, PROBES, SAMPLE = 8, 100, 160, 20_000
+TREES, LEAF, PROBES, SAMPLE = 8, 100, 256, 20_000
 #: Rows of one tree in one group, about.
 GROUP = 4000
 
@@ -123,12 +123,13 @@ def search(rows: DataFrame, k: int = 10, every: int = 100, trees: int = TREES, l
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for r in batch.itertuples():
-                found = probe(forests[r.dim], r.embedding, probes)
-                tree, leaves = np.array([t for t, _ in found]), np.array([x for _, x in found])
-                part = np.array([branch(x, forests[r.dim][t]) for t, x in found])
-                for t, b in sorted(set(zip(tree.tolist(), part.tolist()))):
-                    yield pd.DataFrame({"dim": [r.dim], "tree": [t], "branch": [b], "leaves": [leaves[(tree == t) & (part == b)]], "query_id": [r.vec_id], "embedding": [r.embedding]})
+                at = {}
+                for t, x in probe(forests[r.dim], r.embedding, probes):
+                    at.setdefault((t, int(branch(x, forests[r.dim][t]))), []).append(x)
+                rows += [(r.dim, t, b, leaves, r.vec_id, r.embedding) for (t, b), leaves in sorted(at.items())]
+            yield pd.DataFrame(rows, columns=["dim", "tree", "branch", "leaves", "query_id", "embedding"])
 
     indexed = whole.mapInPandas(place, "dim int, tree int, branch int, leaf int, vec_id long, embedding array<double>").withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(slots)))
     asked = (
