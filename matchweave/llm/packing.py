@@ -21,7 +21,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ from .common import cut
 CAPACITY = 2048
 END_ID = 0
 SALTS = 64
-CACHE_LIMIT = 250_000
+CACHE_LIMIT = 150_000
 
 _NOT_LATIN1 = re.compile("[^\x00-\xff]")
 #: Byte that stands for the end of a word; UTF-8 has no such byte.
@@ -54,11 +54,17 @@ class _Library(dict):
     """Space-free stretch of any text -> its ids; the tokenizer never looks across white space."""
 
     def __init__(self, path: str):
+        self.path = path
+        self[""] = b""
+
+    @cached_property
+    def tokenizer(self):
+        """Read when it is first asked: most workers never see text that needs it."""
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self[""] = b""
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
 
     def ids(self, stretch: str) -> bytes:
         return np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
