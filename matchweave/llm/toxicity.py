@@ -5,7 +5,9 @@ for words known from training) and its characters (the mean of learned vectors o
 four-letter stretches, and the largest of their log-odds). A forward and a backward gated
 recurrent layer run over a window of words, attention pools their states, and one layer gives
 the window's score. A text's score is that of its highest window, mapped to a probability by a
-logistic fit. All overlapping windows of the whole text are scored.
+logistic fit. A window begins at every word: all overlapping windows
+of the whole text are scored. Long runs without white space are split into words that the
+network reads whole.
 
 Training is plain numpy on a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_CLEAN``
 rows, chosen by hash, of at most ``MAX_CHARS`` characters) that never includes held-out rows:
@@ -19,6 +21,7 @@ both kinds every text scores 0.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +30,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Words of a window; training picks its windows from every ``STRIDE``-th start, scores take every start.
 WINDOW, STRIDE = 40, 30
+#: Windows computed at a time, and words projected at a time.
+BLOCK, PIECE = 2048, 8192
 HIDDEN, DIMS = 8, 8
 GRAM, WORD_CHARS, MAX_GRAMS = 4, 24, 23
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2000, 20_000
@@ -36,11 +42,31 @@ VOCABULARY = 30_000
 CLEAN_WEIGHT = 5.0
 #: Words whose network inputs a worker remembers.
 CACHE_LIMIT = 150_000
+#: Where the words of a run without white space are joined; characters without width are joints as well.
+_JOINTS = re.compile(r"[-_/\\,;:.|+=&?<>()\[\]{}\"\u00ad\u180e\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff\u3001\u3002\uff0c\uff01\uff1f]+")
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split() or [""]
+    """The words of a text, none longer than the network reads."""
+    words = (text or "").lower().split()
+    if not words:
+        return [""]
+    if len(max(words, key=len)) < WORD_CHARS - 1:
+        return words
+    return [p for w in words for p in ([w] if len(w) < WORD_CHARS - 1 else _parts(w))]
+
+
+def _parts(run: str) -> list[str]:
+    """A long run in words of at most ``WORD_CHARS - 2`` characters: split where words are joined, else cut so that every stretch of ``GRAM`` letters is whole in one of them."""
+    size = WORD_CHARS - 2
+    bare = run.strip(EDGE)
+    if len(bare) <= size:
+        return [bare]
+    out = []
+    for part in filter(None, _JOINTS.split(bare)):
+        out += [part] if len(part) <= size else [part[i : i + size] for i in range(0, len(part) - GRAM + 1, size - GRAM + 1)]
+    return out or [""]
 
 
 def grams(words: list[str]) -> np.ndarray:
@@ -196,27 +222,81 @@ class Network:
 
     # whole texts
 
+    @np.errstate(over="ignore")
+    def stream(self, px: np.ndarray) -> np.ndarray:
+        """Score of the full window that begins at each word but the last ``WINDOW - 1``; px: projected words.
+
+        What ``forward`` gives without a mask. Neighbouring windows take neighbouring inputs, so
+        step t of all of them reads one slice; features come first, and only what the attention
+        and the last layer need of a state is kept.
+        """
+        h, one = HIDDEN, np.float32(1)
+        x = np.ascontiguousarray(px.T)
+        for k in (0, 3 * h):  # sigmoid(a) is 1 / (1 + exp(-a)), tanh(a) is 1 - 2 / (1 + exp(2a)): exp is the fastest of them
+            x[k : k + 2 * h] *= -one
+            x[k + 2 * h : k + 3 * h] *= 2 * one
+        ends = np.concatenate([self.p["a"], self.p["o"][:, None]], 1).T
+        signs = np.repeat(np.array([-1, 2], np.float32), (2 * h, h))[:, None]
+        out = np.empty(x.shape[1] - WINDOW + 1, np.float32)
+        for at in range(0, len(out), BLOCK):
+            n = min(BLOCK, len(out) - at)
+            made = np.zeros((WINDOW, h + 1, n), np.float32)
+            for k, u in ((0, self.p["u0"]), (1, self.p["u1"])):
+                both = np.ascontiguousarray(np.concatenate([u.T * signs, ends[:, k * h : (k + 1) * h]]))
+                state, mixed, new = np.zeros((h, n), np.float32), np.zeros((4 * h + 1, n), np.float32), np.empty((h, n), np.float32)
+                gates, keep, reset, mine, shown = mixed[: 2 * h], mixed[:h], mixed[h : 2 * h], mixed[2 * h : 3 * h], mixed[3 * h :]
+                for t in range(WINDOW - 1, -1, -1) if k else range(WINDOW):
+                    now = x[3 * h * k : 3 * h * (k + 1), at + t : at + t + n]
+                    gates += now[: 2 * h]
+                    np.exp(gates, gates)
+                    gates += one
+                    np.divide(mine, reset, new)
+                    new += now[2 * h :]
+                    np.exp(new, new)
+                    new += one
+                    np.divide(-2 * one, new, new)
+                    new += one
+                    # h + (1 - z)(new - h) is new + z(h - new)
+                    state -= new
+                    state /= keep
+                    state += new
+                    np.matmul(both, state, mixed)
+                    made[t] += shown
+            raw = np.matmul(self.p["v"], np.tanh(made[:, :h]))
+            raw -= raw.max(0)
+            np.exp(raw, raw)
+            out[at : at + n] = (raw * made[:, h]).sum(0) / raw.sum(0) + self.p["c"][0]
+        return out
+
     def highest(self, texts: list[list[str]], lookup) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text: the score of its highest window and where that window begins."""
+        """Of each text: the score of its highest window and where that window begins; a window begins at every word."""
         rows = lookup([w for t in texts for w in t])
-        starts = np.cumsum([0, *map(len, texts)])
-        owner, begin, length = [], [], []
-        for k, t in enumerate(texts):
-            n = max(1, -(-(len(t) - (WINDOW - STRIDE)) // STRIDE))
-            owner += [k] * n
-            at = np.arange(n) * STRIDE
-            begin.append(starts[k] + at)
-            length.append(np.minimum(WINDOW, len(t) - at))
-        owner, begin, length = np.array(owner), np.concatenate(begin), np.concatenate(length)
-        logit = np.empty(len(owner), np.float32)
+        sizes = np.array([*map(len, texts)])
+        starts = np.cumsum([0, *sizes])
+        best, begin = np.empty(len(texts), np.float32), np.zeros(len(texts), np.int64)
+        short = np.flatnonzero(sizes < WINDOW)
         steps = np.arange(WINDOW)
-        for i in range(0, len(owner), 2048):
-            part = slice(i, i + 2048)
-            mask = steps < length[part, None]
-            at = np.where(mask, begin[part, None] + steps, 0)
-            logit[part] = self.forward(rows(at), mask.astype(np.float32))
-        best = np.lexsort((-begin, logit, owner))[np.append(np.diff(owner[np.lexsort((-begin, logit, owner))]) > 0, True)]
-        return logit[best], begin[best] - starts[:-1]
+        for i in range(0, len(short), 2048):
+            part = short[i : i + 2048]
+            mask = steps < sizes[part, None]
+            best[part] = self.forward(rows(np.where(mask, starts[part, None] + steps, 0)), mask.astype(np.float32))
+        long = np.flatnonzero(sizes >= WINDOW)
+        i = 0
+        while i < len(long):  # texts one after another, a long one in pieces
+            group, size = [], 0
+            while i < len(long) and (not group or size + sizes[long[i]] <= PIECE):
+                group.append(long[i])
+                size += sizes[long[i]]
+                i += 1
+            place = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in group]) if len(group) > 1 else np.arange(starts[group[0]], starts[group[0] + 1])
+            logit = np.concatenate([self.stream(rows(place[j : j + PIECE + WINDOW - 1])) for j in range(0, size - WINDOW + 1, PIECE)])
+            at = 0
+            for k in group:
+                own = logit[at : at + sizes[k] - WINDOW + 1]
+                begin[k] = own.argmax()
+                best[k] = own[begin[k]]
+                at += sizes[k]
+        return best, begin
 
     def probability(self, logit: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * logit.astype(float) + self.scale[1], -50, 50)))

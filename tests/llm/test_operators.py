@@ -123,6 +123,41 @@ def test_toxicity_gradients():
         assert abs((up - down) / 2e-3 - g[name][at]) < 0.02 * abs(g[name][at]) + 1e-4, name
 
 
+def test_toxicity_reads_long_runs_whole():
+    for run in ("abcdefghij" * 9, "日本語" * 40, "well" + "-some_word/and,more" * 5 + "\u200bend"):
+        words = toxicity.words_of(f"x {run} y")
+        assert max(map(len, words)) <= toxicity.WORD_CHARS - 2 and words[0] == "x" and words[-1] == "y"
+        kept = {int(g) for g in toxicity.grams(words).ravel()}
+        for piece in re.split("[-_/,\u200b]", run):
+            for i in range(0, len(piece) - toxicity.GRAM + 1):
+                assert int(toxicity.grams([piece[i : i + toxicity.GRAM]])[0][1]) in kept  # after ^
+    assert toxicity.words_of("a well-known it's http://x.org") == ["a", "well-known", "it's", "http://x.org"]
+    r = random.Random(1)
+    plain = [f"{a}{b}{c}" for a in ("ta", "ro", "mi", "ke") for b in ("lo", "sa", "ne", "pu") for c in ("n", "r", "st", "")]
+    texts = [r.choices(plain, k=60) for _ in range(300)]
+    for w in texts[::3]:
+        for _ in range(3):
+            w.insert(r.randrange(len(w)), r.choice(["nasty", "rotten", "vilething"]))
+    net = toxicity.fit_network([" ".join(w) for w in texts], [int(i % 3 == 0) for i in range(300)])
+    clean = "-".join(plain)
+    late = [clean, *(j.join(plain[:20]) + j + j.join(["nasty", "rotten", "vilething"] * 2) for j in "-_/,\u200b")]
+    assert (toxicity.scores_of(late, net, toxicity.Lookup(net)) >= 0.5).tolist() == [False, *[True] * 5]
+
+
+def test_toxicity_scores_every_window(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    monkeypatch.setattr(toxicity, "PIECE", 300)
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(50)]
+    net = toxicity.Network({w: r.uniform(-3, 3) for w in words}, {int(g): r.uniform(-2, 2) for g in toxicity.grams(words).ravel() if g})
+    texts = [[r.choice(words) for _ in range(n)] for n in (1, 39, 40, 41, 75, 300, 339, 340, 700, 5)]
+    lookup = toxicity.Lookup(net)
+    best, begin = net.highest(texts, lookup)
+    for k, t in enumerate(texts):
+        one = [float(net.forward(lookup(w)(np.arange(len(w))[None]), np.ones((1, len(w)), np.float32))[0]) for s in range(max(1, len(t) - toxicity.WINDOW + 1)) for w in [t[s : s + toxicity.WINDOW]]]
+        assert abs(best[k] - max(one)) < 1e-4 and abs(one[begin[k]] - max(one)) < 1e-4
+
+
 def test_toxicity_without_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
