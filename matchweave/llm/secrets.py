@@ -1,8 +1,9 @@
 """Secret scans: three fixed rules, and a character convolutional network over candidates.
 
 The fixed rules always report. The network looks at every further candidate (a stretch of at
-least ``MIN_CANDIDATE`` token characters with a letter and a digit) together with the text
-around it. It is trained in numpy on labelled findings: generated secrets of common shapes and
+least ``MIN_CANDIDATE`` token characters with a letter and a digit, outside the rules' spans)
+together with the text around it, in overlapping pictures of ``INSIDE`` characters; a candidate
+is reported whole if one of them is. It is trained in numpy on labelled findings: generated secrets of common shapes and
 generated look-alikes, each set into surroundings taken from a bounded sample of the texts. A
 held-back part of the findings calibrates the score (a logistic fit) and sets the threshold:
 the highest one that still finds ``RECALL`` of the held-back secrets.
@@ -43,6 +44,7 @@ _MIN_ASSIGN, _MIN_ACCESS = 12, 18
 
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_CANDIDATE)
+_LEAD = re.compile("[=/]")
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 
@@ -83,6 +85,27 @@ def picture(text: str, start: int, end: int) -> np.ndarray:
     return np.where(codes < 128, codes, 127).astype(np.uint8)
 
 
+def views(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """(start, end) of the pictures of a candidate: overlapping ones along all of it, and one after each = or / in it."""
+    last = max(0, end - start - INSIDE)
+    begins = {*range(start, start + last, INSIDE // 2), start + last}
+    begins |= {m.end() for m in _LEAD.finditer(text, start, end) if end - m.end() >= MIN_CANDIDATE}
+    return [(s, min(end, s + INSIDE)) for s in sorted(begins)]
+
+
+def outside(text: str, start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What spans, ordered by start, leave of a candidate, as far as it still is a candidate."""
+    out, at = [], start
+    for s, _, e in [*spans, (end, 0, end)]:
+        to = min(s, end)
+        if to - at >= MIN_CANDIDATE and _DIGIT.search(text, at, to) and _LETTER.search(text, at, to):
+            out.append((at, to))
+        at = max(at, e)
+        if at >= end:
+            break
+    return out
+
+
 class Network:
     """Embedding, one convolution with max pooling over each of the three parts, one layer."""
 
@@ -221,9 +244,18 @@ def labelled_findings(texts: list[str], n: int, seed: int = 11) -> tuple[np.ndar
         at = r.randrange(len(words))
         before, after = " ".join(words[at : at + 6]) + " " + lead, r.choice([" ", ". ", ", ", '" ']) + " ".join(words[at + 6 : at + 9])
         quote = r.choice(["", "", '"', "'", "("])
+        if r.random() < 0.3:  # the end of a long run
+            quote += "".join(plain().lower() + r.choice("///..-_") for _ in range(r.randint(2, 8)))
+            quote += r.choice(["", "", "key=", "id="])
+            lead = ""
+            before = " ".join(words[at : at + 6]) + " "
         text = before + quote + body + after
         start = len(before) + len(quote)
-        xs.append(picture(text, start, start + len(body)))
+        # one of the pictures that find() takes: of a secret the one with most of it, of a look-alike any
+        whole = start - len(re.search(r"[A-Za-z0-9+/_.=-]*\Z", text[:start])[0])
+        seen = views(text, whole, start + len(body))
+        s, e = max(seen, key=lambda v: (min(v[1], start + len(body)) - max(v[0], start), v[0])) if i % 2 else r.choice(seen)
+        xs.append(picture(text, s, e))
         ys.append(i % 2)
     return np.array(xs), np.array(ys, np.float32)
 
@@ -238,24 +270,40 @@ def train(docs: DataFrame, sample: int = SAMPLE_TEXTS, findings: int = 6000, rec
     return network, network.calibrate(x[held], y[held], recall)
 
 
-def _overlaps(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
-    return any(s < end and start < e for s, _, e in spans)
+def find(texts: list[str], network: Network, threshold: float) -> list[list[tuple[int, int, int]]]:
+    """All spans of each text: those of the rules, then learned ones, which are what the rules leave
+    of a candidate if any of its pictures reaches the threshold."""
+    out, asked, pictures = [], [], []
 
+    def judge() -> None:
+        hits = {span for span, score in zip(asked, network.score(np.array(pictures))) if score >= threshold}
+        for k, start, end in hits - done:
+            out[k].append((start, 3, end))
+        done.update(hits)
+        asked.clear()
+        pictures.clear()
 
-def find(texts: list[str], network: Network, threshold: float) -> list[list[tuple[int, int, int]]]:
-    """All spans of each text: those of the rules, then learned ones that touch none of them."""
-    base = [base_spans(t) for t in texts]
-    asked, pictures = [], []
+    done: set[tuple[int, int, int]] = set()
     for k, text in enumerate(texts):
+        base = base_spans(text)
+        out.append(list(base))
+        first = 0
         for start, end in candidates(text):
-            if not _overlaps(start, end, base[k]):
-                asked.append((k, start, end))
-                pictures.append(picture(text, start, end))
-    scores = network.score(np.array(pictures)) if pictures else []
-    out = [list(b) for b in base]
-    for (k, start, end), score in zip(asked, scores):
-        if score >= threshold:
-            out[k].append((start, 3, end))
+            while first < len(base) and base[first][0] < start and base[first][2] <= start:
+                first += 1
+            near = []
+            for i in range(first, len(base)):
+                if base[i][0] >= end:
+                    break
+                near.append(base[i])
+            for piece in outside(text, start, end, near):
+                for s, e in views(text, *piece):
+                    asked.append((k, *piece))
+                    pictures.append(picture(text, s, e))
+                    if len(pictures) >= 16_384:
+                        judge()
+    if pictures:
+        judge()
     return [sorted(spans) for spans in out]
 
 

@@ -334,6 +334,34 @@ def test_secret_network_held_out():
     assert p[y[2500:] == 1].mean() > 0.85 and p[y[2500:] == 0].mean() < 0.1
 
 
+def test_secrets_far_inside_candidates():
+    words = "plain words in a row that mean nothing at all but the releases current config of an app in production ".split()
+    texts = [" ".join(words * 4)]
+    x, y = secrets.labelled_findings(texts, 6000)
+    net = secrets.Network()
+    net.fit(x[:4500], y[:4500])
+    threshold = net.calibrate(x[4500:], y[4500:], secrets.RECALL)
+    r = random.Random(6)
+    token = lambda n: "".join(r.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=n))
+    found = {"path": 0, "dots": 0, "access": 0, "hex": 0}
+    for _ in range(50):
+        key = token(40)
+        made = {
+            "path": f"see releases/current/config/app.production.key={key} here",
+            "dots": f"see releases.current.config.app.production.area.{key} here",
+            "access": f"see AKIA{'ABCD1234EFGH5678'}/{key} here",
+            "hex": f"see 0123456789abcdef.{key} here",
+        }
+        for (name, text), spans in zip(made.items(), secrets.find(list(made.values()), net, threshold)):
+            found[name] += key not in text or not any(key[i : i + 12] in secrets.redact_text(text, spans) for i in range(29))
+    assert min(found.values()) >= 45, found
+    plain = ["see releases/current/config/app.production/nothing-of-a-row/mean_words_2024.html here", "see www.example.com/plain/row/of/words/and/more/plain/words/in/production/4711/current here"]
+    assert secrets.find(plain, net, threshold) == [[], []]
+    run = "see " + "words/in/a/row2/" * 30 + "z here"
+    spans = secrets.views(run, 4, len(run) - 5)
+    assert set().union(*(range(a, b) for a, b in spans)) == set(range(4, len(run) - 5))
+
+
 def test_redaction(docs, texts):
     assert secrets.redact_text("ab token=x cd", [(3, 0, 10), (5, 2, 8)]) == "ab <secret> cd"
     got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
