@@ -31,6 +31,8 @@ from .common import hash_sample
 
 SAMPLE_PAGES, GENERATED_PAGES = 150, 350
 MAX_SAMPLE_CHARS = 50_000
+#: The attribute that holds a block's label in generated pages; in the table's pages it means nothing.
+LABEL = "matchweave-label"
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -68,7 +70,7 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)  # (node, text) in page order
 
 
-def _hints(attributes: str) -> tuple[tuple[bool, bool, bool, bool], int]:
+def _hints(attributes: str, labelled: bool = True) -> tuple[tuple[bool, bool, bool, bool], int]:
     bad = good = comment = hidden = False
     label = -1
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -80,12 +82,13 @@ def _hints(attributes: str) -> tuple[tuple[bool, bool, bool, bool], int]:
             comment |= bool(words & COMMENT_WORDS)
         elif name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")) or (name == "aria-hidden" and value == "true"):
             hidden = True
-        elif name == "data-label":
+        elif labelled and name == LABEL:
             label = int(value)
     return (bad, good, comment, hidden), label
 
 
-def parse(source: str) -> Page:
+def parse(source: str, labelled: bool = True) -> Page:
+    """The blocks of a page; ``labelled``: not a page of the table, so ``LABEL`` tells their labels."""
     page = Page()
     page.parent.append(-1)
     page.tag.append("root")
@@ -137,7 +140,7 @@ def parse(source: str) -> Page:
                 end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = end.end() if end else size
             continue
-        hints, label = _hints(m[3]) if m[3] else ((False,) * 4, -1)
+        hints, label = _hints(m[3], labelled) if m[3] else ((False,) * 4, -1)
         inline = name in INLINE and not (hints[0] or hints[2] or hints[3])
         if name == "br":
             run.append(" ")
@@ -288,7 +291,7 @@ def generate(words: list[str], r: random.Random) -> str:
         return html.escape(" ".join(r.choices(words, k=r.randint(low, high))).capitalize()) + end
 
     def tag(name: str, label: int, body: str, names: str = "") -> str:
-        return f'<{name}{f" class={chr(34)}{names}{chr(34)}" if names else ""} data-label="{label}">{body}</{name}>'
+        return f'<{name}{f" class={chr(34)}{names}{chr(34)}" if names else ""} {LABEL}="{label}">{body}</{name}>'
 
     def links(n: int) -> str:
         return tag("ul", 0, "".join(tag("li", 0, f'<a href="/{i}">{say(1, 3, "")}</a>') for i in range(n)))
@@ -345,13 +348,13 @@ def generate(words: list[str], r: random.Random) -> str:
     after = [clutter() for _ in range(r.randint(0, 3))]
     if r.random() < 0.8:
         after.append(tag("footer", 0, r.choice([tag("p", 0, "&copy; " + say(2, 12)), "&copy; " + say(2, 12), links(3)])))
-    return f'<html data-label="0"><head data-label="0"><title>x</title></head><body data-label="0">{"".join(before)}{body}{"".join(after)}</body></html>'
+    return f'<html {LABEL}="0"><head {LABEL}="0"><title>x</title></head><body {LABEL}="0">{"".join(before)}{body}{"".join(after)}</body></html>'
 
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES, generated: int = GENERATED_PAGES, seed: int = 4) -> Model:
     """A model from generated pages and about ``sample`` pages of the table, chosen by hash."""
     rows = hash_sample(pages.select("page_id", "html"), "page_id", sample).where(F.length("html").between(1, MAX_SAMPLE_CHARS)).collect()
-    own = [parse(h) for h in sorted(r["html"] for r in rows)]
+    own = [parse(h, labelled=False) for h in sorted(r["html"] for r in rows)]
     words = [w for p in own for _, t in p.blocks for w in t.split()][:20_000] or ["the", "of", "and", "to"]
     own = [p for p in own if label_by_article(p)]
     r = random.Random(seed)
@@ -366,7 +369,7 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES, generated: int = GENERAT
 
 
 def texts_of(sources: list[str], model: Model) -> list[str]:
-    pages = [parse(s) for s in sources]
+    pages = [parse(s, labelled=False) for s in sources]
     if not pages:
         return []
     content = model.marginals(*_features(pages))[0][:, 1] >= 0.5

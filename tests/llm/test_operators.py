@@ -173,6 +173,17 @@ HTML = [
 ]
 
 
+def test_html_pages_may_use_data_label(spark):
+    cell = "<table><tr><td data-label=\"Price\">Ten coins, or more.<td data-label>Second cell, longer.<td data-label='7'>Third cell.</table>"
+    page = f"<html><body><article><h1>Head</h1><p>Long enough text of the page, with a stop.</p>{cell}</article></body></html>"
+    bare = re.sub(" data-label(=[^>]*)?", "", page)
+    got = {r["page_id"]: r for r in html_extract.extract(spark.createDataFrame([(1, "u", page, "x", "k"), (2, "u", bare, "x", "k")], PAGES)).collect()}
+    assert got[1].asDict() | {"page_id": 2} == got[2].asDict()
+    assert html_extract.parse(page).label == html_extract.parse(bare).label
+    marked = [(1, "u", page.replace("data-label", html_extract.LABEL), "x", "k")]
+    assert html_extract.extract(spark.createDataFrame(marked, PAGES)).count() == 1
+
+
 def test_html_extracts_main_text(spark):
     rows = [(i, f"u{i}", h, "x", "y") for i, (h, _) in enumerate(HTML)]
     rows += [(10, None, None, None, None), (11, "u", "", "", ""), (12, "u", "plain < text", "", ""), (None, "u", "<!-- open", "", ""), (13, "u", "<div>" * 3000 + "deep" + "</div>" * 10, "", ""), (14, "u", "<article><p>" + "word " * 50_000 + "</article>", "", "")]
