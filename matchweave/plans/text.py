@@ -5,6 +5,9 @@ The documents hold no postings or resumes, so each gets one sentence of that kin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,11 @@ def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", _sentence().alias("t"))
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of each document's text, and its sentence."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "text", _sentence()).alias("t"))
+
+
 def _sql_any(pattern: str, text: str = "lower(t)") -> str:
     return f"regexp_matches({text}, '{pattern}')"
 
@@ -98,10 +106,10 @@ _ASCII = "plain AS (SELECT doc_id, regexp_replace(t, '[^\\x00-\\x7F]', 'x', 'g')
 SKILLS = f"WITH {POSTED}, {_ASCII} SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform({_SKILL_SQL}, lambda x: lower(x)))), '|') AS skills, array_to_string(list_sort({_WORD_SQL}), '|') AS words FROM plain"
 
 
-def query_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_keywords(spark: SparkSession, sf_dir: str, texts: Callable[[SparkSession, str], DataFrame] = _said) -> DataFrame:
     t = F.col("t")
     pay = tx.salaries(t)
-    return _said(spark, sf_dir).select("doc_id", F.array_join(tx.titles(t), "|").alias("titles"), pay["low"].alias("low"), pay["high"].alias("high"), F.array_join(tx.places(t), "|").alias("places"), nz.job_type(t).alias("job_type"), nz.experience_level(t).alias("level"))
+    return texts(spark, sf_dir).select("doc_id", F.array_join(tx.titles(t), "|").alias("titles"), pay["low"].alias("low"), pay["high"].alias("high"), F.array_join(tx.places(t), "|").alias("places"), nz.job_type(t).alias("job_type"), nz.experience_level(t).alias("level"))
 
 
 def _pay_sql(f: str) -> str:
@@ -123,9 +131,9 @@ KEYWORDS = f"""WITH {SAID} SELECT doc_id, array_to_string(list_sort(list_distinc
 array_to_string(list_sort(list_concat({_PLACE_SQL}, CASE WHEN regexp_matches(lower(t), '\\bremote\\b') THEN ['Remote'] ELSE [] END)), '|') AS places, {_cascade_sql(nz.JOB_TYPES, "full_time")} AS job_type, {_cascade_sql(nz.LEVELS, "entry")} AS level FROM said"""
 
 
-def skill_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+def skill_categories(spark: SparkSession, sf_dir: str, texts: Callable[[SparkSession, str], DataFrame] = _said) -> DataFrame:
     """Each document's skills by category, and the share of the market score they give."""
-    named = _said(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.concat(tx.skills(F.col("t")), nz.dictionary_skills(F.col("t"))))).alias("skill"))
+    named = texts(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.concat(tx.skills(F.col("t")), nz.dictionary_skills(F.col("t"))))).alias("skill"))
     return named.groupBy("doc_id", tx.category(F.col("skill")).alias("category")).agg(F.array_join(F.array_sort(F.collect_set("skill")), "|").alias("skills"))
 
 
@@ -134,8 +142,8 @@ CATEGORIES = f"""WITH {SAID}, n AS (SELECT doc_id, unnest({_BOTH_SQL}) AS skill
 SELECT doc_id, {_cascade_sql(tx.CATEGORIES, "other", "lower(skill)")} AS category, array_to_string(list_sort(list(DISTINCT skill)), '|') AS skills FROM n GROUP BY 1, 2"""
 
 
-def marketability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = _said(spark, sf_dir).select("doc_id", F.explode_outer(F.array_distinct(F.concat(tx.skills(F.col("t")), nz.dictionary_skills(F.col("t"))))).alias("skill"))
+def marketability(spark: SparkSession, sf_dir: str, texts: Callable[[SparkSession, str], DataFrame] = _said) -> DataFrame:
+    named = texts(spark, sf_dir).select("doc_id", F.explode_outer(F.array_distinct(F.concat(tx.skills(F.col("t")), nz.dictionary_skills(F.col("t"))))).alias("skill"))
     c = F.when(F.col("skill").isNotNull(), tx.category(F.col("skill")))
     per = named.groupBy("doc_id").agg(F.countDistinct(c).alias("categories"), F.count_if(c.isin("programming_languages", "frameworks", "databases")).alias("technical"), F.count_if(c == "soft_skills").alias("soft"))
     return per.select("doc_id", "categories", "technical", "soft", tx.marketability(F.col("categories"), F.col("doc_id") % 7, F.col("technical"), F.col("soft")).cast("long").alias("score"))
@@ -195,4 +203,7 @@ QUERIES = {
     "marketability": (marketability, MARKETABILITY),
     "section_split": (section_split, SECTIONS),
     "normalize_fields": (normalize_fields, NORMALIZE),
+    "query_keywords_whole": (partial(query_keywords, texts=_whole), None),
+    "skill_categories_whole": (partial(skill_categories, texts=_whole), None),
+    "marketability_whole": (partial(marketability, texts=_whole), None),
 }

@@ -46,3 +46,17 @@ def test_query(name, spark, duck):
     assert sorted(names) == columns
     want = sorted([[plain(r[names.index(c)]) for c in columns] for r in rel.fetchall()], key=str)
     assert rows == want
+
+
+def test_text_queries_read_the_documents(spark, tmp_path):
+    said = "filler words in a row " * 2000
+    rows = [(10, said + "\nSenior data engineer in Chicago, salary of $150k, knows Kubernetes\nend"), (19, None), (29, said)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: registry.queries()[f"{n}_whole"](spark, str(tmp_path)).collect() for n in ("query_keywords", "skill_categories", "marketability", "resume_entries")}
+    words = {r["doc_id"]: r for r in got["query_keywords"]}
+    assert set(words) == {10, 19, 29} and words[10]["low"] == 150_000 and "Chicago" in words[10]["places"] and "data engineer" in words[10]["titles"]
+    assert words[19].asDict() | {"doc_id": 29} == words[29].asDict()
+    assert any(r["doc_id"] == 10 and "kubernetes" in r["skills"].split("|") for r in got["skill_categories"])
+    scores = {r["doc_id"]: r["technical"] + r["categories"] for r in got["marketability"]}
+    assert set(scores) == {10, 19, 29} and scores[10] > scores[19] == scores[29]
+    assert any(r["resume_id"] == 10 and r["title"] and "Senior data engineer in Chicago" in r["title"] for r in got["resume_entries"])
