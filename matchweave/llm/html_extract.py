@@ -10,7 +10,10 @@ table's own pages that mark their article, labelled by that mark.
 
 Edge cases: null html is empty; a page without content gives an empty text; unclosed, nested
 and cut-off markup is read as browsers do in outline (a new block ends a paragraph, an unclosed
-comment or script runs to the end); repeated rows each give a row; other columns are not read.
+comment or script runs to the end); a character reference is decoded within one stretch of text,
+so one that a tag cuts in two stays as it is written; nesting may be as deep as the page is long;
+attributes of any name and value are only read for class, id, role and hiding; repeated rows each
+give a row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -95,13 +98,14 @@ def parse(source: str, labelled: bool = True) -> Page:
     page.hints.append((False,) * 4)
     page.label.append(0)
     stack: list[tuple[str, int]] = [("root", 0)]  # (tag, block node that its text belongs to)
+    places: dict[str, list[int]] = {}  # tag -> where it is on the stack
     run: list[str] = []
     run_linked = links = dead = 0
 
     def flush() -> None:
         nonlocal run, run_linked
         if run:
-            text = " ".join(html.unescape("".join(run)).split())
+            text = " ".join("".join(run).split())
             if text and not dead:
                 page.blocks.append((stack[-1][1], text))
                 linked.append((len(page.blocks) - 1, run_linked))
@@ -111,16 +115,20 @@ def parse(source: str, labelled: bool = True) -> Page:
         nonlocal links, dead
         while len(stack) > to:
             name = stack.pop()[0]
+            places[name].pop()
             links -= name == "a"
             dead -= name in NEVER
 
+    def innermost(names: tuple[str, ...]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     linked: list[tuple[int, int]] = []
     at, size = 0, len(source)
     while at < size:
         m = _TOKEN.search(source, at)
         text = source[at : m.start() if m else size]
         if text:
-            run.append(text)
+            run.append(html.unescape(text))
             run_linked += len(text) if links else 0
         if not m:
             break
@@ -129,10 +137,9 @@ def parse(source: str, labelled: bool = True) -> Page:
         if not name:
             continue
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
             if name not in INLINE:
                 flush()
-            if depth:
+            if depth := innermost((name,)):
                 pop(depth)
             continue
         if name in RAW:  # its content is no text, and the block around it goes on
@@ -151,23 +158,20 @@ def parse(source: str, labelled: bool = True) -> Page:
         if not inline:
             flush()
             ended = ("p", "head") if name in ENDS_PARAGRAPH else ("head",) if name == "body" else ()
-            if depth := next((i for i in range(1, len(stack)) if stack[i][0] in ended), 0):
+            if depth := min((places[n][0] for n in ended if places.get(n)), default=0):
                 pop(depth)
             same = {"li": ("ul", "ol"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}.get(name)
             if same:
                 rivals = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in same:
-                        break
-                    if stack[i][0] in rivals:
-                        pop(i)
-                        break
+                if (depth := innermost(rivals)) > innermost(same):
+                    pop(depth)
             page.parent.append(stack[-1][1])
             page.tag.append(name)
             page.hints.append(hints)
             page.label.append(label)
         if m[3].endswith("/"):
             continue
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, stack[-1][1] if inline else len(page.parent) - 1))
         links += name == "a"
         dead += name in NEVER
@@ -192,29 +196,21 @@ def _features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         linked += p.linked
         stops += p.stops
         size += len(p.parent)
-    parent, kind = np.array(parent), np.array(kind)
-    hints, own, linked, stops = np.array(hints, float), np.array(own, float), np.array(linked, float), np.array(stops, float)
-    depth = np.zeros(size, int)
-    inside = np.zeros((size, 5))  # main, bad place, comments, header, hidden: of the node or above it
-    mine = np.stack([(kind == 4) | (hints[:, 1] > 0), np.isin(kind, (5, 7, 8, 9)) | (hints[:, 0] > 0), hints[:, 2] > 0, kind == 6, hints[:, 3] > 0], 1).astype(float)
-    # parents come before their children, so nodes can be filled level by level
-    level = np.flatnonzero(parent < 0)
-    children_of = np.argsort(parent, kind="stable")
-    first = np.searchsorted(parent[children_of], np.arange(size))
-    count = np.bincount(parent[parent >= 0], minlength=size)
-    inside[level] = mine[level]
-    d = 0
-    while len(level):
-        depth[level] = d
-        k = count[level]
-        nxt = children_of[np.repeat(first[level], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)] if k.sum() else np.empty(0, int)
-        inside[nxt] = np.maximum(mine[nxt], inside[parent[nxt]])
-        level, d = nxt, d + 1
-    total, total_linked = own.copy(), linked.copy()
-    for d in range(depth.max(initial=0), 0, -1):
-        rows = np.flatnonzero(depth == d)
-        np.add.at(total, parent[rows], total[rows])
-        np.add.at(total_linked, parent[rows], total_linked[rows])
+    total, total_linked, depth, mine = own.copy(), linked.copy(), [0] * size, [0] * size
+    for i, up in enumerate(parent):  # parents come before their children
+        bad, good, comment, hidden = hints[i]
+        k = kind[i]  # main, bad place, comments, header, hidden: of the node or above it
+        mine[i] = (k == 4 or good) | (k in (5, 7, 8, 9) or bad) << 1 | comment << 2 | (k == 6) << 3 | hidden << 4
+        if up >= 0:
+            depth[i] = depth[up] + 1
+            mine[i] |= mine[up]
+    for i in range(size - 1, -1, -1):
+        if (up := parent[i]) >= 0:
+            total[up] += total[i]
+            total_linked[up] += total_linked[i]
+    parent, kind, depth = np.array(parent), np.array(kind), np.array(depth)
+    inside = (np.array(mine)[:, None] >> np.arange(5) & 1).astype(float)
+    hints, own, linked, stops, total, total_linked = (np.array(x, float) for x in (hints, own, linked, stops, total, total_linked))
     one_hot = np.eye(len(KINDS))[kind]
     extra = [
         np.ones(size), hints[:, 0], hints[:, 1], hints[:, 2], hints[:, 3], inside,
@@ -237,19 +233,22 @@ class Model:
         unary = np.zeros((len(x), 2))
         unary[:, 1] = x @ self.own
         gathered, up, down = unary.copy(), np.zeros_like(unary), np.zeros_like(unary)
-        levels = [np.flatnonzero(depth == d) for d in range(depth.max(initial=0) + 1)]
+        order = np.argsort(depth, kind="stable")
+        levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
         for rows in levels[:0:-1]:
             joint = self.pair[edge[rows]] + gathered[rows][:, None, :]
             up[rows] = np.logaddexp(joint[:, :, 0], joint[:, :, 1])
             np.add.at(gathered, parent[rows], up[rows])
-        both = np.zeros((len(x), 2, 2))
         for rows in levels[1:]:
-            above = gathered[parent[rows]] + down[parent[rows]] - up[rows]
-            joint = above[:, :, None] + self.pair[edge[rows]]
+            above = parent[rows]
+            joint = (gathered[above] + down[above] - up[rows])[:, :, None] + self.pair[edge[rows]]
             down[rows] = np.logaddexp(joint[:, 0], joint[:, 1])
-            joint = joint + gathered[rows][:, None, :]
-            joint = np.exp(joint - joint.max((1, 2), keepdims=True))
-            both[rows] = joint / joint.sum((1, 2), keepdims=True)
+        child = np.flatnonzero(parent >= 0)
+        above = parent[child]
+        joint = (gathered[above] + down[above] - up[child])[:, :, None] + self.pair[edge[child]] + gathered[child][:, None, :]
+        joint = np.exp(joint - joint.max((1, 2), keepdims=True))
+        both = np.zeros((len(x), 2, 2))
+        both[child] = joint / joint.sum((1, 2), keepdims=True)
         belief = gathered + down
         belief = np.exp(belief - belief.max(1, keepdims=True))
         return belief / belief.sum(1, keepdims=True), both
