@@ -28,7 +28,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"), digest=True).drop("mark").withColumnRenamed("kept", "kept_sha256")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,29 @@
 """Removes words inside long repeats, found by prefix-partitioned suffix trees.
 
-A suffix is a document's word sequence from some word on, cut at ``min_words`` words. Only
-suffixes that can repeat enter a tree. Every window of ``min_words`` words holds one anchor,
-its smallest run of ``ANCHOR`` words by hash; equal windows have equal anchors. So windows
-whose anchor occurs once in the corpus are left out, and no repeat is lost.
-
-The rest are split by prefix: the first ``PREFIX`` words, or, where too many suffixes share
-those, the whole path. Each group's tree is laid out as its suffixes in path order; a stretch
-of equal paths is an internal node at depth ``min_words`` with its occurrences as leaves. All
-leaves but the earliest are repeats; overlapping ones join to maximal repeats in a document.
-Each task first builds the trees of its own suffixes and sends on only one leaf of a node, so
-a passage in a third of all documents reaches its group once per task.
-
-Paths are compared by 64-bit hashes, among suffixes whose anchors also agree in 64 bits.
+A suffix is a document's word sequence from some word on, cut at ``min_words`` words: deeper
+nodes cover no further words. Only suffixes that can repeat enter a tree. Every suffix holds
+one anchor, its smallest run of ``ANCHOR`` words by hash; equal suffixes have equal anchors. So
+suffixes whose anchor occurs once in the corpus are left out, and no repeat is lost.
+
+The others are split by their prefixes into groups that fit into memory. Equal prefixes of
+``min_words`` words have equal anchors, so the anchor is the first split; it lets neighbouring
+suffixes with one anchor travel as one stretch of words. A group of more than ``GROUP``
+stretches is split again, by prefixes of 4 words, and where those still are too many, of 8, 16
+and ``min_words``. Each group's subtree is built from the words themselves: its suffixes in
+order are the leaves, and leaves that share all their words hang on one deep inner node, whose
+leaves are the occurrences of a repeat. All but the earliest are removed; overlapping ones join
+to the maximal repeats of a document. Hashes only decide where suffixes meet, never which are
+equal.
+
+Each task first builds the subtree of its own suffixes and sends on only one leaf of a node, so
+a passage in a third of all documents reaches its group once per task. Of an anchor that a task
+sees often, two rows meet the other tasks' rows; the rest are known to repeat and are spread.
 
 Edge cases: a null text has no words; documents of fewer than ``min_words`` words keep all; a
-repeated row (same id) is not earlier than itself, so all its copies keep or lose the same
-words; an empty table gives no rows; doc_id must be an integer; other columns are not read.
+repeated row (same id and text) is not earlier than itself, so all its copies keep or lose the
+same words; rows of one id with different texts are different documents, in the order of a
+hash of their texts; rows without an id keep all words and are nobody's earlier copy; an empty
+table gives no rows; doc_id must be an integer; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,12 +37,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, repeated_keys, rolling, word_hashes
+from .common import cut, mix, rolling, word_hashes
 
-MIN_WORDS, ANCHOR, PREFIX = 20, 10, 4
-#: A prefix shared by more suffixes than this, or than a ten-thousandth of all, is lengthened.
-GROUP = 50_000
-HEAVY_PREFIXES = 10_000
+MIN_WORDS, ANCHOR = 20, 10
+#: Rows that a group holds at most before longer prefixes split it, unless that makes more than
+#: ``MOST_SPLIT`` groups: then a ``MOST_SPLIT``-th of all rows.
+GROUP, MOST_SPLIT = 50_000, 10_000
+#: Lengths of the prefixes that split large groups; the last is the whole suffix.
+PREFIXES = (4, 8, 16)
+#: Suffixes whose subtrees are built at a time, and bytes of text that a task holds for its own.
+LEAVES, HELD = 50_000, 1 << 25
+#: Anchors that a task remembers as repeated.
+KNOWN = 1 << 20
 
 _A, _P, _F = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 _TOP = np.uint64(2**64 - 1)
@@ -52,7 +65,7 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
 
 
 def anchors(hashes: np.ndarray, min_words: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the run at each word, whether some window has it as its smallest)."""
+    """(hash of the run at each word, whether some suffix has it as its smallest)."""
     runs = rolling(hashes, anchor, _A)
     width = min_words - anchor + 1
     if len(runs) < width:
@@ -62,24 +75,86 @@ def anchors(hashes: np.ndarray, min_words: int, anchor: int) -> tuple[np.ndarray
     return runs, _slide(np.concatenate([edge, low, edge]), width, np.maximum) == runs
 
 
-def paths(hashes: np.ndarray, min_words: int, prefix: int) -> np.ndarray:
-    """Of each window: 24 bits for its prefix, then 40 for its whole path."""
-    whole = rolling(hashes, min_words, _F)
-    first = rolling(hashes, prefix, _P)[: len(whole)]
-    return (first >> np.uint64(40) << np.uint64(40)) | (whole >> np.uint64(24))
+class _Spread:
+    """Deals the anchors of a task: (key, sure). Of each anchor at most two rows keep its hash as
+    their key; the anchors of the others are sure to repeat, and their keys are spread."""
 
+    def __init__(self):
+        self.known = np.empty(0, np.uint64)
 
-def _later(path: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (path, doc, start), and which of the ordered leaves are not the earliest."""
-    order = np.lexsort((start, doc, path))
-    p, d, s = path[order], doc[order], start[order]
-    new = np.append(True, p[1:] != p[:-1]) if len(p) else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(new, np.arange(len(p)), 0)) if len(p) else np.zeros(0, int)
-    return order, (d != d[head]) | (s != s[head])
+    def __call__(self, runs: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(runs, kind="stable")
+        value = runs[order]
+        new = np.append(True, value[1:] != value[:-1])
+        nth = np.arange(len(value)) - np.maximum.accumulate(np.where(new, np.arange(len(value)), 0))
+        sure = np.empty(len(runs), bool)
+        sure[order] = nth >= 2
+        if len(self.known):
+            sure |= self.known[np.minimum(np.searchsorted(self.known, runs), len(self.known) - 1)] == runs
+        if len(self.known) < KNOWN:
+            self.known = np.union1d(self.known, value[nth == 1])
+        spread = mix(mix(docs.view(np.uint64) * np.uint64(_P)) ^ places.astype(np.uint64))
+        return np.where(sure, spread, runs).view(np.int64), sure
+
+
+def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of anchors sorted by key, those that are sure or share their key with a neighbour."""
+    last, kept = None, False
+    for batch in batches:
+        if last is not None:
+            batch = pd.concat([last, batch], ignore_index=True)
+        key = batch["key"].to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        keep[0] |= kept
+        kept = bool(keep[-1])  # the last row waits for its successor
+        yield batch.iloc[:-1][keep[:-1] | batch["sure"].to_numpy()[:-1]][["doc_id", "place"]]
+        last = batch.iloc[-1:]
+    if last is not None and (kept or last["sure"].iloc[0]):
+        yield last[["doc_id", "place"]]
+
+
+class _Text:
+    """A document's words, joined by one space, and where each begins."""
+
+    def __init__(self, text: bytes):
+        words = text.split()
+        self.words = b" ".join(words)
+        self.begin = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=self.begin[1:])
+
+    def part(self, start: int, stop: int) -> bytes:
+        return self.words[self.begin[start] : self.begin[stop] - 1]
+
+
+def _own_leaves(texts: list[_Text], path: np.ndarray, owner: np.ndarray, start: np.ndarray, rank: np.ndarray, min_words: int) -> np.ndarray:
+    """Which of a task's suffixes repeat an earlier one of its own, word for word.
+
+    ``rank``: the documents' places in the order of their ids. Hashes propose the pairs; the words
+    of pairs that follow one another in both documents are compared in one go."""
+    order = np.lexsort((start, rank[owner], path))
+    p = path[order]
+    new = np.append(True, p[1:] != p[:-1])
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))]
+    late = np.zeros(len(path), bool)
+    first = np.empty(len(path), np.int64)
+    first[order] = head
+    at = np.flatnonzero((rank[owner] != rank[owner[first]]) | (start != start[first]))
+    if not len(at):
+        return late
+    late[at] = True
+    o, s, ho, hs = owner[at], start[at], owner[first[at]], start[first[at]]
+    edge = np.flatnonzero((np.diff(o) != 0) | (np.diff(s) != 1) | (np.diff(ho) != 0) | (np.diff(hs) != 1)) + 1
+    for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(at)]):
+        mine, other, n = texts[o[a]], texts[ho[a]], b - a + min_words - 1
+        if mine.part(s[a], s[a] + n) != other.part(hs[a], hs[a] + n):
+            for i in range(a, b):
+                late[at[i]] = mine.part(s[i], s[i] + min_words) == other.part(hs[i], hs[i] + min_words)
+    return late
 
 
 def _kept(words: list[bytes], starts: np.ndarray, min_words: int) -> tuple[bytes, int]:
-    """The words outside the windows that begin at ``starts``, and how many are inside."""
+    """The words outside the suffixes that begin at ``starts``, and how many are inside."""
     cover = np.zeros(len(words) + 1, np.int32)
     np.add.at(cover, starts, 1)
     np.add.at(cover, np.minimum(starts + min_words, len(words)), -1)
@@ -87,28 +162,127 @@ def _kept(words: list[bytes], starts: np.ndarray, min_words: int) -> tuple[bytes
     return b" ".join([w for w, gone in zip(words, inside) if not gone]), int(inside.sum())
 
 
-def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of leaves in tree order, those that are not the earliest of their node."""
-    head = None
-    for batch in batches:
-        path, doc, start = (batch[c].to_numpy() for c in ("path", "doc_id", "start"))
-        if head is not None:
-            path, doc, start = np.append(head[0], path), np.append(head[1], doc), np.append(head[2], start)
-        new = np.append(True, path[1:] != path[:-1])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(path)), 0))
-        late = (doc != doc[at]) | (start != start[at])
-        yield pd.DataFrame({"doc_id": doc[late], "start": start[late]})
-        head = (path[at[-1]], doc[at[-1]], start[at[-1]])
-
-
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed and kept.
+def subtree(paths: list[bytes], occurrence: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The leaves of a suffix tree in order, and for each whether it hangs on the same deep node as
+    the leaf before it. Leaves of one node are in the order of their occurrences."""
+    early = np.lexsort(occurrence[::-1]).tolist()
+    early.sort(key=paths.__getitem__)
+    ordered = [paths[i] for i in early]
+    joined = np.fromiter((a == b for a, b in zip(ordered[1:], ordered)), bool, max(0, len(paths) - 1))
+    return np.array(early, np.int64), np.append(np.zeros(min(1, len(paths)), bool), joined)
+
+
+def _suffixes(stretches: pd.DataFrame, min_words: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The suffixes of stretches of words: their words, their stretch and their place in it."""
+    paths, owner, place = [], [], []
+    for k, words in enumerate(stretches["words"]):
+        text = _Text(words)
+        n = len(text.begin) - min_words
+        paths += [text.part(i, i + min_words) for i in range(n)]
+        owner.append(np.full(n, k))
+        place.append(np.arange(n))
+    return paths, np.concatenate(owner), np.concatenate(place)
+
+
+def _late_leaves(min_words: int):
+    """Of stretches sorted by group, the suffixes that are not the earliest leaf of their node."""
+
+    def judge(held: pd.DataFrame, whole: bool) -> tuple[pd.DataFrame, pd.DataFrame | None]:
+        paths, owner, place = _suffixes(held, min_words)
+        doc, mark = held["doc_id"].to_numpy()[owner], held["mark"].to_numpy()[owner]
+        start = held["start"].to_numpy()[owner] + place
+        order, joined = subtree(paths, [doc, mark, start])
+        doc, mark, start = doc[order], mark[order], start[order]
+        head = np.maximum.accumulate(np.where(joined, 0, np.arange(len(order))))
+        late = (doc != doc[head]) | (mark != mark[head]) | (start != start[head])
+        out = pd.DataFrame({"doc_id": doc[late], "mark": mark[late], "start": start[late]})
+        if whole:
+            return out, None
+        # the group goes on: its nodes' earliest leaves stay, and no other
+        stay = np.flatnonzero(~joined)
+        return out, pd.DataFrame({"group": held["group"].to_numpy()[owner[order[stay]]], "doc_id": doc[stay], "mark": mark[stay], "start": start[stay], "words": [paths[i] for i in order[stay]]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, len(batch), LEAVES // 8):
+                part = batch.iloc[at : at + LEAVES // 8]
+                held.append(part)
+                size += len(part)
+                if size < LEAVES // 4:
+                    continue
+                rows = pd.concat(held, ignore_index=True)
+                group = rows["group"].to_numpy()
+                ended = int(np.searchsorted(group, group[-1]))  # the last group may go on
+                held, size = [rows.iloc[ended:]], len(rows) - ended
+                if ended:
+                    yield judge(rows.iloc[:ended], True)[0]
+                if size >= LEAVES // 4:
+                    out, stay = judge(held[0], False)
+                    yield out
+                    held, size = [stay], 0  # counts what comes next
+        if held:
+            rows = pd.concat(held, ignore_index=True)
+            if len(rows):
+                yield judge(rows, True)[0]
+
+    return run
+
+
+def _group(stretches: DataFrame, min_words: int, group: int, most: int) -> DataFrame:
+    """Stretches with the group of each: its anchor, or for large groups a prefix that is long enough."""
+    spark, limit = stretches.sparkSession, max(group, stretches.count() // most)
+
+    def large(rows: DataFrame, key: str) -> DataFrame | None:
+        # fewer than ``most`` rows
+        found = [r["g"] for r in rows.groupBy(F.col(key).alias("g")).count().where(F.col("count") > limit).collect()]
+        return F.broadcast(spark.createDataFrame([(g,) for g in found], f"{key} long")) if found else None
+
+    columns = ["group", "doc_id", "mark", "start", "words"]
+    rows = stretches.withColumnRenamed("key", "group")
+    if (heavy := large(rows, "group")) is None:
+        return rows.select(columns)
+    prefixes = [n for n in PREFIXES if n < min_words] + [min_words]
+
+    def unroll(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 5000):
+                part = batch.iloc[at : at + 5000]
+                paths, owner, place = _suffixes(part, min_words)
+                out = {"doc_id": part["doc_id"].to_numpy()[owner], "mark": part["mark"].to_numpy()[owner], "start": part["start"].to_numpy()[owner] + place, "words": paths}
+                # suffixes have min_words words each, so their hashes lie in rows
+                hashes = word_hashes(b" ".join(paths)).reshape(-1, min_words)
+                for n in prefixes:
+                    h = np.full(len(hashes), n, np.uint64)
+                    for j in range(n):
+                        h = mix((h ^ hashes[:, j]) * np.uint64(_P))
+                    out[f"p{n}"] = h.view(np.int64)
+                yield pd.DataFrame(out)
+
+    light, split = rows.join(heavy, "group", "left_anti"), rows.join(heavy, "group", "left_semi")
+    split = cut(split.mapInPandas(unroll, "doc_id long, mark long, start int, words binary, " + ", ".join(f"p{n} long" for n in prefixes)), "split")
+    out = light.select(columns)
+    for n in prefixes:
+        key = f"p{n}"
+        heavy = large(split, key) if n < min_words else None
+        done = split if heavy is None else split.join(heavy, key, "left_anti")
+        out = out.unionByName(done.withColumnRenamed(key, "group").select(columns))
+        if heavy is None:
+            return out
+        split = split.join(heavy, key, "left_semi")
+    return out
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool = False, group: int = GROUP, most: int = MOST_SPLIT) -> DataFrame:
+    """Per document: doc_id, mark (a hash of its text), n_words, n_removed and kept.
 
     ``kept`` is the text of the words left, joined by one space; with ``digest``, its SHA-256.
     Without it, documents that lose nothing have null there: their text stands."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    named = docs.where("doc_id is not null")
 
     def find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        deal = _Spread()
         for batch in batches:
             for part in range(0, len(batch), 1000):
                 keys, owners, places = [], [], []
@@ -121,88 +295,124 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool = False) -
                         owners.append(np.full(len(at), doc, np.int64))
                         places.append(at.astype(np.int32))
                 if keys:
-                    yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc_id": np.concatenate(owners), "place": np.concatenate(places)})
+                    owners, places = np.concatenate(owners), np.concatenate(places)
+                    key, sure = deal(np.concatenate(keys), owners, places)
+                    yield pd.DataFrame({"key": key, "doc_id": owners, "place": places, "sure": sure})
 
     def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in range(0, len(batch), 1000):
                 some = batch.iloc[part : part + 1000]
-                yield pd.DataFrame({"doc_id": some["doc_id"], "z": [pack.compress((t or "").encode()) for t in some["text"]]})
+                yield pd.DataFrame({"doc_id": some["doc_id"], "mark": some["mark"], "z": [pack.compress((t or "").encode()) for t in some["text"]]})
+
+    columns = ["doc_id", "mark", "n_words", "kept", "z", "late", "key", "start", "words"]
+
+    def own(texts: list[_Text], rows: list[list], path: list, key: list, start: list) -> pd.DataFrame | None:
+        """Notes in ``rows`` what their documents repeat of each other; stretches of the other suffixes."""
+        owner = np.concatenate([np.full(len(p), k) for k, p in enumerate(path)])
+        path, key, start = np.concatenate(path), np.concatenate(key), np.concatenate(start)
+        if not len(path):
+            return None
+        ids = sorted({(r[0], r[1]) for r in rows})
+        place = {x: i for i, x in enumerate(ids)}
+        late = _own_leaves(texts, path, owner, start, np.array([place[r[0], r[1]] for r in rows]), min_words)
+        for k, row in enumerate(rows):
+            lo, hi = np.searchsorted(owner, [k, k + 1])
+            row[5] = start[lo:hi][late[lo:hi]].astype("<i4").tobytes()
+        o, s, a = owner[~late], start[~late], key[~late]
+        edge = [0, *(np.flatnonzero((np.diff(o) != 0) | (np.diff(s) != 1) | (a[1:] != a[:-1])) + 1).tolist()]
+        o, s, last, a = o[edge], s[edge], np.append(s[np.array(edge[1:], int) - 1], s[-1:]), a[edge]
+        words = [texts[k].part(i, j + min_words) for k, i, j in zip(o.tolist(), s.tolist(), last.tolist())]
+        found = pd.DataFrame({"doc_id": [rows[k][0] for k in o], "mark": [rows[k][1] for k in o], "n_words": 0, "kept": None, "z": None, "late": None, "key": a.view(np.int64), "start": s, "words": words})
+        return found.astype({"key": "Int64", "start": "Int64"})[columns]
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Finished documents, those with suffixes in trees (and their own late leaves), and
-        one leaf per node for the other tasks."""
+        one leaf per node, in stretches, for the other tasks."""
         unpack = zstandard.ZstdDecompressor()
-        columns = ["doc_id", "n_words", "kept", "z", "late", "path", "start"]
+        width = min_words - ANCHOR + 1
+
+        def table(rows: list) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=columns).astype({"key": "Int64", "start": "Int64"})
+
         for batch in batches:
-            done, open_, path, doc, start = [], [], [], [], []
-            for k, (ident, z, places) in enumerate(zip(batch["doc_id"], batch["z"], batch["places"])):
-                text = unpack.decompress(z)
-                if places is not None:
-                    hashes = word_hashes(text)
-                    runs = rolling(hashes, ANCHOR, _A)
-                    known = np.full(len(runs), _TOP)
-                    known[places] = runs[places]
-                    width = min_words - ANCHOR + 1
-                    at = np.flatnonzero(_slide(known, width, np.minimum) == _slide(runs, width, np.minimum))
-                    path.append(paths(hashes, min_words, PREFIX)[at])
-                    doc.append(np.full(len(at), ident, np.int64))
-                    start.append(at)
-                    open_.append([ident, len(hashes), None, z, None, None, None])
+            done, open_, texts, path, key, start, size = [], [], [], [], [], [], 0
+            for ident, mark, z, places in zip(batch["doc_id"], batch["mark"], batch["z"], batch["places"]):
+                raw = unpack.decompress(z)
+                if places is None:
+                    words = raw.split()
+                    done.append((ident, mark, len(words), hashlib.sha256(b" ".join(words)).hexdigest() if digest else None, *[None] * 5))
+                    continue
+                hashes = word_hashes(raw)
+                runs = rolling(hashes, ANCHOR, _A)
+                known = np.full(len(runs), _TOP)
+                places = places[places < len(runs)]  # another row of this id may be longer
+                known[places] = runs[places]
+                if len(runs) < width:
+                    at, low = np.empty(0, np.int64), runs[:0]
                 else:
-                    words = text.split()
-                    kept = hashlib.sha256(b" ".join(words)).hexdigest() if digest else None
-                    done.append((ident, len(words), kept, None, None, None, None))
-            if path:
-                owner = np.concatenate([np.full(len(p), k) for k, p in enumerate(path)])
-                path, doc, start = np.concatenate(path), np.concatenate(doc), np.concatenate(start)
-                order, late = _later(path, doc, start)
-                mine = np.sort(owner[order[late]] * (1 << 40) + start[order[late]])
-                for k, row in enumerate(open_):
-                    lo, hi = np.searchsorted(mine, [k << 40, (k + 1) << 40])
-                    row[4] = (mine[lo:hi] & ((1 << 40) - 1)).astype("<i4").tobytes()
-                first = order[~late]
-                yield pd.DataFrame({"doc_id": doc[first], "n_words": 0, "kept": None, "z": None, "late": None, "path": path[first].view(np.int64), "start": start[first]})[columns]
-            yield pd.DataFrame([*done, *open_], columns=columns).astype({"path": "Int64", "start": "Int64"})
+                    low = _slide(runs, width, np.minimum)
+                    at = np.flatnonzero(_slide(known, width, np.minimum) == low)
+                texts.append(_Text(raw))
+                path.append(rolling(hashes, min_words, _F)[at])
+                key.append(low[at])
+                start.append(at)
+                open_.append([ident, mark, len(hashes), None, z, b"", None, None, None])
+                size += len(raw)
+                if size >= HELD:
+                    if (found := own(texts, open_, path, key, start)) is not None:
+                        yield found
+                    yield table(open_)
+                    open_, texts, path, key, start, size = [], [], [], [], [], 0
+            if open_:
+                if (found := own(texts, open_, path, key, start)) is not None:
+                    yield found
+            yield table([*done, *open_])
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for ident, z, late, more in zip(batch["doc_id"], batch["z"], batch["late"], batch["starts"]):
+            for ident, mark, z, late, more in zip(batch["doc_id"], batch["mark"], batch["z"], batch["late"], batch["starts"]):
                 words = unpack.decompress(z).split()
                 starts = np.frombuffer(late, "<i4").astype(np.int64)
                 if more is not None:
                     starts = np.append(starts, more)
                 kept, removed = _kept(words, starts, min_words)
-                rows.append((ident, len(words), removed, hashlib.sha256(kept).hexdigest() if digest else kept.decode() if removed else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"])
+                rows.append((ident, mark, len(words), removed, hashlib.sha256(kept).hexdigest() if digest else kept.decode() if removed else None))
+            yield pd.DataFrame(rows, columns=["doc_id", "mark", "n_words", "n_removed", "kept"])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [(t or "").encode().split() for t in batch["text"]]
+            yield pd.DataFrame({"mark": batch["mark"], "n_words": [*map(len, words)], "kept": [hashlib.sha256(b" ".join(w)).hexdigest() if digest else None for w in words]})
 
-    found = docs.mapInPandas(find_anchors, "key long, doc_id long, place int")
-    shared = cut(found.repartition("key").sortWithinPartitions("key").mapInPandas(repeated_keys, found.schema).select("doc_id", "place"), "anchors")
+    found = named.mapInPandas(find_anchors, "key long, doc_id long, place int, sure boolean")
+    shared = cut(found.repartition("key").sortWithinPartitions("key").mapInPandas(_repeated, "doc_id long, place int"), "anchors")
     places = shared.groupBy("doc_id").agg(F.collect_list("place").alias("places"))  # at most a document's length
-    texts = docs.mapInPandas(squeeze, "doc_id long, z binary").join(places, "doc_id", "left")
-    grown = cut(texts.mapInPandas(grow, "doc_id long, n_words long, kept string, z binary, late binary, path long, start long"), "suffixes")
+    texts = named.mapInPandas(squeeze, "doc_id long, mark long, z binary").join(places, "doc_id", "left")
+    grown = cut(texts.mapInPandas(grow, "doc_id long, mark long, n_words long, kept string, z binary, late binary, key long, start int, words binary"), "suffixes")
 
-    suffixes = grown.where("path is not null").select("path", "doc_id", "start").withColumn("prefix", F.shiftrightunsigned("path", 40))
-    sizes = suffixes.groupBy("prefix").agg(F.count("*").alias("n"))
-    heavy = sizes.where(F.col("n") > GROUP).orderBy(F.desc("n"), "prefix").limit(HEAVY_PREFIXES).select("prefix", F.lit(True).alias("heavy"))
-    grouped = suffixes.join(F.broadcast(heavy), "prefix", "left").withColumn("group", F.when(F.col("heavy"), F.col("path")).otherwise(F.col("prefix")))
-    late = grouped.repartition("group").select("path", "doc_id", "start").sortWithinPartitions("path", "doc_id", "start").mapInPandas(_leaves, "doc_id long, start long")
-    starts = late.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))  # at most a document's length
-    open_ = grown.where("z is not null").select("doc_id", "z", "late").join(starts, "doc_id", "left")
-    finished = open_.mapInPandas(finish, "doc_id long, n_words long, n_removed long, kept string")
-    return grown.where("path is null and z is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept").unionByName(finished)
+    grouped = _group(grown.where("words is not null").select("key", "doc_id", "mark", "start", "words"), min_words, group, most)
+    late = grouped.repartition("group").sortWithinPartitions("group").mapInPandas(_late_leaves(min_words), "doc_id long, mark long, start int")
+    starts = late.groupBy("doc_id", "mark").agg(F.collect_list("start").alias("starts"))  # at most a document's length
+    open_ = grown.where("z is not null").select("doc_id", "mark", "z", "late").join(starts, ["doc_id", "mark"], "left")
+    finished = open_.mapInPandas(finish, "doc_id long, mark long, n_words long, n_removed long, kept string")
+    none, zero = F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_removed")
+    unnamed = docs.where("doc_id is null").select("mark", "text").mapInPandas(count, "mark long, n_words long, kept string").select(none, "mark", "n_words", zero, "kept")
+    return grown.where("words is null and z is null").select("doc_id", "mark", "n_words", zero, "kept").unionByName(finished).unionByName(unnamed)
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, all of them, without their repeated words; n_chars follows the new text.
-    Documents that lose nothing keep their text as it is. Ids must be unique here."""
-    changed = repeats(docs, min_words).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept")
-    joined = docs.join(changed.dropDuplicates(["_id"]), F.col("doc_id") == F.col("_id"), "left")
-    text = F.coalesce("kept", "text")
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    Documents that lose nothing keep their text as it is; columns of any name go through."""
+    changed = repeats(docs, min_words).where("n_removed > 0").select(F.struct("doc_id", "mark").alias("who"), "kept").dropDuplicates(["who"])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark")).alias("who"))
+    joined = whole.join(changed, "who", "left")
+    fields = {c: F.col("row")[c] for c in docs.columns}
+    gone = F.col("kept").isNotNull()
+    fields["text"] = F.coalesce("kept", fields["text"])
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(gone, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(fields["n_chars"])
+    return joined.select(*[v.alias(c) for c, v in fields.items()])
