@@ -4,7 +4,8 @@ Each word enters the network as a vector from two inputs: the word itself (a lea
 for words known from training) and its characters (the mean of learned vectors of its known
 four-letter stretches, and the largest of their log-odds). A forward and a backward gated
 recurrent layer run over a window of words, attention pools their states, and one layer gives
-the window's score. A text's score is that of its highest window, mapped to a probability by a
+the window's score. Gates are piecewise linear and states are squashed by x / (1 + |x|), which
+cost a fraction of exponentials. A text's score is that of its highest window, mapped to a probability by a
 logistic fit. A window begins at every word: all overlapping windows
 of the whole text are scored. Long runs without white space are split into words that the
 network reads whole.
@@ -15,15 +16,18 @@ crc32 of the id's text modulo 5 is 0. A quarter of the sample is kept from the w
 fits the final mapping.
 
 Edge cases: a null, empty or all-blank text is one window of one unknown word; repeated rows
-each give a row; language, source and id are never read as inputs; with no usable labels of
-both kinds every text scores 0.
+each give a row; language, source and id are never read as inputs; a row without an id is not
+held out; of several labels of one id the toxic one counts, of several texts the first in order;
+with no usable labels of both kinds every text scores 0.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 #: Words of a window; training picks its windows from every ``STRIDE``-th start, scores take every start.
 WINDOW, STRIDE = 40, 30
 #: Windows computed at a time, and words projected at a time.
-BLOCK, PIECE = 2048, 8192
+BLOCK, PIECE = 4096, 8192
 HIDDEN, DIMS = 8, 8
 GRAM, WORD_CHARS, MAX_GRAMS = 4, 24, 23
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2000, 20_000
@@ -72,16 +76,21 @@ def _parts(run: str) -> list[str]:
 def grams(words: list[str]) -> np.ndarray:
     """(words, MAX_GRAMS) codes of the four-letter stretches of each word with its edges; 0: none."""
     fixed = np.array(["^" + w[: WORD_CHARS - 2] + "$" for w in words], f"U{WORD_CHARS + GRAM - 2}")
-    codes = fixed.view(np.uint32).reshape(len(words), -1).astype(np.uint64) & np.uint64(0xFFFF)
+    codes = fixed.view(np.uint32).reshape(len(words), -1).astype(np.uint64)
     out = np.zeros((len(words), codes.shape[1] - GRAM + 1), np.uint64)
     for j in range(GRAM):
-        out = (out << np.uint64(16)) | codes[:, j : j + out.shape[1]]
+        out = (out + codes[:, j : j + out.shape[1]]) * np.uint64(0x9E3779B97F4A7C15)
     out[codes[:, GRAM - 1 :] == 0] = 0
     return out[:, :MAX_GRAMS]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+def _gate(x: np.ndarray) -> np.ndarray:
+    """Piecewise linear sigmoid: its slope at 0 is the logistic function's."""
+    return np.clip(np.float32(0.25) * x + np.float32(0.5), 0, 1)
+
+
+def _squash(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
 
 
 class Network:
@@ -102,7 +111,7 @@ class Network:
         p = {"word": word, "gram": gram, "x": r.normal(0, d**-0.5, (d, 6 * h)), "b": np.zeros(6 * h), "u0": r.normal(0, h**-0.5, (h, 3 * h)), "u1": r.normal(0, h**-0.5, (h, 3 * h))}
         p |= {"a": r.normal(0, (2 * h) ** -0.5, (2 * h, h)), "v": r.normal(0, h**-0.5, h), "o": r.normal(0, 0.3, 2 * h), "c": np.zeros(1)}
         self.p = {k: w.astype(np.float32) for k, w in p.items()}
-        self.scale = (1.0, 0.0)
+        self.scale, self.token = (1.0, 0.0), uuid.uuid4().hex
 
     # inputs
 
@@ -135,9 +144,9 @@ class Network:
         h, out = np.zeros((n, HIDDEN), np.float32), np.empty((length, n, HIDDEN), np.float32)
         for t in range(length):
             hu = h @ u
-            zr = _sigmoid(px[:, t, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
+            zr = _gate(px[:, t, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            new = np.tanh(px[:, t, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
+            new = _squash(px[:, t, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
             m = mask[:, t, None]
             nxt = h + m * (1 - z) * (new - h)
             if keep is not None:
@@ -151,7 +160,7 @@ class Network:
         fore = self._layer(px[:, :, : 3 * HIDDEN], mask, self.p["u0"], k0)
         back = self._layer(px[:, ::-1, 3 * HIDDEN :], mask[:, ::-1], self.p["u1"], k1)[::-1]
         states = np.concatenate([fore, back], 2)
-        hidden = np.tanh(states @ self.p["a"])
+        hidden = _squash(states @ self.p["a"])
         raw = np.where(mask.T > 0, hidden @ self.p["v"], np.float32(-1e9))
         weight = np.exp(raw - raw.max(0))
         weight /= weight.sum(0)
@@ -166,9 +175,10 @@ class Network:
         for t in range(length - 1, -1, -1):
             h, z, r, new, hun, m = kept[t]
             dh = dh + dout[t]
-            dnew = dh * m * (1 - z) * (1 - new * new)
-            dz = -dh * m * (new - h) * z * (1 - z)
-            dr = dnew * hun * r * (1 - r)
+            # the slope of x / (1 + |x|) is the square of 1 - |its value|
+            dnew = dh * m * (1 - z) * (1 - np.abs(new)) ** 2
+            dz = -dh * m * (new - h) * ((z > 0) & (z < 1)) * np.float32(0.25)
+            dr = dnew * hun * ((r > 0) & (r < 1)) * np.float32(0.25)
             dpx[:, t] = np.concatenate([dz, dr, dnew], 1)
             dhu = np.concatenate([dz, dr, dnew * r], 1)
             du += h.T @ dhu
@@ -184,7 +194,7 @@ class Network:
         dstates = k["weight"][:, :, None] * dpool
         dweight = (dpool * k["states"]).sum(2)
         draw = k["weight"] * (dweight - (k["weight"] * dweight).sum(0))
-        dhid = draw[:, :, None] * self.p["v"] * (1 - k["hidden"] ** 2)
+        dhid = draw[:, :, None] * self.p["v"] * (1 - np.abs(k["hidden"])) ** 2
         g["v"] = np.tensordot(draw, k["hidden"], ((0, 1), (0, 1)))
         g["a"] = np.tensordot(k["states"], dhid, ((0, 1), (0, 1)))
         dstates = dstates + dhid @ self.p["a"].T
@@ -222,7 +232,6 @@ class Network:
 
     # whole texts
 
-    @np.errstate(over="ignore")
     def stream(self, px: np.ndarray) -> np.ndarray:
         """Score of the full window that begins at each word but the last ``WINDOW - 1``; px: projected words.
 
@@ -230,39 +239,38 @@ class Network:
         step t of all of them reads one slice; features come first, and only what the attention
         and the last layer need of a state is kept.
         """
-        h, one = HIDDEN, np.float32(1)
+        h, zero, half, one = HIDDEN, np.float32(0), np.float32(0.5), np.float32(1)
         x = np.ascontiguousarray(px.T)
-        for k in (0, 3 * h):  # sigmoid(a) is 1 / (1 + exp(-a)), tanh(a) is 1 - 2 / (1 + exp(2a)): exp is the fastest of them
-            x[k : k + 2 * h] *= -one
-            x[k + 2 * h : k + 3 * h] *= 2 * one
+        for k in (0, 3 * h):  # what a gate makes of its input, but for the cut at 0 and 1
+            x[k : k + 2 * h] *= np.float32(0.25)
+            x[k : k + 2 * h] += half
         ends = np.concatenate([self.p["a"], self.p["o"][:, None]], 1).T
-        signs = np.repeat(np.array([-1, 2], np.float32), (2 * h, h))[:, None]
+        slopes = np.repeat(np.array([0.25, 1], np.float32), (2 * h, h))[:, None]
         out = np.empty(x.shape[1] - WINDOW + 1, np.float32)
         for at in range(0, len(out), BLOCK):
             n = min(BLOCK, len(out) - at)
             made = np.zeros((WINDOW, h + 1, n), np.float32)
             for k, u in ((0, self.p["u0"]), (1, self.p["u1"])):
-                both = np.ascontiguousarray(np.concatenate([u.T * signs, ends[:, k * h : (k + 1) * h]]))
-                state, mixed, new = np.zeros((h, n), np.float32), np.zeros((4 * h + 1, n), np.float32), np.empty((h, n), np.float32)
+                both = np.ascontiguousarray(np.concatenate([u.T * slopes, ends[:, k * h : (k + 1) * h]]))
+                state, mixed, new, size = np.zeros((h, n), np.float32), np.zeros((4 * h + 1, n), np.float32), np.empty((h, n), np.float32), np.empty((h, n), np.float32)
                 gates, keep, reset, mine, shown = mixed[: 2 * h], mixed[:h], mixed[h : 2 * h], mixed[2 * h : 3 * h], mixed[3 * h :]
                 for t in range(WINDOW - 1, -1, -1) if k else range(WINDOW):
                     now = x[3 * h * k : 3 * h * (k + 1), at + t : at + t + n]
                     gates += now[: 2 * h]
-                    np.exp(gates, gates)
-                    gates += one
-                    np.divide(mine, reset, new)
+                    gates.clip(zero, one, gates)
+                    np.multiply(mine, reset, new)
                     new += now[2 * h :]
-                    np.exp(new, new)
-                    new += one
-                    np.divide(-2 * one, new, new)
-                    new += one
+                    np.abs(new, size)
+                    size += one
+                    new /= size
                     # h + (1 - z)(new - h) is new + z(h - new)
                     state -= new
-                    state /= keep
+                    state *= keep
                     state += new
                     np.matmul(both, state, mixed)
                     made[t] += shown
-            raw = np.matmul(self.p["v"], np.tanh(made[:, :h]))
+            hidden = made[:, :h]
+            raw = np.matmul(self.p["v"], hidden / (one + np.abs(hidden)))
             raw -= raw.max(0)
             np.exp(raw, raw)
             out[at : at + n] = (raw * made[:, h]).sum(0) / raw.sum(0) + self.p["c"][0]
@@ -317,15 +325,18 @@ class Lookup:
         self.row.update(zip(words, range(size, size + len(words))))
 
     def __call__(self, words: list[str]):
-        new = list(dict.fromkeys(w for w in words if w not in self.row))
-        room = max(0, CACHE_LIMIT - len(self.row))
-        self._keep(new[:room])
-        table, row = self.table, self.row
-        if not (rest := new[room:]):
-            rows = np.fromiter(map(row.__getitem__, words), np.int32, len(words))
+        rows = np.fromiter(map(self.row.get, words, repeat(-1)), np.int32, len(words))
+        if len(missing := np.flatnonzero(rows < 0)):
+            asked = [words[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(asked))
+            room = max(0, CACHE_LIMIT - len(self.row))
+            place = dict(zip(new[room:], range(-1, room - len(new) - 1, -1)))
+            self._keep(new[:room])
+            rows[missing] = np.fromiter((place[w] if w in place else self.row[w] for w in asked), np.int32, len(asked))
+        table = self.table
+        if not len(missing) or not place:
             return lambda at: table[rows[at]]
-        more, place = self.network.project(rest), {w: -1 - i for i, w in enumerate(rest)}
-        rows = np.fromiter((row[w] if w in row else place[w] for w in words), np.int32, len(words))
+        more = self.network.project(new[room:])
 
         def take(at: np.ndarray) -> np.ndarray:
             r = rows[at]
@@ -336,6 +347,18 @@ class Lookup:
         return take
 
 
+_LOOKUP: list[Lookup] = []
+
+
+def lookup_of(network: Network | None) -> Lookup | None:
+    """This process's lookup for the network: the tasks that a worker runs in turn share it."""
+    if network is None:
+        return None
+    if not _LOOKUP or _LOOKUP[0].network.token != network.token:
+        _LOOKUP[:] = [Lookup(network)]
+    return _LOOKUP[0]
+
+
 def _log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, least: int, limit: int) -> dict:
     """Log-odds, less 1.5 standard errors, of what occurs in at least ``least`` texts, the strongest ``limit`` of them."""
     odds = {}
@@ -415,11 +438,11 @@ def fit_network(texts: list[str], labels: list[int]) -> Network | None:
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Network | None:
     """Trains on rows that are not held out: a bounded number of each label, chosen by hash."""
-    usable = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    usable = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     chosen = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, max_toxic), (0, max_clean))]
     # at most max_toxic + max_clean ids
     sample = docs.select("doc_id", "text").where(F.length("text") <= MAX_CHARS).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in sample.collect())
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect())
     return fit_network([t for _, t, _ in rows], [k for _, _, k in rows]) if rows else None
 
 
@@ -443,7 +466,7 @@ def score(docs: DataFrame, labels: DataFrame, network: Network | None = None) ->
     network = network or train(docs, labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup = Lookup(network) if network else None
+        lookup = lookup_of(network)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores_of(list(batch["text"]), network, lookup)})
 
@@ -451,7 +474,7 @@ def score(docs: DataFrame, labels: DataFrame, network: Network | None = None) ->
     scored = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double")
     return scored.select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out"),
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )
@@ -464,7 +487,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, network: Network | None = Non
     network = network or train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(network) if network else None
+        lookup = lookup_of(network)
         for batch in batches:
             scores = scores_of(batch.column(batch.schema.get_field_index("text")).to_pylist(), network, lookup)
             yield batch.filter(pa.array(scores < 0.5))
