@@ -1,7 +1,10 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Every round is two aggregations and two joins; each ends in a written table, so a lost executor
-costs one round at most. Nothing is collected but a count and a checksum.
+costs one round at most. The aggregates are written before they are joined: Spark then knows
+their size, broadcasts small ones, and splits the partition of a node with very many edges, which
+it can't do while the aggregate and the join share a stage. Nothing is collected but a count and
+a checksum.
 """
 
 from __future__ import annotations
@@ -14,13 +17,13 @@ from .common import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
@@ -30,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select("u", "v").where("u != v"), "edges")
     before = None
     while True:
-        edges = cut(_small_star(_large_star(edges)), "stars")
+        edges = cut(_small_star(cut(_large_star(edges), "large-star")), "stars")
         state = edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -55,6 +55,8 @@ LARGEST_BOUNDARY = 9
 HUBS = 6
 #: Ids of compared documents fall into so many buckets, which bound what is broadcast.
 ID_BUCKETS = 1 << 19
+#: Sets that a task remembers in order to see equal ones.
+SEEN = 200_000
 
 _SHINGLE, _WHOLE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -118,19 +120,26 @@ def _as_long(x: np.ndarray) -> np.ndarray:
 
 
 def _survey(docs: DataFrame, kind: str, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, f1, f2) of every row, and the sketch's level of each bucket (0: rare)."""
+    """(doc_id, n, f1, f2, own) of every row, and the sketch's level of each bucket (0: rare).
+
+    ``own``: the first document of the row's task that has an equal set, perhaps itself."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        seen: dict = {}
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 s = shingles(text, words)
                 np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).view(np.int64), 1)
-                rows.append((doc, len(s), *fingerprint(s), -1, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "part", "counts"])
+                mark = (len(s), *fingerprint(s))
+                own = seen.get(mark, doc)
+                if own is doc and len(seen) < SEEN:
+                    seen[mark] = doc
+                rows.append((doc, *mark, own, -1, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "own", "part", "counts"])
         for part, some in enumerate(np.split(counts, SKETCH_PARTS)):
-            yield pd.DataFrame({"doc_id": [None], "n": [0], "f1": [0], "f2": [0], "part": [part], "counts": [np.minimum(some, 255).astype("<u1").tobytes()]}).astype({"doc_id": object})
+            yield pd.DataFrame({"doc_id": [None], "n": [0], "f1": [0], "f2": [0], "own": [None], "part": [part], "counts": [np.minimum(some, 255).astype("<u1").tobytes()]}).astype({"doc_id": object, "own": object})
 
     size, kind_of = (1 << SKETCH_BITS) // SKETCH_PARTS, {1: "<u1", 4: "<u4"}  # of tasks, of sums
 
@@ -138,19 +147,29 @@ def _survey(docs: DataFrame, kind: str, words: int) -> tuple[DataFrame, np.ndarr
         total = sum(np.frombuffer(c, kind_of[len(c) // size]).astype(np.int64) for c in parts["counts"])
         return pd.DataFrame({"part": parts["part"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
 
-    scanned = cut(docs.mapInPandas(scan, f"doc_id {kind}, n long, f1 long, f2 long, part int, counts binary"), "survey")
+    scanned = cut(docs.mapInPandas(scan, f"doc_id {kind}, n long, f1 long, f2 long, own {kind}, part int, counts binary"), "survey")
+    rows_of = scanned.where("part < 0").select("doc_id", "n", "f1", "f2", "own")
     sketches = scanned.where("part >= 0").select("part", "counts")
     # summed in two steps, so that no task reads the sketches of all tasks
     some = sketches.withColumn("s", F.floor(F.rand(1) * 16)).groupBy("part", "s").applyInPandas(add, "part int, counts binary")
     rows = some.groupBy("part").applyInPandas(add, "part int, counts binary").orderBy("part").collect()
     if not rows:
-        return scanned.where("part < 0").select("doc_id", "n", "f1", "f2"), np.zeros(1 << SKETCH_BITS, np.uint8)
+        return rows_of, np.zeros(1 << SKETCH_BITS, np.uint8)
     counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]).astype(np.float32)
     usual = float(np.median(counts))
     counts -= usual
     counts /= 2.5 * math.sqrt(usual + 1)
     level = np.clip(counts, 0, 255, out=counts).astype(np.uint8)
-    return scanned.where("part < 0").select("doc_id", "n", "f1", "f2"), level
+    return rows_of, level
+
+
+def _classes(survey: DataFrame) -> DataFrame:
+    """(doc_id, n, rep): of equal sets the smallest id is the class. A set that a third of all
+    documents hold is joined once a task, not once a document."""
+    equal = survey.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
+    heads = survey.where("n > 0 and own = doc_id").select("own", "f1", "f2", "n").dropDuplicates(["own", "f1", "f2", "n"])
+    named = cut(heads.join(equal, ["f1", "f2", "n"]).select("own", "f1", "f2", "n", "rep"), "heads")
+    return survey.join(named, ["own", "f1", "f2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
 
 
 def _keys(s: np.ndarray, level: np.ndarray, boundary: int, num: int, den: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -183,7 +202,7 @@ def _postings(docs: DataFrame, kind: str, words: int, level: np.ndarray, boundar
                     mark = (len(s), *fingerprint(s))
                     if not len(s) or mark in seen:
                         continue
-                    if len(seen) < 200_000:
+                    if len(seen) < SEEN:
                         seen.add(mark)
                     for k, place in _keys(s, level, boundary, num, den):
                         keys.append(k)
@@ -235,8 +254,7 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     survey, level = _survey(docs, kind, words)
     boundary = choose_boundary({r["n"]: r["count"] for r in survey.where(F.col("n").between(1, 2 * LARGEST_BOUNDARY)).groupBy("n").count().collect()}, num, den)
 
-    equal = survey.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = cut(survey.join(equal, ["f1", "f2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    classes = cut(_classes(survey), "classes")
 
     posted = _postings(docs, kind, words, level, boundary, num, den)
     repeated = cut(posted.repartition("key").sortWithinPartitions("key").mapInPandas(repeated_keys, posted.schema), "lists")
