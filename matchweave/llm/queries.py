@@ -40,7 +40,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(table(spark, sf_dir, "pages"))
+    return warc.archive(table(spark, sf_dir, "pages")).drop("urlkey", "timestamp")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,10 +96,19 @@ m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 
+# Forty bits of the digest are eight letters.
+WARC = """WITH d AS (SELECT page_id, sha1(coalesce(html, '')) AS x, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+f AS (SELECT x, payload_bytes, min(page_id) AS first FROM d GROUP BY ALL),
+k AS (SELECT *, coalesce(page_id > first, false) AS again FROM d JOIN f USING (x, payload_bytes))
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(1 + 10 * (i // 8) AS INTEGER), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM k"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The exact operators that SQL can express; the others are tested against brute force."""
     return {
         "op5_substring_dedup": SUBSTRING_DEDUP,
         "op7_topk": TOP_K,
+        "op8_warc": WARC,
         "op9_ngram_join": NGRAM_JOIN,
     }

@@ -6,11 +6,15 @@ the others are revisits that refer to it. Records are written by Spark's text wr
 line separator is the blank line that ends a WARC record; so archives go to any file system
 that Spark reaches.
 
-Reading: each archive is parsed record by record; response payloads are digested again and
-must match. Its captures, sorted by URL key, timestamp and id, form one run. All runs are
-range-partitioned by that key, and in each range a loser tree merges its k runs: the ranges
-in order are the whole capture history in order. A URL with very many captures is split over
-ranges by timestamp and id.
+Only payloads that occur twice are looked up; their list is written before it is joined, so that
+Spark broadcasts a small one and splits the partition of a payload that very many pages have.
+
+Reading: each archive is inflated and parsed record by record, so a task holds an archive's
+compressed bytes, one record and the entries of its captures; response payloads are digested
+again and must match. Its captures, sorted by URL key, timestamp and id, form one run. All runs
+are range-partitioned by that key, in ranges of about ``RANGE_ROWS`` captures, and in each range a
+loser tree merges its k runs: the ranges in order are the whole capture history in order. A URL
+with very many captures is split over ranges by timestamp and id.
 
 Edge cases: null html is an empty payload; a null url is written as an empty one; a row
 without page_id is always a response; rows that repeat a page_id and payload are the same kind
@@ -22,9 +26,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +40,10 @@ from .common import cut, shared_dir
 
 #: Pages carry no capture time; without one given, page n was captured n seconds after this.
 EPOCH = 1_704_067_200
-RECORDS_PER_ARCHIVE = 20_000
+#: An archive holds so many records at most, fewer where pages are long: about ``ARCHIVE_BYTES`` in all.
+RECORDS_PER_ARCHIVE, ARCHIVE_BYTES = 20_000, 1 << 28
+#: Captures that one task merges, about.
+RANGE_ROWS = 500_000
 
 _CRLF = "\r\n"
 _ENTRY = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, urlkey string, timestamp string, run string, seq long"
@@ -65,8 +74,8 @@ def records(pages: DataFrame, min_bytes: int = 0, captured: Column | None = None
         F.coalesce("html", F.lit("")).alias("payload"),
         (captured if captured is not None else F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0)))).alias("at"),
     ).withColumns({"sha": F.sha1(F.encode("payload", "utf-8")), "size": F.octet_length("payload").cast("long")})
-    first = page.groupBy("sha", "size").agg(F.min("page_id").alias("first"))
-    known = page.join(first, ["sha", "size"])
+    first = page.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    known = page.join(cut(first, "payloads"), ["sha", "size"], "left")
     revisit = (F.col("size") >= min_bytes) & (F.col("page_id") > F.col("first"))
     known = known.withColumn("revisit", F.coalesce(revisit, F.lit(False)))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("size"), F.lit(_CRLF * 2))
@@ -87,23 +96,25 @@ def records(pages: DataFrame, min_bytes: int = 0, captured: Column | None = None
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0, captured: Column | None = None) -> None:
-    records(pages, min_bytes, captured).select("record").write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
+    usual = pages.select(F.avg(F.octet_length("html"))).first()[0] or 0
+    most = max(1, min(RECORDS_PER_ARCHIVE, int(ARCHIVE_BYTES / (usual + 500))))
+    records(pages, min_bytes, captured).select("record").write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
-    """(WARC fields, HTTP fields, payload) of each record of an archive."""
+def parse(archive: BinaryIO) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
+    """(WARC fields, HTTP fields, payload) of each record of an archive, one after another."""
 
-    def fields(raw: bytes) -> dict[str, str]:
-        return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in raw.decode("utf-8").split(_CRLF)[1:])}
+    def fields(lines: list[bytes]) -> dict[str, str]:
+        return {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8").partition(":") for x in lines)}
 
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        warc = fields(data[at:end])
-        block = data[end + 4 : end + 4 + int(warc["content-length"])]
-        head, _, payload = block.partition(b"\r\n\r\n")
-        yield warc, fields(head), payload
-        at = end + 4 + len(block) + 4
+    while archive.readline():  # the version
+        lines = []
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            lines.append(line)
+        warc = fields(lines)
+        head, _, payload = archive.read(int(warc["content-length"])).partition(b"\r\n\r\n")
+        yield warc, fields(head.split(b"\r\n")[1:]), payload
+        archive.read(4)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -117,7 +128,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 found = []
-                for warc, http, payload in parse(gzip.decompress(content)):
+                for warc, http, payload in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)), 1 << 20)):
                     digest = warc["warc-payload-digest"].removeprefix("sha1:")
                     if warc["warc-type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                         raise ValueError(f"{name}: payload of {warc['warc-record-id']} does not match its digest")
@@ -187,7 +198,7 @@ def merge(captures: DataFrame) -> DataFrame:
         yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "seq": "int64"})
 
     runs = cut(captures, "runs")
-    return runs.repartitionByRange("urlkey", "timestamp", "page_id").sortWithinPartitions("run", "seq").mapInPandas(run, _ENTRY)
+    return runs.repartitionByRange(max(1, -(-runs.count() // RANGE_ROWS)), "urlkey", "timestamp", "page_id").sortWithinPartitions("run", "seq").mapInPandas(run, _ENTRY)
 
 
 def archive(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:
