@@ -1,10 +1,11 @@
 """Secret scans: three fixed rules, and a character convolutional network over candidates.
 
-The fixed rules always report. The network looks at every further candidate (a stretch of at
-least ``MIN_CANDIDATE`` token characters with a letter and a digit, outside the rules' spans)
-together with the text around it, in overlapping pictures of ``INSIDE`` characters; a candidate
-is reported whole if one of them is. It is trained in numpy on labelled findings: generated secrets of common shapes and
-generated look-alikes, each set into surroundings taken from a bounded sample of the texts. A
+The fixed rules always report. The network looks at every further candidate (any stretch of at
+least ``MIN_CANDIDATE`` token characters outside the rules' spans, which is as short as a fixed
+rule's shortest secret) together with the text around it, in overlapping pictures of ``INSIDE``
+characters; a candidate is reported whole if one of them is. It is trained in numpy on labelled
+findings: generated secrets of common shapes, and look-alikes that are generated or are the
+sample's own long words, each set into surroundings taken from a bounded sample of the texts. A
 held-back part of the findings calibrates the score (a logistic fit) and sets the threshold:
 the highest one that still finds ``RECALL`` of the held-back secrets.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import hash_sample
 
 KINDS = ("assign", "access", "hex", "learned")
-MIN_CANDIDATE = 16
+MIN_CANDIDATE = 12
 RECALL = 0.98
 #: Texts whose words surround the generated findings in training.
 SAMPLE_TEXTS = 200
@@ -45,7 +46,7 @@ _MIN_ASSIGN, _MIN_ACCESS = 12, 18
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_CANDIDATE)
 _LEAD = re.compile("[=/]")
-_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+_PLAIN = re.compile("[A-Za-z]{%d,}" % MIN_CANDIDATE)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -67,9 +68,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
         if len(word) < MIN_CANDIDATE:
             continue
         at = text.index(word, at)
-        for m in _CANDIDATE.finditer(word):
-            if _DIGIT.search(m[0]) and _LETTER.search(m[0]):
-                out.append((at + m.start(), at + m.end()))
+        out += [(at + m.start(), at + m.end()) for m in _CANDIDATE.finditer(word)]
         at += len(word)
     return out
 
@@ -98,7 +97,7 @@ def outside(text: str, start: int, end: int, spans: list[tuple[int, int, int]])
     out, at = [], start
     for s, _, e in [*spans, (end, 0, end)]:
         to = min(s, end)
-        if to - at >= MIN_CANDIDATE and _DIGIT.search(text, at, to) and _LETTER.search(text, at, to):
+        if to - at >= MIN_CANDIDATE:
             out.append((at, to))
         at = max(at, e)
         if at >= end:
@@ -188,6 +187,7 @@ def labelled_findings(texts: list[str], n: int, seed: int = 11) -> tuple[np.ndar
     """Generated secrets (1) and look-alikes (0) among words of the sampled texts."""
     r = random.Random(seed)
     words = [w for t in texts for w in t.split()[:400]] or ["the", "of", "and"]
+    long = [m[0] for w in words for m in _PLAIN.finditer(w)]
     alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
 
     def run(letters: str, low: int, high: int) -> str:
@@ -197,7 +197,7 @@ def labelled_findings(texts: list[str], n: int, seed: int = 11) -> tuple[np.ndar
         return re.sub("[^A-Za-z]", "", r.choice(words)) or "word"
 
     def secret() -> tuple[str, str]:
-        kind = r.randrange(8)
+        kind = r.randrange(10)
         lead = r.choice(["", "", "Authorization: Bearer ", "key=", "auth: ", "credential = ", "client id ", "pwd: ", "export KEY="])
         if kind == 0:
             return lead, r.choice(["ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "rk_live_", "sk-", "npm_", "hf_"]) + run(alnum, 20, 40)
@@ -214,10 +214,21 @@ def labelled_findings(texts: list[str], n: int, seed: int = 11) -> tuple[np.ndar
             return lead, run(hexa, 32, 64)
         if kind == 6:
             return "", f"{r.choice(['postgres', 'mysql', 'amqp'])}-{run(alnum, 18, 30)}"
-        return lead, run(string.ascii_uppercase + string.digits, 20, 32)
+        if kind == 7:
+            return lead, run(string.ascii_uppercase + string.digits, 20, 32)
+        if kind == 8:  # no digit
+            return lead, run(string.ascii_letters, 16, 40)
+        return lead, run(alnum + "+/_-", 12, 19)
 
     def lookalike() -> tuple[str, str]:
-        kind = r.randrange(10)
+        kind = r.randrange(20)
+        if kind >= 12:  # what most candidates are
+            word = r.choice(long) if long else "".join(plain().lower() for _ in range(MIN_CANDIDATE))[:18]
+            return "", r.choice([word, word.upper(), word.capitalize()]) + r.choice(["", "", ".", "-", "="])
+        if kind == 10:
+            return "", run(string.digits, 12, 22)
+        if kind == 11:
+            return "", "".join(plain().lower() + r.choice(["", "", ".", "-", "_"]) for _ in range(3)).ljust(MIN_CANDIDATE, "e")
         if kind == 0:
             return r.choice(["https://", "www.", "http://", ""]), f"{plain().lower()}.example.com/{plain().lower()}/{r.randrange(9999)}/{plain().lower()}"
         if kind == 1:
@@ -260,7 +271,7 @@ def labelled_findings(texts: list[str], n: int, seed: int = 11) -> tuple[np.ndar
     return np.array(xs), np.array(ys, np.float32)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_TEXTS, findings: int = 6000, recall: float = RECALL) -> tuple[Network, float]:
+def train(docs: DataFrame, sample: int = SAMPLE_TEXTS, findings: int = 10_000, recall: float = RECALL) -> tuple[Network, float]:
     """A network and its threshold; surroundings come from about ``sample`` texts chosen by hash."""
     texts = hash_sample(docs.select("doc_id", "text"), "doc_id", sample).where(F.length("text").between(20, 20_000))
     x, y = labelled_findings(sorted(r["text"] for r in texts.collect()), findings)
