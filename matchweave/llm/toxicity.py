@@ -3,12 +3,14 @@
 Each word enters the network as a vector from two inputs: the word itself (a learned vector
 for words known from training) and its characters (the mean of learned vectors of its known
 four-letter stretches, and the largest of their log-odds). A forward and a backward gated
-recurrent layer run over a window of words, attention pools their states, and one layer gives
-the window's score. Gates are piecewise linear and states are squashed by x / (1 + |x|), which
-cost a fraction of exponentials. A text's score is that of its highest window, mapped to a probability by a
-logistic fit. A window begins at every word: all overlapping windows
-of the whole text are scored. Long runs without white space are split into words that the
-network reads whole.
+recurrent layer run over the words, attention pools their states over a window of ``WINDOW``
+words, and one layer gives the window's score. Gates are piecewise linear and states are squashed
+by x / (1 + |x|), which cost a fraction of exponentials. A text's score is that of its highest
+window, mapped to a probability by a logistic fit. A window begins at every word: all overlapping
+windows of the whole text are scored. They share the layers' states, which run over stretches of
+``STRETCH`` words and ``CONTEXT`` more on either side, so a window's sums of weights and weighted
+states are differences of running sums. Long runs without white space are split into words that
+the network reads whole.
 
 Training is plain numpy on a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_CLEAN``
 rows, chosen by hash, of at most ``MAX_CHARS`` characters) that never includes held-out rows:
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 
 #: Words of a window; training picks its windows from every ``STRIDE``-th start, scores take every start.
 WINDOW, STRIDE = 40, 30
-#: Windows computed at a time, and words projected at a time.
-BLOCK, PIECE = 4096, 8192
+#: Words of a stretch, the words around it that its states begin from, and stretches computed at a time.
+STRETCH, CONTEXT, BLOCK = 256, 16, 512
 HIDDEN, DIMS = 8, 8
 GRAM, WORD_CHARS, MAX_GRAMS = 4, 24, 23
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2000, 20_000
@@ -154,14 +156,15 @@ class Network:
             h = out[t] = nxt
         return out
 
-    def forward(self, px: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Score (before the logistic) of each window; px: projected words, mask: 1 where a word is."""
+    def forward(self, px: np.ndarray, mask: np.ndarray, pool: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Score (before the logistic) of each window; px: projected words of it and around it, mask: 1
+        where a word is, pool: 1 where a word of the window is."""
         k0, k1 = ([], []) if keep is not None else (None, None)
         fore = self._layer(px[:, :, : 3 * HIDDEN], mask, self.p["u0"], k0)
         back = self._layer(px[:, ::-1, 3 * HIDDEN :], mask[:, ::-1], self.p["u1"], k1)[::-1]
         states = np.concatenate([fore, back], 2)
         hidden = _squash(states @ self.p["a"])
-        raw = np.where(mask.T > 0, hidden @ self.p["v"], np.float32(-1e9))
+        raw = np.where(pool.T > 0, hidden @ self.p["v"], np.float32(-1e9))
         weight = np.exp(raw - raw.max(0))
         weight /= weight.sum(0)
         pooled = (weight[:, :, None] * states).sum(0)
@@ -185,9 +188,9 @@ class Network:
             dh = dh * (1 - m * (1 - z)) + dhu @ u.T
         return dpx
 
-    def gradients(self, px: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    def gradients(self, px: np.ndarray, mask: np.ndarray, pool: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
         k: dict = {}
-        logit = self.forward(px, mask, k)
+        logit = self.forward(px, mask, pool, k)
         d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y).astype(np.float32) / len(y)
         g = {"o": k["pooled"].T @ d, "c": np.array([d.sum()], np.float32), "u0": np.zeros_like(self.p["u0"]), "u1": np.zeros_like(self.p["u1"])}
         dpool = np.outer(d, self.p["o"])
@@ -202,7 +205,7 @@ class Network:
         d1 = self._layer_back(k["k1"], dstates[::-1, :, HIDDEN:], self.p["u1"], g["u1"])[:, ::-1]
         return g, np.concatenate([d0, d1], 2), logit
 
-    def fit(self, vocabulary: list[str], rows: np.ndarray, mask: np.ndarray, y: np.ndarray, epochs: int, batch: int = 128, rate: float = 5e-3, seed: int = 1) -> None:
+    def fit(self, vocabulary: list[str], rows: np.ndarray, mask: np.ndarray, pool: np.ndarray, y: np.ndarray, epochs: int, batch: int = 128, rate: float = 5e-3, seed: int = 1) -> None:
         """Adam over windows given as rows of ``vocabulary``."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(w) for k, w in self.p.items()}
@@ -215,7 +218,7 @@ class Network:
                 used, local = np.unique(rows[take], return_inverse=True)
                 local = local.reshape(rows[take].shape)
                 x, word_rows, parts, share = self.inputs([vocabulary[j] for j in used])
-                g, dpx, _ = self.gradients((x @ self.p["x"] + self.p["b"])[local], mask[take], y[take])
+                g, dpx, _ = self.gradients((x @ self.p["x"] + self.p["b"])[local], mask[take], pool[take], y[take])
                 per_word = np.zeros((len(used), 6 * HIDDEN), np.float32)
                 np.add.at(per_word, local, dpx * mask[take][:, :, None])
                 g["x"], g["b"] = x.T @ per_word, per_word.sum(0)
@@ -232,79 +235,72 @@ class Network:
 
     # whole texts
 
-    def stream(self, px: np.ndarray) -> np.ndarray:
-        """Score of the full window that begins at each word but the last ``WINDOW - 1``; px: projected words.
-
-        What ``forward`` gives without a mask. Neighbouring windows take neighbouring inputs, so
-        step t of all of them reads one slice; features come first, and only what the attention
-        and the last layer need of a state is kept.
-        """
-        h, zero, half, one = HIDDEN, np.float32(0), np.float32(0.5), np.float32(1)
-        x = np.ascontiguousarray(px.T)
-        for k in (0, 3 * h):  # what a gate makes of its input, but for the cut at 0 and 1
-            x[k : k + 2 * h] *= np.float32(0.25)
-            x[k : k + 2 * h] += half
-        ends = np.concatenate([self.p["a"], self.p["o"][:, None]], 1).T
-        slopes = np.repeat(np.array([0.25, 1], np.float32), (2 * h, h))[:, None]
-        out = np.empty(x.shape[1] - WINDOW + 1, np.float32)
-        for at in range(0, len(out), BLOCK):
-            n = min(BLOCK, len(out) - at)
-            made = np.zeros((WINDOW, h + 1, n), np.float32)
-            for k, u in ((0, self.p["u0"]), (1, self.p["u1"])):
-                both = np.ascontiguousarray(np.concatenate([u.T * slopes, ends[:, k * h : (k + 1) * h]]))
-                state, mixed, new, size = np.zeros((h, n), np.float32), np.zeros((4 * h + 1, n), np.float32), np.empty((h, n), np.float32), np.empty((h, n), np.float32)
-                gates, keep, reset, mine, shown = mixed[: 2 * h], mixed[:h], mixed[h : 2 * h], mixed[2 * h : 3 * h], mixed[3 * h :]
-                for t in range(WINDOW - 1, -1, -1) if k else range(WINDOW):
-                    now = x[3 * h * k : 3 * h * (k + 1), at + t : at + t + n]
-                    gates += now[: 2 * h]
-                    gates.clip(zero, one, gates)
-                    np.multiply(mine, reset, new)
-                    new += now[2 * h :]
-                    np.abs(new, size)
-                    size += one
-                    new /= size
-                    # h + (1 - z)(new - h) is new + z(h - new)
-                    state -= new
-                    state *= keep
-                    state += new
-                    np.matmul(both, state, mixed)
-                    made[t] += shown
-            hidden = made[:, :h]
-            raw = np.matmul(self.p["v"], hidden / (one + np.abs(hidden)))
-            raw -= raw.max(0)
-            np.exp(raw, raw)
-            out[at : at + n] = (raw * made[:, h]).sum(0) / raw.sum(0) + self.p["c"][0]
+    def _run(self, x: np.ndarray, u: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """What the attention and the last layer take of a layer's states; x: (steps, 3 * HIDDEN, stretches)."""
+        h, zero, one = HIDDEN, np.float32(0), np.float32(1)
+        steps, _, n = x.shape
+        both = np.ascontiguousarray(np.concatenate([u.T * np.repeat(np.array([0.25, 1], np.float32), (2 * h, h))[:, None], ends]))
+        state, mixed, new, size = np.zeros((h, n), np.float32), np.zeros((4 * h + 1, n), np.float32), np.empty((h, n), np.float32), np.empty((h, n), np.float32)
+        gates, keep, reset, mine, shown = mixed[: 2 * h], mixed[:h], mixed[h : 2 * h], mixed[2 * h : 3 * h], mixed[3 * h :]
+        out = np.empty((steps, h + 1, n), np.float32)
+        for t in range(steps):
+            gates += x[t, : 2 * h]
+            gates.clip(zero, one, gates)
+            np.multiply(mine, reset, new)
+            new += x[t, 2 * h :]
+            np.abs(new, size)
+            size += one
+            new /= size
+            # h + (1 - z)(new - h) is new + z(h - new)
+            state -= new
+            state *= keep
+            state += new
+            np.matmul(both, state, mixed)
+            out[t] = shown
         return out
 
+    def states(self, sizes: np.ndarray, rows) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word of texts that lie one after another: its weight in a window, and its part of the score.
+
+        ``rows``: projected words by place. A layer runs over each stretch from ``CONTEXT`` words
+        before it, or from the text's edge; stretches of like length are computed together."""
+        h, starts = HIDDEN, np.cumsum([0, *sizes])
+        made = np.zeros((starts[-1], h + 1), np.float32)
+        counts = -(-sizes // STRETCH)
+        text = np.repeat(np.arange(len(sizes)), counts)
+        first = starts[text] + STRETCH * (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts))
+        last = np.minimum(first + STRETCH, starts[text + 1])
+        low, high = np.maximum(first - CONTEXT, starts[text]), np.minimum(last + CONTEXT, starts[text + 1])
+        ends = np.concatenate([self.p["a"], self.p["o"][:, None]], 1).T
+        order = np.argsort(last - first, kind="stable")
+        for at in range(0, len(order), BLOCK):
+            k = order[at : at + BLOCK]
+            for d, u in enumerate((self.p["u0"], self.p["u1"])):
+                # steps go up to the stretch's end, or down to its begin
+                steps = np.arange((high[k] - first[k] if d else last[k] - low[k]).max())[:, None]
+                place = np.maximum(high[k] - 1 - steps, low[k]) if d else np.minimum(low[k] + steps, high[k] - 1)
+                x = np.ascontiguousarray(rows(place)[:, :, 3 * h * d : 3 * h * (d + 1)].transpose(0, 2, 1))
+                x[:, : 2 * h] *= np.float32(0.25)
+                x[:, : 2 * h] += np.float32(0.5)
+                shown = self._run(x, u, ends[:, d * h : (d + 1) * h]).transpose(0, 2, 1)
+                mine = (place >= first[k]) & (place < last[k]) & (steps < high[k] - low[k])
+                made[place[mine]] += shown[mine]
+        raw = _squash(made[:, :h]) @ self.p["v"]
+        return np.exp(raw.astype(float)), made[:, h].astype(float)
+
     def highest(self, texts: list[list[str]], lookup) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: the score of its highest window and where that window begins; a window begins at every word."""
-        rows = lookup([w for t in texts for w in t])
         sizes = np.array([*map(len, texts)])
         starts = np.cumsum([0, *sizes])
-        best, begin = np.empty(len(texts), np.float32), np.zeros(len(texts), np.int64)
-        short = np.flatnonzero(sizes < WINDOW)
-        steps = np.arange(WINDOW)
-        for i in range(0, len(short), 2048):
-            part = short[i : i + 2048]
-            mask = steps < sizes[part, None]
-            best[part] = self.forward(rows(np.where(mask, starts[part, None] + steps, 0)), mask.astype(np.float32))
-        long = np.flatnonzero(sizes >= WINDOW)
-        i = 0
-        while i < len(long):  # texts one after another, a long one in pieces
-            group, size = [], 0
-            while i < len(long) and (not group or size + sizes[long[i]] <= PIECE):
-                group.append(long[i])
-                size += sizes[long[i]]
-                i += 1
-            place = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in group]) if len(group) > 1 else np.arange(starts[group[0]], starts[group[0] + 1])
-            logit = np.concatenate([self.stream(rows(place[j : j + PIECE + WINDOW - 1])) for j in range(0, size - WINDOW + 1, PIECE)])
-            at = 0
-            for k in group:
-                own = logit[at : at + sizes[k] - WINDOW + 1]
-                begin[k] = own.argmax()
-                best[k] = own[begin[k]]
-                at += sizes[k]
-        return best, begin
+        weight, part = self.states(sizes, lookup([w for t in texts for w in t]))
+        above, below = np.append(0, np.cumsum(weight * part)), np.append(0, np.cumsum(weight))
+        end = np.minimum(np.arange(starts[-1]) + WINDOW, np.repeat(starts[1:], sizes))
+        score = (above[end] - above[:-1]) / (below[end] - below[:-1]) + float(self.p["c"][0])
+        # the windows that the text's end would cut are none, but for a text that is shorter than one
+        whole = np.repeat(starts[:-1] + np.maximum(0, sizes - WINDOW), sizes)
+        score[np.arange(starts[-1]) > whole] = -np.inf
+        begin = np.array([int(score[a:b].argmax()) for a, b in zip(starts, starts[1:])], np.int64)
+        return score[starts[:-1] + begin], begin
 
     def probability(self, logit: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * logit.astype(float) + self.scale[1], -50, 50)))
@@ -406,13 +402,17 @@ def fit_network(texts: list[str], labels: list[int]) -> Network | None:
         top = starts[np.argsort(value)[::-1][:2]].tolist()
         return top if y[k] else [*top, int(r.choice(starts))]
 
-    def gather(pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows, mask = np.zeros((len(pairs), WINDOW), np.int32), np.zeros((len(pairs), WINDOW), np.float32)
+    def gather(pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        width = WINDOW + 2 * CONTEXT
+        rows, mask, pool = np.zeros((len(pairs), width), np.int32), np.zeros((len(pairs), width), np.float32), np.zeros((len(pairs), width), np.float32)
         for i, (k, s) in enumerate(pairs):
-            part = docs[k][s : s + WINDOW]
-            rows[i, : len(part)] = [at[w] for w in part]
-            mask[i, : len(part)] = 1
-        return rows, mask, y[[k for k, _ in pairs]]
+            before = min(s, CONTEXT)
+            part = docs[k][s - before : s + WINDOW + CONTEXT]
+            at_ = CONTEXT - before
+            rows[i, at_ : at_ + len(part)] = [at[w] for w in part]
+            mask[i, at_ : at_ + len(part)] = 1
+            pool[i, CONTEXT : CONTEXT + min(WINDOW, len(docs[k]) - s)] = 1
+        return rows, mask, pool, y[[k for k, _ in pairs]]
 
     train = np.flatnonzero(~held)
     pairs = [(k, s) for k in train for s in windows(k)]

@@ -105,13 +105,14 @@ def test_toxicity_gradients():
     net = toxicity.Network({"a": 1.0, "b": -1.0}, {int(g): 0.5 for g in toxicity.grams(["abc", "bcd"]).ravel() if g})
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     r = np.random.default_rng(0)
-    px, mask, y = r.normal(0, 1, (3, 5, 6 * toxicity.HIDDEN)), np.array([[1, 1, 1, 1, 1], [1, 1, 1, 0, 0], [1, 0, 0, 0, 0]], float), np.array([1.0, 0, 1])
+    px, mask, y = r.normal(0, 1, (3, 5, 6 * toxicity.HIDDEN)), np.array([[1, 1, 1, 1, 1], [1, 1, 1, 0, 0], [0, 1, 0, 0, 0]], float), np.array([1.0, 0, 1])
+    pool = np.array([[0, 1, 1, 1, 0], [0, 1, 1, 0, 0], [0, 1, 0, 0, 0]], float)
 
     def loss() -> float:
-        z = net.forward(px, mask).astype(float)
+        z = net.forward(px, mask, pool).astype(float)
         return float(np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)))
 
-    g, _, _ = net.gradients(px, mask, y)
+    g, _, _ = net.gradients(px, mask, pool, y)
     for name in ("u0", "u1", "a", "v", "o"):
         at = np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape)
         keep = net.p[name][at]
@@ -145,17 +146,35 @@ def test_toxicity_reads_long_runs_whole():
 
 
 def test_toxicity_scores_every_window(monkeypatch):
-    monkeypatch.setattr(toxicity, "BLOCK", 64)
-    monkeypatch.setattr(toxicity, "PIECE", 300)
+    """Against a plain loop over windows: each word's states run over its own stretch and what is around it."""
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    monkeypatch.setattr(toxicity, "STRETCH", 64)
     r = random.Random(4)
     words = [f"w{i}" for i in range(50)]
     net = toxicity.Network({w: r.uniform(-3, 3) for w in words}, {int(g): r.uniform(-2, 2) for g in toxicity.grams(words).ravel() if g})
-    texts = [[r.choice(words) for _ in range(n)] for n in (1, 39, 40, 41, 75, 300, 339, 340, 700, 5)]
+    texts = [[r.choice(words) for _ in range(n)] for n in (1, 39, 40, 41, 63, 64, 65, 75, 300, 339, 340, 700, 5)]
     lookup = toxicity.Lookup(net)
     best, begin = net.highest(texts, lookup)
+    h, near = toxicity.HIDDEN, toxicity.CONTEXT
     for k, t in enumerate(texts):
-        one = [float(net.forward(lookup(w)(np.arange(len(w))[None]), np.ones((1, len(w)), np.float32))[0]) for s in range(max(1, len(t) - toxicity.WINDOW + 1)) for w in [t[s : s + toxicity.WINDOW]]]
-        assert abs(best[k] - max(one)) < 1e-4 and abs(one[begin[k]] - max(one)) < 1e-4
+        px, n, states = lookup(t)(np.arange(len(t))), len(t), []
+        for first in range(0, n, 64):
+            last = min(first + 64, n)
+            low, high = max(0, first - near), min(n, last + near)
+            part, one = px[None, low:high], np.ones((1, high - low), np.float32)
+            fore = net._layer(part[:, :, : 3 * h], one, net.p["u0"], None)[:, 0]
+            back = net._layer(part[:, ::-1, 3 * h :], one, net.p["u1"], None)[::-1, 0]
+            states += [np.concatenate([fore[i - low], back[i - low]]) for i in range(first, last)]
+        scores = []
+        for s in range(max(1, n - toxicity.WINDOW + 1)):
+            some = np.array(states[s : s + toxicity.WINDOW])
+            weight = np.exp(toxicity._squash(some @ net.p["a"]) @ net.p["v"])
+            scores.append(float((weight[:, None] * some).sum(0) @ net.p["o"] / weight.sum() + net.p["c"][0]))
+        assert abs(best[k] - max(scores)) < 1e-4 and abs(scores[begin[k]] - max(scores)) < 1e-4
+        if n <= 64:  # training sees the same window in the same surroundings
+            pool = np.zeros((1, n), np.float32)
+            pool[0, begin[k] : begin[k] + toxicity.WINDOW] = 1
+            assert abs(net.forward(px[None], np.ones((1, n), np.float32), pool)[0] - best[k]) < 1e-4
 
 
 def test_toxicity_without_labels(docs, spark):
