@@ -3,21 +3,22 @@
 A long text is cut into overlapping chunks. Each chunk is split into pre-tokens from wherever
 it happens to start, so its first boundaries may be wrong; the pre-token pattern only looks
 ahead, so from the first boundary that two neighbouring chunks share they agree for good.
-That boundary is the seam. The pre-tokens on its two sides are merged by rank, and the ids
-are joined in chunk order. Decoding concatenates the bytes of the ids.
+That boundary is the seam: each chunk keeps the pre-tokens between its two seams. Only then are
+those merged by rank, chunk by chunk, and the ids are joined in chunk order. Decoding
+concatenates the bytes of the ids.
 
-Every chunk window is stretched until its overlap holds a place where a visible character is
-followed by a space, tab or line feed. No pre-token crosses such a place, so a shared
-boundary always exists, however long a run without spaces is.
+Every chunk window is stretched until its overlap holds a place that no pre-token crosses:
+where a letter or a digit meets another kind of character, or a visible character meets a space.
+So a shared boundary always exists, in scripts without spaces as well. (The pattern's pieces must
+not mix letters and digits, nor go on after either with something else.)
 
-Edge cases: null text is empty text and gives no ids; repeated rows each give a row; other
-columns of the input are not read.
+Edge cases: null text is empty text and gives no ids; repeated rows and rows without an id each
+give a row; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,13 +26,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from .common import cut
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
 #: Pre-tokens whose ids a worker remembers.
 CACHE_LIMIT = 120_000
 
-_SURE_BOUNDARY = re.compile(r"\S[ \t\n]")
+#: Two characters between which no pre-token goes on, wherever reading starts.
+_SURE_BOUNDARY = r"\p{L}[^\s\p{L}]|\p{N}[^\s\p{N}]|[^\s\p{L}\p{N}]\p{N}|\S[ \t\n]"
 
 
 @lru_cache(maxsize=2)
@@ -55,6 +60,23 @@ class _Pieces(dict):
         return ids
 
 
+@lru_cache(maxsize=2)
+def _pieces_of(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    known = _ranks(path)
+    out = [b""] * (max(known.values()) + 1)
+    for piece, rank in known.items():
+        out[rank] = piece
+    return out
+
+
+@lru_cache(maxsize=1)
+def _sure():
+    import regex
+
+    return regex.compile(_SURE_BOUNDARY)
+
+
 @lru_cache(maxsize=2)
 def _tools(path: str, pattern: str):
     import regex
@@ -67,7 +89,7 @@ def windows(text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -
     out, start, before = [], 0, 0
     while True:
         cut = max(start + chunk, before)
-        sure = _SURE_BOUNDARY.search(text, cut) if cut < len(text) else None
+        sure = _sure().search(text, cut) if cut < len(text) else None
         if sure is None:
             out.append((start, len(text), before))
             return out
@@ -76,41 +98,21 @@ def windows(text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -
         start, before = cut, end
 
 
-def _encode_window(text: str, start: int, last: bool, path: str, pattern: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Ids of a window's pre-tokens, their boundaries in the document and the ids before each.
-
-    The pre-token that touches the window's end may be cut by it and is left out, unless the
-    document ends there."""
-    find, pieces = _tools(path, pattern)
-    parts = find.findall(text)
+def pretoken_bounds(window: str, last: bool, path: str, pattern: str) -> np.ndarray:
+    """Where the pre-tokens of a window begin and end. The one that touches the window's end may be
+    cut by it and is left out, unless the document ends there."""
+    parts = _tools(path, pattern)[0].findall(window)
     if parts and not last:
         parts.pop()
-    ids = list(map(pieces.__getitem__, parts))
-    bounds = start + np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-    counts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]) // 4
-    return b"".join(ids), bounds.astype(np.int64), counts.astype(np.int64)
-
-
-def _stitch(chunks: pd.DataFrame) -> bytes:
-    """Joins a document's chunks at the first boundary that neighbours share."""
-    out, begin = [], 0
-    rows = list(chunks.sort_values("chunk").itertuples())
-    for left, right in zip(rows, [*rows[1:], None]):
-        if right is None:
-            out.append(left.ids[4 * begin :])
-            break
-        at_left = dict(zip(left.bounds, left.counts))
-        seam = next(p for p in right.bounds if p in at_left)
-        out.append(left.ids[4 * begin : 4 * at_left[seam]])
-        begin = dict(zip(right.bounds, right.counts))[seam]
-    return b"".join(out)
+    return np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]).astype("<i4")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """(id, ids): each document's ids as little-endian unsigned 32-bit integers in a binary.
 
     Texts of one chunk are encoded where they are read. The chunks of longer texts are spread
-    over the cluster; only their ids come together again, per document."""
+    over the cluster, once to be split into pre-tokens and once to be merged; only the places of
+    boundaries near seams, and in the end the ids, come together per document."""
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -121,37 +123,44 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, text, key in zip(batch["doc"], batch["text"], batch["text_key"]):
+            for uid, text in zip(batch["uid"], batch["text"]):
                 spans = windows(text, chunk, overlap)
-                yield pd.DataFrame([(doc, key, k, len(spans), s, p, text[s:e]) for k, (s, e, p) in enumerate(spans)], columns=["doc", "text_key", "chunk", "chunks", "start", "before", "window"])
+                yield pd.DataFrame([(uid, k, len(spans), s, p, text[s:e]) for k, (s, e, p) in enumerate(spans)], columns=["uid", "chunk", "chunks", "start", "before", "window"])
 
     def pretokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples():
-                last = r.chunk == r.chunks - 1
-                ids, bounds, counts = _encode_window(r.window, r.start, last, ranks_path, pattern)
-                # only boundaries near the two ends can become seams; the tail begins where the next chunk does
-                near = (bounds <= r.before) | (bounds >= r.start + chunk)
-                rows.append((r.doc, r.text_key, r.chunk, ids, bounds[near], counts[near]))
-            yield pd.DataFrame(rows, columns=["doc", "text_key", "chunk", "ids", "bounds", "counts"])
+                bounds = pretoken_bounds(r.window, r.chunk == r.chunks - 1, ranks_path, pattern)
+                place = bounds.astype(np.int64) + r.start
+                # only boundaries that a neighbour's window reaches can become seams
+                rows.append((r.uid, r.chunk, r.start, r.window, bounds.tobytes(), place[place <= r.before], place[place >= r.start + chunk]))
+            yield pd.DataFrame(rows, columns=["uid", "chunk", "start", "window", "bounds", "head", "tail"])
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = _tools(ranks_path, pattern)[1]
+        for batch in batches:
+            ids = []
+            for r in batch.itertuples():
+                bounds = np.frombuffer(r.bounds, "<i4")
+                mine = bounds[(bounds >= r.from_ - r.start) & (bounds <= (r.to - r.start if r.to >= 0 else bounds[-1]))].tolist()
+                ids.append(b"".join([pieces[r.window[a:b]] for a, b in zip(mine, mine[1:])]))
+            yield pd.DataFrame({"uid": batch["uid"], "chunk": batch["chunk"], "ids": ids})
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        copies = int((rows["chunk"] == 0).sum())
-        ids = _stitch(rows.drop_duplicates("chunk"))
-        return pd.DataFrame({"doc": [rows["doc"].iloc[0]] * copies, "ids": [ids] * copies})
+        return pd.DataFrame({"uid": rows["uid"].iloc[:1], "ids": [b"".join(rows.sort_values("chunk")["ids"])]})
 
     one = docs.where(F.length("text") <= chunk).mapInPandas(short, f"doc {kind}, ids binary")
-    spread = (
-        docs.where(F.length("text") > chunk)
-        .withColumn("text_key", F.xxhash64("text"))
-        .mapInPandas(split, f"doc {kind}, text_key long, chunk int, chunks int, start long, before long, window string")
-        .repartition(F.col("doc"), F.col("chunk"))
-        .mapInPandas(pretokenise, f"doc {kind}, text_key long, chunk int, ids binary, bounds array<long>, counts array<long>")
-        .groupBy("doc", "text_key")
-        .applyInPandas(join, f"doc {kind}, ids binary")
-    )
-    return one.unionByName(spread).withColumnRenamed("doc", id_col)
+    # rows get a number of their own; it is written, so that a lost executor can't change it
+    long = cut(docs.where(F.length("text") > chunk).withColumn("uid", F.monotonically_increasing_id()), "long-texts")
+    spread = long.select("uid", "text").mapInPandas(split, "uid long, chunk int, chunks int, start long, before long, window string").repartition(F.col("uid"), F.col("chunk"))
+    read = cut(spread.mapInPandas(pretokenise, "uid long, chunk int, start long, window string, bounds binary, head array<long>, tail array<long>"), "pre-tokens")
+    order = W.partitionBy("uid").orderBy("chunk")
+    seam = F.array_min(F.array_intersect("tail", F.lead("head").over(order)))
+    seams = read.select("uid", "chunk", seam.alias("to")).select("uid", "chunk", F.coalesce("to", F.lit(-1)).alias("to"), F.coalesce(F.lag("to").over(order), F.lit(0)).alias("from_"))
+    coded = read.select("uid", "chunk", "start", "window", "bounds").join(seams, ["uid", "chunk"]).mapInPandas(merge, "uid long, chunk int, ids binary")
+    joined = coded.groupBy("uid").applyInPandas(join, "uid long, ids binary")
+    return one.unionByName(long.select("uid", "doc").join(joined, "uid").select("doc", "ids")).withColumnRenamed("doc", id_col)
 
 
 def decode(ids: Column, ranks_path: str) -> Column:
@@ -159,7 +168,7 @@ def decode(ids: Column, ranks_path: str) -> Column:
 
     @F.pandas_udf("binary")
     def to_bytes(batch: pd.Series) -> pd.Series:
-        table = {rank: piece for piece, rank in _ranks(ranks_path).items()}.__getitem__
+        table = _pieces_of(ranks_path).__getitem__
         return pd.Series([None if x is None else b"".join(map(table, np.frombuffer(x, "<u4").tolist())) for x in batch], dtype=object)
 
     return to_bytes(ids)
