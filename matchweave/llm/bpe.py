@@ -134,14 +134,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 bounds = pretoken_bounds(r.window, r.chunk == r.chunks - 1, ranks_path, pattern)
                 place = bounds.astype(np.int64) + r.start
                 # only boundaries that a neighbour's window reaches can become seams
-                rows.append((r.uid, r.chunk, r.start, r.window, bounds.tobytes(), place[place <= r.before], place[place >= r.start + chunk]))
-            yield pd.DataFrame(rows, columns=["uid", "chunk", "start", "window", "bounds", "head", "tail"])
+                rows.append((r.uid, r.chunk, r.chunks, r.start, r.window, bounds.tobytes(), place[place <= r.before], place[place >= r.start + chunk]))
+            yield pd.DataFrame(rows, columns=["uid", "chunk", "chunks", "start", "window", "bounds", "head", "tail"])
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = _tools(ranks_path, pattern)[1]
         for batch in batches:
             ids = []
             for r in batch.itertuples():
+                if r.to < 0 and r.chunk < r.chunks - 1:
+                    raise ValueError("two chunks share no boundary: the pattern's pieces mix kinds of characters")
                 bounds = np.frombuffer(r.bounds, "<i4")
                 mine = bounds[(bounds >= r.from_ - r.start) & (bounds <= (r.to - r.start if r.to >= 0 else bounds[-1]))].tolist()
                 ids.append(b"".join([pieces[r.window[a:b]] for a, b in zip(mine, mine[1:])]))
@@ -154,11 +156,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     # rows get a number of their own; it is written, so that a lost executor can't change it
     long = cut(docs.where(F.length("text") > chunk).withColumn("uid", F.monotonically_increasing_id()), "long-texts")
     spread = long.select("uid", "text").mapInPandas(split, "uid long, chunk int, chunks int, start long, before long, window string").repartition(F.col("uid"), F.col("chunk"))
-    read = cut(spread.mapInPandas(pretokenise, "uid long, chunk int, start long, window string, bounds binary, head array<long>, tail array<long>"), "pre-tokens")
+    read = cut(spread.mapInPandas(pretokenise, "uid long, chunk int, chunks int, start long, window string, bounds binary, head array<long>, tail array<long>"), "pre-tokens")
     order = W.partitionBy("uid").orderBy("chunk")
     seam = F.array_min(F.array_intersect("tail", F.lead("head").over(order)))
     seams = read.select("uid", "chunk", seam.alias("to")).select("uid", "chunk", F.coalesce("to", F.lit(-1)).alias("to"), F.coalesce(F.lag("to").over(order), F.lit(0)).alias("from_"))
-    coded = read.select("uid", "chunk", "start", "window", "bounds").join(seams, ["uid", "chunk"]).mapInPandas(merge, "uid long, chunk int, ids binary")
+    coded = read.select("uid", "chunk", "chunks", "start", "window", "bounds").join(seams, ["uid", "chunk"]).mapInPandas(merge, "uid long, chunk int, ids binary")
     joined = coded.groupBy("uid").applyInPandas(join, "uid long, ids binary")
     return one.unionByName(long.select("uid", "doc").join(joined, "uid").select("doc", "ids")).withColumnRenamed("doc", id_col)
 
