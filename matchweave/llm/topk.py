@@ -2,7 +2,7 @@
 
 Each block of candidates keeps one sorted list per component. A query reads every list from
 its good end (the top where its own component is positive, the bottom where it is negative)
-in rounds of growing depth. What has been read of a candidate gives its lower and upper
+in rounds, each twice as deep as the one before. What has been read of a candidate gives its lower and upper
 score: an unread component lies between the list's worst value and the last value read. A
 candidate whose upper score is under the k-th best lower score cannot qualify. When few can,
 or the lists end, the scores of those left are computed exactly in 64-bit integers.
@@ -13,7 +13,9 @@ of queries in turn, keeps its best k per query, and a last ranking per query mer
 Edge cases: vectors that are null or hold null or non-finite components take no part; vectors
 of different lengths are never compared; rows that repeat a vec_id count once; ties go to the
 smaller vec_id; fewer than k candidates are all returned; an empty table gives no rows.
-Components are floor(scale * x) and must stay under 2^53 / scale for exact bounds.
+Components are floor(scale * x) in 64-bit integers. Bounds are doubles; a slack above their
+largest rounding error keeps every candidate that could qualify, so results are exact as long as
+scores fit 64 bits.
 """
 
 from __future__ import annotations
@@ -45,13 +47,16 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         np.put_along_axis(place, order, np.broadcast_to(np.arange(n)[:, None], order.shape), 0)
         values = x.astype(float)
         up, down = np.maximum(q, 0).T.astype(float), np.minimum(q, 0).T.astype(float)
-        for depth in (n // 4, n // 2, 3 * n // 4):
+        # what rounding can do to a sum of so many products of this size, and some
+        slack = (np.abs(q) @ np.abs(values).max(0)) * (4 * x.shape[1] * np.finfo(float).eps)
+        depths = [n >> i for i in range(5, 0, -1) if n >> i >= k]
+        for depth in [*depths, n - n // 4]:
             top, bottom = (place < depth).astype(float), (place >= n - depth).astype(float)
             read = (values * top) @ up + (values * bottom) @ down
             upper = read + (1 - top) @ (up * lists[depth - 1][:, None]) + (1 - bottom) @ (down * lists[n - depth][:, None])
             lower = read + (1 - top) @ (up * lists[-1][:, None]) + (1 - bottom) @ (down * lists[0][:, None])
             lower[own] = -np.inf
-            alive = (upper >= np.partition(lower, n - k, axis=0)[n - k]) & ~own
+            alive = (upper >= np.partition(lower, n - k, axis=0)[n - k] - 2 * slack) & ~own
             if alive.mean() <= FEW:
                 break
     out = []
