@@ -1,13 +1,17 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
-Each tree splits a bounded sample (``SAMPLE`` rows, chosen by hash) by hyperplanes between two
-random points, at the median, until ``LEAF`` sample rows are left. Every row of the table is
-then sent to its leaf in every tree. A query walks all trees with one priority queue ordered
-by how little a side misses it, takes ``PROBES`` leaves in all, and its candidates in those
-leaves are ranked by their exact distance in double precision.
-
-Leaves meet their queries in groups of bounded size: (tree, branch, slot), where the number of
-slots follows the row count; each keeps its best k per query, and a last ranking merges them.
+Each tree splits a bounded sample by hyperplanes between two random points, at the median, until
+``LEAF`` sample rows are left. The sample is chosen by hash and follows the row count: ``SAMPLE``
+rows, or a fiftieth of all where that is more, up to ``MAX_SAMPLE``. So a leaf holds ``LEAF`` rows
+of a small table, up to fifty times as many of one of ten million rows, and more only beyond.
+Every row of the table is then sent to its leaf in every tree. A query walks all trees with one
+priority queue ordered by how little a side misses it, takes ``PROBES`` leaves in all, and its
+candidates in those leaves are ranked by their exact distance in double precision.
+
+Leaves meet their queries in groups of about ``GROUP`` rows: (tree, branch, slot). A branch is
+some neighbouring leaves, and their number follows the row count, so a query goes only to the
+branches it probes; where a single leaf is larger than a group, slots deal its rows. Each group
+keeps its best k per query, and a last ranking merges them.
 
 Edge cases: vectors that are null, all zero, or hold null or non-finite components take no
 part; vectors of different lengths are never compared (one forest per length); rows that
@@ -24,11 +28,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .vectors import best, usable
 
-TREES, LEAF, PROBES, SAMPLE = 8, 100, 256, 20_000
+TREES, LEAF, PROBES, SAMPLE, MAX_SAMPLE = 8, 100, 256, 20_000, 200_000
 #: Rows of one tree in one group, about.
 GROUP = 4000
 
@@ -95,23 +98,31 @@ def probe(forest: list[Tree], q: np.ndarray, probes: int) -> list[tuple[int, int
     return out
 
 
-def fit(rows: DataFrame, trees: int, leaf: int, sample: int) -> dict[int, list[Tree]]:
-    """A forest per vector length, from at most ``sample`` rows of each (lengths are few)."""
-    ranked = rows.withColumn("r", F.row_number().over(W.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id"))) if rows.select("dim").distinct().count() > 1 else rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).withColumn("r", F.lit(1))
-    taken = ranked.where(F.col("r") <= sample).select("dim", "embedding").toPandas()
-    return {int(d): [grow(np.stack(g["embedding"].to_list()), 100 + t, leaf) for t in range(trees)] for d, g in taken.groupby("dim") if d}
+def fit(rows: DataFrame, sizes: dict[int, int], trees: int, leaf: int, sample: int) -> dict[int, list[Tree]]:
+    """A forest per vector length, from about ``sample`` rows of each or a fiftieth of them."""
+    forests = {}
+    for dim, n in sizes.items():
+        want = min(max(sample, n // 50), max(sample, MAX_SAMPLE))
+        every = max(1, -(-n // want))
+        some = rows.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(every)) == 0)).limit(2 * want)
+        taken = some.select("vec_id", "embedding").toArrow().combine_chunks().sort_by("vec_id")
+        x = taken["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        forests[dim] = [grow(x, 100 + t, leaf) for t in range(trees)]
+    return forests
 
 
 def search(rows: DataFrame, k: int = 10, every: int = 100, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score for each row whose vec_id is divisible by ``every``."""
     whole = usable(rows).where(F.exists("embedding", lambda x: x != 0))
-    forests = fit(whole, trees, leaf, sample)
-    n = rows.count()
-    slots = max(1, n // (GROUP * 8))
+    sizes = {r["dim"]: r["count"] for r in whole.groupBy("dim").count().collect()}  # lengths are few
+    forests = fit(whole, sizes, trees, leaf, sample)
+    n = max(sizes.values(), default=0)
+    branches = max(8, n // GROUP)
+    slots = max(1, n // (GROUP * min([branches, *(t.leaves for forest in forests.values() for t in forest)])))
     is_query = F.col("vec_id") % every == 0
 
     def branch(leaves: np.ndarray, tree: Tree) -> np.ndarray:
-        return leaves * 8 // max(1, tree.leaves)  # eight groups of a tree's leaves
+        return leaves * branches // max(1, tree.leaves)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
