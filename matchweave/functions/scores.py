@@ -184,7 +184,7 @@ def lexical_features(text_score: Column, query: Column, title: Column, need: Col
 
 
 def attributions(features: dict[str, Column], k: int = 3) -> Column:
-    """The k features of largest size as 'name=+0.00', joined by a comma."""
+    """The k features of largest size as 'name=+0.00' (half to even), joined by a comma."""
     parts = F.array(*[F.struct(F.lit(n).alias("n"), c.cast("double").alias("v")) for n, c in features.items()])
     order = lambda a, b: F.when(F.abs(a["v"]) > F.abs(b["v"]), -1).when(F.abs(a["v"]) < F.abs(b["v"]), 1).when(a["n"] < b["n"], -1).otherwise(1)
-    return F.array_join(F.transform(F.slice(F.array_sort(parts, order), 1, k), lambda x: F.format_string("%s=%+.2f", x["n"], x["v"])), ", ")
+    return F.array_join(F.transform(F.slice(F.array_sort(parts, order), 1, k), lambda x: F.format_string("%s=%+.2f", x["n"], F.bround(x["v"], 2))), ", ")

@@ -96,9 +96,9 @@ def skills(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.concat(*found), lambda x: F.lower(x))))
 
 
-def constraints(text: Column) -> dict[str, Column]:
-    """The hard constraints of a posting, by name."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+def constraints(text: Column, lowered: bool = False) -> dict[str, Column]:
+    """The hard constraints of a posting, by name; ``lowered``: the text is in lower case and not null."""
+    t = text if lowered else F.lower(F.coalesce(text, F.lit("")))
     certificates = F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(g)) for p, g in CERTIFICATES])
     degree = None
     for name, pattern in DEGREES:

@@ -16,9 +16,11 @@ def ordered(ranking: DataFrame) -> DataFrame:
 def metrics(ranking: DataFrame, labels: DataFrame, cuts: tuple[int, ...] = (5, 10), positive: int = 2) -> DataFrame:
     """Per query: reciprocal rank, NDCG and recall at each cut.
 
-    ``ranking``: query_id, doc_id, rank, score; ``labels``: query_id, doc_id, grade. Items without
-    a label keep their position with grade 0; the ideal order and the number of positives come
+    ``ranking``: query_id, doc_id, rank, score; ``labels``: query_id, doc_id, grade, and ``seq`` where
+    a pair may have several labels: the one with the highest counts. Items without a label keep their position with grade 0; the ideal order and the number of positives come
     from all labels of the query; queries without labels drop out."""
+    last = F.max_by("grade", "seq") if "seq" in labels.columns else F.max("grade")
+    labels = labels.groupBy("query_id", "doc_id").agg(last.alias("grade"))
     gain = lambda grade, at: (F.pow(F.lit(2.0), grade) - 1) / F.log2(at + 1.0)
     ideal = labels.withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")))
     best = ideal.groupBy("query_id").agg(F.count_if(F.col("grade") >= positive).alias("positives"), *[F.sum(F.when(F.col("at") <= k, gain(F.col("grade"), F.col("at"))).otherwise(0.0)).alias(f"ideal_{k}") for k in cuts])

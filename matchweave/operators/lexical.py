@@ -1,8 +1,9 @@
 """Lexical retrieval: BM25 over one or many fields, for many queries at once.
 
-Documents are tokenised where they are read. Only tokens that some query asks for leave the
-scan, so the shuffle on terms grows with what is asked, not with the corpus; lengths, document
-counts and averages come from the same tokens without exploding them.
+Documents are tokenised where they are read, once. Only tokens that some query asks for leave the
+scan, so the shuffle on terms grows with what is asked, not with the corpus; each document adds
+one row without a term, from which document counts and average lengths come. Scores, document
+frequencies and averages read the same shuffle.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, len, term, tf) of the asked terms in each document (doc_id, text)."""
-    t = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    return t.join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    """(doc_id, len, term, tf) of the asked terms in each document (doc_id, text); one row of each
+    document, with an empty term, stands for itself."""
+    t = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    asked = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    return t.join(asked, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, numerator: bool = True) -> DataFrame:
@@ -31,8 +34,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     ``numerator`` keeps the (k1 + 1) factor of the classic form."""
     terms = query_terms(queries)
     counts = term_counts(docs, terms)
-    whole = docs.select(F.size(tokens(F.col("text"))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    # all three read every column of the same shuffle, so that Spark runs it once
+    itself = F.when(F.col("term") == "", F.col("tf"))
+    whole = counts.agg(F.sum(itself).alias("n"), (F.sum(itself * F.col("len")) / F.sum(itself)).alias("avg_len"))
+    df = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(df, "term").crossJoin(F.broadcast(whole)).withColumn("idf", idf)  # one row of statistics
     part = F.col("idf") * F.col("tf") * (k1 + 1 if numerator else 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))) * F.col("qf")
@@ -49,9 +54,10 @@ def top_k(scored: DataFrame, k: int, key: str = "query_id", item: str = "doc_id"
 def page(scored: DataFrame, number: int, size: int, key: str = "query_id", item: str = "doc_id", score: str = "score") -> DataFrame:
     """One page of each key's ranking, with the total and the number of pages."""
     w = W.partitionBy(key).orderBy(F.col(score).desc(), item)
-    total = F.count("*").over(W.partitionBy(key))
-    ranked = scored.withColumns({"rank": F.row_number().over(w), "total": total, "pages": F.ceil(total / size)})
-    return ranked.where(F.col("rank").between((number - 1) * size + 1, number * size))
+    # ranks end with the page, so Spark keeps no key's whole ranking in one task; totals are counted apart
+    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= number * size).where(F.col("rank") > (number - 1) * size)
+    total = scored.groupBy(key).agg(F.count("*").alias("total"))
+    return ranked.join(total, key).withColumn("pages", F.ceil(F.col("total") / size))
 
 
 def multi_field(fields: dict[str, tuple[DataFrame, float]], queries: DataFrame, tie: float = 0.2, share: float = 0.2, k1: float = 1.2, b: float = 0.75) -> DataFrame:

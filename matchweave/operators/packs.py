@@ -70,4 +70,4 @@ def distribution(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def newest(df: DataFrame, key: str, stamp: str, k: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc(stamp)))).where(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc(stamp), F.to_json(F.struct(*sorted(df.columns)))))).where(F.col("rank") <= k)

@@ -30,12 +30,13 @@ def first_of(rows: DataFrame, keys: list[Column], *order: Column) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def label_pool(ranking: DataFrame, items: DataFrame, families: DataFrame, seed: str = "7", top: int = 8, middle: int = 8, others: int = 4, low: int = 50, high: int = 200) -> DataFrame:
+def label_pool(ranking: DataFrame, items: DataFrame, families: DataFrame, matched: DataFrame | None = None, seed: str = "7", top: int = 8, middle: int = 8, others: int = 4, low: int = 50, high: int = 200) -> DataFrame:
     """(query_id, doc_id, bucket, rank): what to label. Per query the ``top`` first of its ranking,
     ``middle`` from ranks ``low`` to ``high``, and ``others`` items of other families that did not
     match at all, in the order of a seeded hash; the best ranked fill up to the total.
 
-    ``items``: doc_id, family; ``families``: query_id, family. Others come from a hash-ordered
+    ``items``: doc_id, family; ``families``: query_id, family; ``matched``: all pairs that match, where
+    ``ranking`` ends at rank ``high``, which is as far as any bucket reads. Others come from a hash-ordered
     short list of items, long enough that each query still finds its own among what it matched."""
     total = top + middle + others
     per = lambda rows: rows.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
@@ -43,7 +44,7 @@ def label_pool(ranking: DataFrame, items: DataFrame, families: DataFrame, seed:
     mid = per(ranking.where(F.col("rank").between(low, high))).where(F.col("r") <= middle).select("query_id", "doc_id", "rank", F.lit("middle").alias("bucket"))
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col("query_id").cast("string"), F.col("doc_id").cast("string")))
     short = items.withColumn("r", F.row_number().over(W.partitionBy("family").orderBy(F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string")))))).where(F.col("r") <= 50 * others)
-    foreign = families.alias("q").join(short.alias("i"), F.col("q.family") != F.col("i.family")).select("query_id", "doc_id").join(ranking, ["query_id", "doc_id"], "left_anti")
+    foreign = families.alias("q").join(short.alias("i"), F.col("q.family") != F.col("i.family")).select("query_id", "doc_id").join(ranking if matched is None else matched, ["query_id", "doc_id"], "left_anti")
     random = foreign.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(order, "doc_id"))).where(F.col("r") <= others).select("query_id", "doc_id", F.lit(None).cast("int").alias("rank"), F.lit("other").alias("bucket"))
     chosen = first.unionByName(mid).unionByName(random)
     rest = per(ranking.join(chosen.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"))

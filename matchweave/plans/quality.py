@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +64,8 @@ UNION ALL SELECT 'references', 'orphan_labels', count(*) FROM labels WHERE doc_i
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("family"))
     asked = questions(spark, sf_dir).select("query_id", F.lit("en").alias("family"))
-    return quality.label_pool(_ranking(spark, sf_dir, 10**9), docs, asked)
+    scored = lexical.bm25(documents(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "doc_id", "score")
+    return quality.label_pool(lexical.top_k(scored, 200), docs, asked, matched=scored.select("query_id", "doc_id"))
 
 
 def label_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +179,11 @@ def label_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events drained from a file stream: the last per user and kind."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/matchweave"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
     path = f"{root}/stream-{uuid.uuid4().hex}"
     stream = ingest.read_stream(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
     ingest.upsert(stream, f"{path}/rows", f"{path}/state", ["user_id", "event_type"], "ts", "event_id")

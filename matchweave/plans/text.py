@@ -56,11 +56,14 @@ def _sql_any(pattern: str, text: str = "lower(t)") -> str:
 
 def hard_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each posting demands, and why it rules out a fixed candidate."""
-    c = tx.constraints(F.col("t"))
+    # one column per step: the text in lower case, each constraint, the reason from their columns
+    lowered = _posted(spark, sf_dir).select("doc_id", F.lower(F.coalesce("t", F.lit(""))).alias("t"))
+    found = lowered.select("doc_id", *[v.alias(k) for k, v in tx.constraints(F.col("t"), lowered=True).items()])
+    c = {k: F.col(k) for k in found.columns if k != "doc_id"}
     none = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
     candidate = {"needs_visa": F.col("doc_id") % 2 == 0, "certifications": none("PMP", "CKA", "CCNA"), "languages": none("german"), "degree": F.lit(2), "years": F.lit(4)}
     flat = {k: F.array_join(v, "|") if k in ("certifications", "languages", "licences") else v for k, v in c.items()}
-    return _posted(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in flat.items()], sc.constraint_reason(c, candidate).alias("reason"))
+    return found.select("doc_id", *[v.alias(k) for k, v in flat.items()], sc.constraint_reason(c, candidate).alias("reason"))
 
 
 def _extract_all() -> str:
