@@ -148,7 +148,7 @@ def salaries(text: Column) -> Column:
     for p in SINGLE_SALARIES:
         whole = F.regexp_extract_all(t, F.lit(p), F.lit(0))
         number = F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("bigint"))
-        values.append(F.zip_with(whole, number, lambda w, n: F.when(F.contains(w, F.lit("k")) | (n < 1000), n * 1000).otherwise(n)))
+        values.append(F.zip_with(whole, number, lambda w, n: F.when(F.contains(w, F.lit("k")) | (n < 1000), F.try_multiply(n, F.lit(1000))).otherwise(n)))
     found = F.filter(F.concat(*values), lambda x: x.isNotNull())
     return F.struct(F.array_min(found).alias("low"), F.array_max(found).alias("high"))
 

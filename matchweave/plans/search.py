@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from ..operators import graph, lexical, packs, resumes, search
 from ..sources import graph_tables as g
 from ..sources.tables import table
 from .graph import SQL
-from .text import SAID, _said, _whole
+from .text import WHOLE, whole
 
 _HOPS = """
 hop1x AS (SELECT DISTINCT query_id, skill AS origin, dst AS skill FROM asked JOIN linked ON skill = src),
@@ -55,14 +52,14 @@ STATIC = f"""WITH {SQL}, n AS (SELECT job_id, count(DISTINCT dst) AS near FROM r
 SELECT job_id, required, coalesce(near, 0) AS near FROM (SELECT job_id, count(*) AS required FROM requires GROUP BY job_id) LEFT JOIN n USING (job_id)"""
 
 
-def resume_entries(spark: SparkSession, sf_dir: str, given: Callable[[SparkSession, str], DataFrame] = _said) -> DataFrame:
-    """Experience entries of the posted sentences: title lines and how long their text is."""
-    texts = given(spark, sf_dir).select(F.col("doc_id").alias("resume_id"), F.regexp_replace("t", r"[.,] ", "\n").alias("text"))
+def resume_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experience entries of the documents and their sentences: title lines and how long their text is."""
+    texts = whole(spark, sf_dir).select(F.col("doc_id").alias("resume_id"), F.regexp_replace("t", r"[.,] ", "\n").alias("text"))
     return resumes.experience(resumes.lines(texts)).select("resume_id", "entry", "title", F.coalesce(F.length("description"), F.lit(0)).alias("chars"))
 
 
 _ROLE = " OR ".join(f"contains(lower(x), '{w}')" for w in resumes.ROLE_WORDS)
-ENTRIES = f"""WITH {SAID}, l AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '[.,] ', chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(t, '[.,] ', chr(10), 'g'), chr(10)), 1) AS i FROM said),
+ENTRIES = f"""WITH {WHOLE}, l AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '[.,] ', chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(t, '[.,] ', chr(10), 'g'), chr(10)), 1) AS i FROM said),
 f AS (SELECT doc_id, i, trim(line) AS x FROM l WHERE trim(line) != ''), h AS (SELECT *, ({_ROLE}) AS first FROM f),
 e AS (SELECT *, sum(CAST(first AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS entry FROM h)
 SELECT doc_id AS resume_id, CAST(entry AS BIGINT) AS entry, max(CASE WHEN first THEN x END) AS title, CAST(coalesce(length(nullif(coalesce(string_agg(CASE WHEN NOT first THEN x END, ' ' ORDER BY i), ''), '')), 0) AS INTEGER) AS chars FROM e WHERE entry > 0 GROUP BY doc_id, entry"""
@@ -90,7 +87,6 @@ QUERIES = {
     "hybrid_search": (hybrid_search, HYBRID),
     "static_features": (static_features, STATIC),
     "resume_entries": (resume_entries, ENTRIES),
-    "resume_entries_whole": (partial(resume_entries, given=_whole), None),
     "resume_profiles": (resume_profiles, None),
     "source_counts": (source_counts, "SELECT 'source' AS field, source AS value, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY lang"),
     "label_text": (label_text, "SELECT o_orderkey, o_orderpriority || ' ' || o_orderstatus || ' ' || o_orderkey AS text, substring(o_orderpriority || ' ' || o_orderstatus || ' ' || o_orderkey, 1, 8) AS preview FROM orders"),

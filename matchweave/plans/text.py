@@ -1,13 +1,11 @@
 """Registered text queries and their SQL.
 
-The documents hold no postings or resumes, so each gets one sentence of that kind, by its id.
+The documents hold few postings or resumes, so each gets one sentence of that kind, by its id,
+after its own text; all queries read both, whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +28,7 @@ SENTENCES = (
 )
 _LIST = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in SENTENCES) + "]"
 POSTED = f"posted AS (SELECT doc_id, text || chr(10) || {_LIST}[CAST(doc_id % {len(SENTENCES)} AS INTEGER) + 1] AS t FROM documents)"
-SAID = f"said AS (SELECT doc_id, {_LIST}[CAST(doc_id % {len(SENTENCES)} AS INTEGER) + 1] AS t FROM documents)"
+WHOLE = f"said AS (SELECT doc_id, concat_ws(chr(10), text, {_LIST}[CAST(doc_id % {len(SENTENCES)} AS INTEGER) + 1]) AS t FROM documents)"
 
 
 def _sentence() -> Column:
@@ -41,11 +39,7 @@ def _posted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n"), _sentence()).alias("t"))
 
 
-def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", _sentence().alias("t"))
-
-
-def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of each document's text, and its sentence."""
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "text", _sentence()).alias("t"))
 
@@ -106,19 +100,21 @@ _SKILL_SQL = "flatten([" + ", ".join(f"regexp_extract_all(t, '(?i){p}')" for p i
 _WORD_SQL = "list_filter([" + ", ".join(f"'{w}'" for w in nz.SKILL_WORDS) + "], lambda w: contains(lower(t), w))"
 # word borders are ASCII in RE2: an accented letter stands as a plain one there
 _ASCII = "plain AS (SELECT doc_id, regexp_replace(t, '[^\\x00-\\x7F]', 'x', 'g') AS t FROM posted)"
+_PLAIN = _ASCII.replace("posted", "said")
 SKILLS = f"WITH {POSTED}, {_ASCII} SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform({_SKILL_SQL}, lambda x: lower(x)))), '|') AS skills, array_to_string(list_sort({_WORD_SQL}), '|') AS words FROM plain"
 
 
-def query_keywords(spark: SparkSession, sf_dir: str, texts: Callable[[SparkSession, str], DataFrame] = _said) -> DataFrame:
+def query_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
     pay = tx.salaries(t)
-    return texts(spark, sf_dir).select("doc_id", F.array_join(tx.titles(t), "|").alias("titles"), pay["low"].alias("low"), pay["high"].alias("high"), F.array_join(tx.places(t), "|").alias("places"), nz.job_type(t).alias("job_type"), nz.experience_level(t).alias("level"))
+    return whole(spark, sf_dir).select("doc_id", F.array_join(tx.titles(t), "|").alias("titles"), pay["low"].alias("low"), pay["high"].alias("high"), F.array_join(tx.places(t), "|").alias("places"), nz.job_type(t).alias("job_type"), nz.experience_level(t).alias("level"))
 
 
 def _pay_sql(f: str) -> str:
     parts = []
     for p in tx.SINGLE_SALARIES:
-        parts.append(f"list_transform(regexp_extract_all(lower(t), '{p}', 0), lambda w, i: CASE WHEN contains(w, 'k') OR CAST(replace(regexp_extract_all(lower(t), '{p}', 1)[i], ',', '') AS BIGINT) < 1000 THEN 1000 ELSE 1 END * CAST(replace(regexp_extract_all(lower(t), '{p}', 1)[i], ',', '') AS BIGINT))")
+        number = f"TRY_CAST(replace(regexp_extract_all(lower(t), '{p}', 1)[i], ',', '') AS BIGINT)"
+        parts.append(f"list_transform(regexp_extract_all(lower(t), '{p}', 0), lambda w, i: TRY_CAST(CASE WHEN contains(w, 'k') OR {number} < 1000 THEN 1000 ELSE 1 END * CAST({number} AS HUGEINT) AS BIGINT))")
     return f"{f}(flatten([{', '.join(parts)}]))"
 
 
@@ -130,29 +126,29 @@ def _cascade_sql(table_: tuple, default: str, text: str = "lower(t)") -> str:
     return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({text}, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{v}'" for v, words in table_) + f" ELSE '{default}' END"
 
 
-KEYWORDS = f"""WITH {SAID} SELECT doc_id, array_to_string(list_sort(list_distinct({_TITLE_SQL})), '|') AS titles, {_pay_sql("list_min")} AS low, {_pay_sql("list_max")} AS high,
-array_to_string(list_sort(list_concat({_PLACE_SQL}, CASE WHEN regexp_matches(lower(t), '\\bremote\\b') THEN ['Remote'] ELSE [] END)), '|') AS places, {_cascade_sql(nz.JOB_TYPES, "full_time")} AS job_type, {_cascade_sql(nz.LEVELS, "entry")} AS level FROM said"""
+KEYWORDS = f"""WITH {WHOLE}, {_PLAIN} SELECT doc_id, array_to_string(list_sort(list_distinct({_TITLE_SQL})), '|') AS titles, {_pay_sql("list_min")} AS low, {_pay_sql("list_max")} AS high,
+array_to_string(list_sort(list_concat({_PLACE_SQL}, CASE WHEN regexp_matches(lower(t), '\\bremote\\b') THEN ['Remote'] ELSE [] END)), '|') AS places, {_cascade_sql(nz.JOB_TYPES, "full_time")} AS job_type, {_cascade_sql(nz.LEVELS, "entry")} AS level FROM plain"""
 
 
-def skill_categories(spark: SparkSession, sf_dir: str, texts: Callable[[SparkSession, str], DataFrame] = _said) -> DataFrame:
+def skill_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's skills by category, and the share of the market score they give."""
-    named = texts(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.concat(tx.skills(F.col("t")), nz.dictionary_skills(F.col("t"))))).alias("skill"))
+    named = whole(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.concat(tx.skills(F.col("t")), nz.dictionary_skills(F.col("t"))))).alias("skill"))
     return named.groupBy("doc_id", tx.category(F.col("skill")).alias("category")).agg(F.array_join(F.array_sort(F.collect_set("skill")), "|").alias("skills"))
 
 
 _BOTH_SQL = f"list_distinct(list_concat(list_transform({_SKILL_SQL}, lambda x: lower(x)), {_WORD_SQL}))"
-CATEGORIES = f"""WITH {SAID}, n AS (SELECT doc_id, unnest({_BOTH_SQL}) AS skill FROM said)
+CATEGORIES = f"""WITH {WHOLE}, {_PLAIN}, n AS (SELECT doc_id, unnest({_BOTH_SQL}) AS skill FROM plain)
 SELECT doc_id, {_cascade_sql(tx.CATEGORIES, "other", "lower(skill)")} AS category, array_to_string(list_sort(list(DISTINCT skill)), '|') AS skills FROM n GROUP BY 1, 2"""
 
 
-def marketability(spark: SparkSession, sf_dir: str, texts: Callable[[SparkSession, str], DataFrame] = _said) -> DataFrame:
-    named = texts(spark, sf_dir).select("doc_id", F.explode_outer(F.array_distinct(F.concat(tx.skills(F.col("t")), nz.dictionary_skills(F.col("t"))))).alias("skill"))
+def marketability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = whole(spark, sf_dir).select("doc_id", F.explode_outer(F.array_distinct(F.concat(tx.skills(F.col("t")), nz.dictionary_skills(F.col("t"))))).alias("skill"))
     c = F.when(F.col("skill").isNotNull(), tx.category(F.col("skill")))
     per = named.groupBy("doc_id").agg(F.countDistinct(c).alias("categories"), F.count_if(c.isin("programming_languages", "frameworks", "databases")).alias("technical"), F.count_if(c == "soft_skills").alias("soft"))
     return per.select("doc_id", "categories", "technical", "soft", tx.marketability(F.col("categories"), F.col("doc_id") % 7, F.col("technical"), F.col("soft")).cast("long").alias("score"))
 
 
-MARKETABILITY = f"""WITH {SAID}, n AS (SELECT doc_id, unnest({_BOTH_SQL}) AS skill FROM said), c AS (SELECT doc_id, {_cascade_sql(tx.CATEGORIES, "other", "lower(skill)")} AS c FROM n),
+MARKETABILITY = f"""WITH {WHOLE}, {_PLAIN}, n AS (SELECT doc_id, unnest({_BOTH_SQL}) AS skill FROM plain), c AS (SELECT doc_id, {_cascade_sql(tx.CATEGORIES, "other", "lower(skill)")} AS c FROM n),
 p AS (SELECT said.doc_id, count(DISTINCT c) AS categories, count(*) FILTER (c IN ('programming_languages', 'frameworks', 'databases')) AS technical, count(*) FILTER (c = 'soft_skills') AS soft FROM said LEFT JOIN c USING (doc_id) GROUP BY said.doc_id)
 SELECT *, CAST(least(100, least(5 * categories, 30) + least(5 * (doc_id % 7), 25) + least(3 * technical, 25) + least(4 * soft, 20)) AS BIGINT) AS score FROM p"""
 
@@ -206,7 +202,4 @@ QUERIES = {
     "marketability": (marketability, MARKETABILITY),
     "section_split": (section_split, SECTIONS),
     "normalize_fields": (normalize_fields, NORMALIZE),
-    "query_keywords_whole": (partial(query_keywords, texts=_whole), None),
-    "skill_categories_whole": (partial(skill_categories, texts=_whole), None),
-    "marketability_whole": (partial(marketability, texts=_whole), None),
 }

@@ -52,7 +52,7 @@ def test_text_queries_read_the_documents(spark, tmp_path):
     said = "filler words in a row " * 2000
     rows = [(10, said + "\nSenior data engineer in Chicago, salary of $150k, knows Kubernetes\nend"), (19, None), (29, said)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {n: registry.queries()[f"{n}_whole"](spark, str(tmp_path)).collect() for n in ("query_keywords", "skill_categories", "marketability", "resume_entries")}
+    got = {n: registry.queries()[n](spark, str(tmp_path)).collect() for n in ("query_keywords", "skill_categories", "marketability", "resume_entries")}
     words = {r["doc_id"]: r for r in got["query_keywords"]}
     assert set(words) == {10, 19, 29} and words[10]["low"] == 150_000 and "Chicago" in words[10]["places"] and "data engineer" in words[10]["titles"]
     assert words[19].asDict() | {"doc_id": 29} == words[29].asDict()
