@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from ..functions import normalize as nz
 from ..operators import evaluation, graph, lexical, quality
 from ..sources import graph_tables as g
+from ..sources import readers
 from ..sources.tables import table
 from ..streaming import ingest
 from .graph import SQL
@@ -138,7 +139,7 @@ def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_extendedprice").alias("p")).withColumn("pos", F.row_number().over(W.partitionBy(F.col("id") % 100).orderBy(F.desc("p"), "id")))
     gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
-    return asked.join(gone, "id", "left_anti").join(o, "id").select("id", "pos", "o_totalprice")
+    return readers.multi_get(o, readers.without(asked, gone, "id"), "id").select("id", "pos", "o_totalprice")
 
 
 def structured_filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:

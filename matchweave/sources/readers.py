@@ -149,8 +149,50 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def csv_counts(rows: DataFrame) -> DataFrame:
+    """(rows, without_title, jobs) of any job CSV, from one pass."""
+    blank = nz.text_field(rows, *JOB_ALIASES["title"]) == ""
+    return rows.agg(F.count("*").alias("rows"), F.count_if(blank).alias("without_title"), F.count_if(~blank).alias("jobs"))
+
+
 def store(new: DataFrame, old: DataFrame | None, path: str, key: str = "job_id", stamp: str = "ingest_ts") -> None:
-    """Upserts by key into a new folder: the row with the latest stamp stays. Never in place."""
+    """Upserts by key into a new folder: the row with the latest stamp stays, of equal stamps the one
+    whose content comes last as JSON. Never in place."""
     rows = new if old is None else old.unionByName(new, allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy(F.desc(stamp))
+    w = W.partitionBy(key).orderBy(F.desc(stamp), F.desc(F.to_json(F.struct(*sorted(rows.columns)))))
     rows.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").write.parquet(path)
+
+
+def bulk_store(rows: DataFrame, path: str, order: str, key: str = "job_id", title: str = "title", stamp: str = "ingest_ts", first: int = 20) -> DataFrame:
+    """Stores the rows that have a key and a title; (kind, n, line): how many were accepted and
+    refused, and the first refusals by ``order``, each line once."""
+    why = F.when(F.col(key).isNull(), "no id").when(F.col(title).isNull(), "no title")
+    judged = rows.withColumn("kind", why)
+    store(judged.where("kind is null").drop("kind"), None, path, key, stamp)
+    counts = judged.groupBy(F.when(F.col("kind").isNull(), "accepted").otherwise("refused").alias("kind")).agg(F.count("*").alias("n"))
+    refused = judged.where("kind is not null").select("kind", F.lit(1).cast("long").alias("n"), F.col(order).alias("line")).distinct().orderBy("line").limit(first)
+    return counts.withColumn("line", F.lit(None).cast(rows.schema[order].dataType)).unionByName(refused)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str = "job_id") -> DataFrame:
+    """The rows whose key is not among those to delete."""
+    return rows.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def multi_get(rows: DataFrame, asked: DataFrame, key: str = "job_id") -> DataFrame:
+    """Rows of the asked keys with the position (``pos``) they were asked at; unknown keys drop out."""
+    return asked.select(key, "pos").join(rows, key)
+
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """One table of ids and vectors."""
+    vectors.select("id", "vector").write.parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id long, vector array<float>").parquet(path)
+
+
+def clear(df: DataFrame, path: str) -> None:
+    """Overwrites a table with an empty one of the same columns."""
+    df.limit(0).write.mode("overwrite").parquet(path)
