@@ -183,6 +183,26 @@ def lexical_features(text_score: Column, query: Column, title: Column, need: Col
     }
 
 
+def keyword_mix(keyword: Column, original: Column, share: float = 0.6) -> Column:
+    """Keyword and original score in one: 60 to 40."""
+    return share * keyword + (1 - share) * original
+
+
+def degree_value(degrees: Column) -> Column:
+    """The highest degree named: 0 for high school to 4 for a doctorate, -1 for none."""
+    level = lambda d: F.when(F.contains(d, F.lit("high_school")), 0).when(F.contains(d, F.lit("associate")), 1).when(F.contains(d, F.lit("bachelor")), 2).when(F.contains(d, F.lit("master")), 3).when(F.contains(d, F.lit("doctorate")), 4).otherwise(-1)
+    return F.coalesce(F.array_max(F.transform(degrees, lambda d: level(F.lower(d)))), F.lit(-1))
+
+
+def worked_years(entries: Column, skill_years: Column, now: Column) -> Column:
+    """Years over entries (start, end): days over 365.25, an open one up to ``now``, none under 0; where
+    that is 0, the years of the skills."""
+    days = lambda e: F.when(e["start"].isNull(), 0).otherwise(F.greatest(F.lit(0), F.date_diff(F.coalesce(e["end"], now), e["start"])))
+    total = F.aggregate(entries, F.lit(0.0), lambda s, e: s + days(e) / 365.25)
+    listed = F.aggregate(skill_years, F.lit(0.0), lambda s, y: s + F.coalesce(y, F.lit(0)).cast("double"))
+    return F.when(F.coalesce(total, F.lit(0.0)) > 0, total).otherwise(F.coalesce(listed, F.lit(0.0)))
+
+
 def attributions(features: dict[str, Column], k: int = 3) -> Column:
     """The k features of largest size as 'name=+0.00' (half to even), joined by a comma."""
     parts = F.array(*[F.struct(F.lit(n).alias("n"), c.cast("double").alias("v")) for n, c in features.items()])

@@ -82,6 +82,15 @@ SINGLE_SALARIES = (
     r"(\d+)\s*(?:thousand|k)\s*(?:annual|yearly|per year|salary|dollars)",
     r"salary\s*(?:of|is|:)?\s*\$?(\d+)k?",
 )
+CAPITALISED = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+NO_TECHNOLOGY = ("Software", "Engineer", "Developer", "California", "United", "States")
+TECHNOLOGY = ("js", "jsx", "ts", "py", "java", "go", "rust", "swift", "kotlin", "api", "sdk", "sql", "nosql", "db", "orm", "http", "https", "ui", "ux", "css", "html", "xml", "json", "yaml", "toml")
+FRAMEWORKS = ("React", "Angular", "Vue", "Django", "Flask", "Express", "Spring")
+PLACE_PATTERNS = (
+    (r"\b(?:in|at|near|from)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*),?\s*([A-Z]{2})?\b", 2),
+    (r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*),?\s*([A-Z]{2})\b", 2),
+    (r"\b(?:in|at|near|from)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", 1),
+)
 STATES = ("California", "New York", "Texas", "Florida", "Illinois", "Pennsylvania", "Ohio", "Georgia", "North Carolina", "Michigan", "New Jersey", "Virginia", "Washington", "Arizona", "Massachusetts", "Tennessee", "Indiana", "Missouri", "Maryland", "Wisconsin")
 CITIES = ("San Francisco", "New York", "Los Angeles", "Chicago", "Houston", "Phoenix", "Philadelphia", "San Antonio", "San Diego", "Dallas", "San Jose", "Austin", "Jacksonville", "Fort Worth", "Columbus", "Charlotte", "Seattle", "Denver", "Boston", "El Paso")
 
@@ -153,6 +162,24 @@ def salaries(text: Column) -> Column:
     return F.struct(F.array_min(found).alias("low"), F.array_max(found).alias("high"))
 
 
+def technical_terms(text: Column) -> Column:
+    """Sorted capitalised terms that hold a word part of technology or name a framework."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CAPITALISED), F.lit(0))
+    likely = lambda x: (F.lower(x).rlike("|".join(TECHNOLOGY)) | x.isin(*FRAMEWORKS)) & (F.length(x) > 2) & ~x.isin(*NO_TECHNOLOGY)
+    return F.array_sort(F.array_distinct(F.filter(found, likely)))
+
+
+def named_places(text: Column) -> Column:
+    """Sorted places written as 'in City, ST', 'City, ST' or 'in Place'."""
+    t = F.coalesce(text, F.lit(""))
+    parts = []
+    for p, groups in PLACE_PATTERNS:
+        one = F.regexp_extract_all(t, F.lit(p), F.lit(1))
+        two = F.regexp_extract_all(t, F.lit(p), F.lit(2)) if groups == 2 else F.transform(one, lambda x: F.lit(""))
+        parts.append(F.zip_with(one, two, lambda a, b: F.when(F.coalesce(b, F.lit("")) != "", F.concat(a, F.lit(", "), b)).otherwise(a)))
+    return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+
 def places(text: Column) -> Column:
     """Sorted states and cities that the text contains, and Remote."""
     t = F.lower(F.coalesce(text, F.lit("")))

@@ -24,15 +24,52 @@ def merge_edges(*edges: DataFrame) -> DataFrame:
 
 
 def job_edges(job: DataFrame) -> DataFrame:
-    """(src, dst, type, props) of postings: company, location and required or preferred skills."""
+    """(src, dst, type, props) of postings: company, location, required or preferred skills, and
+    benefits where there is such a column."""
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     flag = lambda v: F.create_map(F.lit("required"), F.lit(v))
     skills = lambda c, v: job.select(F.col("job_id").cast("string").alias("src"), F.explode(c).alias("dst"), F.lit("REQUIRES_SKILL").alias("type"), flag(v).alias("props"))
     plain = lambda c, t: job.select(F.col("job_id").cast("string").alias("src"), c.alias("dst"), F.lit(t).alias("type"), none.alias("props"))
     place = F.concat_ws("_", "city", "state")
-    return merge_edges(plain(F.col("company"), "OFFERED_BY"), plain(place, "LOCATED_IN"), skills("required_skills", "true"), skills("preferred_skills", "false"))
+    offers = [job.select(F.col("job_id").cast("string").alias("src"), F.explode("benefits").alias("dst"), F.lit("OFFERS_BENEFIT").alias("type"), none.alias("props"))] if "benefits" in job.columns else []
+    return merge_edges(plain(F.col("company"), "OFFERED_BY"), plain(place, "LOCATED_IN"), skills("required_skills", "true"), skills("preferred_skills", "false"), *offers)
 
 
+def candidate_edges(skills: DataFrame, history: DataFrame) -> DataFrame:
+    """(src, dst, type, props) of candidates: skills (candidate_id, skill, level, years; without a
+    level intermediate, without years 0) and past employers (candidate_id, company, position,
+    start_date, end_date). An edge written twice is one."""
+    has = F.create_map(F.lit("level"), F.coalesce("level", F.lit("intermediate")), F.lit("years"), F.coalesce(F.col("years").cast("string"), F.lit("0")))
+    worked = F.create_map(*[x for c in ("position", "start_date", "end_date") for x in (F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("")))])
+    one = skills.select(F.col("candidate_id").cast("string").alias("src"), F.col("skill").alias("dst"), F.lit("HAS_SKILL").alias("type"), has.alias("props"))
+    two = history.select(F.col("candidate_id").cast("string").alias("src"), F.col("company").alias("dst"), F.lit("WORKED_AT").alias("type"), worked.alias("props"))
+    return merge_edges(one, two)
+
+
+def write_relations(known: DataFrame, new: DataFrame) -> DataFrame:
+    """Relations (src, dst, kind, confidence, seq): of one pair the last written stays, whichever
+    end it names first."""
+    both = known.unionByName(new)
+    ends = both.withColumns({"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")})
+    return keep_latest(ends, ["src", "dst"], F.desc("seq"), "kind")
+
+
+def vertices(edges: DataFrame, type_: str) -> DataFrame:
+    """(key, degree): the ends of one kind of edge, each once, with how many edges meet there."""
+    return edges.where(F.col("type") == type_).groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("degree"))
+
+
+def path_to_place(asked: DataFrame, located: DataFrame, limit: int = 4) -> DataFrame:
+    """(query_id, job_id, hops) of asked places (query_id, place) and jobs' places (job_id, place):
+    1 where a job lies in a place asked for, 3 where it shares another place with such a job."""
+    asked, located = asked.select("query_id", F.lower("place").alias("place")).distinct(), located.select("job_id", F.lower("place").alias("place")).distinct()
+    one = asked.join(located, "place").select("query_id", "job_id").distinct()
+    out = one.withColumn("hops", F.lit(1))
+    if limit >= 3:  # the places that the jobs found lie in as well, each once a query, not each job's
+        near = one.join(located, "job_id").select("query_id", "place").distinct().join(asked, ["query_id", "place"], "left_anti")
+        out = out.union(near.join(located, "place").select("query_id", "job_id").distinct().withColumn("hops", F.lit(3)))
+    return out.groupBy("query_id", "job_id").agg(F.min("hops").alias("hops"))
+
 def keep_latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The last row of each key by ``order``."""
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
@@ -113,15 +150,18 @@ def pair_match(pairs: DataFrame, requires: DataFrame, has: DataFrame) -> DataFra
 
 
 def skill_gap(pairs: DataFrame, requires: DataFrame, has: DataFrame) -> DataFrame:
-    """(candidate_id, job_id, matched, missing, coverage, jaccard) of given pairs; skill arrays are
-    sorted, coverage has 2 digits and Jaccard 4, rounded half to even; no job skills give 0."""
+    """(candidate_id, job_id, family_match, evidence, matched, missing, coverage, jaccard) of given pairs
+    (and their families, where the pairs have family and job_family); skill arrays are sorted,
+    evidence names the path over each matched skill, coverage has 2 digits and Jaccard 4, rounded half to even; no job skills give 0."""
     need = requires.groupBy("job_id").agg(F.array_sort(F.collect_set("skill")).alias("need"))
     own = has.groupBy("candidate_id").agg(F.array_sort(F.collect_set("skill")).alias("own"))
     empty = F.array().cast("array<string>")
     both = pairs.join(need, "job_id", "left").join(own, "candidate_id", "left").withColumns({"need": F.coalesce("need", empty), "own": F.coalesce("own", empty)})
     matched = F.array_intersect("need", "own")
     share = lambda a, b, d: F.when(b > 0, F.bround(a / b, d)).otherwise(0.0)
-    return both.select("candidate_id", "job_id", matched.alias("matched"), F.array_except("need", "own").alias("missing"), share(F.size(matched), F.size("need"), 2).alias("coverage"), F.when(F.size("need") > 0, share(F.size(matched), F.size(F.array_union("need", "own")), 4)).otherwise(0.0).alias("jaccard"))
+    evidence = F.transform(matched, lambda s: F.concat(F.lit("candidate "), F.col("candidate_id"), F.lit(" -HAS_SKILL-> "), s, F.lit(" <-REQUIRES_SKILL- job "), F.col("job_id")))
+    family = F.coalesce((F.col("family") == F.col("job_family")).cast("int"), F.lit(0)) if {"family", "job_family"} <= set(pairs.columns) else F.lit(0)
+    return both.select("candidate_id", "job_id", F.when(F.size("need") > 0, family).otherwise(0).alias("family_match"), evidence.alias("evidence"), matched.alias("matched"), F.array_except("need", "own").alias("missing"), share(F.size(matched), F.size("need"), 2).alias("coverage"), F.when(F.size("need") > 0, share(F.size(matched), F.size(F.array_union("need", "own")), 4)).otherwise(0.0).alias("jaccard"))
 
 
 def demand(requires: DataFrame) -> DataFrame:

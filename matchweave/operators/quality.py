@@ -53,6 +53,25 @@ def label_pool(ranking: DataFrame, items: DataFrame, families: DataFrame, matche
     return chosen.unionByName(fill)
 
 
+def label_report(labels: DataFrame, issues: DataFrame) -> DataFrame:
+    """(metric, value): records, pairs and queries labelled, labels by grade and source, the least,
+    greatest and mean confidence (4 digits), and how many issues there are. One pass over the labels."""
+    longs = labels.agg(
+        F.count("*").alias("records"), F.countDistinct("query_id", "doc_id").alias("pairs"), F.countDistinct("query_id").alias("queries"),
+        F.round(F.avg("confidence"), 4).alias("confidence_mean"), F.min("confidence").alias("confidence_min"), F.max("confidence").alias("confidence_max"),
+    )
+    rows = longs.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in longs.columns])))
+    for name in ("grade", "source"):
+        by = labels.where(F.col(name).isNotNull()).groupBy(F.concat(F.lit(f"{name}_"), name).alias("metric")).agg(F.count("*").cast("double").alias("value"))
+        rows = rows.unionByName(by)
+    return rows.unionByName(issues.agg(F.count("*").cast("double").alias("value")).select(F.lit("issues").alias("metric"), "value"))
+
+
+def first_issues(issues: DataFrame, k: int = 500) -> DataFrame:
+    """The first ``k`` issues by query, document and name."""
+    return issues.orderBy("query_id", "doc_id", "issue").limit(k)
+
+
 ISSUES = ("missing_field", "not_in_pool", "bad_grade", "bad_confidence", "low_confidence", "flag_not_boolean", "no_resume_evidence", "no_job_evidence", "zero_without_reason", "duplicate")
 
 

@@ -47,10 +47,12 @@ SELECT query_id, hops, count(*) AS jobs, min(job_id) AS first_job FROM path WHER
 
 
 def location_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hop from a place to a job in it; the jobs and the first of them for each place named."""
-    j = g.jobs(spark, sf_dir)
-    places = j.select("job_id", F.explode(F.array_distinct(F.array("city", "state"))).alias("place"))
-    return places.groupBy("place").agg(F.lit(1).alias("hops"), F.count("*").alias("jobs"), F.min("job_id").alias("first_job"))
+    """Hops from each brand's city to jobs: one where they lie in it, three over another place."""
+    located = g.jobs(spark, sf_dir).select("job_id", F.explode(F.array_distinct(F.array("city", "state"))).alias("place"))
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("query_id")).distinct()
+    asked = brands.select("query_id", F.concat(F.lit("nation_"), F.regexp_extract("query_id", "[0-9]+", 0)).alias("place"))
+    paths = graph.path_to_place(asked, located)
+    return paths.groupBy("query_id", "hops").agg(F.count("*").alias("jobs"), F.min("job_id").alias("first_job"))
 
 
 def graph_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,15 +95,16 @@ SELECT candidate_id, job_id, job_skills, candidate_skills, coalesce(matched, 0)
 
 
 def skill_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = graph.skill_gap(match_pairs(spark, sf_dir), g.requires(spark, sf_dir), g.has(spark, sf_dir))
-    return out.select("candidate_id", "job_id", F.array_join("matched", "|").alias("matched"), F.array_join("missing", "|").alias("missing"), "coverage", "jaccard")
+    families = match_pairs(spark, sf_dir).withColumns({"family": F.col("candidate_id") % 3, "job_family": F.col("job_id") % 3})
+    out = graph.skill_gap(families, g.requires(spark, sf_dir), g.has(spark, sf_dir))
+    return out.select("candidate_id", "job_id", "family_match", F.array_join("evidence", "; ").alias("evidence"), F.array_join("matched", "|").alias("matched"), F.array_join("missing", "|").alias("missing"), "coverage", "jaccard")
 
 
 SKILL_GAP = f"""WITH {SQL}, {PAIRS},
 need AS (SELECT job_id, list_sort(list(skill)) AS need FROM requires GROUP BY job_id), own AS (SELECT candidate_id, list_sort(list(skill)) AS own FROM has GROUP BY candidate_id),
 b AS (SELECT candidate_id, job_id, coalesce(need, []) AS need, coalesce(own, []) AS own FROM pairs LEFT JOIN need USING (job_id) LEFT JOIN own USING (candidate_id)),
 m AS (SELECT *, list_filter(need, lambda x: list_contains(own, x)) AS hit, list_filter(need, lambda x: NOT list_contains(own, x)) AS miss FROM b)
-SELECT candidate_id, job_id, array_to_string(hit, '|') AS matched, array_to_string(miss, '|') AS missing, CASE WHEN len(need) > 0 THEN round_even(len(hit) / len(need), 2) ELSE 0.0 END AS coverage,
+SELECT candidate_id, job_id, CASE WHEN len(need) > 0 AND candidate_id % 3 = job_id % 3 THEN 1 ELSE 0 END AS family_match, array_to_string(list_transform(hit, lambda s: 'candidate ' || candidate_id || ' -HAS_SKILL-> ' || s || ' <-REQUIRES_SKILL- job ' || job_id), '; ') AS evidence, array_to_string(hit, '|') AS matched, array_to_string(miss, '|') AS missing, CASE WHEN len(need) > 0 THEN round_even(len(hit) / len(need), 2) ELSE 0.0 END AS coverage,
 CASE WHEN len(need) > 0 THEN round_even(len(hit) / (len(need) + len(own) - len(hit)), 4) ELSE 0.0 END AS jaccard FROM m"""
 
 
@@ -150,11 +153,13 @@ def job_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of every job by kind: how many, and how many different ends."""
     need = g.requires(spark, sf_dir).groupBy("job_id").agg(F.collect_set("skill").alias("required_skills"))
     none = F.array().cast("array<string>")
-    job = g.jobs(spark, sf_dir).join(need, "job_id", "left").withColumns({"required_skills": F.coalesce("required_skills", none), "preferred_skills": none})
+    offers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.collect_set("l_returnflag").alias("benefits"))
+    job = g.jobs(spark, sf_dir).join(need, "job_id", "left").join(offers, "job_id", "left")
+    job = job.withColumns({"required_skills": F.coalesce("required_skills", none), "preferred_skills": none, "benefits": F.coalesce("benefits", none)})
     return graph.job_edges(job).groupBy("type").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("jobs"), F.countDistinct("dst").alias("ends"))
 
 
-JOB_GRAPH = f"""WITH {SQL}, e AS (SELECT job_id, skill AS dst, 'REQUIRES_SKILL' AS type FROM requires JOIN jobs USING (job_id) UNION ALL SELECT job_id, company, 'OFFERED_BY' FROM jobs UNION ALL SELECT job_id, city || '_' || state, 'LOCATED_IN' FROM jobs)
+JOB_GRAPH = f"""WITH {SQL}, e AS (SELECT job_id, skill AS dst, 'REQUIRES_SKILL' AS type FROM requires JOIN jobs USING (job_id) UNION ALL SELECT job_id, company, 'OFFERED_BY' FROM jobs UNION ALL SELECT job_id, city || '_' || state, 'LOCATED_IN' FROM jobs UNION ALL SELECT DISTINCT l_orderkey, l_returnflag, 'OFFERS_BENEFIT' FROM lineitem JOIN jobs ON l_orderkey = job_id)
 SELECT type, count(*) AS edges, count(DISTINCT job_id) AS jobs, count(DISTINCT dst) AS ends FROM e GROUP BY type"""
 
 
@@ -181,7 +186,7 @@ QUERIES = {
     "skill_hops2": (skill_hops2, f"WITH {SQL}, {REACHED}, h AS (SELECT query_id, job_id, count(DISTINCT skill) AS hits FROM requires JOIN reach USING (skill) GROUP BY ALL) {_top('h')}"),
     "related_skills": (related_skills, f"WITH {SQL}, {REACHED} SELECT query_id, skill FROM reach"),
     "skill_path": (skill_path, SKILL_PATH),
-    "location_path": (location_path, f"WITH {SQL}, p AS (SELECT job_id, city AS place FROM jobs UNION SELECT job_id, state FROM jobs) SELECT place, 1 AS hops, count(*) AS jobs, min(job_id) AS first_job FROM p GROUP BY place"),
+    "location_path": (location_path, f"WITH {SQL}, p AS (SELECT job_id, lower(city) AS place FROM jobs UNION SELECT job_id, lower(state) FROM jobs), b AS (SELECT DISTINCT p_brand AS query_id, 'nation_' || regexp_extract(p_brand, '[0-9]+') AS place FROM part), h1 AS (SELECT DISTINCT query_id, job_id FROM b JOIN p USING (place)), n3 AS (SELECT DISTINCT query_id, p.place FROM h1 JOIN p USING (job_id) ANTI JOIN b ON b.query_id = h1.query_id AND b.place = p.place), h AS (SELECT query_id, job_id, 1 AS hops FROM h1 UNION ALL SELECT DISTINCT query_id, job_id, 3 FROM n3 JOIN p USING (place)), m AS (SELECT query_id, job_id, min(hops) AS hops FROM h GROUP BY ALL) SELECT query_id, hops, count(*) AS jobs, min(job_id) AS first_job FROM m GROUP BY ALL"),
     "graph_text_match": (graph_text_match, TEXT_MATCH),
     "pair_match": (pair_match, PAIR_MATCH),
     "skill_gap": (skill_gap, SKILL_GAP),
