@@ -19,6 +19,7 @@ give a row; an empty table gives no rows; other columns of the input are not rea
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,9 @@ from .common import cut
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
 #: Pre-tokens whose ids a worker remembers.
-CACHE_LIMIT = 120_000
+CACHE_LIMIT = 60_000
+#: Texts encoded at a time.
+ROWS = 500
 
 #: Two characters between which no pre-token goes on, wherever reading starts.
 _SURE_BOUNDARY = r"\p{L}[^\s\p{L}]|\p{N}[^\s\p{N}]|[^\s\p{L}\p{N}]\p{N}|\S[ \t\n]"
@@ -63,13 +66,25 @@ class _Pieces(dict):
 @lru_cache(maxsize=2)
 def _pieces_of(path: str) -> list[bytes]:
     """The bytes of each id."""
-    known = _ranks(path)
-    out = [b""] * (max(known.values()) + 1)
-    for piece, rank in known.items():
+    with open(path, "rb") as f:
+        known = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, f)]
+    out = [b""] * (max(known)[0] + 1)
+    for rank, piece in known:
         out[rank] = piece
     return out
 
 
+def decode_bytes(ids: bytes, path: str) -> bytes:
+    """The bytes of little-endian unsigned 32-bit ids, concatenated."""
+    return b"".join(map(_pieces_of(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _digests(ids: list[bytes], path: str) -> dict:
+    """How many ids there are, and the digests of the ids and of what they decode to."""
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return {"n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [*map(sha, ids)], "decoded_sha256": [sha(decode_bytes(x, path)) for x in ids]}
+
+
 @lru_cache(maxsize=1)
 def _sure():
     import regex
@@ -107,19 +122,24 @@ def pretoken_bounds(window: str, last: bool, path: str, pattern: str) -> np.ndar
     return np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]).astype("<i4")
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """(id, ids): each document's ids as little-endian unsigned 32-bit integers in a binary.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, digest: bool = False) -> DataFrame:
+    """(id, ids): each document's ids as little-endian unsigned 32-bit integers in a binary; with
+    ``digest``, what ``round_trip`` returns of them, decoded where they are made.
 
     Texts of one chunk are encoded where they are read. The chunks of longer texts are spread
     over the cluster, once to be split into pre-tokens and once to be merged; only the places of
     boundaries near seams, and in the end the ids, come together per document."""
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    made = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids binary"
+    of = (lambda ids: _digests(ids, ranks_path)) if digest else (lambda ids: {"ids": ids})
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, pieces = _tools(ranks_path, pattern)
         for batch in batches:
-            yield pd.DataFrame({"doc": batch["doc"], "ids": [b"".join(map(pieces.__getitem__, find.findall(t))) for t in batch["text"]]})
+            for at in range(0, len(batch), ROWS):
+                some = batch.iloc[at : at + ROWS]
+                yield pd.DataFrame({"doc": some["doc"].to_numpy()} | of([b"".join(map(pieces.__getitem__, find.findall(t))) for t in some["text"]]))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -150,9 +170,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             yield pd.DataFrame({"uid": batch["uid"], "chunk": batch["chunk"], "ids": ids})
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"uid": rows["uid"].iloc[:1], "ids": [b"".join(rows.sort_values("chunk")["ids"])]})
+        return pd.DataFrame({"uid": rows["uid"].iloc[:1].to_numpy()} | of([b"".join(rows.sort_values("chunk")["ids"])]))
 
-    one = docs.where(F.length("text") <= chunk).mapInPandas(short, f"doc {kind}, ids binary")
+    one = docs.where(F.length("text") <= chunk).mapInPandas(short, f"doc {kind}, {made}")
     # rows get a number of their own; it is written, so that a lost executor can't change it
     long = cut(docs.where(F.length("text") > chunk).withColumn("uid", F.monotonically_increasing_id()), "long-texts")
     spread = long.select("uid", "text").mapInPandas(split, "uid long, chunk int, chunks int, start long, before long, window string").repartition(F.col("uid"), F.col("chunk"))
@@ -161,8 +181,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     seam = F.array_min(F.array_intersect("tail", F.lead("head").over(order)))
     seams = read.select("uid", "chunk", seam.alias("to")).select("uid", "chunk", F.coalesce("to", F.lit(-1)).alias("to"), F.coalesce(F.lag("to").over(order), F.lit(0)).alias("from_"))
     coded = read.select("uid", "chunk", "chunks", "start", "window", "bounds").join(seams, ["uid", "chunk"]).mapInPandas(merge, "uid long, chunk int, ids binary")
-    joined = coded.groupBy("uid").applyInPandas(join, "uid long, ids binary")
-    return one.unionByName(long.select("uid", "doc").join(joined, "uid").select("doc", "ids")).withColumnRenamed("doc", id_col)
+    joined = coded.groupBy("uid").applyInPandas(join, f"uid long, {made}")
+    return one.unionByName(long.select("uid", "doc").join(joined, "uid").drop("uid")).withColumnRenamed("doc", id_col)
 
 
 def decode(ids: Column, ranks_path: str) -> Column:
@@ -170,18 +190,11 @@ def decode(ids: Column, ranks_path: str) -> Column:
 
     @F.pandas_udf("binary")
     def to_bytes(batch: pd.Series) -> pd.Series:
-        table = _pieces_of(ranks_path).__getitem__
-        return pd.Series([None if x is None else b"".join(map(table, np.frombuffer(x, "<u4").tolist())) for x in batch], dtype=object)
+        return pd.Series([None if x is None else decode_bytes(x, ranks_path) for x in batch], dtype=object)
 
     return to_bytes(ids)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, and the digests of its ids and of what they decode to."""
-    coded = encode(docs, ranks_path, pattern)
-    return coded.select(
-        "doc_id",
-        (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), ranks_path), 256).alias("decoded_sha256"),
-    )
+    return encode(docs, ranks_path, pattern, digest=True)

@@ -33,8 +33,8 @@ from .common import cut
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of one length in one ranking group, about.
-RANKED = 100_000
+#: Pieces of one length in one ranking group, about, and groups of all lengths, about, beyond which they grow.
+RANKED, RANKINGS = 1_000, 1_000_000
 CACHE_LIMIT = 150_000
 
 _NOT_LATIN1 = re.compile("[^\x00-\xff]")
@@ -187,8 +187,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     # their number depends on the capacity: 32,213 for 10^5 pieces, 31,413 for 10^8
     runs = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 5)
-    # a length has as many groups as its pieces ask for, so all together have few more than lengths and pieces / RANKED
-    groups = spark.createDataFrame([(k, max(1, -(-n // RANKED))) for k, n in counts.items()], "length long, salts long")
+    # a length has as many groups as its pieces ask for, so all together are few more than lengths and RANKINGS
+    each = max(RANKED, sum(counts.values()) // RANKINGS)
+    groups = spark.createDataFrame([(k, max(1, -(-n // each))) for k, n in counts.items()], "length long, salts long")
     parts = parts.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts")
     sizes = cut(parts.groupBy("length", "salt").agg(F.count("*").alias("n")), "piece-lengths")
     before = sizes.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))

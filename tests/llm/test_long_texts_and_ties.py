@@ -53,3 +53,11 @@ def test_large_components_keep_exact_answers(spark):
             mine = [int(c * 1024 // 1) for c in v]
             want = sorted(((-sum(a * int(c * 1024 // 1) for a, c in zip(mine, w)), i) for i, w in rows if i != q))[:10]
             assert [(s, i) for _, i, s in sorted(got[q])] == [(-s, i) for s, i in want]
+
+
+def test_decoding_gives_the_bytes_back(spark):
+    texts = ["plain text, it's 12", "日本語 ü\n\n x", "", "word " * 40]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    coded = bpe.encode(df, RANKS, public_tokenizers.PATTERN, chunk=60, overlap=20)
+    back = {x["doc_id"]: bytes(x["back"]).decode() for x in coded.select("doc_id", bpe.decode(coded["ids"], RANKS).alias("back")).collect()}
+    assert back == dict(enumerate(texts))
