@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import tokens
+from ..functions.text import tokens  # noqa: F401
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

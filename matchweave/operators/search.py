@@ -33,6 +33,28 @@ def text_search(jobs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return lexical.top_k(lexical.multi_field(fields, queries, tie=0.0), k)
 
 
+def fuzzy_text_search(jobs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank) of (job_id, title, description, skills: array, posted_date): query
+    words as they stand in the jobs, or the words within one or two edits of them; the best of title
+    (three times), description (twice) and all text, plus twice the skills' score, plus one for each
+    skill that the query names exactly. Of equal scores the newest job comes first."""
+    said = jobs.withColumn("skills_text", F.array_join("skills", " "))
+    field = lambda *c: said.select(F.col("job_id").alias("doc_id"), F.concat_ws(" ", *c).alias("text"))
+    everything = field("title", "description", "skills_text")
+    words = everything.select(F.explode(F.array_distinct(lexical.tokens(F.col("text")))).alias("word")).distinct()
+    terms = lexical.query_terms(queries)
+    near = lexical.fuzzy_vocabulary(terms.select("term").distinct(), words)
+    asked = terms.join(near, "term").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("text"))
+    best = lexical.multi_field({"title": (field("title"), 3.0), "description": (field("description"), 2.0), "all": (everything, 1.0)}, asked, tie=0.0, share=0.0)
+    skill = lexical.bm25(field("skills_text"), asked, 1.2, 0.75, numerator=False).select("query_id", "doc_id", (2 * F.col("score")).alias("score"))
+    named = queries.select("query_id", F.explode(F.split(F.lower("text"), " ")).alias("skill")).distinct()
+    exact = said.select(F.col("job_id").alias("doc_id"), F.explode("skills").alias("skill")).withColumn("skill", F.lower("skill")).join(named, "skill").groupBy("query_id", "doc_id").agg(F.countDistinct("skill").cast("double").alias("score"))
+    total = best.unionByName(skill).unionByName(exact).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    dated = total.join(jobs.select(F.col("job_id").alias("doc_id"), "posted_date"), "doc_id")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("posted_date"), "doc_id"))
+    return dated.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+
+
 def retrieve(lists: dict[str, DataFrame], cap: int = 400) -> DataFrame:
     """Ranked lists by source name, in order of precedence, merged to one list per query."""
     tagged = [df.select("query_id", "job_id", "rank", F.lit(name).alias("source"), F.lit(i).alias("o")) for i, (name, df) in enumerate(lists.items())]

@@ -258,6 +258,143 @@ def as_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 AS_QUERIES = f"""WITH {SQL}, own AS (SELECT candidate_id, list_sort(list(skill)) AS s FROM has GROUP BY candidate_id), p AS (SELECT c_custkey AS i, c_name, c_mktsegment AS m, coalesce(s, []) AS s FROM customer LEFT JOIN own ON candidate_id = c_custkey)
 SELECT i AS query_id, md5(concat_ws(' ', CASE WHEN i % 2 = 0 THEN c_name END, nullif(array_to_string(s, ' '), ''), m || ' b c')) AS text, CASE WHEN i % 8 >= 5 THEN 'senior' WHEN i % 8 >= 2 THEN 'mid' ELSE 'entry' END AS level, CASE WHEN i % 8 >= 5 THEN 80000 WHEN i % 8 >= 2 THEN 60000 ELSE 40000 END AS min_salary, array_to_string(s[1:5], '|') AS required, array_to_string(s[6:10], '|') AS preferred FROM p"""
 
+COMPANIES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, text, skills, place, company): what each brand looks for."""
+    n = F.regexp_extract("query_id", "[0-9]+", 0).cast("int")
+    asked = g.asked(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_set("skill")).alias("skills"))
+    named = F.element_at(F.array(*[F.lit(c) for c in COMPANIES]), n % 5 + 1)
+    return asked.select("query_id", F.array_join("skills", " ").alias("text"), "skills", F.concat(F.lit("NATION_"), n).alias("place"), named.alias("company"))
+
+
+def _job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    need = g.requires(spark, sf_dir).groupBy("job_id").agg(F.array_sort(F.collect_set("skill")).alias("skills"))
+    j = g.jobs(spark, sf_dir).join(need, "job_id")
+    return j.select("job_id", F.concat_ws(" ", "company", "level").alias("title"), F.concat_ws(" ", "city", "state", "company").alias("description"), "skills", F.array_join("skills", " ").alias("text"), "city", "state", "company", "posted_date")
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The merged candidates of three retrievers (200, 200 and 100 each, 400 in all), and BM25 scores."""
+    asked, jobs = _searches(spark, sf_dir), _job_texts(spark, sf_dir)
+    scored = lexical.bm25(jobs.select(F.col("job_id").alias("doc_id"), "text"), asked.select("query_id", "text")).withColumnRenamed("doc_id", "job_id")
+    lists = {
+        "lexical": lexical.top_k(scored, 200, item="job_id"),
+        "semantic": vectors.sparse_topk(asked.select("query_id", "text"), jobs.select(F.col("job_id").alias("item_id"), "text"), 200).withColumnRenamed("item_id", "job_id"),
+        "graph": lexical.top_k(graph.two_hops(g.asked(spark, sf_dir), g.related(spark, sf_dir), g.requires(spark, sf_dir)), 100, item="job_id", score="hits"),
+    }
+    return search.retrieve(lists), scored
+
+
+_JOB_TOKENS = TOKENS.replace("FROM documents", "FROM nt").replace("item_id AS query_id", "query_id").replace("FROM benchmark", "FROM qx")
+RETRIEVED = f"""{SQL}, nt AS (SELECT job_id AS doc_id, string_agg(skill, ' ' ORDER BY skill) AS text FROM requires JOIN jobs USING (job_id) GROUP BY job_id), qx AS (SELECT query_id, string_agg(skill, ' ' ORDER BY skill) AS text FROM asked GROUP BY query_id), {_JOB_TOKENS}, {SCORED},
+{_vector_sql("jv", "nt", "doc_id")}, {_vector_sql("qv", "qx", "query_id")},
+sem AS (SELECT query_id, doc_id, CAST(sum(jv.w * qv.w) AS BIGINT) // 1000000 / 1000000 AS s FROM qv JOIN jv USING (b) GROUP BY ALL),
+hop1x AS (SELECT DISTINCT query_id, skill AS origin, dst AS skill FROM asked JOIN linked ON skill = src), reach AS (SELECT query_id, skill FROM hop1x UNION SELECT query_id, l.dst FROM hop1x h JOIN linked l ON h.skill = l.src WHERE l.dst != h.origin),
+h2 AS (SELECT query_id, job_id, count(DISTINCT skill) AS hop2 FROM requires JOIN reach USING (skill) GROUP BY ALL),
+u AS (SELECT query_id, doc_id AS job_id, rank AS r, 'lexical' AS source, 0 AS o FROM ranked WHERE rank <= 200 UNION ALL (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS r, 'semantic', 1 FROM sem QUALIFY r <= 200)
+ UNION ALL (SELECT query_id, job_id, row_number() OVER (PARTITION BY query_id ORDER BY hop2 DESC, job_id) AS r, 'graph', 2 FROM h2 QUALIFY r <= 100)),
+me AS (SELECT query_id, job_id, min(o * 1000000 + r) AS first, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM u GROUP BY query_id, job_id),
+merged AS (SELECT query_id, job_id, sources FROM me QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY first, job_id) <= 400)"""
+
+
+def search_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search from query to page: three retrievers merged, jobs that a constraint rules out taken
+    away, the rest reranked by similarity with more weight for what the graph found, ten each."""
+    merged, _ = _retrieved(spark, sf_dir)
+    asked, jobs = _searches(spark, sf_dir), _job_texts(spark, sf_dir)
+    number = F.regexp_extract("query_id", "[0-9]+", 0).cast("int")
+    reason = F.when((F.col("job_id") % 10 == 0) & (number % 2 == 0), "no sponsorship").when(F.col("job_id") % 7 == number % 7, "language")
+    kept, out = search.split_by_constraints(merged, reason)
+    similar = vectors.sparse_cosine(kept.select("query_id", F.col("job_id").alias("item_id")), asked.select("query_id", "text"), jobs.select(F.col("job_id").alias("item_id"), "text")).withColumnRenamed("item_id", "job_id")
+    halves = F.when(F.array_contains(F.split("sources", ","), "graph"), 3).otherwise(2)  # times 1.5, in whole millionths
+    boosted = F.floor(F.round(F.col("score") * 1_000_000).cast("long") * halves / 2) / 1_000_000
+    best = search.ranked(kept.join(similar, ["query_id", "job_id"]).select("query_id", "job_id", "sources", boosted.alias("score"))).where("rank <= 10")
+    refused = out.groupBy("query_id").agg(F.count("*").alias("refused"))
+    return best.join(refused, "query_id", "left").join(search.follow_ups(out), "query_id", "left").select("query_id", "job_id", "sources", "score", "rank", F.coalesce("refused", F.lit(0)).alias("refused"), F.array_join("prompts", " ").alias("prompts"))
+
+
+CHAIN = f"""WITH {RETRIEVED}, ju AS (SELECT *, CASE WHEN job_id % 10 = 0 AND CAST(regexp_extract(query_id, '[0-9]+') AS INTEGER) % 2 = 0 THEN 'Do you need sponsorship?' WHEN job_id % 7 = CAST(regexp_extract(query_id, '[0-9]+') AS INTEGER) % 7 THEN 'Which languages do you speak?' END AS why FROM merged),
+rf AS (SELECT query_id, count(*) AS refused, string_agg(DISTINCT why, ' ' ORDER BY why) AS prompts FROM ju WHERE why IS NOT NULL GROUP BY query_id),
+sc AS (SELECT ju.query_id, job_id, sources, CAST(round(coalesce(s, 0) * 1000000) AS BIGINT) * CASE WHEN contains(sources, 'graph') THEN 3 ELSE 2 END // 2 / 1000000 AS score FROM ju LEFT JOIN sem ON sem.query_id = ju.query_id AND sem.doc_id = job_id WHERE why IS NULL)
+SELECT query_id, job_id, sources, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, job_id) AS rank, coalesce(refused, 0) AS refused, prompts FROM sc LEFT JOIN rf USING (query_id) QUALIFY rank <= 10"""
+
+
+def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of each search's candidates: lexical, of three similarities, and of the graph."""
+    merged, scored = _retrieved(spark, sf_dir)
+    pairs = merged.select("query_id", "job_id")
+    asked, jobs = _searches(spark, sf_dir), _job_texts(spark, sf_dir)
+    skills, near, need = g.asked(spark, sf_dir), g.related(spark, sf_dir), g.requires(spark, sf_dir)
+    said = asked.withColumn("text", F.concat_ws(" ", "text", "place", "company"))
+    item = pairs.withColumnRenamed("job_id", "item_id")
+    similar = lambda c, name: vectors.sparse_cosine(item, said.select("query_id", "text"), jobs.select(F.col("job_id").alias("item_id"), F.col(c).alias("text"))).select("query_id", F.col("item_id").alias("job_id"), F.col("score").alias(name))
+    found = {
+        "text_score": scored.select("query_id", "job_id", F.col("score").alias("text_score")),
+        "hop1": graph.one_hop(skills, need).withColumnRenamed("hits", "hop1"),
+        "hop2": graph.two_hops(skills, near, need).withColumnRenamed("hits", "hop2"),
+        "skill_path": graph.path_to_skill(skills, graph.skill_distances(near, need), need).withColumnRenamed("hops", "skill_path"),
+        "location_path": graph.path_to_place(asked.select("query_id", "place"), jobs.select("job_id", F.explode(F.array("city", "state")).alias("place"))).withColumnRenamed("hops", "location_path"),
+        "sem_title": similar("title", "sem_title"), "sem_description": similar("description", "sem_description"), "sem_skills": similar("text", "sem_skills"),
+    }
+    out = pairs
+    for df in found.values():
+        out = out.join(df, ["query_id", "job_id"], "left")
+    out = out.fillna(0, list(found)).join(said.select("query_id", F.col("text").alias("query"), F.col("skills").alias("asked")), "query_id").join(jobs.select("job_id", "title", F.col("skills").alias("need"), "city", "state", F.col("company").alias("at")), "job_id")
+    lexical_ = sc.lexical_features(F.col("text_score"), F.col("query"), F.col("title"), F.col("need"), F.col("asked"), F.col("city"), F.col("state"))
+    return out.select(
+        "query_id", "job_id", "text_score", lexical_["title_hit"].alias("title_hit"), F.round(lexical_["skill_overlap"], 6).alias("skill_overlap"), lexical_["place_named"].alias("place_named"), "sem_title", "sem_description", "sem_skills",
+        "hop1", "hop2", F.round(F.col("hop2") / F.greatest(F.lit(1), F.size("asked")), 6).alias("hop2_ratio"), "skill_path", "location_path", F.contains(F.lower("query"), F.lower("at")).cast("int").alias("company_named"),
+    )
+
+
+FEATURES = f"""WITH {RETRIEVED}, nm AS (SELECT query_id, text, CAST(regexp_extract(query_id, '[0-9]+') AS INTEGER) AS n FROM qx), sq AS (SELECT query_id, text || ' NATION_' || n || ' ' || {_LIST(COMPANIES)}[n % 5 + 1] AS text, 'nation_' || n AS place FROM nm),
+ti AS (SELECT job_id AS doc_id, company || ' ' || level AS text FROM jobs), de AS (SELECT job_id AS doc_id, city || ' ' || state || ' ' || company AS text FROM jobs),
+{_vector_sql("sv", "sq", "query_id")}, {_vector_sql("tv", "ti", "doc_id")}, {_vector_sql("dv", "de", "doc_id")},
+s1 AS (SELECT query_id, m.job_id, CAST(sum(x.w * sv.w) AS BIGINT) // 1000000 / 1000000 AS sem_title FROM merged m JOIN tv x ON x.doc_id = m.job_id JOIN sv USING (query_id, b) GROUP BY ALL), s2 AS (SELECT query_id, m.job_id, CAST(sum(x.w * sv.w) AS BIGINT) // 1000000 / 1000000 AS sem_description FROM merged m JOIN dv x ON x.doc_id = m.job_id JOIN sv USING (query_id, b) GROUP BY ALL),
+s3 AS (SELECT query_id, m.job_id, CAST(sum(x.w * sv.w) AS BIGINT) // 1000000 / 1000000 AS sem_skills FROM merged m JOIN jv x ON x.doc_id = m.job_id JOIN sv USING (query_id, b) GROUP BY ALL),
+step AS (SELECT src, dst, min(hops) AS hops FROM (SELECT src, dst, 1 AS hops FROM linked UNION ALL SELECT DISTINCT a.skill, b.skill, 2 FROM requires a JOIN requires b ON a.job_id = b.job_id AND a.skill != b.skill) GROUP BY src, dst),
+d2 AS (SELECT src, dst, min(hops) AS hops FROM (SELECT * FROM step UNION ALL SELECT f.src, s.dst, f.hops + s.hops FROM step f JOIN step s ON f.dst = s.src WHERE f.hops + s.hops <= 3 AND f.src != s.dst) GROUP BY src, dst),
+d3 AS (SELECT src, dst, min(hops) AS hops FROM (SELECT * FROM d2 UNION ALL SELECT f.src, s.dst, f.hops + s.hops FROM d2 f JOIN step s ON f.dst = s.src WHERE f.hops + s.hops <= 3 AND f.src != s.dst) GROUP BY src, dst),
+nr AS (SELECT query_id, skill, min(hops) AS hops FROM (SELECT query_id, skill, 0 AS hops FROM asked UNION ALL SELECT query_id, dst, d3.hops FROM asked JOIN d3 ON skill = src) GROUP BY query_id, skill), sp AS (SELECT query_id, job_id, min(hops) + 1 AS skill_path FROM requires JOIN nr USING (skill) GROUP BY ALL HAVING min(hops) < 4),
+pl AS (SELECT job_id, lower(city) AS place FROM jobs UNION SELECT job_id, lower(state) FROM jobs), l1 AS (SELECT DISTINCT query_id, job_id FROM sq JOIN pl USING (place)), l3 AS (SELECT DISTINCT l1.query_id, pl.place FROM l1 JOIN pl USING (job_id) ANTI JOIN sq ON sq.query_id = l1.query_id AND sq.place = pl.place),
+lp AS (SELECT query_id, job_id, min(h) AS location_path FROM (SELECT query_id, job_id, 1 AS h FROM l1 UNION ALL SELECT query_id, job_id, 3 FROM l3 JOIN pl USING (place)) GROUP BY ALL), h1 AS (SELECT query_id, job_id, count(DISTINCT skill) AS hop1 FROM requires JOIN asked USING (skill) GROUP BY ALL), na AS (SELECT query_id, count(*) AS na FROM asked GROUP BY query_id)
+SELECT query_id, job_id, coalesce(r.score, 0) AS text_score, CASE WHEN contains(lower(company || ' ' || level), lower(sq.text)) THEN 1 ELSE 0 END AS title_hit, round(coalesce(hop1, 0) / na, 6) AS skill_overlap, CASE WHEN contains(lower(sq.text), lower(city)) OR contains(lower(sq.text), lower(state)) THEN 1 ELSE 0 END AS place_named,
+coalesce(sem_title, 0) AS sem_title, coalesce(sem_description, 0) AS sem_description, coalesce(sem_skills, 0) AS sem_skills, coalesce(hop1, 0) AS hop1, coalesce(hop2, 0) AS hop2, round(coalesce(hop2, 0) / na, 6) AS hop2_ratio, coalesce(skill_path, 0) AS skill_path, coalesce(location_path, 0) AS location_path, CASE WHEN contains(lower(sq.text), lower(company)) THEN 1 ELSE 0 END AS company_named
+FROM merged m JOIN jobs USING (job_id) JOIN sq USING (query_id) JOIN na USING (query_id) LEFT JOIN ranked r ON r.query_id = m.query_id AND r.doc_id = m.job_id LEFT JOIN h1 USING (query_id, job_id) LEFT JOIN h2 USING (query_id, job_id) LEFT JOIN sp USING (query_id, job_id) LEFT JOIN lp USING (query_id, job_id) LEFT JOIN s1 USING (query_id, job_id) LEFT JOIN s2 USING (query_id, job_id) LEFT JOIN s3 USING (query_id, job_id)"""
+
+
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs by mistyped words: each brand's skills with the second letter of every word left out."""
+    typed = F.array_join(F.transform(F.split("text", " "), lambda w: F.concat(F.substring(w, 1, 1), F.substring(w, 3, 100))), " ")
+    asked = _searches(spark, sf_dir).select("query_id", F.concat_ws(" ", typed, "place", F.lower("company")).alias("text"))
+    return search.fuzzy_text_search(_job_texts(spark, sf_dir), asked, 20).select("query_id", F.col("doc_id").alias("job_id"), "score", "rank")
+
+
+def _one_field(name: str, text: str) -> str:
+    from .lexical import PATTERN
+
+    return f"""t_{name} AS (SELECT job_id AS doc_id, regexp_extract_all(lower({text}), '{PATTERN}') AS t FROM jt), f_{name} AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM t_{name}) GROUP BY ALL), d_{name} AS (SELECT term, count(*) AS df FROM f_{name} GROUP BY term),
+s_{name} AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN f_{name} USING (term) JOIN d_{name} USING (term), (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t_{name}) GROUP BY query_id, doc_id HAVING round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) > 0)"""
+
+
+def _text_search_sql() -> str:
+    from .lexical import PATTERN
+
+    return f"""WITH {SQL}, nt AS (SELECT job_id, string_agg(skill, ' ' ORDER BY skill) AS text FROM requires GROUP BY job_id), jt AS (SELECT job_id, company || ' ' || level AS title, city || ' ' || state || ' ' || company AS description, text AS skills_text, posted_date FROM jobs JOIN nt USING (job_id)),
+qx AS (SELECT query_id, string_agg(skill, ' ' ORDER BY skill) AS text, CAST(regexp_extract(query_id, '[0-9]+') AS INTEGER) AS n FROM asked GROUP BY query_id),
+qq AS (SELECT query_id, array_to_string(list_transform(string_split(text, ' '), lambda w: substring(w, 1, 1) || substring(w, 3, 100)), ' ') || ' NATION_' || n || ' ' || lower({_LIST(COMPANIES)}[n % 5 + 1]) AS text FROM qx),
+vo AS (SELECT DISTINCT unnest(regexp_extract_all(lower(title || ' ' || description || ' ' || skills_text), '{PATTERN}')) AS word FROM jt), qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '{PATTERN}')) AS term FROM qq),
+fz AS (SELECT term, word FROM (SELECT DISTINCT term FROM qt) JOIN vo ON substring(term, 1, 1) = substring(word, 1, 1) WHERE levenshtein(term, word) <= CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY term ORDER BY levenshtein(term, word), word) <= 50),
+q AS (SELECT DISTINCT query_id, word AS term FROM qt JOIN fz USING (term)),
+{_one_field("title", "title")}, {_one_field("description", "description")}, {_one_field("every", "title || ' ' || description || ' ' || skills_text")}, {_one_field("skill", "skills_text")},
+be AS (SELECT query_id, doc_id, round(max(score), 6) AS score FROM (SELECT query_id, doc_id, 3 * score AS score FROM s_title UNION ALL SELECT query_id, doc_id, 2 * score FROM s_description UNION ALL SELECT query_id, doc_id, score FROM s_every) GROUP BY ALL),
+ex AS (SELECT query_id, job_id AS doc_id, CAST(count(DISTINCT lower(skill)) AS DOUBLE) AS score FROM requires JOIN (SELECT DISTINCT query_id, unnest(string_split(lower(text), ' ')) AS w FROM qq) ON lower(skill) = w GROUP BY ALL),
+tt AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM (SELECT * FROM be UNION ALL SELECT query_id, doc_id, 2 * score FROM s_skill UNION ALL SELECT * FROM ex) GROUP BY ALL)
+SELECT query_id, doc_id AS job_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, posted_date DESC, doc_id) AS rank FROM tt JOIN jt ON job_id = doc_id QUALIFY rank <= 20"""
+
+
 QUERIES = {
     "posting_sections": (posting_sections, f"WITH {POSTINGS} SELECT job_id, section, md5(content) AS content, CAST(length(content) AS INTEGER) AS chars FROM sec"),
     "posting_requirements": (posting_requirements, REQUIREMENTS),
@@ -275,4 +412,7 @@ QUERIES = {
     "first_issues": (first_issues, FIRST_ISSUES),
     "stream_first_seen": (stream_first_seen, "SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id"),
     "as_queries": (as_queries, AS_QUERIES),
+    "search_chain": (search_chain, CHAIN),
+    "feature_vector": (feature_vector, FEATURES),
+    "text_search": (text_search, _text_search_sql()),
 }
