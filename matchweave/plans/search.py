@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import graph, lexical, packs, resumes, search
 from ..sources import graph_tables as g
 from ..sources.tables import table
 from .graph import SQL
-from .text import WHOLE, whole
+from .text import _SKILL_SQL, WHOLE, _cascade_sql, whole
 
 _HOPS = """
 hop1x AS (SELECT DISTINCT query_id, skill AS origin, dst AS skill FROM asked JOIN linked ON skill = src),
@@ -72,6 +73,24 @@ def resume_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("resume_id", "name", "email", F.array_join("skills", "|").alias("skills"), F.size("leadership").alias("leadership"), "has_progression", "market_score", F.array_join("advice", "|").alias("advice"))
 
 
+_SKILLS = f"list_sort(list_distinct(list_transform({_SKILL_SQL}, lambda x: lower(x))))"
+_CATEGORY = _cascade_sql(tx.CATEGORIES, "other", "lower(s)")
+_ANY = lambda column, words: " OR ".join(f"contains(lower({column}), '{w}')" for w in words)
+_NAME = r"^[A-ZÀ-Ý][\p{L}''.-]+( [A-ZÀ-Ý][\p{L}''.-]+){1,3}$"
+_TITLES = r"(?i)^(name|mr\.?|mrs\.?|ms\.?|dr\.?)\s*:?\s+|,?\s+(jr\.?|sr\.?|phd|md)$"
+_ADVICE = ", ".join(f"CASE WHEN {test} THEN '{said}' END" for (_, said), test in zip(resumes.ADVICE, ("trim(text) = ''", "len(skills) < 5", "schools = 0", "langs = 0", "soft = 0")))
+RESUMES = f"""WITH talk AS (SELECT conv_id AS id, coalesce(string_agg(text, chr(10) ORDER BY turn, text), '') AS text FROM conversations GROUP BY conv_id),
+li AS (SELECT id, trim(unnest(string_split(text, chr(10)))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM talk), ln AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS n FROM li WHERE x != ''),
+cl AS (SELECT *, trim(regexp_replace(x, '{_TITLES}', '', 'g')) AS clean FROM ln),
+na AS (SELECT id, arg_min(clean, n) AS name FROM cl WHERE regexp_matches(clean, '{_NAME}') AND NOT regexp_matches(x, '{resumes.NOT_NAMES}') AND NOT regexp_matches(x, '@|[0-9]{{3}}') AND length(x) <= 50 GROUP BY id),
+ro AS (SELECT *, ({_ANY("x", resumes.ROLE_WORDS)}) AS first FROM ln), en AS (SELECT *, sum(CAST(first AS INTEGER)) OVER (PARTITION BY id ORDER BY n) AS entry FROM ro), ti AS (SELECT id, entry, max(CASE WHEN first THEN x END) AS title FROM en WHERE entry > 0 GROUP BY id, entry),
+jo AS (SELECT id, count(*) AS jobs, count(*) FILTER ({_ANY("title", resumes.LEADERSHIP)}) AS lead FROM ti GROUP BY id), sc AS (SELECT id, count(*) AS schools FROM ln WHERE regexp_matches(x, '{resumes.EDUCATION}') GROUP BY id),
+pl AS (SELECT id, text, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS t FROM talk), sk AS (SELECT id, text, {_SKILLS} AS skills FROM pl), ct AS (SELECT id, {_CATEGORY} AS c FROM (SELECT id, unnest(skills) AS s FROM sk)),
+cc AS (SELECT id, count(DISTINCT c) AS kinds, count(*) FILTER (c IN ('programming_languages', 'frameworks', 'databases')) AS tech, count(*) FILTER (c = 'soft_skills') AS soft, count(*) FILTER (c = 'programming_languages') AS langs FROM ct GROUP BY id),
+al AS (SELECT sk.*, coalesce(name, 'Name Not Found') AS name, coalesce(jobs, 0) AS jobs, coalesce(lead, 0) AS lead, coalesce(schools, 0) AS schools, coalesce(kinds, 0) AS kinds, coalesce(tech, 0) AS tech, coalesce(soft, 0) AS soft, coalesce(langs, 0) AS langs FROM sk LEFT JOIN na USING (id) LEFT JOIN jo USING (id) LEFT JOIN sc USING (id) LEFT JOIN cc USING (id))
+SELECT id AS resume_id, name, nullif(regexp_extract(text, '{tx.EMAIL}'), '') AS email, array_to_string(skills, '|') AS skills, CAST(lead AS INTEGER) AS leadership, jobs > 1 AS has_progression, CAST(least(100, least(5 * kinds, 30) + least(5 * jobs, 25) + least(3 * tech, 25) + least(4 * soft, 20)) AS INTEGER) AS market_score, array_to_string(list_filter([{_ADVICE}], lambda x: x IS NOT NULL), '|') AS advice FROM al"""
+
+
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.distribution(table(spark, sf_dir, "documents"), "source", "lang")
 
@@ -87,7 +106,7 @@ QUERIES = {
     "hybrid_search": (hybrid_search, HYBRID),
     "static_features": (static_features, STATIC),
     "resume_entries": (resume_entries, ENTRIES),
-    "resume_profiles": (resume_profiles, None),
+    "resume_profiles": (resume_profiles, RESUMES),
     "source_counts": (source_counts, "SELECT 'source' AS field, source AS value, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY lang"),
     "label_text": (label_text, "SELECT o_orderkey, o_orderpriority || ' ' || o_orderstatus || ' ' || o_orderkey AS text, substring(o_orderpriority || ' ' || o_orderstatus || ' ' || o_orderkey, 1, 8) AS preview FROM orders"),
 }
