@@ -189,7 +189,7 @@ def random_walks(edges: DataFrame, walks: int, steps: int, seed: int = 0) -> Dat
     return at.select("node", "walk", "path")
 
 
-def graph_embedding(edges: DataFrame, dims: int = 128, walks: int = 10, steps: int = 10, window: int = 10, seed: int = 0) -> DataFrame:
+def graph_embedding(edges: DataFrame, dims: int = 128, walks: int = 200, steps: int = 30, window: int = 10, seed: int = 0) -> DataFrame:
     """(node, embedding): skip-gram vectors of nodes over random walks."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
@@ -199,10 +199,13 @@ def graph_embedding(edges: DataFrame, dims: int = 128, walks: int = 10, steps: i
     return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("embedding"))
 
 
-def relatedness(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(a, b, relatedness) of given node pairs: (cosine + 1) / 2 to 4 digits; unknown nodes give 0."""
+def relatedness(pairs: DataFrame, vectors: DataFrame | None) -> DataFrame:
+    """(a, b, relatedness) of given node pairs: (cosine + 1) / 2 to 4 digits; unknown nodes give 0,
+    and without any vectors all pairs 0.5."""
     from .vectors import cosine
 
+    if vectors is None:
+        return pairs.select("a", "b", F.lit(0.5).alias("relatedness"))
     joined = pairs.join(vectors.select(F.col("node").alias("a"), F.col("embedding").alias("x")), "a", "left").join(vectors.select(F.col("node").alias("b"), F.col("embedding").alias("y")), "b", "left")
     value = F.bround((cosine(F.col("x"), F.col("y")) + 1) / 2, 4)
     return joined.select("a", "b", F.when(F.col("x").isNull() | F.col("y").isNull(), 0.0).otherwise(value).alias("relatedness"))

@@ -175,10 +175,9 @@ def key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = g.requires(spark, sf_dir).select(F.concat(F.lit("j"), "job_id").alias("src"), F.col("skill").alias("dst")).unionAll(g.has(spark, sf_dir).select(F.concat(F.lit("c"), "candidate_id").alias("src"), F.col("skill").alias("dst")))
-    vectors = graph.graph_embedding(edges, dims=16, walks=1, steps=6)
-    pairs = g.related(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return graph.relatedness(pairs, vectors)
+    """How near related skills are by vectors of 200 walks of 30 steps from every skill."""
+    related = g.related(spark, sf_dir)
+    return graph.relatedness(related.select(F.col("src").alias("a"), F.col("dst").alias("b")), graph.graph_embedding(related))
 
 
 QUERIES = {
