@@ -132,7 +132,10 @@ def text_match(asked: DataFrame, vocabulary: DataFrame, requires: DataFrame, per
     query word of more than three letters."""
     words = asked.select("query_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where(F.length("word") > 3).distinct()
     names = vocabulary.select("skill").distinct()
-    hits = words.select("word").distinct().join(names, F.contains(F.lower("skill"), F.col("word")))
+    # four letters in a row of a name meet the first four of a word, so no word meets all names
+    fours = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("skill") - 3), lambda i: F.substring(F.lower("skill"), i, F.lit(4))))
+    parts = names.where(F.length("skill") >= 4).select("skill", F.explode(fours).alias("four"))
+    hits = words.select("word", F.substring("word", 1, 4).alias("four")).distinct().join(parts, "four").where(F.contains(F.lower("skill"), F.col("word"))).select("word", "skill").distinct()
     few = hits.withColumn("r", F.row_number().over(W.partitionBy("word").orderBy("skill"))).where(F.col("r") <= per_word)
     wanted = words.join(few, "word").select("query_id", "skill").distinct()
     scored = requires.join(wanted, "skill").groupBy("query_id", "job_id").agg(F.array_sort(F.collect_set("skill")).alias("skills")).withColumn("matched", F.size("skills"))

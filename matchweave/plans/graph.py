@@ -57,16 +57,17 @@ def location_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    asked = part.select(F.col("p_brand").alias("query_id"), F.substring_index("p_name", " ", 1).alias("text")).where("p_size = 7").distinct()
-    return graph.text_match(asked, part.select(F.col("p_name").alias("skill")), g.requires(spark, sf_dir), k=10).select("query_id", "job_id", "matched", "rank", F.array_join("skills", "|").alias("skills"))
+    asked = part.select(F.col("p_brand").alias("query_id"), F.substring_index("p_name", " ", 1).alias("text")).distinct()
+    found = graph.text_match(asked, part.select(F.col("p_name").alias("skill")), g.requires(spark, sf_dir), k=10)
+    return found.join(g.jobs(spark, sf_dir), "job_id").select("query_id", "job_id", "matched", "rank", F.array_join("skills", "|").alias("skills"), "company", "city", "state")
 
 
 TEXT_MATCH = f"""WITH {SQL},
-ask AS (SELECT DISTINCT p_brand AS query_id, string_split(p_name, ' ')[1] AS word FROM part WHERE p_size = 7),
+ask AS (SELECT DISTINCT p_brand AS query_id, string_split(p_name, ' ')[1] AS word FROM part),
 hit AS (SELECT word, skill, row_number() OVER (PARTITION BY word ORDER BY skill) AS r FROM (SELECT DISTINCT word FROM ask WHERE length(word) > 3) JOIN names ON contains(lower(skill), lower(word))),
 want AS (SELECT DISTINCT query_id, skill FROM ask JOIN hit USING (word) WHERE r <= 10),
 sc AS (SELECT query_id, job_id, list_sort(list(DISTINCT skill)) AS s FROM requires JOIN want USING (skill) GROUP BY query_id, job_id)
-SELECT * FROM (SELECT query_id, job_id, CAST(len(s) AS INTEGER) AS matched, row_number() OVER (PARTITION BY query_id ORDER BY len(s) DESC, job_id) AS rank, array_to_string(s, '|') AS skills FROM sc) WHERE rank <= 10"""
+SELECT t.*, company, city, state FROM (SELECT query_id, job_id, CAST(len(s) AS INTEGER) AS matched, row_number() OVER (PARTITION BY query_id ORDER BY len(s) DESC, job_id) AS rank, array_to_string(s, '|') AS skills FROM sc) t JOIN jobs USING (job_id) WHERE rank <= 10"""
 
 
 def match_pairs(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import normalize as nz
-from ..operators import evaluation, graph, lexical, quality
+from ..operators import evaluation, graph, lexical, quality, search
 from ..sources import graph_tables as g
 from ..sources import readers
 from ..sources.tables import table
@@ -144,7 +144,7 @@ def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structured_filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page 2 of the jobs of each place that pass type, salary and date filters."""
-    j = g.jobs(spark, sf_dir).where((F.col("job_type") != "P") & F.col("min_salary").between(50000, 250000) & (F.col("posted_date") >= F.lit("1996-01-01").cast("timestamp_ntz")))
+    j = search.structured(g.jobs(spark, sf_dir), low=50000, high=250000).where((F.col("job_type") != "P") & (F.col("posted_date") >= F.lit("1996-01-01").cast("timestamp_ntz")))
     return lexical.page(j, 2, 10, key="city", item="job_id", score="min_salary").select("city", "job_id", "min_salary", "rank", "total", "pages")
 
 
@@ -155,11 +155,11 @@ SELECT *, CAST(ceil(total / 10.0) AS BIGINT) AS pages FROM f WHERE rank BETWEEN
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three ranked lists per query merged by item: the first list's row stays, with all sources."""
     asked, need, near = g.asked(spark, sf_dir), g.requires(spark, sf_dir), g.related(spark, sf_dir)
-    one = lexical.top_k(graph.one_hop(asked, need), 30, item="job_id", score="hits").select("query_id", "job_id", "rank", F.lit("direct").alias("source"), F.lit(1).alias("o"))
-    two = lexical.top_k(graph.two_hops(asked, near, need), 30, item="job_id", score="hits").select("query_id", "job_id", "rank", F.lit("related").alias("source"), F.lit(2).alias("o"))
+    one = lexical.top_k(graph.one_hop(asked, need), 200, item="job_id", score="hits").select("query_id", "job_id", "rank", F.lit("direct").alias("source"), F.lit(1).alias("o"))
+    two = lexical.top_k(graph.two_hops(asked, near, need), 100, item="job_id", score="hits").select("query_id", "job_id", "rank", F.lit("related").alias("source"), F.lit(2).alias("o"))
     from ..operators.candidates import merge
 
-    return merge([one, two], 40)
+    return merge([one, two], 400)
 
 
 UNION = f"""WITH {SQL},
@@ -167,8 +167,8 @@ hop1x AS (SELECT DISTINCT query_id, skill AS origin, dst AS skill FROM asked JOI
 reach AS (SELECT query_id, skill FROM hop1x UNION SELECT query_id, l.dst FROM hop1x h JOIN linked l ON h.skill = l.src WHERE l.dst != h.origin),
 h1 AS (SELECT query_id, job_id, count(DISTINCT skill) AS hits FROM requires JOIN asked USING (skill) GROUP BY ALL), h2 AS (SELECT query_id, job_id, count(DISTINCT skill) AS hits FROM requires JOIN reach USING (skill) GROUP BY ALL),
 u AS (SELECT query_id, job_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, job_id) AS rank, 'direct' AS source, 1 AS o FROM h1 UNION ALL SELECT query_id, job_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, job_id), 'related', 2 FROM h2),
-m AS (SELECT query_id, job_id, min(o) AS o, min(o * 1000000 + rank) AS first, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM u WHERE rank <= 30 GROUP BY query_id, job_id)
-SELECT * FROM (SELECT query_id, job_id, sources, row_number() OVER (PARTITION BY query_id ORDER BY first, job_id) AS position FROM m) WHERE position <= 40"""
+m AS (SELECT query_id, job_id, min(o) AS o, min(o * 1000000 + rank) AS first, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM u WHERE rank <= CASE source WHEN 'direct' THEN 200 ELSE 100 END GROUP BY query_id, job_id)
+SELECT * FROM (SELECT query_id, job_id, sources, row_number() OVER (PARTITION BY query_id ORDER BY first, job_id) AS position FROM m) WHERE position <= 400"""
 
 
 def label_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ hop1x AS (SELECT DISTINCT query_id, skill AS origin, dst AS skill FROM asked JOI
 reach AS (SELECT query_id, skill FROM hop1x UNION SELECT query_id, l.dst FROM hop1x h JOIN linked l ON h.skill = l.src WHERE l.dst != h.origin),
 h1 AS (SELECT query_id, job_id, count(DISTINCT skill) AS hits FROM requires JOIN asked USING (skill) GROUP BY ALL), h2 AS (SELECT query_id, job_id, count(DISTINCT skill) AS hits FROM requires JOIN reach USING (skill) GROUP BY ALL),
 u AS (SELECT query_id, job_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, job_id) AS rank, 'direct' AS source, 0 AS o FROM h1 UNION ALL SELECT query_id, job_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, job_id), 'related', 1 FROM h2),
-m AS (SELECT query_id, job_id, min(o * 1000000 + rank) AS first, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM u WHERE rank <= 60 GROUP BY query_id, job_id),
+m AS (SELECT query_id, job_id, min(o * 1000000 + rank) AS first, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM u WHERE rank <= CASE source WHEN 'direct' THEN 200 ELSE 100 END GROUP BY query_id, job_id),
 merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, job_id) AS position FROM m) WHERE position <= 400)"""
 
 
@@ -26,8 +26,8 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit, with more weight for those that the graph found."""
     asked, need, near = g.asked(spark, sf_dir), g.requires(spark, sf_dir), g.related(spark, sf_dir)
     lists = {
-        "direct": lexical.top_k(graph.one_hop(asked, need), 60, item="job_id", score="hits"),
-        "related": lexical.top_k(graph.two_hops(asked, near, need), 60, item="job_id", score="hits"),
+        "direct": lexical.top_k(graph.one_hop(asked, need), 200, item="job_id", score="hits"),
+        "related": lexical.top_k(graph.two_hops(asked, near, need), 100, item="job_id", score="hits"),
     }
     merged = search.retrieve(lists)
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("a")), need.groupBy("job_id").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ import csv
 import io
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,38 +29,39 @@ JOB_ALIASES = {
 }
 
 
-def csv_encoding(spark: SparkSession, path: str) -> str:
-    """The first known encoding that decodes the start of the file."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 20).alias("head")).first()["head"]
-    for name in ENCODINGS:
-        for cut in range(4):  # the start may end inside a character
-            try:
-                bytes(head[: len(head) - cut] if cut else head).decode(name)
-                return name
-            except UnicodeDecodeError:
-                pass
-    raise ValueError(f"{path}: none of {ENCODINGS}")
+def csv_encodings(spark: SparkSession, path: str) -> dict[str, str]:
+    """File -> encoding, by all bytes of each file: UTF-8 unless a line does not decode so. Only file
+    names leave the tasks."""
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    broken = spark.read.text(path).where(F.contains("value", F.lit("\ufffd"))).select(F.input_file_name().alias("f")).distinct()
+    other = {unquote(urlsplit(r["f"]).path) for r in broken.collect()}
+    return {f: ENCODINGS[1] if unquote(urlsplit(f).path) in other else ENCODINGS[0] for f in files}
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, with a header; quoted fields may span lines; a byte-order mark goes.
 
-    Spark's reader takes UTF-8. Files in another encoding are decoded and split a file at a time."""
-    encoding = csv_encoding(spark, path)
-    if encoding == "utf-8":
-        df = spark.read.csv(path, header=True, multiLine=True, escape='"')
-        return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
-    files = spark.read.format("binaryFile").load(path).select("content")
-    head = files.select(F.substring("content", 1, 1 << 16).alias("head")).first()["head"]
-    names = next(csv.reader(io.StringIO(bytes(head).decode(encoding, "ignore"))))
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                found = [[r.get(n) or None for n in names] for r in csv.DictReader(io.StringIO(bytes(content).decode(encoding)))]
-                yield pd.DataFrame(found, columns=names, dtype=object)
-
-    return files.mapInPandas(rows, ", ".join(f"`{n}` string" for n in names))
+    Spark's reader takes UTF-8 files. Files in another encoding are decoded and split a file at a
+    time; one that is in neither fails the job."""
+    found = csv_encodings(spark, path)
+    plain, other = ([f for f, e in found.items() if e == name] for name in ENCODINGS)
+    parts = []
+    if plain:
+        df = spark.read.csv(plain, header=True, multiLine=True, escape='"')
+        parts.append(df.toDF(*[c.lstrip("\ufeff") for c in df.columns]))
+    if other:
+        files = spark.read.format("binaryFile").load(other).select("content")
+        head = files.select(F.substring("content", 1, 1 << 16).alias("head")).first()["head"]
+        names = next(csv.reader(io.StringIO(bytes(head).decode(ENCODINGS[1], "ignore"))))
+
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for content in batch["content"]:
+                    found = [[r.get(n) or None for n in names] for r in csv.DictReader(io.StringIO(bytes(content).decode(ENCODINGS[1])))]
+                    yield pd.DataFrame(found, columns=names, dtype=object)
+
+        parts.append(files.mapInPandas(rows, ", ".join(f"`{n}` string" for n in names)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
