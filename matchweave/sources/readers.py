@@ -33,7 +33,7 @@ def csv_encodings(spark: SparkSession, path: str) -> dict[str, str]:
     """File -> encoding, by all bytes of each file: UTF-8 unless a line does not decode so. Only file
     names leave the tasks."""
     files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
-    broken = spark.read.text(path).where(F.contains("value", F.lit("\ufffd"))).select(F.input_file_name().alias("f")).distinct()
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).select(F.input_file_name().alias("f")).distinct()
     other = {unquote(urlsplit(r["f"]).path) for r in broken.collect()}
     return {f: ENCODINGS[1] if unquote(urlsplit(f).path) in other else ENCODINGS[0] for f in files}
 
