@@ -15,6 +15,7 @@ _RANKED = "bm25_topk bm25_normalized bm25_page bm25_multifield more_like_this co
 TYPES = {name: {"rank": "INTEGER"} for name in _RANKED.split()} | {
     "fuzzy_vocab": {"distance": "INTEGER"},
     "rank_texts": {"rank": "INTEGER"},
+    "candidate_rerank": {"rank": "INTEGER"},
     "text_search": {"rank": "INTEGER"},
     "search_chain": {"rank": "INTEGER"},
     "multi_get": {"pos": "INTEGER"},
