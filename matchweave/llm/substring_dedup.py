@@ -42,7 +42,7 @@ from .common import cut, mix, rolling, word_hashes
 MIN_WORDS, ANCHOR = 20, 10
 #: Rows that a group holds at most before longer prefixes split it, unless that makes more than
 #: ``MOST_SPLIT`` groups: then a ``MOST_SPLIT``-th of all rows.
-GROUP, MOST_SPLIT = 50_000, 10_000
+GROUP, MOST_SPLIT = 1_000, 10_000
 #: Lengths of the prefixes that split large groups; the last is the whole suffix.
 PREFIXES = (4, 8, 16)
 #: Suffixes whose subtrees are built at a time, and bytes of text that a task holds for its own.
