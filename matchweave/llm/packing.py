@@ -34,7 +34,7 @@ from .common import cut
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length in one ranking group, about, and groups of all lengths, about, beyond which they grow.
-RANKED, RANKINGS = 1_000, 1_000_000
+RANKED, RANKINGS = 200, 1_000_000
 CACHE_LIMIT = 150_000
 
 _NOT_LATIN1 = re.compile("[^\x00-\xff]")
