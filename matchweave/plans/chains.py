@@ -14,6 +14,7 @@ from ..operators import graph, lexical, packs, postings, quality, resumes, searc
 from ..sources import graph_tables as g
 from ..sources.tables import table
 from ..streaming import ingest
+from .feeds import _folder
 from .graph import SQL
 from .lexical import SCORED, TOKENS, documents, questions
 from .matching import FRAME, frame
@@ -275,16 +276,24 @@ def _job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("job_id", F.concat_ws(" ", "company", "level").alias("title"), F.concat_ws(" ", "city", "state", "company").alias("description"), "skills", F.array_join("skills", " ").alias("text"), "city", "state", "company", "posted_date")
 
 
-def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The merged candidates of three retrievers (200, 200 and 100 each, 400 in all), and BM25 scores."""
-    asked, jobs = _searches(spark, sf_dir), _job_texts(spark, sf_dir)
+def _kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back: several steps of a chain read it."""
+    path = _folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Searches, jobs, the merged candidates of three retrievers (200, 200 and 100 each, 400 in all),
+    and BM25 scores."""
+    asked, jobs = _kept(_searches(spark, sf_dir)), _kept(_job_texts(spark, sf_dir))
     scored = lexical.bm25(jobs.select(F.col("job_id").alias("doc_id"), "text"), asked.select("query_id", "text")).withColumnRenamed("doc_id", "job_id")
     lists = {
         "lexical": lexical.top_k(scored, 200, item="job_id"),
         "semantic": vectors.sparse_topk(asked.select("query_id", "text"), jobs.select(F.col("job_id").alias("item_id"), "text"), 200).withColumnRenamed("item_id", "job_id"),
         "graph": lexical.top_k(graph.two_hops(g.asked(spark, sf_dir), g.related(spark, sf_dir), g.requires(spark, sf_dir)), 100, item="job_id", score="hits"),
     }
-    return search.retrieve(lists), scored
+    return asked, jobs, _kept(search.retrieve(lists)), scored
 
 
 _JOB_TOKENS = TOKENS.replace("FROM documents", "FROM nt").replace("item_id AS query_id", "query_id").replace("FROM benchmark", "FROM qx")
@@ -302,8 +311,7 @@ merged AS (SELECT query_id, job_id, sources FROM me QUALIFY row_number() OVER (P
 def search_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search from query to page: three retrievers merged, jobs that a constraint rules out taken
     away, the rest reranked by similarity with more weight for what the graph found, ten each."""
-    merged, _ = _retrieved(spark, sf_dir)
-    asked, jobs = _searches(spark, sf_dir), _job_texts(spark, sf_dir)
+    asked, jobs, merged, _ = _retrieved(spark, sf_dir)
     number = F.regexp_extract("query_id", "[0-9]+", 0).cast("int")
     reason = F.when((F.col("job_id") % 10 == 0) & (number % 2 == 0), "no sponsorship").when(F.col("job_id") % 7 == number % 7, "language")
     kept, out = search.split_by_constraints(merged, reason)
@@ -323,9 +331,8 @@ SELECT query_id, job_id, sources, score, row_number() OVER (PARTITION BY query_i
 
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features of each search's candidates: lexical, of three similarities, and of the graph."""
-    merged, scored = _retrieved(spark, sf_dir)
+    asked, jobs, merged, scored = _retrieved(spark, sf_dir)
     pairs = merged.select("query_id", "job_id")
-    asked, jobs = _searches(spark, sf_dir), _job_texts(spark, sf_dir)
     skills, near, need = g.asked(spark, sf_dir), g.related(spark, sf_dir), g.requires(spark, sf_dir)
     said = asked.withColumn("text", F.concat_ws(" ", "text", "place", "company"))
     item = pairs.withColumnRenamed("job_id", "item_id")
@@ -369,7 +376,7 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs by mistyped words: each brand's skills with the second letter of every word left out."""
     typed = F.array_join(F.transform(F.split("text", " "), lambda w: F.concat(F.substring(w, 1, 1), F.substring(w, 3, 100))), " ")
     asked = _searches(spark, sf_dir).select("query_id", F.concat_ws(" ", typed, "place", F.lower("company")).alias("text"))
-    return search.fuzzy_text_search(_job_texts(spark, sf_dir), asked, 20).select("query_id", F.col("doc_id").alias("job_id"), "score", "rank")
+    return search.fuzzy_text_search(_kept(_job_texts(spark, sf_dir)), asked, 20).select("query_id", F.col("doc_id").alias("job_id"), "score", "rank")
 
 
 def _one_field(name: str, text: str) -> str:

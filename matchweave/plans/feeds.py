@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
@@ -35,8 +35,6 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORDERS = "o AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS INTEGER) AS p, o_orderdate AS d, o_orderstatus AS s, o_orderpriority AS pr, c_mktsegment AS m, o_custkey AS u, n_name AS n, r_name AS r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
-K = F.col("k")
-
 
 def format_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as CSV, JSON lines, objects back to back and plain JSON, and read back."""
@@ -61,14 +59,15 @@ FROM customer, (SELECT unnest(['csv', 'json', 'jsonl', 'stream']) AS f) GROUP BY
 
 def _posted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as rows of a job CSV, everything text; every eleventh has no title."""
+    k = F.col("k")
     money = F.concat(F.lit("$"), F.col("p").cast("string"))
     return _orders(spark, sf_dir).select(
-        F.when(K % 11 != 0, F.concat("m", F.lit(" "), F.when(K % 3 == 0, "lead developer").when(K % 3 == 1, "intern").otherwise("clerk"))).alias("Position Title"),
-        F.when(K % 4 != 0, F.col("m")).alias("employer"), F.concat("n", F.lit(", "), F.col("r")).alias("job_location"),
-        F.when(K % 5 == 0, "n/a").when(K % 5 == 1, money).otherwise(F.concat(money, F.lit(" - "), (F.col("p") + 1000).cast("string"))).alias("salary_range"),
-        F.concat(F.lit("We use Python and Docker, level "), "pr").alias("Qualifications"), F.when(K % 2 == 0, "SQL; Go | x").otherwise("Excel").alias("tools"),
-        F.when(K % 3 == 0, "Remote").when(K % 3 == 1, "Hybrid").otherwise("On site").alias("Work Model"), F.when(K % 2 == 0, "Yes").otherwise("no").alias("H1b Sponsored"),
-        F.when(K % 7 == 0, "yes").alias("Is New Grad"), F.concat(F.lit("http://x.example/"), K).alias("Apply"),
+        F.when(k % 11 != 0, F.concat("m", F.lit(" "), F.when(k % 3 == 0, "lead developer").when(k % 3 == 1, "intern").otherwise("clerk"))).alias("Position Title"),
+        F.when(k % 4 != 0, F.col("m")).alias("employer"), F.concat("n", F.lit(", "), F.col("r")).alias("job_location"),
+        F.when(k % 5 == 0, "n/a").when(k % 5 == 1, money).otherwise(F.concat(money, F.lit(" - "), (F.col("p") + 1000).cast("string"))).alias("salary_range"),
+        F.concat(F.lit("We use Python and Docker, level "), "pr").alias("Qualifications"), F.when(k % 2 == 0, "SQL; Go | x").otherwise("Excel").alias("tools"),
+        F.when(k % 3 == 0, "Remote").when(k % 3 == 1, "Hybrid").otherwise("On site").alias("Work Model"), F.when(k % 2 == 0, "Yes").otherwise("no").alias("H1b Sponsored"),
+        F.when(k % 7 == 0, "yes").alias("Is New Grad"), F.concat(F.lit("http://x.example/"), k).alias("Apply"),
     )
 
 
@@ -95,12 +94,13 @@ def csv_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def city_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a city's open data, mapped to jobs."""
-    text = F.concat(F.lit("ETL and tableau work, "), F.when(K % 2 == 0, "hybrid").otherwise("at the desk"))
+    k = F.col("k")
+    text = F.concat(F.lit("ETL and tableau work, "), F.when(k % 2 == 0, "hybrid").otherwise("at the desk"))
     rows = _orders(spark, sf_dir).select(
-        F.when(K % 5 != 0, K.cast("string")).alias("job_id"), F.concat("m", F.lit(" Analyst")).alias("business_title"), F.when(K % 3 == 0, F.concat(F.lit(" "), "n", F.lit(" "))).alias("agency"), F.when(K % 4 == 0, "9 Queens Blvd").when(K % 4 == 1, "Bronx").otherwise("1 Main St").alias("work_location"),
-        F.when(K % 3 == 0, "F").when(K % 3 == 1, "P").otherwise("T").alias("full_time_part_time_indicator"), F.when(K % 4 == 0, "Senior Manager").when(K % 4 == 1, "Entry-Level").when(K % 4 == 2, "Executive").alias("career_level"),
-        F.col("p").cast("string").alias("salary_range_from"), F.when(K % 2 == 0, F.col("p") + 10).cast("string").alias("salary_range_to"), F.when(K % 2 == 0, "Annual").otherwise("Hourly").alias("salary_frequency"), F.date_format("d", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("posting_date"),
-        F.lit("20240101").alias("process_date"), F.when(K % 2 == 0, "a; b").alias("preferred_skills"), text.alias("job_description"), F.when(K % 7 == 0, "must live here").alias("residency_requirement"), F.when(K % 6 == 0, "https://apply.example").otherwise("by post").alias("to_apply"),
+        F.when(k % 5 != 0, k.cast("string")).alias("job_id"), F.concat("m", F.lit(" Analyst")).alias("business_title"), F.when(k % 3 == 0, F.concat(F.lit(" "), "n", F.lit(" "))).alias("agency"), F.when(k % 4 == 0, "9 Queens Blvd").when(k % 4 == 1, "Bronx").otherwise("1 Main St").alias("work_location"),
+        F.when(k % 3 == 0, "F").when(k % 3 == 1, "P").otherwise("T").alias("full_time_part_time_indicator"), F.when(k % 4 == 0, "Senior Manager").when(k % 4 == 1, "Entry-Level").when(k % 4 == 2, "Executive").alias("career_level"),
+        F.col("p").cast("string").alias("salary_range_from"), F.when(k % 2 == 0, F.col("p") + 10).cast("string").alias("salary_range_to"), F.when(k % 2 == 0, "Annual").otherwise("Hourly").alias("salary_frequency"), F.date_format("d", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("posting_date"),
+        F.lit("20240101").alias("process_date"), F.when(k % 2 == 0, "a; b").alias("preferred_skills"), text.alias("job_description"), F.when(k % 7 == 0, "must live here").alias("residency_requirement"), F.when(k % 6 == 0, "https://apply.example").otherwise("by post").alias("to_apply"),
     )
     made = [f.strip().split(" ")[0] for f in mappers.CITY_SCHEMA.split(",")]
     rows = rows.select("*", *[F.lit(None).cast("string").alias(c) for c in made if c not in rows.columns])
@@ -119,11 +119,12 @@ CASE k % 4 WHEN 0 THEN 'senior' WHEN 1 THEN 'entry' WHEN 2 THEN 'executive' ELSE
 
 def board_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as JSON of a job board, mapped to jobs."""
+    k = F.col("k")
     f = lambda c: F.col(c)
     body = F.to_json(F.struct(
-        K.cast("string").alias("_id"), f("m").alias("title"), F.struct(F.when(K % 3 != 0, f("n")).alias("companyName"), F.struct(F.array(F.lit("Dental plan"), F.lit(""), F.when(K % 2 == 0, "Life cover")).alias("benefits")).alias("benefits")).alias("owner"),
-        F.when(K % 2 == 0, F.concat("n", F.lit(", "), f("r"))).otherwise(f("n")).alias("locationAddress"), F.when(K % 2 == 0, "Part-Time").alias("employmentType"), F.when(K % 3 == 0, "Senior-Level").when(K % 3 == 1, "other").alias("seniority"),
-        F.when(K % 5 != 0, f("p")).alias("salaryRangeMinYearly"), F.array(F.lit("sql"), F.lower("m")).alias("skillRequirements"), F.array(F.lit("sql"), F.lit("go")).alias("skills_suggest"), F.when(K % 3 == 0, "Hybrid").when(K % 3 == 1, "Remote").alias("workModel"), F.lit("u").alias("url"),
+        k.cast("string").alias("_id"), f("m").alias("title"), F.struct(F.when(k % 3 != 0, f("n")).alias("companyName"), F.struct(F.array(F.lit("Dental plan"), F.lit(""), F.when(k % 2 == 0, "Life cover")).alias("benefits")).alias("benefits")).alias("owner"),
+        F.when(k % 2 == 0, F.concat("n", F.lit(", "), f("r"))).otherwise(f("n")).alias("locationAddress"), F.when(k % 2 == 0, "Part-Time").alias("employmentType"), F.when(k % 3 == 0, "Senior-Level").when(k % 3 == 1, "other").alias("seniority"),
+        F.when(k % 5 != 0, f("p")).alias("salaryRangeMinYearly"), F.array(F.lit("sql"), F.lower("m")).alias("skillRequirements"), F.array(F.lit("sql"), F.lit("go")).alias("skills_suggest"), F.when(k % 3 == 0, "Hybrid").when(k % 3 == 1, "Remote").alias("workModel"), F.lit("u").alias("url"),
         F.date_format("d", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("createdAt"),
     ))
     rows = _orders(spark, sf_dir).select(F.from_json(body, mappers.BOARD_SCHEMA).alias("j")).select("j.*")
@@ -157,10 +158,11 @@ UNION ALL SELECT 'rejected', NULL, NULL, NULL, NULL, NULL, NULL, count(*), NULL,
 
 def employer_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as rows of an employer's CSV, joined to the titles' families."""
+    k = F.col("k")
     none = F.lit(None).cast("string")
     rows = _orders(spark, sf_dir).select(
-        K.cast("string").alias("job_id"), F.concat("m", F.lit(" role")).alias("job_title"), F.col("m").alias("standard_job"), F.concat(F.lit("build "), "n").alias("job_responsibility"), F.when(K % 2 == 0, "care").alias("job_requirement"), none.alias("detailed"),
-        F.lit("SQL;Go").alias("traditional_skills"), F.when(K % 2 == 0, "go; Rust ").alias("new_skills"), F.lit("sql").alias("skills"), F.date_format("d", "yyyy/MM/dd").alias("publish_time"),
+        k.cast("string").alias("job_id"), F.concat("m", F.lit(" role")).alias("job_title"), F.col("m").alias("standard_job"), F.concat(F.lit("build "), "n").alias("job_responsibility"), F.when(k % 2 == 0, "care").alias("job_requirement"), none.alias("detailed"),
+        F.lit("SQL;Go").alias("traditional_skills"), F.when(k % 2 == 0, "go; Rust ").alias("new_skills"), F.lit("sql").alias("skills"), F.date_format("d", "yyyy/MM/dd").alias("publish_time"),
     ).fillna("", ["new_skills"])
     titles = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("standard_job_title"), F.substring("c_mktsegment", 1, 3).alias("standard_category")).distinct().where("standard_job_title != 'BUILDING'")
     j = mappers.employer_jobs(rows, titles)
@@ -220,14 +222,15 @@ PROFILES = """SELECT 'p' || c_custkey AS candidate_id, c_name AS summary, CASE W
 
 def normalize_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers, first texts, listed terms, titled parts and search texts of orders."""
+    k = F.col("k")
     o = _orders(spark, sf_dir)
-    rows = o.withColumns({"Salary": F.when(K % 3 == 0, F.concat(F.lit("$"), "p", F.lit(",000"))).when(K % 3 == 1, "x"), "pay": F.col("p").cast("string"), "blank": F.when(K % 2 == 0, F.concat(F.lit(" "), "m", F.lit(" "))).otherwise("  ")})
+    rows = o.withColumns({"Salary": F.when(k % 3 == 0, F.concat(F.lit("$"), "p", F.lit(",000"))).when(k % 3 == 1, "x"), "pay": F.col("p").cast("string"), "blank": F.when(k % 2 == 0, F.concat(F.lit(" "), "m", F.lit(" "))).otherwise("  ")})
     terms = nz.listed_skills(F.concat(F.lit("Python, "), "m", F.lit("|q;;\n R ")), F.lit("docker and aws"))
     j = rows.select("k", F.lit("T").alias("title"), F.col("n").alias("company"), F.lit("D").alias("description"), F.array("m", "r").alias("required_skills"), "Salary", "pay", "blank", terms.alias("terms"))
     j = readers.with_search_text(j)
     return j.select(
         "k", nz.number_field(F.col("Salary"), F.col("pay")).alias("number"), nz.first_text(F.col("blank"), F.col("company")).alias("first"),
-        F.array_join("terms", "|").alias("terms"), F.length(nz.sections(about_us=F.col("blank"), pay=F.col("pay"))).alias("chars"), "all_text", nz.safe_float(F.col("Salary"), -1.0).alias("amount"), readers.coordinates(F.concat(F.lit("1.5, "), (K % 90).cast("string")))["lat"].alias("lat"),
+        F.array_join("terms", "|").alias("terms"), F.length(nz.sections(about_us=F.col("blank"), pay=F.col("pay"))).alias("chars"), "all_text", nz.safe_float(F.col("Salary"), -1.0).alias("amount"), readers.coordinates(F.concat(F.lit("1.5, "), (k % 90).cast("string")))["lat"].alias("lat"),
         F.array_join(nz.split_terms(F.col("blank")), "|").alias("parts"), packs.preview(F.col("company"), 3).alias("preview"),
     )
 
