@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import cut
 
 #: Bytes of the longest context.
 ORDER = 4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: Bytes that are taken apart at once.
 PIECE_BYTES = 1 << 20
 #: The end token of the word model: no word is empty.
@@ -142,7 +143,7 @@ def survey(docs: DataFrame, learn: Column, order: int = ORDER, block_bytes: int
         yield from close()
 
     source = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    return cut(source.mapInArrow(scan, schema), "blocks")
+    return cut(source.mapInArrow(scan, schema), "blocks", compression="zstd")
 
 
 def _suffix(run: Column, size: int) -> Column:
@@ -221,11 +222,10 @@ def score(docs: DataFrame, nodes: DataFrame | None = None, order: int = ORDER, l
     known = cut(probabilities(counted.select("run"), nodes if nodes is not None else trie(counted, order), order), "probabilities")
     asked = blocks.where("kind = 1").select("block", "run").join(known, "run")
 
+    # a word's counts in all blocks meet once; the first block that has it counts it as a distinct one
+    same = W.partitionBy("word")
     words = blocks.where("kind = 2").select("block", "word", "n")
-    counts = cut(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n, smoothed = int(total["n"]), int(total["n"]) + int(total["v"]) + 1
-    named = words.select("block", "word").join(counts, "word")
+    named = words.withColumns({"c": F.sum("n").over(same), "first": F.min("block").over(same)}).select("block", "word", "c", (F.col("first") == F.col("block")).alias("own"))
 
     def add(texts: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         is_run = model["word"].isna().to_numpy()
@@ -234,7 +234,7 @@ def score(docs: DataFrame, nodes: DataFrame | None = None, order: int = ORDER, l
         p = p[first]
         word, c = model["word"][~is_run], model["c"].to_numpy()[~is_run]
         place = {w: i for i, w in enumerate(word)}
-        logs = np.log10((c + 1) / smoothed)
+        logs = np.log10(c + 1)
         out = []
         raw = texts["text"].tolist()
         for a, b in _pieces([*map(len, raw)]):
@@ -245,10 +245,17 @@ def score(docs: DataFrame, nodes: DataFrame | None = None, order: int = ORDER, l
                 at = np.fromiter(map(place.__getitem__, (*own, END_TOKEN)), np.int64, len(own) + 1)
                 out.append((len(at), int((c[at] > 0).sum()), math.fsum(logs[at].tolist()), s))
         made = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
+        made["distinct"] = 0
+        made.loc[0, "distinct"] = int((model["own"].to_numpy()[~is_run] & (c > 0)).sum())
         return pd.concat([texts[["doc_id", "learn"]].reset_index(drop=True), made], axis=1)
 
-    none, nothing = F.lit(-1).cast("long"), F.lit(None).cast("binary")
-    fetched = asked.select("block", "run", nothing.alias("word"), "p", F.lit(0).cast("long").alias("c")).union(named.select("block", none, "word", F.lit(0.0), "c"))
-    texts = blocks.where("kind = 0").select(F.col("block").alias("own"), "doc_id", "learn", "text")
-    scored = texts.groupBy("own").cogroup(fetched.groupBy("block")).applyInPandas(add, "doc_id string, learn boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(F.col("doc_id").cast(kind).alias("doc_id"), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    none, nothing, no = F.lit(-1).cast("long"), F.lit(None).cast("binary"), F.lit(False)
+    fetched = asked.select("block", "run", nothing.alias("word"), "p", F.lit(0).cast("long").alias("c"), no.alias("own")).union(named.select("block", none, "word", F.lit(0.0), "c", "own"))
+    texts = blocks.where("kind = 0").select(F.col("block").alias("at"), "doc_id", "learn", "text")
+    scored = cut(texts.groupBy("at").cogroup(fetched.groupBy("block")).applyInPandas(add, "doc_id string, learn boolean, n_tokens long, n_known long, base_score double, score double, distinct long"), "scores")
+    n = blocks.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    smoothed = math.log10(n + (scored.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]) + 1)
+    return scored.select(
+        F.col("doc_id").cast(kind).alias("doc_id"), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base_score") - F.col("n_tokens") * smoothed).alias("base_score"), "score",
+    )
