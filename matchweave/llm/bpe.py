@@ -129,8 +129,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     Texts of one chunk are encoded where they are read. The chunks of longer texts are spread
     over the cluster, once to be split into pre-tokens and once to be merged; only the places of
     boundaries near seams, and in the end the ids, come together per document."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = docs.schema[id_col].dataType
+    # ids travel as strings: a batch with nulls would make them floats
+    docs = docs.select(F.col(id_col).cast("string").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids binary"
     of = (lambda ids: _digests(ids, ranks_path)) if digest else (lambda ids: {"ids": ids})
 
@@ -172,7 +173,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"uid": rows["uid"].iloc[:1].to_numpy()} | of([b"".join(rows.sort_values("chunk")["ids"])]))
 
-    one = docs.where(F.length("text") <= chunk).mapInPandas(short, f"doc {kind}, {made}")
+    one = docs.where(F.length("text") <= chunk).mapInPandas(short, f"doc string, {made}")
     # rows get a number of their own; it is written, so that a lost executor can't change it
     long = cut(docs.where(F.length("text") > chunk).withColumn("uid", F.monotonically_increasing_id()), "long-texts")
     spread = long.select("uid", "text").mapInPandas(split, "uid long, chunk int, chunks int, start long, before long, window string").repartition(F.col("uid"), F.col("chunk"))
@@ -182,7 +183,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     seams = read.select("uid", "chunk", seam.alias("to")).select("uid", "chunk", F.coalesce("to", F.lit(-1)).alias("to"), F.coalesce(F.lag("to").over(order), F.lit(0)).alias("from_"))
     coded = read.select("uid", "chunk", "chunks", "start", "window", "bounds").join(seams, ["uid", "chunk"]).mapInPandas(merge, "uid long, chunk int, ids binary")
     joined = coded.groupBy("uid").applyInPandas(join, f"uid long, {made}")
-    return one.unionByName(long.select("uid", "doc").join(joined, "uid").drop("uid")).withColumnRenamed("doc", id_col)
+    return one.unionByName(long.select("uid", "doc").join(joined, "uid").drop("uid")).withColumn("doc", F.col("doc").cast(kind)).withColumnRenamed("doc", id_col)
 
 
 def decode(ids: Column, ranks_path: str) -> Column:

@@ -10,7 +10,7 @@ table's own pages that mark their article, labelled by that mark.
 
 Edge cases: null html is empty; a page without content gives an empty text; unclosed, nested
 and cut-off markup is read as browsers do in outline (a new block ends a paragraph, an unclosed
-comment or script runs to the end); a character reference is decoded within one stretch of text,
+comment, script or tag runs to the end, a quote counts only where a value begins with it); a character reference is decoded within one stretch of text,
 so one that a tag cuts in two stays as it is written; nesting may be as deep as the page is long;
 attributes of any name and value are only read for class, id, role and hiding; repeated rows each
 give a row; other columns are not read.
@@ -37,8 +37,12 @@ MAX_SAMPLE_CHARS = 50_000
 #: The attribute that holds a block's label in generated pages; in the table's pages it means nothing.
 LABEL = "matchweave-label"
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+# What ends a tag is told by its state: before a name, in a name, before a value, in quotes, in a value without
+# quotes. Quantifiers never give back, so a tag is read once, however it goes wrong.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)"""
+_MARKUP = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
+_TAG = re.compile(rf"""<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+)>""")
+_ATTRIBUTE = re.compile(rf"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE}))?+""")
 _WORDS = re.compile("[a-z]+")
 
 # How elements behave, and words that class names and ids are built from.
@@ -125,17 +129,25 @@ def parse(source: str, labelled: bool = True) -> Page:
     linked: list[tuple[int, int]] = []
     at, size = 0, len(source)
     while at < size:
-        m = _TOKEN.search(source, at)
-        text = source[at : m.start() if m else size]
+        found = _MARKUP.search(source, at)
+        text = source[at : found.start() if found else size]
         if text:
             run.append(html.unescape(text))
             run_linked += len(text) if links else 0
-        if not m:
+        if not found:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        if source[found.start() + 1] in "!?":
+            end = "-->" if found[0] == "<!--" else ">"
+            at = source.find(end, found.end())
+            at = at + len(end) if at >= 0 else size
             continue
+        m = _TAG.match(source, found.start())
+        if not m:  # the page ends in a tag
+            break
+        at = m.end()
+        name = m[2].lower()
+        # a slash that ends a value without quotes belongs to it
+        closed = m[3].endswith("/") and m[3][-2:-1] in ("", " ", "\t", "\n", "\r", "\f", "/", '"', "'")
         if m[1]:
             if name not in INLINE:
                 flush()
@@ -143,7 +155,7 @@ def parse(source: str, labelled: bool = True) -> Page:
                 pop(depth)
             continue
         if name in RAW:  # its content is no text, and the block around it goes on
-            if not m[3].endswith("/"):
+            if not closed:
                 end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = end.end() if end else size
             continue
@@ -169,7 +181,7 @@ def parse(source: str, labelled: bool = True) -> Page:
             page.tag.append(name)
             page.hints.append(hints)
             page.label.append(label)
-        if m[3].endswith("/"):
+        if closed:
             continue
         places.setdefault(name, []).append(len(stack))
         stack.append((name, stack[-1][1] if inline else len(page.parent) - 1))
@@ -389,6 +401,8 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 part = batch.iloc[at : at + 500]
                 yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": texts_of(list(part["html"]), model)})
 
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    source = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    return source.mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string").withColumn("n_chars", F.length("text").cast("long"))
+    kind = pages.schema["page_id"].dataType
+    # ids travel as strings: a batch with nulls would make them floats
+    source = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    made = source.mapInPandas(run, f"page_id string, url {pages.schema['url'].dataType.simpleString()}, text string")
+    return made.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("n_chars", F.length("text").cast("long"))

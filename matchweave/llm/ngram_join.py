@@ -25,9 +25,10 @@ costs a few comparisons per copy, and no link between different texts is lost: a
 never compared is connected already, or cannot reach the threshold.
 
 Edge cases: a document without words (null, empty) has no shingles and links with nothing; one
-with fewer words than a shingle has its whole sequence as its only shingle; doc_id must tell
-texts apart, and a repeated row is returned as often as it occurs; an empty table gives no
-rows; other columns are not read.
+with fewer words than a shingle has its whole sequence as its only shingle; a row without doc_id
+links with nothing and has no component; doc_id must tell texts apart (of different texts under
+one id, the smallest text and the smallest class stand for it), and a repeated row is returned as
+often as it occurs; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -133,9 +134,11 @@ def _survey(docs: DataFrame, kind: str, words: int) -> tuple[DataFrame, np.ndarr
                 s = shingles(text, words)
                 np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).view(np.int64), 1)
                 mark = (len(s), *fingerprint(s))
-                own = seen.get(mark, doc)
-                if own is doc and len(seen) < SEEN:
-                    seen[mark] = doc
+                own = doc
+                if doc is not None:  # a row without an id stands for no other
+                    own = seen.get(mark, doc)
+                    if own is doc and len(seen) < SEEN:
+                        seen[mark] = doc
                 rows.append((doc, *mark, own, -1, None))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "own", "part", "counts"])
         for part, some in enumerate(np.split(counts, SKETCH_PARTS)):
@@ -147,8 +150,10 @@ def _survey(docs: DataFrame, kind: str, words: int) -> tuple[DataFrame, np.ndarr
         total = sum(np.frombuffer(c, kind_of[len(c) // size]).astype(np.int64) for c in parts["counts"])
         return pd.DataFrame({"part": parts["part"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
 
-    scanned = cut(docs.mapInPandas(scan, f"doc_id {kind}, n long, f1 long, f2 long, own {kind}, part int, counts binary"), "survey")
-    rows_of = scanned.where("part < 0").select("doc_id", "n", "f1", "f2", "own")
+    # ids travel as strings: a batch with nulls would make them floats
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    scanned = cut(named.mapInPandas(scan, "doc_id string, n long, f1 long, f2 long, own string, part int, counts binary"), "survey")
+    rows_of = scanned.where("part < 0").select(F.col("doc_id").cast(kind).alias("doc_id"), "n", "f1", "f2", F.col("own").cast(kind).alias("own"))
     sketches = scanned.where("part >= 0").select("part", "counts")
     # summed in two steps, so that no task reads the sketches of all tasks
     some = sketches.withColumn("s", F.floor(F.rand(1) * 16)).groupBy("part", "s").applyInPandas(add, "part int, counts binary")
@@ -227,7 +232,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, kind: str, words: int) -> DataFrame
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).alias("bucket")
     # at most ID_BUCKETS rows: thins the texts before they are shuffled to the exact join
     near = docs.withColumn("bucket", bucket).join(F.broadcast(ids.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
-    wanted = near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = near.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     return cut(wanted.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, s binary"), "sets")
 
 
@@ -252,6 +257,7 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
     survey, level = _survey(docs, kind, words)
+    docs = docs.where("doc_id is not null")
     boundary = choose_boundary({r["n"]: r["count"] for r in survey.where(F.col("n").between(1, 2 * LARGEST_BOUNDARY)).groupBy("n").count().collect()}, num, den)
 
     classes = cut(_classes(survey), "classes")
@@ -260,7 +266,7 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     repeated = cut(posted.repartition("key").sortWithinPartitions("key").mapInPandas(repeated_keys, posted.schema), "lists")
     # size classes: sets that can link are in the same class or in neighbouring ones
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9)
-    member = repeated.join(classes.dropDuplicates(["doc_id"]), "doc_id").groupBy("key", F.col("rep").alias("u"), "n", step.cast("int").alias("size")).agg(F.min("place").alias("p"))
+    member = repeated.join(classes.groupBy("doc_id").agg(F.min(F.struct("rep", "n")).alias("c")).select("doc_id", "c.rep", "c.n"), "doc_id").groupBy("key", F.col("rep").alias("u"), "n", step.cast("int").alias("size")).agg(F.min("place").alias("p"))
     lists = cut(member, "members")
 
     fits = (den * F.col("n") >= num * F.col("m")) & (den * F.col("m") >= num * F.col("n"))

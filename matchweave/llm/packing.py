@@ -134,8 +134,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(tokenise, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    # ids travel as strings: a batch with nulls would make them floats
+    source = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    made = source.mapInPandas(tokenise, "doc_id string, piece int, start long, length long, ids_crc32 long")
+    return made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -184,16 +186,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length (1 to capacity)."""
     spark = parts.sparkSession
+    # rows get a number of their own, so that those without an id, or of one id, spread as well
+    parts = cut(parts.withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     # their number depends on the capacity: 32,213 for 10^5 pieces, 31,413 for 10^8
     runs = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 5)
     # a length has as many groups as its pieces ask for, so all together are few more than lengths and RANKINGS
     each = max(RANKED, sum(counts.values()) // RANKINGS)
     groups = spark.createDataFrame([(k, max(1, -(-n // each))) for k, n in counts.items()], "length long, salts long")
-    parts = parts.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts")
+    parts = parts.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts"))).drop("salts")
     sizes = cut(parts.groupBy("length", "salt").agg(F.count("*").alias("n")), "piece-lengths")
     before = sizes.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    ranked = parts.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
+    ranked = parts.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("row")) - 1)
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -203,9 +207,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pd.DataFrame({"sequence_id": runs[at, 3] + rank.to_numpy() - runs[at, 1], "offset": runs[at, 4]})
 
     placed = ranked.withColumn("place", place(F.col("length").cast("long"), F.col("rank").cast("long")))
-    return placed.withColumns({"sequence_id": F.col("place.sequence_id"), "offset": F.col("place.offset")}).drop("salt", "before", "rank", "place")
+    return placed.withColumns({"sequence_id": F.col("place.sequence_id"), "offset": F.col("place.offset")}).drop("salt", "before", "rank", "place", "row")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    packed = pack(cut(pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
+    packed = pack(pieces(docs, tokenizer_path, capacity), capacity)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -335,8 +335,10 @@ def scan(docs: DataFrame, model: tuple[Network, float] | None = None) -> DataFra
                 rows.append((doc, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(_line(base).encode()).hexdigest(), _line(spans)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    # ids travel as strings: a batch with nulls would make them floats
+    source = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    made = source.mapInPandas(run, "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def redact_text(text: str, spans: list[tuple[int, int, int]], mask: str = MASK) -> str:

@@ -470,10 +470,10 @@ def score(docs: DataFrame, labels: DataFrame, network: Network | None = None) ->
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores_of(list(batch["text"]), network, lookup)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double")
+    # ids travel as strings: a batch with nulls would make them floats
+    scored = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, score double")
     return scored.select(
-        "doc_id",
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out"),
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),

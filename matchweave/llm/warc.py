@@ -38,15 +38,16 @@ from pyspark.sql import functions as F
 
 from .common import cut, shared_dir
 
-#: Pages carry no capture time; without one given, page n was captured n seconds after this.
-EPOCH = 1_704_067_200
+#: Pages carry no capture time; without one given, page n was captured n seconds after this, n modulo ``SECONDS``.
+EPOCH, SECONDS = 1_704_067_200, 1_000_000_000
 #: An archive holds so many records at most, fewer where pages are long: about ``ARCHIVE_BYTES`` in all.
 RECORDS_PER_ARCHIVE, ARCHIVE_BYTES = 20_000, 1 << 28
 #: Captures that one task merges, about.
 RANGE_ROWS = 500_000
 
 _CRLF = "\r\n"
-_ENTRY = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, urlkey string, timestamp string, run string, seq long"
+#: Ids are digits until the end: a batch with nulls would make them floats.
+_ENTRY = "page_id string, record_type string, refers_to string, payload_digest string, payload_bytes long, urlkey string, timestamp string, run string, seq long"
 _COLUMNS = [c.split()[0] for c in _ENTRY.split(", ")]
 
 
@@ -72,7 +73,7 @@ def records(pages: DataFrame, min_bytes: int = 0, captured: Column | None = None
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", "%20").alias("url"),
         F.coalesce("html", F.lit("")).alias("payload"),
-        (captured if captured is not None else F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0)))).alias("at"),
+        (captured if captured is not None else F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0).cast("long")), F.lit(SECONDS)))).alias("at"),
     ).withColumns({"sha": F.sha1(F.encode("payload", "utf-8")), "size": F.octet_length("payload").cast("long")})
     first = page.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     known = page.join(cut(first, "payloads"), ["sha", "size"], "left")
@@ -120,9 +121,8 @@ def parse(archive: BinaryIO) -> Iterator[tuple[dict[str, str], dict[str, str], b
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The captures of all archives below ``path``; each archive's are a sorted run."""
 
-    def page_of(urn: str | None) -> int | None:
-        digits = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(digits) if digits else None
+    def page_of(urn: str | None) -> str | None:
+        return (urn or "").removeprefix("<urn:page:").removesuffix(">") or None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,14 +134,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"{name}: payload of {warc['warc-record-id']} does not match its digest")
                     stamp = re.sub("[^0-9]", "", warc["warc-date"])
                     found.append((page_of(warc["warc-record-id"]), warc["warc-type"], page_of(warc.get("warc-refers-to")), digest, int(http["content-length"]), url_key(warc["warc-target-uri"]), stamp))
-                found.sort(key=lambda x: (x[5], x[6], -1 if x[0] is None else x[0]))
-                rows = pd.DataFrame([(*x, name, i) for i, x in enumerate(found)], columns=_COLUMNS)
-                yield rows.astype({"page_id": "Int64", "refers_to": "Int64"})
+                found.sort(key=lambda x: _order(x[5], x[6], x[0]))
+                yield pd.DataFrame([(*x, name, i) for i, x in enumerate(found)], columns=_COLUMNS)
 
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     return archives.select("path", "content").mapInPandas(run, _ENTRY)
 
 
+def _order(urlkey: str, stamp: str, page: str | None) -> tuple[str, str, bool, int]:
+    """What captures are sorted by; those without an id go first, as Spark puts nulls."""
+    return urlkey, stamp, page is not None, int(page or 0)
+
+
 class LoserTree:
     """Merges sorted lists: inner nodes remember the loser of their match, the winner is next."""
 
@@ -192,13 +196,12 @@ def merge(captures: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame(columns=_COLUMNS), *batches], ignore_index=True)
         starts = [*rows.index[rows["run"] != rows["run"].shift()], len(rows)]
-        keys = list(zip(rows["urlkey"], rows["timestamp"], [-1 if pd.isna(p) else int(p) for p in rows["page_id"]]))
+        keys = [*map(_order, rows["urlkey"], rows["timestamp"], rows["page_id"])]
         order = [starts[k] + i for k, i in LoserTree([keys[a:b] for a, b in zip(starts, starts[1:])])]
-        out = rows.iloc[order]
-        yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "seq": "int64"})
+        yield rows.iloc[order].astype({"payload_bytes": "int64", "seq": "int64"})
 
     runs = cut(captures, "runs")
-    return runs.repartitionByRange(max(1, -(-runs.count() // RANGE_ROWS)), "urlkey", "timestamp", "page_id").sortWithinPartitions("run", "seq").mapInPandas(run, _ENTRY)
+    return runs.repartitionByRange(max(1, -(-runs.count() // RANGE_ROWS)), "urlkey", "timestamp", F.col("page_id").cast("long")).sortWithinPartitions("run", "seq").mapInPandas(run, _ENTRY).withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def archive(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:
