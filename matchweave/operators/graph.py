@@ -1,7 +1,8 @@
 """Property-graph operators over edge tables.
 
 Traversals have a fixed depth and drop repeats at each step. Edges between skills are few and
-edges from jobs many, so every walk stays on the skill side and meets the jobs once, at the end.
+edges from jobs many, so a traversal stays on the skill side and meets the jobs once, at the end,
+but for shortest paths and random walks, which cross jobs one edge at a time.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.shared import written
+
 
 def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -59,17 +62,22 @@ def vertices(edges: DataFrame, type_: str) -> DataFrame:
     return edges.where(F.col("type") == type_).groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("degree"))
 
 
-def path_to_place(asked: DataFrame, located: DataFrame, limit: int = 4) -> DataFrame:
+def path_to_place(asked: DataFrame, located: DataFrame, limit: int = 4, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, job_id, hops) of asked places (query_id, place) and jobs' places (job_id, place):
-    1 where a job lies in a place asked for, 3 where it shares another place with such a job."""
+    1 where a job lies in a place asked for, 3 where it shares another place with such a job; with
+    ``pairs`` (query_id, job_id), of those only."""
     asked, located = asked.select("query_id", F.lower("place").alias("place")).distinct(), located.select("job_id", F.lower("place").alias("place")).distinct()
     one = asked.join(located, "place").select("query_id", "job_id").distinct()
     out = one.withColumn("hops", F.lit(1))
     if limit >= 3:  # the places that the jobs found lie in as well, each once a query, not each job's
         near = one.join(located, "job_id").select("query_id", "place").distinct().join(asked, ["query_id", "place"], "left_anti")
-        out = out.union(near.join(located, "place").select("query_id", "job_id").distinct().withColumn("hops", F.lit(3)))
+        far = near.join(located, "place") if pairs is None else pairs.select("query_id", "job_id").distinct().join(located, "job_id").join(near, ["query_id", "place"])
+        out = out.union(far.select("query_id", "job_id").distinct().withColumn("hops", F.lit(3)))
+    if pairs is not None:
+        out = out.join(pairs, ["query_id", "job_id"], "left_semi")
     return out.groupBy("query_id", "job_id").agg(F.min("hops").alias("hops"))
 
+
 def keep_latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The last row of each key by ``order``."""
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
@@ -106,25 +114,37 @@ def two_hops(asked: DataFrame, related: DataFrame, requires: DataFrame) -> DataF
     return requires.join(reached(asked, related), "skill").groupBy("query_id", "job_id").agg(F.countDistinct("skill").alias("hits"))
 
 
-def skill_distances(related: DataFrame, requires: DataFrame, limit: int = 3) -> DataFrame:
-    """(src, dst, hops) between skills: related is 1, required by one job is 2; up to ``limit``.
-    Two skills of one job are found from skill pairs per job, kept distinct."""
-    pairs = requires.alias("a").join(requires.alias("b"), (F.col("a.job_id") == F.col("b.job_id")) & (F.col("a.skill") != F.col("b.skill")))
-    steps = symmetric(related).withColumn("hops", F.lit(1)).union(pairs.select(F.col("a.skill").alias("src"), F.col("b.skill").alias("dst"), F.lit(2).alias("hops")).distinct())
-    steps = steps.groupBy("src", "dst").agg(F.min("hops").alias("hops"))
-    found = steps
-    for _ in range(limit - 1):
-        longer = found.alias("f").join(steps.alias("s"), F.col("f.dst") == F.col("s.src")).select(F.col("f.src").alias("src"), F.col("s.dst").alias("dst"), (F.col("f.hops") + F.col("s.hops")).alias("hops"))
-        found = found.union(longer.where((F.col("hops") <= limit) & (F.col("src") != F.col("dst")))).groupBy("src", "dst").agg(F.min("hops").alias("hops"))
-    return found
-
-
-def path_to_skill(asked: DataFrame, distances: DataFrame, requires: DataFrame, limit: int = 4) -> DataFrame:
-    """(query_id, job_id, hops): fewest edges from a named skill to the job."""
-    own = asked.select("query_id", "skill", F.lit(0).alias("hops"))
-    far = asked.join(distances, F.col("skill") == F.col("src")).select("query_id", F.col("dst").alias("skill"), "hops")
-    near = own.union(far).groupBy("query_id", "skill").agg(F.min("hops").alias("hops"))
-    return requires.join(near, "skill").groupBy("query_id", "job_id").agg((F.min("hops") + 1).alias("hops")).where(F.col("hops") <= limit)
+def path_to_skill(asked: DataFrame, related: DataFrame, requires: DataFrame, limit: int = 4, pairs: DataFrame | None = None) -> DataFrame:
+    """(query_id, job_id, hops): fewest edges, up to ``limit``, from a named skill to the job over related
+    skills and required ones; with ``pairs`` (query_id, job_id), of those pairs only.
+
+    A breadth-first search of all queries at once. Skills and jobs take turns as frontiers and are
+    remembered apart, so two skills of one job meet over the job and no pairs of skills are made; each
+    level is written, and only what is new goes on."""
+    need, both = requires.select("job_id", "skill").distinct(), symmetric(related)
+    skills = written(asked.select("query_id", "skill").distinct(), "skills")
+    seen_skills, seen_jobs, jobs, found = skills, None, None, []
+    for hops in range(1, limit + 1):
+        # jobs of the last two levels lead nowhere that counts
+        wanted = None if pairs is None or hops < limit - 1 else pairs.select("query_id", "job_id").distinct()
+        edges = need if wanted is None else need.join(wanted.select("job_id").distinct(), "job_id", "left_semi")
+        near = skills.join(edges, "skill").select("query_id", "job_id").distinct()
+        near = near if wanted is None else near.join(wanted, ["query_id", "job_id"], "left_semi")
+        if seen_jobs is not None:
+            near = near.join(seen_jobs, ["query_id", "job_id"], "left_anti")
+        near = written(near, "jobs")
+        found.append(near.withColumn("hops", F.lit(hops)))
+        if hops < limit:
+            on = skills.join(both, F.col("skill") == F.col("src")).select("query_id", F.col("dst").alias("skill"))
+            if jobs is not None:
+                on = on.union(jobs.join(need, "job_id").select("query_id", "skill"))
+            skills = written(on.distinct().join(seen_skills, ["query_id", "skill"], "left_anti"), "skills")
+            seen_skills = seen_skills.union(skills)
+        jobs, seen_jobs = near, near if seen_jobs is None else seen_jobs.union(near)
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out if pairs is None else out.join(pairs.select("query_id", "job_id").distinct(), ["query_id", "job_id"], "left_semi")
 
 
 def text_match(asked: DataFrame, vocabulary: DataFrame, requires: DataFrame, per_word: int = 10, k: int = 50) -> DataFrame:
@@ -181,25 +201,90 @@ def market_trends(requires: DataFrame, has: DataFrame, related: DataFrame) -> Da
     return incident.join(near, "skill", "left").fillna(0, ["related"])
 
 
-def random_walks(edges: DataFrame, walks: int, steps: int, seed: int = 0) -> DataFrame:
-    """(node, walk, path): uniform walks from every node; each step is a join with a hash pick."""
-    both = symmetric(edges).distinct()
-    out = both.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("next"))
-    at = out.select(F.col("src").alias("node"), F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk")).withColumns({"path": F.array("node"), "here": F.col("node")})
-    for step in range(steps - 1):
-        pick = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "node", "walk"), F.size("next").cast("long")).cast("int")
-        at = at.join(out, F.col("here") == F.col("src")).withColumn("here", F.element_at("next", pick + 1)).withColumn("path", F.array_append("path", F.col("here"))).drop("src", "next")
-    return at.select("node", "walk", "path")
-
-
-def graph_embedding(edges: DataFrame, dims: int = 128, walks: int = 200, steps: int = 30, window: int = 10, seed: int = 0) -> DataFrame:
-    """(node, embedding): skip-gram vectors of nodes over random walks."""
+#: Neighbours that are numbered together.
+SLICE = 1000
+
+
+def neighbours(edges: DataFrame, slice_size: int = SLICE) -> DataFrame:
+    """(node, place, dst, dst_degree) of undirected edges (src, dst): each node's neighbours have the
+    places 0 to degree - 1, so a uniform number picks one of them by a join on node and place.
+
+    A node's list is never held whole: it is dealt into slices of about ``slice_size``, a slice is
+    numbered within, and the counts of the slices before it are added."""
+    both = symmetric(edges).where("src is not null and dst is not null").distinct()
+    degree = written(both.groupBy("src").agg(F.count("*").alias("degree")), "degrees")
+    slices = F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / slice_size)).alias("slice")
+    dealt = written(both.join(degree, "src").select("src", "dst", slices), "slices")
+    counts = dealt.groupBy("src", "slice").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("src").orderBy("slice")) - F.col("n")
+    starts = written(counts.select("src", "slice", before.alias("start")), "starts")
+    within = F.row_number().over(W.partitionBy("src", "slice").orderBy("dst")) - 1
+    placed = dealt.withColumn("r", within).join(starts, ["src", "slice"])
+    ends = degree.select(F.col("src").alias("dst"), F.col("degree").alias("dst_degree"))
+    return placed.select(F.col("src").alias("node"), (F.col("start") + F.col("r")).alias("place"), "dst").join(ends, "dst").select("node", "place", "dst", "dst_degree")
+
+
+def _walk(edges: DataFrame, walks: int, steps: int, seed: int, every: int, slice_size: int) -> tuple[DataFrame, DataFrame]:
+    """(names, paths): the number of each node, and walks (node, walk, path) over numbers."""
+    ends = edges.select("src", "dst").where("src is not null and dst is not null")
+    # numbers are written before use, so that a lost executor can't change them
+    names = written(ends.select(F.col("src").alias("name")).union(ends.select("dst")).distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
+    a, b = names.select(F.col("name").alias("src"), F.col("id").alias("a")), names.select(F.col("name").alias("dst"), F.col("id").alias("b"))
+    numbered = ends.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    moves = written(neighbours(numbered, slice_size), "moves")
+    begin = moves.where("place = 0").select(F.col("node"), F.col("node").alias("here")).join(moves.groupBy("node").agg(F.count("*").alias("degree")), "node")
+    at = begin.select("node", F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk"), "here", "degree", F.array("node").alias("path"))
+    parts = []
+    for step in range(1, steps):
+        pick = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "node", "walk"), F.col("degree"))
+        to = moves.select(F.col("node").alias("here"), F.col("place").alias("pick"), "dst", "dst_degree")
+        at = at.withColumn("pick", pick).join(to, ["here", "pick"]).select("node", "walk", F.col("dst").alias("here"), F.col("dst_degree").alias("degree"), F.array_append("path", F.col("dst")).alias("path"))
+        if step % every == 0 and step < steps - 1:
+            at = written(at, "walks")
+            parts.append(at.select("node", "walk", F.lit(step).alias("step"), "path"))
+            at = at.withColumn("path", F.array().cast("array<long>"))
+    parts.append(written(at, "walks").select("node", "walk", F.lit(steps).alias("step"), "path"))
+    together = parts[0]
+    for p in parts[1:]:
+        together = together.union(p)
+    whole = together.groupBy("node", "walk").agg(F.array_sort(F.collect_list(F.struct("step", "path"))).alias("p"))
+    return names, whole.select("node", "walk", F.flatten("p.path").alias("path"))
+
+
+def random_walks(edges: DataFrame, walks: int, steps: int, seed: int = 0, every: int = 6, slice_size: int = SLICE) -> DataFrame:
+    """(node, walk, path): uniform walks from every node. A step is a join on the node and the place
+    of the neighbour that a hash picks; what is walked is written every few steps."""
+    names, paths = _walk(edges, walks, steps, seed, every, slice_size)
+    at = paths.select("node", "walk", F.posexplode("path").alias("pos", "id")).join(names, "id")
+    return at.groupBy("node", "walk").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("p")).select(F.col("p")[0]["name"].alias("node"), "walk", F.col("p.name").alias("path"))
+
+
+def graph_embedding(edges: DataFrame, dims: int = 128, walks: int = 200, steps: int = 30, window: int = 10, seed: int = 0, parts: int | None = None) -> DataFrame:
+    """(node, embedding) of a graph between owners (src) and what they share (dst), such as jobs and
+    candidates with skills; no name may be both.
+
+    Skip-gram vectors of the shared nodes are trained on the uniform walks from every node; the
+    trainer's driver holds those only, which are the graph's vocabulary. An owner's vector is the mean of
+    the shared nodes within the window of its own walks, weighted by how often they are met: the
+    contexts that skip-gram would train it on. Owners are joined, so there may be any number."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    paths = random_walks(edges, walks, steps, seed)
-    model = Word2Vec(vectorSize=dims, windowSize=window, minCount=1, maxIter=1, seed=seed, inputCol="path", outputCol="v").fit(paths)
-    return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("embedding"))
+    names, paths = _walk(edges, walks, steps, seed, 6, SLICE)
+    shared = written(edges.select(F.col("dst").alias("name")).distinct().join(names, "name").select("id"), "shared")
+    paths = written(paths.join(shared.withColumnRenamed("id", "node").withColumn("is_shared", F.lit(True)), "node", "left"), "paths")
+    # walks alternate between the two sides
+    met = F.filter("path", lambda x, i: (i % 2 == 0) == F.coalesce(F.col("is_shared"), F.lit(False)))
+    lines = paths.select(F.transform(met, lambda x: x.cast("string")).alias("line"))
+    tasks = parts or max(1, edges.sparkSession.sparkContext.defaultParallelism)
+    model = Word2Vec(vectorSize=dims, windowSize=max(1, window // 2), minCount=1, numPartitions=tasks, maxIter=1, seed=seed, inputCol="line", outputCol="v").fit(lines)
+    vectors = written(model.getVectors().select(F.col("word").cast("long").alias("id"), vector_to_array("vector").alias("x")), "vectors")
+    own = paths.where("is_shared is null").select("node", F.explode(F.slice(met, 1, (window + 1) // 2)).alias("id"))
+    weights = own.groupBy("node", "id").agg(F.count("*").alias("n"))
+    # one row per node and dimension, so that sums are partial and no list of vectors is gathered
+    spread = weights.join(vectors, "id").select("node", "n", F.posexplode("x").alias("i", "v")).groupBy("node", "i").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v"))
+    owners = spread.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x")).select(F.col("node").alias("id"), F.col("x.v").alias("x"))
+    return owners.unionByName(vectors).join(names, "id").select(F.col("name").alias("node"), F.col("x").alias("embedding"))
 
 
 def relatedness(pairs: DataFrame, vectors: DataFrame | None) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +9,9 @@ from ..functions import scores as sc
 from ..functions import text as tx
 from ..operators import graph, lexical, packs, postings, quality, resumes, search, vectors
 from ..sources import graph_tables as g
+from ..sources.shared import folder, written
 from ..sources.tables import table
 from ..streaming import ingest
-from .feeds import _folder
 from .graph import SQL
 from .lexical import SCORED, TOKENS, documents, questions
 from .matching import FRAME, frame
@@ -235,12 +232,7 @@ FIRST_ISSUES = FIRST_ISSUES.replace("k AS (SELECT c.*, p.doc_id IS NOT NULL AS k
 
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users and kinds of events that a stream let through once each."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    path = f"{root}/seen-{uuid.uuid4().hex}"
+    path = folder(spark, "seen")
     stream = ingest.read_stream(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     seen = ingest.first_seen(stream, "ts", ["user_id", "event_type"], "3650 days")
     seen.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
@@ -276,24 +268,17 @@ def _job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("job_id", F.concat_ws(" ", "company", "level").alias("title"), F.concat_ws(" ", "city", "state", "company").alias("description"), "skills", F.array_join("skills", " ").alias("text"), "city", "state", "company", "posted_date")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: several steps of a chain read it."""
-    path = _folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Searches, jobs, the merged candidates of three retrievers (200, 200 and 100 each, 400 in all),
     and BM25 scores."""
-    asked, jobs = _kept(_searches(spark, sf_dir)), _kept(_job_texts(spark, sf_dir))
-    scored = lexical.bm25(jobs.select(F.col("job_id").alias("doc_id"), "text"), asked.select("query_id", "text")).withColumnRenamed("doc_id", "job_id")
+    asked, jobs = written(_searches(spark, sf_dir)), written(_job_texts(spark, sf_dir))
+    scored = written(lexical.bm25(jobs.select(F.col("job_id").alias("doc_id"), "text"), asked.select("query_id", "text")).withColumnRenamed("doc_id", "job_id"))
     lists = {
         "lexical": lexical.top_k(scored, 200, item="job_id"),
         "semantic": vectors.sparse_topk(asked.select("query_id", "text"), jobs.select(F.col("job_id").alias("item_id"), "text"), 200).withColumnRenamed("item_id", "job_id"),
         "graph": lexical.top_k(graph.two_hops(g.asked(spark, sf_dir), g.related(spark, sf_dir), g.requires(spark, sf_dir)), 100, item="job_id", score="hits"),
     }
-    return asked, jobs, _kept(search.retrieve(lists)), scored
+    return asked, jobs, written(search.retrieve(lists)), scored
 
 
 _JOB_TOKENS = TOKENS.replace("FROM documents", "FROM nt").replace("item_id AS query_id", "query_id").replace("FROM benchmark", "FROM qx")
@@ -329,23 +314,23 @@ sc AS (SELECT ju.query_id, job_id, sources, CAST(round(coalesce(s, 0) * 1000000)
 SELECT query_id, job_id, sources, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, job_id) AS rank, coalesce(refused, 0) AS refused, prompts FROM sc LEFT JOIN rf USING (query_id) QUALIFY rank <= 10"""
 
 
-def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features of each search's candidates: lexical, of three similarities, and of the graph."""
-    asked, jobs, merged, scored = _retrieved(spark, sf_dir)
-    pairs = merged.select("query_id", "job_id")
-    skills, near, need = g.asked(spark, sf_dir), g.related(spark, sf_dir), g.requires(spark, sf_dir)
+def features(asked: DataFrame, jobs: DataFrame, pairs: DataFrame, scored: DataFrame, skills: DataFrame, near: DataFrame, need: DataFrame) -> DataFrame:
+    """All features of given pairs: lexical, of three similarities, and of the graph. Each is worked out
+    for the pairs alone; edges are those of their jobs, but for paths, which may lead over others."""
+    pairs = pairs.select("query_id", "job_id")
+    own = written(need.join(pairs.select("job_id").distinct(), "job_id", "left_semi"), "edges")
     said = asked.withColumn("text", F.concat_ws(" ", "text", "place", "company"))
-    item = pairs.withColumnRenamed("job_id", "item_id")
-    similar = lambda c, name: vectors.sparse_cosine(item, said.select("query_id", "text"), jobs.select(F.col("job_id").alias("item_id"), F.col(c).alias("text"))).select("query_id", F.col("item_id").alias("job_id"), F.col("score").alias(name))
+    texts = jobs.select(F.col("job_id").alias("item_id"), F.col("title").alias("sem_title"), F.col("description").alias("sem_description"), F.col("text").alias("sem_skills"))
+    similar = vectors.sparse_cosines(pairs.withColumnRenamed("job_id", "item_id"), said.select("query_id", "text"), texts, ["sem_title", "sem_description", "sem_skills"]).withColumnRenamed("item_id", "job_id")
+    places = jobs.select("job_id", F.explode(F.array("city", "state")).alias("place"))
     found = {
         "text_score": scored.select("query_id", "job_id", F.col("score").alias("text_score")),
-        "hop1": graph.one_hop(skills, need).withColumnRenamed("hits", "hop1"),
-        "hop2": graph.two_hops(skills, near, need).withColumnRenamed("hits", "hop2"),
-        "skill_path": graph.path_to_skill(skills, graph.skill_distances(near, need), need).withColumnRenamed("hops", "skill_path"),
-        "location_path": graph.path_to_place(asked.select("query_id", "place"), jobs.select("job_id", F.explode(F.array("city", "state")).alias("place"))).withColumnRenamed("hops", "location_path"),
-        "sem_title": similar("title", "sem_title"), "sem_description": similar("description", "sem_description"), "sem_skills": similar("text", "sem_skills"),
+        "hop1": graph.one_hop(skills, own).withColumnRenamed("hits", "hop1"),
+        "hop2": graph.two_hops(skills, near, own).withColumnRenamed("hits", "hop2"),
+        "skill_path": graph.path_to_skill(skills, near, need, pairs=pairs).withColumnRenamed("hops", "skill_path"),
+        "location_path": graph.path_to_place(asked.select("query_id", "place"), places, pairs=pairs).withColumnRenamed("hops", "location_path"),
     }
-    out = pairs
+    out = pairs.join(similar, ["query_id", "job_id"])
     for df in found.values():
         out = out.join(df, ["query_id", "job_id"], "left")
     out = out.fillna(0, list(found)).join(said.select("query_id", F.col("text").alias("query"), F.col("skills").alias("asked")), "query_id").join(jobs.select("job_id", "title", F.col("skills").alias("need"), "city", "state", F.col("company").alias("at")), "job_id")
@@ -356,15 +341,23 @@ def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of each search's candidates."""
+    asked, jobs, merged, scored = _retrieved(spark, sf_dir)
+    skills, near, need = written(g.asked(spark, sf_dir), "asked"), written(g.related(spark, sf_dir), "related"), written(g.requires(spark, sf_dir), "requires")
+    return features(asked, jobs, merged, scored, skills, near, need)
+
+
 FEATURES = f"""WITH {RETRIEVED}, nm AS (SELECT query_id, text, CAST(regexp_extract(query_id, '[0-9]+') AS INTEGER) AS n FROM qx), sq AS (SELECT query_id, text || ' NATION_' || n || ' ' || {_LIST(COMPANIES)}[n % 5 + 1] AS text, 'nation_' || n AS place FROM nm),
 ti AS (SELECT job_id AS doc_id, company || ' ' || level AS text FROM jobs), de AS (SELECT job_id AS doc_id, city || ' ' || state || ' ' || company AS text FROM jobs),
 {_vector_sql("sv", "sq", "query_id")}, {_vector_sql("tv", "ti", "doc_id")}, {_vector_sql("dv", "de", "doc_id")},
 s1 AS (SELECT query_id, m.job_id, CAST(sum(x.w * sv.w) AS BIGINT) // 1000000 / 1000000 AS sem_title FROM merged m JOIN tv x ON x.doc_id = m.job_id JOIN sv USING (query_id, b) GROUP BY ALL), s2 AS (SELECT query_id, m.job_id, CAST(sum(x.w * sv.w) AS BIGINT) // 1000000 / 1000000 AS sem_description FROM merged m JOIN dv x ON x.doc_id = m.job_id JOIN sv USING (query_id, b) GROUP BY ALL),
 s3 AS (SELECT query_id, m.job_id, CAST(sum(x.w * sv.w) AS BIGINT) // 1000000 / 1000000 AS sem_skills FROM merged m JOIN jv x ON x.doc_id = m.job_id JOIN sv USING (query_id, b) GROUP BY ALL),
-step AS (SELECT src, dst, min(hops) AS hops FROM (SELECT src, dst, 1 AS hops FROM linked UNION ALL SELECT DISTINCT a.skill, b.skill, 2 FROM requires a JOIN requires b ON a.job_id = b.job_id AND a.skill != b.skill) GROUP BY src, dst),
-d2 AS (SELECT src, dst, min(hops) AS hops FROM (SELECT * FROM step UNION ALL SELECT f.src, s.dst, f.hops + s.hops FROM step f JOIN step s ON f.dst = s.src WHERE f.hops + s.hops <= 3 AND f.src != s.dst) GROUP BY src, dst),
-d3 AS (SELECT src, dst, min(hops) AS hops FROM (SELECT * FROM d2 UNION ALL SELECT f.src, s.dst, f.hops + s.hops FROM d2 f JOIN step s ON f.dst = s.src WHERE f.hops + s.hops <= 3 AND f.src != s.dst) GROUP BY src, dst),
-nr AS (SELECT query_id, skill, min(hops) AS hops FROM (SELECT query_id, skill, 0 AS hops FROM asked UNION ALL SELECT query_id, dst, d3.hops FROM asked JOIN d3 ON skill = src) GROUP BY query_id, skill), sp AS (SELECT query_id, job_id, min(hops) + 1 AS skill_path FROM requires JOIN nr USING (skill) GROUP BY ALL HAVING min(hops) < 4),
+j1 AS (SELECT DISTINCT query_id, job_id FROM asked JOIN requires USING (skill)), k1 AS (SELECT DISTINCT query_id, dst AS skill FROM asked JOIN linked ON skill = src EXCEPT SELECT * FROM asked),
+j2 AS (SELECT DISTINCT query_id, job_id FROM k1 JOIN requires USING (skill) EXCEPT SELECT * FROM j1), k2 AS (SELECT query_id, skill FROM j1 JOIN requires USING (job_id) UNION SELECT query_id, dst FROM k1 JOIN linked ON skill = src EXCEPT (SELECT * FROM asked UNION SELECT * FROM k1)),
+j3 AS (SELECT DISTINCT query_id, job_id FROM k2 JOIN requires USING (skill) EXCEPT (SELECT * FROM j1 UNION SELECT * FROM j2)), k3 AS (SELECT query_id, skill FROM j2 JOIN requires USING (job_id) UNION SELECT query_id, dst FROM k2 JOIN linked ON skill = src EXCEPT (SELECT * FROM asked UNION SELECT * FROM k1 UNION SELECT * FROM k2)),
+j4 AS (SELECT DISTINCT query_id, job_id FROM k3 JOIN requires USING (skill) EXCEPT (SELECT * FROM j1 UNION SELECT * FROM j2 UNION SELECT * FROM j3)),
+sp AS (SELECT *, 1 AS skill_path FROM j1 UNION ALL SELECT *, 2 FROM j2 UNION ALL SELECT *, 3 FROM j3 UNION ALL SELECT *, 4 FROM j4),
 pl AS (SELECT job_id, lower(city) AS place FROM jobs UNION SELECT job_id, lower(state) FROM jobs), l1 AS (SELECT DISTINCT query_id, job_id FROM sq JOIN pl USING (place)), l3 AS (SELECT DISTINCT l1.query_id, pl.place FROM l1 JOIN pl USING (job_id) ANTI JOIN sq ON sq.query_id = l1.query_id AND sq.place = pl.place),
 lp AS (SELECT query_id, job_id, min(h) AS location_path FROM (SELECT query_id, job_id, 1 AS h FROM l1 UNION ALL SELECT query_id, job_id, 3 FROM l3 JOIN pl USING (place)) GROUP BY ALL), h1 AS (SELECT query_id, job_id, count(DISTINCT skill) AS hop1 FROM requires JOIN asked USING (skill) GROUP BY ALL), na AS (SELECT query_id, count(*) AS na FROM asked GROUP BY query_id)
 SELECT query_id, job_id, coalesce(r.score, 0) AS text_score, CASE WHEN contains(lower(company || ' ' || level), lower(sq.text)) THEN 1 ELSE 0 END AS title_hit, round(coalesce(hop1, 0) / na, 6) AS skill_overlap, CASE WHEN contains(lower(sq.text), lower(city)) OR contains(lower(sq.text), lower(state)) THEN 1 ELSE 0 END AS place_named,
@@ -376,7 +369,7 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs by mistyped words: each brand's skills with the second letter of every word left out."""
     typed = F.array_join(F.transform(F.split("text", " "), lambda w: F.concat(F.substring(w, 1, 1), F.substring(w, 3, 100))), " ")
     asked = _searches(spark, sf_dir).select("query_id", F.concat_ws(" ", typed, "place", F.lower("company")).alias("text"))
-    return search.fuzzy_text_search(_kept(_job_texts(spark, sf_dir)), asked, 20).select("query_id", F.col("doc_id").alias("job_id"), "score", "rank")
+    return search.fuzzy_text_search(written(_job_texts(spark, sf_dir)), asked, 20).select("query_id", F.col("doc_id").alias("job_id"), "score", "rank")
 
 
 def _one_field(name: str, text: str) -> str:

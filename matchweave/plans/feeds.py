@@ -5,28 +5,17 @@ and mapped back."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
 from ..operators import packs
 from ..sources import mappers, readers
+from ..sources.shared import folder
 from ..sources.tables import table
 from .text import _WORD_SQL, _cascade_sql
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-feeds-", dir="/tmp")
-    return f"{root}/feed-{uuid.uuid4().hex}"
-
-
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c, n, r = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
     joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -38,7 +27,7 @@ ORDERS = "o AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS INTEGER) AS
 
 def format_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as CSV, JSON lines, objects back to back and plain JSON, and read back."""
-    path, schema = _folder(spark), "key long, name string, note string"
+    path, schema = folder(spark, "feed"), "key long, name string, note string"
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.concat(F.lit('say "'), "c_mktsegment", F.lit('",\nthen ü')).alias("note"))
     rows.write.csv(f"{path}/csv", header=True, escape='"')
     readers.write_jsonl(rows, f"{path}/jsonl")
@@ -243,7 +232,7 @@ def bulk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders stored by key with faults put in: what was stored, refused, and the first refusals."""
     o = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderkey")).alias("job_id"), F.when(F.col("o_orderkey") % 23 != 0, F.col("o_orderstatus")).alias("title"), F.lit(1).alias("ingest_ts"), F.col("o_orderkey").alias("line"))
     again = o.where("job_id % 3 = 0").withColumns({"ingest_ts": F.lit(2), "title": F.concat("title", F.lit("!"))})
-    path = _folder(spark)
+    path = folder(spark, "feed")
     report = readers.bulk_store(o.unionByName(again), f"{path}/jobs", order="line")
     stored = spark.read.parquet(f"{path}/jobs")
     tally = stored.agg(F.count("*").alias("n"), F.count_if(F.col("title").endswith("!")).alias("newer")).select(F.lit("stored").alias("kind"), "n", F.col("newer").alias("line"))
@@ -259,7 +248,7 @@ UNION ALL SELECT kind, 1, line FROM (SELECT *, row_number() OVER (ORDER BY line)
 
 def embedding_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors saved as one table of ids and vectors, read back; then the table cleared."""
-    path = _folder(spark)
+    path = folder(spark, "feed")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     readers.save_vectors(vectors, f"{path}/vectors")
     back = readers.load_vectors(spark, f"{path}/vectors")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, lexical
 from ..sources import graph_tables as g
+from ..sources.shared import written
 from ..sources.tables import table
 
 SQL = g.SQL
@@ -32,18 +33,21 @@ def related_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skill_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    need = g.requires(spark, sf_dir)
-    paths = graph.path_to_skill(g.asked(spark, sf_dir), graph.skill_distances(g.related(spark, sf_dir), need), need)
+    """Hops from the skills that each brand asks for to jobs."""
+    paths = graph.path_to_skill(g.asked(spark, sf_dir), g.related(spark, sf_dir), g.requires(spark, sf_dir))
     return paths.groupBy("query_id", "hops").agg(F.count("*").alias("jobs"), F.min("job_id").alias("first_job"))
 
 
-SKILL_PATH = f"""WITH RECURSIVE {SQL},
-step AS (SELECT src, dst, min(hops) AS hops FROM (SELECT src, dst, 1 AS hops FROM linked UNION ALL SELECT DISTINCT a.skill, b.skill, 2 FROM requires a JOIN requires b ON a.job_id = b.job_id AND a.skill != b.skill) GROUP BY src, dst),
-d2 AS (SELECT src, dst, min(hops) AS hops FROM (SELECT * FROM step UNION ALL SELECT f.src, s.dst, f.hops + s.hops FROM step f JOIN step s ON f.dst = s.src WHERE f.hops + s.hops <= 3 AND f.src != s.dst) GROUP BY src, dst),
-d3 AS (SELECT src, dst, min(hops) AS hops FROM (SELECT * FROM d2 UNION ALL SELECT f.src, s.dst, f.hops + s.hops FROM d2 f JOIN step s ON f.dst = s.src WHERE f.hops + s.hops <= 3 AND f.src != s.dst) GROUP BY src, dst),
-near AS (SELECT query_id, skill, min(hops) AS hops FROM (SELECT query_id, skill, 0 AS hops FROM asked UNION ALL SELECT query_id, dst, d3.hops FROM asked JOIN d3 ON skill = src) GROUP BY query_id, skill),
-path AS (SELECT query_id, job_id, min(hops) + 1 AS hops FROM requires JOIN near USING (skill) GROUP BY query_id, job_id)
-SELECT query_id, hops, count(*) AS jobs, min(job_id) AS first_job FROM path WHERE hops <= 4 GROUP BY query_id, hops"""
+SKILL_PATH = f"""WITH {SQL},
+j1 AS (SELECT DISTINCT query_id, job_id FROM asked JOIN requires USING (skill)),
+s1 AS (SELECT DISTINCT query_id, dst AS skill FROM asked JOIN linked ON skill = src EXCEPT SELECT * FROM asked),
+j2 AS (SELECT DISTINCT query_id, job_id FROM s1 JOIN requires USING (skill) EXCEPT SELECT * FROM j1),
+s2 AS (SELECT query_id, skill FROM j1 JOIN requires USING (job_id) UNION SELECT query_id, dst FROM s1 JOIN linked ON skill = src EXCEPT (SELECT * FROM asked UNION SELECT * FROM s1)),
+j3 AS (SELECT DISTINCT query_id, job_id FROM s2 JOIN requires USING (skill) EXCEPT (SELECT * FROM j1 UNION SELECT * FROM j2)),
+s3 AS (SELECT query_id, skill FROM j2 JOIN requires USING (job_id) UNION SELECT query_id, dst FROM s2 JOIN linked ON skill = src EXCEPT (SELECT * FROM asked UNION SELECT * FROM s1 UNION SELECT * FROM s2)),
+j4 AS (SELECT DISTINCT query_id, job_id FROM s3 JOIN requires USING (skill) EXCEPT (SELECT * FROM j1 UNION SELECT * FROM j2 UNION SELECT * FROM j3)),
+path AS (SELECT *, 1 AS hops FROM j1 UNION ALL SELECT *, 2 FROM j2 UNION ALL SELECT *, 3 FROM j3 UNION ALL SELECT *, 4 FROM j4)
+SELECT query_id, hops, count(*) AS jobs, min(job_id) AS first_job FROM path GROUP BY query_id, hops"""
 
 
 def location_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,9 +180,13 @@ def key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How near related skills are by vectors of 200 walks of 30 steps from every skill."""
-    related = g.related(spark, sf_dir)
-    return graph.relatedness(related.select(F.col("src").alias("a"), F.col("dst").alias("b")), graph.graph_embedding(related))
+    """How near candidates and their country's jobs are by vectors of four walks of 30 steps from
+    every job, candidate and skill."""
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    has = g.has(spark, sf_dir).select(key("candidate", "candidate_id").alias("src"), key("skill", "skill").alias("dst"))
+    need = g.requires(spark, sf_dir).select(key("job", "job_id").alias("src"), key("skill", "skill").alias("dst"))
+    pairs = match_pairs(spark, sf_dir).select(key("candidate", "candidate_id").alias("a"), key("job", "job_id").alias("b"))
+    return graph.relatedness(pairs, graph.graph_embedding(written(has.union(need), "edges"), walks=4))
 
 
 QUERIES = {

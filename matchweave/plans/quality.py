@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,6 +10,7 @@ from ..functions import normalize as nz
 from ..operators import evaluation, graph, lexical, quality, search
 from ..sources import graph_tables as g
 from ..sources import readers
+from ..sources.shared import folder
 from ..sources.tables import table
 from ..streaming import ingest
 from .graph import SQL
@@ -180,12 +178,7 @@ def label_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events drained from a file stream: the last per user and kind."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = folder(spark, "stream")
     stream = ingest.read_stream(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
     ingest.upsert(stream, f"{path}/rows", f"{path}/state", ["user_id", "event_type"], "ts", "event_id")
     return ingest.current(spark, f"{path}/rows", ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "value")
