@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import tokens  # noqa: F401
+from ..functions.text import tokens
+from ..sources.shared import written
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -60,25 +61,79 @@ def page(scored: DataFrame, number: int, size: int, key: str = "query_id", item:
     return ranked.join(total, key).withColumn("pages", F.ceil(F.col("total") / size))
 
 
-def multi_field(fields: dict[str, tuple[DataFrame, float]], queries: DataFrame, tie: float = 0.2, share: float = 0.2, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score): the best boosted field and ``tie`` of the others. A field counts
-    if it holds ``share`` of the query's terms (rounded down, one at least)."""
-    sizes = query_terms(queries).groupBy("query_id").agg(F.count("*").alias("terms"))
-    scored = None
-    for name, (docs, boost) in fields.items():
-        one = bm25(docs, queries, k1, b, numerator=False).withColumns({"field": F.lit(name), "score": F.col("score") * boost})
-        scored = one if scored is None else scored.unionByName(one)
+def postings(docs: DataFrame, fields: list[str], terms: DataFrame) -> DataFrame:
+    """(doc_id, field, len, term, positions) of the asked terms (term) in text fields of (doc_id, ...),
+    from one scan, written: scores, document frequencies, lengths and phrases all read it. A row with
+    an empty term and no position stands for the field of each document itself."""
+    said = docs.select("doc_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])))
+    each = said.select("doc_id", "field", F.size("t").alias("len"), F.posexplode(F.concat(F.array(F.lit("")), "t")).alias("pos", "term"))
+    asked = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    place = F.when(F.col("term") != "", F.col("pos") - 1)
+    found = each.join(asked, "term", "left_semi").groupBy("doc_id", "field", "len", "term").agg(F.array_sort(F.collect_list(place)).alias("positions"))
+    return written(found, "postings")
+
+
+def weights(posted: DataFrame) -> DataFrame:
+    """(field, term, idf, avg_len) of postings, over all documents that they stand for."""
+    own = posted.where("term = ''").groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    df = posted.where("term != ''").groupBy("field", "term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return df.join(F.broadcast(own), "field").select("field", "term", idf.alias("idf"), "avg_len")  # a row per field
+
+
+def _saturated(tf: Column, k1: float, b: float) -> Column:
+    return tf / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+
+
+def multi_field(posted: DataFrame, boosts: dict[str, float], queries: DataFrame, tie: float = 0.2, share: float = 0.2, k1: float = 1.2, b: float = 0.75, within: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) from ``postings``: the best boosted field and ``tie`` of the others. A
+    field counts if it holds ``share`` of the query's terms (rounded down, one at least).
+
+    ``within`` (doc_id, or query_id and doc_id) filters what is scored; document frequencies and
+    lengths stay those of all documents, so a filter changes no score."""
+    terms = query_terms(queries)
+    sizes = terms.groupBy("query_id").agg(F.count("*").alias("terms"))
+    weighted = terms.join(weights(posted).where(F.col("field").isin(*boosts)), "term")
+    kept = posted.where("term != ''").select("doc_id", "field", "len", "term", F.size("positions").alias("tf"))
+    if within is not None and "query_id" not in within.columns:
+        kept = kept.join(within.select("doc_id").distinct(), "doc_id", "left_semi")
+    met = kept.join(weighted, ["field", "term"])
+    if within is not None and "query_id" in within.columns:
+        met = met.join(within.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+    boost = F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv])
+    part = F.round(F.sum(F.col("idf") * _saturated(F.col("tf"), k1, b) * F.col("qf")), 6).alias("score")
+    scored = met.groupBy("query_id", "doc_id", "field").agg(part, F.count("*").alias("matched")).where("score > 0").withColumn("score", F.col("score") * boost[F.col("field")])
     enough = scored.join(sizes, "query_id").where(F.col("matched") >= F.greatest(F.lit(1), F.floor(share * F.col("terms"))))
     best, total = F.max("score"), F.sum("score")
     return enough.groupBy("query_id", "doc_id").agg(F.round(best + tie * (total - best), 6).alias("score"))
 
 
-def phrase_boost(docs: DataFrame, queries: DataFrame, candidates: DataFrame, boost: float) -> DataFrame:
-    """(query_id, doc_id, score): boost for candidates whose tokens hold the query as a phrase."""
-    line = lambda c: F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
-    d = docs.select("doc_id", line(F.col("text")).alias("d"))
-    q = queries.select("query_id", line(F.col("text")).alias("q"))
-    return candidates.join(d, "doc_id").join(q, "query_id").where(F.contains("d", F.col("q"))).select("query_id", "doc_id", F.lit(boost).alias("score"))
+def phrases(posted: DataFrame, boosts: dict[str, float], queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, field, times, score) of fields that hold the whole query as a phrase: the
+    intersection of its terms' positions, each shifted back by the term's place in the query. No
+    text is read: a field that lacks a term drops out by a count first. The score is that of a term
+    which occurs ``times`` times and weighs what the query's terms weigh together, boosted."""
+    said = queries.select("query_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    wanted = said.select("query_id", F.size(F.array_distinct("t")).alias("kinds"), "t")
+    terms = said.select("query_id", F.explode(F.array_distinct("t")).alias("term"))
+    mine = posted.where((F.col("term") != "") & F.col("field").isin(*boosts))
+    lists = mine.join(terms, "term").join(weights(posted), ["field", "term"])
+    kinds = lists.groupBy("query_id", "doc_id", "field").agg(F.count("*").alias("met")).join(wanted.select("query_id", "kinds"), "query_id").where("met = kinds").select("query_id", "doc_id", "field")
+    whole = lists.join(kinds, ["query_id", "doc_id", "field"], "left_semi")
+    # as many entries as the query has terms
+    gathered = whole.groupBy("query_id", "doc_id", "field", "len", "avg_len").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("positions", "idf")))).alias("at")).join(wanted, "query_id")
+    shifted = lambda i: F.transform(F.element_at(F.col("at"), F.element_at("t", i + 1))["positions"], lambda p: p - i)
+    starts = F.aggregate(F.sequence(F.lit(1), F.size("t") - 1), shifted(F.lit(0)), lambda held, i: F.array_intersect(held, shifted(i)))
+    found = F.when(F.size("t") > 1, starts).otherwise(shifted(F.lit(0)))
+    idf = F.aggregate("t", F.lit(0.0), lambda total, term: total + F.element_at(F.col("at"), term)["idf"])
+    boost = F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv])
+    held = gathered.select("query_id", "doc_id", "field", "len", "avg_len", F.size(found).alias("times"), idf.alias("idf")).where("times > 0")
+    return held.select("query_id", "doc_id", "field", "times", F.round(boost[F.col("field")] * F.col("idf") * _saturated(F.col("times"), k1, b), 6).alias("score"))
+
+
+def clamped(size: int, low: int = 1, high: int = 200) -> int:
+    """A page size that a search accepts."""
+    return max(low, min(size, high))
 
 
 def normalised(scored: DataFrame, key: str = "query_id") -> DataFrame:
@@ -102,19 +157,27 @@ def fuzzy_vocabulary(terms: DataFrame, vocabulary: DataFrame, k: int = 50) -> Da
     return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("term", "word", "distance")
 
 
-def best_terms(docs: DataFrame, chosen: DataFrame, k: int = 12, min_df: int = 2) -> DataFrame:
-    """(query_id, term): the k terms of each chosen document (doc_id) with the highest tf * idf."""
-    t = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    mine = t.join(chosen, "doc_id", "left_semi")
-    df = t.join(mine.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-    n = docs.agg(F.count("*").alias("n"))
+def best_terms(posted: DataFrame, chosen: DataFrame, k: int = 12, min_df: int = 2) -> DataFrame:
+    """(query_id, term): of each chosen document (doc_id) the k terms with the highest tf * idf in
+    ``postings`` of one field that hold its terms."""
+    own = posted.where("term = ''").agg(F.count("*").alias("n"))
+    counts = posted.where("term != ''")
+    mine = counts.join(chosen, "doc_id", "left_semi").select("doc_id", "term", F.size("positions").alias("tf"))
+    df = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     weight = F.round(F.col("tf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6)
-    scored = mine.join(df, "term").crossJoin(F.broadcast(n)).withColumn("weight", weight)
+    scored = mine.join(df, "term").crossJoin(F.broadcast(own)).withColumn("weight", weight)  # one row
     w = W.partitionBy("doc_id").orderBy(F.desc("weight"), "term")
     return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select(F.col("doc_id").alias("query_id"), "term")
 
 
-def more_like_this(docs: DataFrame, chosen: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, doc_id, score, rank): documents nearest to each chosen one by its best terms."""
-    terms = best_terms(docs, chosen).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("text"))
-    return top_k(bm25(docs, terms).where("query_id != doc_id"), k)
+def more_like_this(docs: DataFrame, chosen: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score, rank): documents (doc_id, text) nearest to each chosen one by its best
+    terms. Documents are scanned once, for the postings of the chosen ones' terms; those are
+    scanned before, alone."""
+    asked = docs.join(chosen, "doc_id", "left_semi").select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+    posted = postings(docs, ["text"], asked)
+    terms = written(best_terms(posted, chosen), "best-terms")
+    weighted = terms.join(weights(posted), "term")
+    met = posted.where("term != ''").select("doc_id", "len", "term", F.size("positions").alias("tf")).join(weighted, "term").where("query_id != doc_id")
+    part = F.col("idf") * _saturated(F.col("tf"), k1, b) * (k1 + 1)
+    return top_k(met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0"), k)

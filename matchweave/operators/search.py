@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import scores as sc
+from ..sources.shared import written
 from . import candidates, lexical
 from .vectors import cosine
 
@@ -28,9 +29,10 @@ def structured(jobs: DataFrame, place: str | None = None, low: int | None = None
 
 def text_search(jobs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank) over title (three times), description (twice) and all text."""
-    field = lambda *c: jobs.select(F.col("job_id").alias("doc_id"), F.concat_ws(" ", *c).alias("text"))
-    fields = {"title": (field("title"), 3.0), "description": (field("description"), 2.0), "all": (field("title", "description", "skills"), 1.0)}
-    return lexical.top_k(lexical.multi_field(fields, queries, tie=0.0), k)
+    fields = jobs.select(F.col("job_id").alias("doc_id"), "title", "description", F.concat_ws(" ", "title", "description", "skills").alias("all"))
+    boosts = {"title": 3.0, "description": 2.0, "all": 1.0}
+    posted = lexical.postings(fields, list(boosts), lexical.query_terms(queries))
+    return lexical.top_k(lexical.multi_field(posted, boosts, queries, tie=0.0), k)
 
 
 def fuzzy_text_search(jobs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -39,14 +41,15 @@ def fuzzy_text_search(jobs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     (three times), description (twice) and all text, plus twice the skills' score, plus one for each
     skill that the query names exactly. Of equal scores the newest job comes first."""
     said = jobs.withColumn("skills_text", F.array_join("skills", " "))
-    field = lambda *c: said.select(F.col("job_id").alias("doc_id"), F.concat_ws(" ", *c).alias("text"))
-    everything = field("title", "description", "skills_text")
-    words = everything.select(F.explode(F.array_distinct(lexical.tokens(F.col("text")))).alias("word")).distinct()
+    fields = said.select(F.col("job_id").alias("doc_id"), "title", "description", F.concat_ws(" ", "title", "description", "skills_text").alias("all"), F.col("skills_text").alias("skills"))
+    words = fields.select(F.explode(F.array_distinct(lexical.tokens(F.col("all")))).alias("word")).distinct()
     terms = lexical.query_terms(queries)
     near = lexical.fuzzy_vocabulary(terms.select("term").distinct(), words)
     asked = terms.join(near, "term").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("text"))
-    best = lexical.multi_field({"title": (field("title"), 3.0), "description": (field("description"), 2.0), "all": (everything, 1.0)}, asked, tie=0.0, share=0.0)
-    skill = lexical.bm25(field("skills_text"), asked, 1.2, 0.75, numerator=False).select("query_id", "doc_id", (2 * F.col("score")).alias("score"))
+    asked = written(asked, "asked")
+    posted = lexical.postings(fields, ["title", "description", "all", "skills"], lexical.query_terms(asked))
+    best = lexical.multi_field(posted, {"title": 3.0, "description": 2.0, "all": 1.0}, asked, tie=0.0, share=0.0)
+    skill = lexical.multi_field(posted, {"skills": 2.0}, asked, share=0.0)
     named = queries.select("query_id", F.explode(F.split(F.lower("text"), " ")).alias("skill")).distinct()
     exact = said.select(F.col("job_id").alias("doc_id"), F.explode("skills").alias("skill")).withColumn("skill", F.lower("skill")).join(named, "skill").groupBy("query_id", "doc_id").agg(F.countDistinct("skill").cast("double").alias("score"))
     total = best.unionByName(skill).unionByName(exact).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))

@@ -48,42 +48,88 @@ def bm25_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.page(scored, 2, 5).select("query_id", "doc_id", "rank", "total", "pages")
 
 
-def _fields(spark: SparkSession, sf_dir: str) -> dict:
-    docs = documents(spark, sf_dir)
-    title = F.substring_index(F.col("text"), "\n", 1)
-    return {"title": (docs.select("doc_id", title.alias("text")), 3.0), "body": (docs, 1.0)}
+#: Fields of a document, as a posting has them, with their boosts, and those of a whole phrase.
+BOOSTS = {"standard_job": 7.0, "title": 6.0, "job_family": 6.0, "skills": 5.0, "description": 1.0}
+PHRASES = {"standard_job": 3.0, "title": 2.0, "job_family": 2.0, "skills": 1.5}
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as postings: the first line is the job, the first two its title, source and language
+    its family, what follows the first line its skills, and all of it the description."""
+    d, text = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    lines = F.split(text, "\n")
+    return d.select(
+        "doc_id", "source", "lang", lines[0].alias("standard_job"), F.array_join(F.slice(lines, 1, 2), " ").alias("title"), F.concat_ws(" ", "source", "lang").alias("job_family"),
+        F.array_join(F.slice(lines, 2, F.greatest(F.lit(1), F.size(lines))), " ").alias("skills"), text.alias("description"),
+    )
 
 
 def bm25_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir)
-    fields = _fields(spark, sf_dir)
-    scored = lexical.multi_field(fields, asked)
-    phrase = lexical.phrase_boost(fields["body"][0], asked, scored.select("query_id", "doc_id"), 1.5)
+    posted = lexical.postings(_fields(spark, sf_dir), list(BOOSTS), lexical.query_terms(asked))
+    scored = lexical.multi_field(posted, BOOSTS, asked)
+    phrase = lexical.phrases(posted, PHRASES, asked).select("query_id", "doc_id", "score")
+    # a phrase adds to what matches; alone it finds nothing
+    phrase = phrase.join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     total = scored.unionByName(phrase).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
     return lexical.top_k(total, 10).select("query_id", "doc_id", "score", "rank")
 
 
-def _field_sql(name: str, text: str, boost: float) -> str:
+def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that hold a whole question, how often, and what that adds to a score."""
+    asked = questions(spark, sf_dir)
+    posted = lexical.postings(_fields(spark, sf_dir), list(PHRASES), lexical.query_terms(asked))
+    return lexical.phrases(posted, PHRASES, asked)
+
+
+def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 200 of each question among the English documents of one source, with how many there
+    are in all; the size asked for is beyond what a search returns."""
+    asked = questions(spark, sf_dir)
+    wanted = asked.select("query_id", F.concat(F.lit("src"), F.pmod("query_id", F.lit(20))).alias("source_type"), F.lit("In EN").alias("location"))
+    fields = _fields(spark, sf_dir)
+    posted = lexical.postings(fields, list(BOOSTS), lexical.query_terms(asked))
+    place = F.arrays_overlap(lexical.tokens(F.col("lang")), lexical.tokens(F.col("location")))
+    within = fields.select("doc_id", "source", "lang").join(wanted, F.col("source") == F.col("source_type")).where(place).select("query_id", "doc_id")
+    scored = lexical.multi_field(posted, BOOSTS, asked, within=within)
+    return lexical.page(scored, 1, lexical.clamped(1000)).select("query_id", "doc_id", "score", "rank", "total")
+
+
+def _field_sql(name: str, text: str, boost: float, phrase: float | None) -> str:
+    tokens = f"regexp_extract_all(lower({text}), '{PATTERN}')"
+    held = "" if phrase is None else f""",
+l_{name} AS (SELECT doc_id, t, ' ' || array_to_string(t, ' ') || ' ' AS l FROM t_{name}),
+h_{name} AS (SELECT b.query_id, d.doc_id, d.t, b.t AS p, b.idf FROM l_{name} d JOIN (SELECT *, ' ' || array_to_string(t, ' ') || ' ' AS l FROM iq_{name} WHERE len(t) > 0) b ON contains(d.l, b.l)),
+ph_{name} AS (SELECT query_id, doc_id, '{name}' AS field, CAST(times AS INTEGER) AS times, round({phrase} * idf * times / (times + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM
+  (SELECT query_id, doc_id, idf, len(t) AS dl, len(list_filter(range(1, len(t) - len(p) + 2), lambda i: t[i:i + len(p) - 1] = p)) AS times FROM h_{name}), (SELECT avg(len(t)) AS avgdl FROM t_{name}) WHERE times > 0)"""
+    asked = "" if phrase is None else f""",
+iq_{name} AS (SELECT a.query_id, a.t, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf FROM qa a JOIN (SELECT query_id, unnest(t) AS term FROM qa) x USING (query_id) JOIN d_{name} USING (term), (SELECT count(*) AS n FROM t_{name}) GROUP BY ALL)"""
     return f"""
-t_{name} AS (SELECT doc_id, regexp_extract_all(lower({text}), '{PATTERN}') AS t FROM documents),
+t_{name} AS (SELECT doc_id, {tokens} AS t FROM fl),
 f_{name} AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM t_{name}) GROUP BY ALL),
-d_{name} AS (SELECT term, count(*) AS df FROM f_{name} GROUP BY term),
+d_{name} AS (SELECT term, count(*) AS df FROM f_{name} GROUP BY term){asked}{held},
 s_{name} AS (SELECT query_id, doc_id, {boost} * round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) * qf), 6) AS score, count(*) AS matched
   FROM q JOIN f_{name} USING (term) JOIN d_{name} USING (term), (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t_{name}) GROUP BY query_id, doc_id)"""
 
 
-MULTIFIELD = f"""WITH qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{PATTERN}')) AS term FROM benchmark),
+_FIELD_TEXTS = {"standard_job": "ln[1]", "title": "array_to_string(ln[1:2], ' ')", "job_family": "concat_ws(' ', source, lang)", "skills": "array_to_string(ln[2:], ' ')", "description": "x"}
+FIELDS = f"""qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{PATTERN}')) AS term FROM benchmark),
+qa AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '{PATTERN}') AS t FROM benchmark),
 q AS (SELECT query_id, term, count(*) AS qf FROM qt GROUP BY ALL),
 qs AS (SELECT query_id, count(*) AS terms FROM q GROUP BY query_id),
-{_field_sql("title", "split_part(text, chr(10), 1)", 3.0)},
-{_field_sql("body", "text", 1.0)},
-u AS (SELECT * FROM s_title WHERE score > 0 UNION ALL SELECT * FROM s_body WHERE score > 0),
-m AS (SELECT query_id, doc_id, round(max(score) + 0.2 * (sum(score) - max(score)), 6) AS score FROM u JOIN qs USING (query_id) WHERE matched >= greatest(1, floor(0.2 * terms)) GROUP BY query_id, doc_id),
-ph AS (SELECT m.query_id, m.doc_id, 1.5 AS score FROM m JOIN t_body d USING (doc_id) JOIN benchmark b ON b.item_id = m.query_id
-  WHERE contains(' ' || array_to_string(d.t, ' ') || ' ', ' ' || array_to_string(regexp_extract_all(lower(b.text), '{PATTERN}'), ' ') || ' ')),
-tot AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM (SELECT * FROM m UNION ALL SELECT * FROM ph) GROUP BY query_id, doc_id)
+fl AS (SELECT doc_id, source, lang, coalesce(text, '') AS x, string_split(coalesce(text, ''), chr(10)) AS ln FROM documents),
+{",".join(_field_sql(n, t, BOOSTS[n], PHRASES.get(n)) for n, t in _FIELD_TEXTS.items())},
+ph AS ({" UNION ALL ".join(f"SELECT * FROM ph_{n}" for n in PHRASES)}),
+u AS ({" UNION ALL ".join(f"SELECT * FROM s_{n} WHERE score > 0" for n in BOOSTS)}),
+m AS (SELECT query_id, doc_id, round(max(score) + 0.2 * (sum(score) - max(score)), 6) AS score FROM u JOIN qs USING (query_id) WHERE matched >= greatest(1, floor(0.2 * terms)) GROUP BY query_id, doc_id)"""
+
+MULTIFIELD = f"""WITH {FIELDS},
+tot AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM (SELECT * FROM m UNION ALL SELECT query_id, doc_id, ph.score FROM ph SEMI JOIN m USING (query_id, doc_id)) GROUP BY query_id, doc_id)
 SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM tot) WHERE rank <= 10"""
 
+FILTERED = f"""WITH {FIELDS}, wi AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON source = 'src' || item_id % 20 AND lang = 'en')
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM m SEMI JOIN wi USING (query_id, doc_id) QUALIFY rank <= 200"""
+
 
 def fuzzy_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
@@ -129,6 +175,8 @@ FROM top WINDOW w AS (PARTITION BY query_id)""",
 SELECT query_id, doc_id, rank, total, CAST(ceil(total / 5.0) AS BIGINT) AS pages FROM t WHERE rank BETWEEN 6 AND 10""",
     ),
     "bm25_multifield": (bm25_multifield, MULTIFIELD),
+    "phrase_hits": (phrase_hits, f"WITH {FIELDS} SELECT query_id, doc_id, field, times, score FROM ph"),
+    "bm25_filtered": (bm25_filtered, FILTERED),
     "fuzzy_vocab": (fuzzy_vocab, FUZZY),
     "more_like_this": (more_like_this, MORE_LIKE_THIS),
 }
