@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, lexical
 from ..sources import graph_tables as g
-from ..sources.shared import written
+from ..sources.shared import folder, written
 from ..sources.tables import table
+from ..streaming import applications, ingest
 
 SQL = g.SQL
 REACHED = """
@@ -143,6 +144,20 @@ QUALIFY row_number() OVER (PARTITION BY user_id, json_extract(props, '$.k') ORDE
 SELECT user_id, job_id, status, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM l"""
 
 
+def applications_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream that keeps state, with the job's title and company."""
+    path = folder(spark, "applications")
+    e = ingest.read_stream(spark, sf_dir, "events", files=16)
+    applications.drain(e.select("user_id", F.get_json_object("props", "$.k").cast("long").alias("job_id"), F.col("ts").alias("applied_at"), "event_id", F.col("event_type").alias("status")), f"{path}/store", f"{path}/state")
+    titled = g.jobs(spark, sf_dir).select("job_id", F.concat_ws(" ", "company", "level").alias("title"), "company")
+    return applications.listed(applications.current(spark, f"{path}/store"), titled).select("user_id", "job_id", "status", "event_id", "title", "company")
+
+
+APPLICATIONS_STREAM = f"""WITH {SQL}, l AS (SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS job_id, event_type AS status, ts, event_id FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, json_extract(props, '$.k') ORDER BY ts DESC, event_id DESC) = 1)
+SELECT user_id, l.job_id, status, event_id, company || ' ' || level AS title, company FROM l LEFT JOIN jobs ON jobs.job_id = l.job_id"""
+
+
 def replace_user_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' skills of all events, replaced by those of their purchases where they have any."""
     e = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("skill"), "event_type")
@@ -202,6 +217,7 @@ QUERIES = {
     "skill_relations": (skill_relations, f"WITH {SQL} SELECT src AS skill, dst AS other FROM linked"),
     "market_trends": (market_trends, MARKET),
     "applications_latest": (applications_latest, APPLICATIONS),
+    "applications_stream": (applications_stream, APPLICATIONS_STREAM),
     "replace_user_skills": (replace_user_skills, REPLACE),
     "job_graph": (job_graph, JOB_GRAPH),
     "edge_export": (edge_export, f"WITH {SQL} SELECT type, skill, count(*) AS edges FROM (SELECT 'HAS_SKILL' AS type, skill FROM has UNION ALL SELECT 'REQUIRES_SKILL', skill FROM requires) GROUP BY ALL"),

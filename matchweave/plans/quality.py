@@ -179,9 +179,10 @@ def label_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events drained from a file stream: the last per user and kind."""
     path = folder(spark, "stream")
-    stream = ingest.read_stream(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
-    ingest.upsert(stream, f"{path}/rows", f"{path}/state", ["user_id", "event_type"], "ts", "event_id")
-    return ingest.current(spark, f"{path}/rows", ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "value")
+    stream = ingest.read_stream(spark, sf_dir, "events", files=16).select("event_id", "user_id", "event_type", "value", "ts")
+    store = ingest.Store(spark, f"{path}/store", ["user_id", "event_type"], ["ts", "event_id"])
+    ingest.upsert(stream, store, f"{path}/state")
+    return store.current(stream.schema).select("user_id", "event_type", "event_id", "value")
 
 
 QUERIES = {
