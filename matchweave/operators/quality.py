@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.shared import written
+
 
 def missing(column: str) -> Column:
     return F.count_if(F.col(column).isNull() | (F.trim(F.col(column).cast("string")) == ""))
@@ -30,27 +32,80 @@ def first_of(rows: DataFrame, keys: list[Column], *order: Column) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+#: Items that a cell of the ring holds, about, for each one asked for.
+CELL = 32
+
+
+def _point(*parts: Column) -> Column:
+    """A place on a ring of 2^60 places, from a digest."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
+
+
+def ring_pick(queries: DataFrame, items: DataFrame, taken: DataFrame, k: int, seed: str = "7") -> DataFrame:
+    """(query_id, doc_id, r): of each query's items the first ``k`` on a ring, from the query's own place
+    on; all items and queries have hashed places, so a query's picks are as good as random and repeat.
+
+    ``queries``: query_id, and family where items of its own family don't count; ``items``: doc_id, family;
+    ``taken``: pairs (query_id, doc_id) that don't count. The ring is cut into cells of a few items.
+    Queries look at their next cells, more each round, until they have ``k`` or have been around;
+    only those that lack some go on, so no query meets all items but one that nearly all are taken of."""
+    cells = max(1, items.count() // (CELL * max(1, k)))
+    cell = lambda h: F.shiftright(F.shiftright(h, 30) * cells, 30)
+    placed = items.select("doc_id", F.col("family").alias("other"), _point(F.lit(seed), F.col("doc_id").cast("string")).alias("h")).withColumn("cell", cell(F.col("h")))
+    placed = written(placed, "ring")
+    own = _point(F.lit(seed), F.lit("query"), F.col("query_id").cast("string")).alias("own")
+    family = F.col("family") if "family" in queries.columns else F.lit(None).cast("string")
+    open_ = written(queries.select("query_id", family.alias("family"), own).withColumn("home", cell(F.col("own"))), "open")
+    begin, end, found = 0, 1, None
+    while begin <= cells:
+        # after the last cell, home again for what lies before the query's place
+        look = open_.select("*", F.explode(F.sequence(F.lit(begin), F.lit(min(end, cells + 1) - 1))).alias("step")).withColumn("cell", (F.col("home") + F.col("step")) % cells)
+        met = look.join(placed, "cell").where(F.when(F.col("step") == 0, F.col("h") >= F.col("own")).when(F.col("step") == cells, F.col("h") < F.col("own")).otherwise(True))
+        met = met.where(F.col("family").isNull() | (F.col("family") != F.coalesce("other", F.lit(""))))
+        new = written(met.join(taken, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", "step", "h"), "met")
+        found = new if found is None else found.union(new)
+        begin, end = end, 4 * end
+        full = found.groupBy("query_id").count().where(F.col("count") >= k)
+        open_ = written(open_.join(full, "query_id", "left_anti"), "open")
+        if open_.isEmpty():
+            break
+    order = F.row_number().over(W.partitionBy("query_id").orderBy("step", "h", "doc_id"))
+    return found.withColumn("r", order).where(F.col("r") <= k).select("query_id", "doc_id", "r")
+
+
 def label_pool(ranking: DataFrame, items: DataFrame, families: DataFrame, matched: DataFrame | None = None, seed: str = "7", top: int = 8, middle: int = 8, others: int = 4, low: int = 50, high: int = 200) -> DataFrame:
     """(query_id, doc_id, bucket, rank): what to label. Per query the ``top`` first of its ranking,
-    ``middle`` from ranks ``low`` to ``high``, and ``others`` items of other families that did not
-    match at all, in the order of a seeded hash; the best ranked fill up to the total.
+    ``middle`` from ranks ``low`` to ``high``, and ``others`` items of other families that did not match
+    at all, picked on a ring; where there are too few of those, any items not chosen yet. The best
+    ranked fill up to the total, and where they end, any items.
 
     ``items``: doc_id, family; ``families``: query_id, family; ``matched``: all pairs that match, where
-    ``ranking`` ends at rank ``high``, which is as far as any bucket reads. Others come from a hash-ordered
-    short list of items, long enough that each query still finds its own among what it matched."""
+    ``ranking`` ends at rank ``high``, which is as far as any bucket reads."""
     total = top + middle + others
+    ranking = written(ranking.select("query_id", "doc_id", "rank"), "ranking")
+    pairs = ranking if matched is None else written(matched, "matched")
+    pairs = pairs.select("query_id", "doc_id")
     per = lambda rows: rows.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
     first = ranking.where(F.col("rank") <= top).select("query_id", "doc_id", "rank", F.lit("top").alias("bucket"))
     mid = per(ranking.where(F.col("rank").between(low, high))).where(F.col("r") <= middle).select("query_id", "doc_id", "rank", F.lit("middle").alias("bucket"))
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.col("query_id").cast("string"), F.col("doc_id").cast("string")))
-    short = items.withColumn("r", F.row_number().over(W.partitionBy("family").orderBy(F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string")))))).where(F.col("r") <= 50 * others)
-    foreign = families.alias("q").join(short.alias("i"), F.col("q.family") != F.col("i.family")).select("query_id", "doc_id").join(ranking if matched is None else matched, ["query_id", "doc_id"], "left_anti")
-    random = foreign.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(order, "doc_id"))).where(F.col("r") <= others).select("query_id", "doc_id", F.lit(None).cast("int").alias("rank"), F.lit("other").alias("bucket"))
-    chosen = first.unionByName(mid).unionByName(random)
-    rest = per(ranking.join(chosen.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"))
+    ranked = written(first.unionByName(mid), "ranked")
+    none = F.lit(None).cast("int").alias("rank")
+
+    foreign = written(ring_pick(families, items, pairs, others, seed), "foreign")
+    enough = foreign.groupBy("query_id").count().where(F.col("count") >= others).select("query_id")
+    short = families.select("query_id").join(enough, "query_id", "left_anti")
+    anything = ring_pick(short, items, ranked.select("query_id", "doc_id"), others, seed)
+    random = foreign.join(enough, "query_id", "left_semi").unionByName(anything).select("query_id", "doc_id", none, F.lit("other").alias("bucket"))
+    chosen = written(ranked.unionByName(random.select("query_id", "doc_id", "rank", "bucket")), "chosen")
+
     room = families.select("query_id").join(chosen.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", (total - F.coalesce("n", F.lit(0))).alias("room"))
+    rest = per(ranking.join(chosen.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"))
     fill = rest.join(room, "query_id").where(F.col("r") <= F.col("room")).select("query_id", "doc_id", "rank", F.lit("fill").alias("bucket"))
-    return chosen.unionByName(fill)
+    chosen = written(chosen.unionByName(fill), "chosen")
+
+    lacks = families.select("query_id").join(chosen.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", (total - F.coalesce("n", F.lit(0))).alias("room")).where("room > 0")
+    last = ring_pick(lacks.select("query_id"), items, chosen.select("query_id", "doc_id"), total, seed).join(lacks, "query_id").where(F.col("r") <= F.col("room"))
+    return chosen.unionByName(last.select("query_id", "doc_id", none, F.lit("any").alias("bucket")))
 
 
 def label_report(labels: DataFrame, issues: DataFrame) -> DataFrame:

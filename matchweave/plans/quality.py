@@ -71,14 +71,22 @@ def label_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pool(spark, sf_dir).select("query_id", "doc_id", "bucket", "rank")
 
 
-POOL = f"""{TOKENS}, {SCORED}, s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7' || doc_id)) AS r FROM documents),
+# An item's place on the ring after the query's own: those before it come last.
+_RING = "row_number() OVER (PARTITION BY query_id ORDER BY d.h < q.h, d.h, doc_id)"
+POOL = f"""{TOKENS}, {SCORED}, d AS (SELECT doc_id, lang, CAST('0x' || substr(md5('7|' || doc_id), 1, 15) AS BIGINT) AS h FROM documents),
+q0 AS (SELECT item_id AS query_id, CAST('0x' || substr(md5('7|query|' || item_id), 1, 15) AS BIGINT) AS h FROM benchmark),
 f1 AS (SELECT query_id, doc_id, 'top' AS bucket, rank FROM ranked WHERE rank <= 8),
 f2 AS (SELECT query_id, doc_id, 'middle' AS bucket, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM ranked WHERE rank BETWEEN 50 AND 200) WHERE r <= 8),
-fo AS (SELECT item_id AS query_id, doc_id FROM benchmark, s WHERE lang != 'en' AND r <= 200),
-f3 AS (SELECT query_id, doc_id, 'other' AS bucket, NULL AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5('7|' || query_id || '|' || doc_id), doc_id) AS r FROM fo ANTI JOIN ranked USING (query_id, doc_id)) WHERE r <= 4),
+fo AS (SELECT query_id, doc_id, {_RING} AS r FROM q0 q CROSS JOIN d ANTI JOIN ranked USING (query_id, doc_id) WHERE lang IS DISTINCT FROM 'en'),
+fe AS (SELECT query_id FROM fo GROUP BY query_id HAVING count(*) >= 4),
+fa AS (SELECT query_id, doc_id, {_RING} AS r FROM q0 q CROSS JOIN d ANTI JOIN (SELECT query_id, doc_id FROM f1 UNION ALL SELECT query_id, doc_id FROM f2) USING (query_id, doc_id) ANTI JOIN fe USING (query_id)),
+f3 AS (SELECT query_id, doc_id, 'other' AS bucket, NULL AS rank FROM (SELECT * FROM fo SEMI JOIN fe USING (query_id) UNION ALL SELECT * FROM fa) WHERE r <= 4),
 ch AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3), room AS (SELECT item_id AS query_id, 20 - count(doc_id) AS room FROM benchmark LEFT JOIN ch ON item_id = query_id GROUP BY item_id),
-re AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM ranked ANTI JOIN ch USING (query_id, doc_id)),
-pool AS (SELECT query_id, doc_id, bucket, rank FROM ch UNION ALL SELECT query_id, doc_id, 'fill', rank FROM re JOIN room USING (query_id) WHERE r <= room)"""
+re AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM ranked ANTI JOIN ch USING (query_id, doc_id) WHERE rank <= 200),
+c2 AS (SELECT query_id, doc_id, bucket, rank FROM ch UNION ALL SELECT query_id, doc_id, 'fill', rank FROM re JOIN room USING (query_id) WHERE r <= room),
+la AS (SELECT item_id AS query_id, 20 - count(doc_id) AS room FROM benchmark LEFT JOIN c2 ON item_id = query_id GROUP BY item_id),
+an AS (SELECT query_id, doc_id, {_RING} AS r FROM q0 q CROSS JOIN d ANTI JOIN c2 USING (query_id, doc_id)),
+pool AS (SELECT * FROM c2 UNION ALL SELECT query_id, doc_id, 'any', NULL FROM an JOIN la USING (query_id) WHERE r <= room)"""
 
 
 def pool_report(spark: SparkSession, sf_dir: str) -> DataFrame:
