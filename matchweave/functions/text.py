@@ -82,6 +82,7 @@ SINGLE_SALARIES = (
     r"(\d+)\s*(?:thousand|k)\s*(?:annual|yearly|per year|salary|dollars)",
     r"salary\s*(?:of|is|:)?\s*\$?(\d+)k?",
 )
+SALARY_RANGE = r"(\d+)k?\s*(?:to|-)\s*(\d+)k?\s*(?:annual|yearly|per year)"
 CAPITALISED = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
 NO_TECHNOLOGY = ("Software", "Engineer", "Developer", "California", "United", "States")
 TECHNOLOGY = ("js", "jsx", "ts", "py", "java", "go", "rust", "swift", "kotlin", "api", "sdk", "sql", "nosql", "db", "orm", "http", "https", "ui", "ux", "css", "html", "xml", "json", "yaml", "toml")
@@ -150,14 +151,18 @@ def titles(text: Column) -> Column:
 
 
 def salaries(text: Column) -> Column:
-    """Struct of the lowest and highest single salary named; null fields when there is none.
-    A value in thousands (a k in the match, or under 1000) is multiplied."""
+    """Struct of the lowest and highest salary named, alone or as the end of a range; null fields when
+    there is none. A value in thousands (a k in the match; a single one also if under 1000) is multiplied."""
     t = F.lower(F.coalesce(text, F.lit("")))
     values = []
     for p in SINGLE_SALARIES:
         whole = F.regexp_extract_all(t, F.lit(p), F.lit(0))
         number = F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("bigint"))
         values.append(F.zip_with(whole, number, lambda w, n: F.when(F.contains(w, F.lit("k")) | (n < 1000), F.try_multiply(n, F.lit(1000))).otherwise(n)))
+    ranges = F.regexp_extract_all(t, F.lit(SALARY_RANGE), F.lit(0))
+    for g in (1, 2):
+        ends = F.regexp_extract_all(t, F.lit(SALARY_RANGE), F.lit(g))
+        values.append(F.zip_with(ranges, ends, lambda w, x: F.try_multiply(x.try_cast("bigint"), F.when(F.contains(w, F.lit("k")), F.lit(1000)).otherwise(F.lit(1)))))
     found = F.filter(F.concat(*values), lambda x: x.isNotNull())
     return F.struct(F.array_min(found).alias("low"), F.array_max(found).alias("high"))
 

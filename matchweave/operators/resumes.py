@@ -107,9 +107,11 @@ def as_queries(profile: DataFrame) -> DataFrame:
     )
 
 
-def enriched(queries: DataFrame, related: DataFrame) -> DataFrame:
-    """Queries (query_id, text) with their skills, the skills related to those, and all of them."""
-    named = queries.withColumn("skills", tx.skills(F.col("text")))
+def enriched(queries: DataFrame, related: DataFrame, stated: str | None = None) -> DataFrame:
+    """Queries (query_id, text) with their skills, the skills related to those, and all of them; with
+    ``stated``, an array of skills that the query names besides its text."""
+    said = tx.skills(F.col("text"))
+    named = queries.withColumn("skills", said if stated is None else F.array_union(said, F.transform(stated, lambda s: F.lower(s))))
     near = named.select("query_id", F.explode("skills").alias("src")).join(related.withColumn("src", F.lower("src")), "src").groupBy("query_id").agg(F.array_sort(F.collect_set("dst")).alias("related"))
     none = F.array().cast("array<string>")
     return named.join(near, "query_id", "left").withColumn("related", F.coalesce("related", none)).withColumn("all_skills", F.array_union("skills", "related"))

@@ -102,14 +102,15 @@ def path_reason(shared: Column, hops: Column, two_hop: Column) -> Column:
     )
 
 
-def factor_reasons(parts: dict[str, Column], need: Column, own: Column, place: Column, company: Column) -> Column:
-    """A sentence for each factor of a reranking score, by factor."""
+def factor_reasons(parts: dict[str, Column], need: Column, own: Column, place: Column, company: Column, **more: Column) -> Column:
+    """A sentence for each factor of a reranking score, by factor; ``more``: what to say of others."""
     both, gap = F.array_sort(F.array_intersect(need, own)), F.array_sort(F.array_except(need, own))
     some = lambda a: F.when(F.size(a) > 0, F.array_join(F.slice(a, 1, 3), ", ")).otherwise("none")
     said = {
         "skill": F.concat(F.lit("shared: "), some(both), F.lit("; missing: "), some(gap)),
         "location": F.concat(F.lit("job in "), place),
         "company": F.concat(F.lit("at "), company),
+        **more,
     }
     pairs = [x for name, c in parts.items() for x in (F.lit(name), F.concat_ws("; ", F.format_number(c, 2), said.get(name, F.lit(None).cast("string"))))]
     return F.create_map(*pairs)

@@ -268,17 +268,22 @@ def _job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("job_id", F.concat_ws(" ", "company", "level").alias("title"), F.concat_ws(" ", "city", "state", "company").alias("description"), "skills", F.array_join("skills", " ").alias("text"), "city", "state", "company", "posted_date")
 
 
-def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Searches, jobs, the merged candidates of three retrievers (200, 200 and 100 each, 400 in all),
-    and BM25 scores."""
-    asked, jobs = written(_searches(spark, sf_dir)), written(_job_texts(spark, sf_dir))
+def retrieved(asked: DataFrame, jobs: DataFrame, skills: DataFrame, near: DataFrame, need: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The merged candidates of three retrievers (200, 200 and 100 each, 400 in all) for searches
+    (query_id, text) and their skills (query_id, skill), and BM25 scores; both written."""
     scored = written(lexical.bm25(jobs.select(F.col("job_id").alias("doc_id"), "text"), asked.select("query_id", "text")).withColumnRenamed("doc_id", "job_id"))
     lists = {
         "lexical": lexical.top_k(scored, 200, item="job_id"),
         "semantic": vectors.sparse_topk(asked.select("query_id", "text"), jobs.select(F.col("job_id").alias("item_id"), "text"), 200).withColumnRenamed("item_id", "job_id"),
-        "graph": lexical.top_k(graph.two_hops(g.asked(spark, sf_dir), g.related(spark, sf_dir), g.requires(spark, sf_dir)), 100, item="job_id", score="hits"),
+        "graph": lexical.top_k(graph.two_hops(skills, near, need), 100, item="job_id", score="hits"),
     }
-    return asked, jobs, written(search.retrieve(lists)), scored
+    return written(search.retrieve(lists)), scored
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Searches, jobs, their candidates and BM25 scores."""
+    asked, jobs = written(_searches(spark, sf_dir)), written(_job_texts(spark, sf_dir))
+    return asked, jobs, *retrieved(asked, jobs, g.asked(spark, sf_dir), g.related(spark, sf_dir), g.requires(spark, sf_dir))
 
 
 _JOB_TOKENS = TOKENS.replace("FROM documents", "FROM nt").replace("item_id AS query_id", "query_id").replace("FROM benchmark", "FROM qx")
@@ -348,16 +353,19 @@ def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(asked, jobs, merged, scored, skills, near, need)
 
 
+#: Fewest edges from each query's skills to each job, by levels.
+LEVELS = """j1 AS (SELECT DISTINCT query_id, job_id FROM asked JOIN requires USING (skill)), k1 AS (SELECT DISTINCT query_id, dst AS skill FROM asked JOIN linked ON skill = src EXCEPT SELECT * FROM asked),
+j2 AS (SELECT DISTINCT query_id, job_id FROM k1 JOIN requires USING (skill) EXCEPT SELECT * FROM j1), k2 AS (SELECT query_id, skill FROM j1 JOIN requires USING (job_id) UNION SELECT query_id, dst FROM k1 JOIN linked ON skill = src EXCEPT (SELECT * FROM asked UNION SELECT * FROM k1)),
+j3 AS (SELECT DISTINCT query_id, job_id FROM k2 JOIN requires USING (skill) EXCEPT (SELECT * FROM j1 UNION SELECT * FROM j2)), k3 AS (SELECT query_id, skill FROM j2 JOIN requires USING (job_id) UNION SELECT query_id, dst FROM k2 JOIN linked ON skill = src EXCEPT (SELECT * FROM asked UNION SELECT * FROM k1 UNION SELECT * FROM k2)),
+j4 AS (SELECT DISTINCT query_id, job_id FROM k3 JOIN requires USING (skill) EXCEPT (SELECT * FROM j1 UNION SELECT * FROM j2 UNION SELECT * FROM j3)),
+sp AS (SELECT *, 1 AS skill_path FROM j1 UNION ALL SELECT *, 2 FROM j2 UNION ALL SELECT *, 3 FROM j3 UNION ALL SELECT *, 4 FROM j4),"""
+
 FEATURES = f"""WITH {RETRIEVED}, nm AS (SELECT query_id, text, CAST(regexp_extract(query_id, '[0-9]+') AS INTEGER) AS n FROM qx), sq AS (SELECT query_id, text || ' NATION_' || n || ' ' || {_LIST(COMPANIES)}[n % 5 + 1] AS text, 'nation_' || n AS place FROM nm),
 ti AS (SELECT job_id AS doc_id, company || ' ' || level AS text FROM jobs), de AS (SELECT job_id AS doc_id, city || ' ' || state || ' ' || company AS text FROM jobs),
 {_vector_sql("sv", "sq", "query_id")}, {_vector_sql("tv", "ti", "doc_id")}, {_vector_sql("dv", "de", "doc_id")},
 s1 AS (SELECT query_id, m.job_id, CAST(sum(x.w * sv.w) AS BIGINT) // 1000000 / 1000000 AS sem_title FROM merged m JOIN tv x ON x.doc_id = m.job_id JOIN sv USING (query_id, b) GROUP BY ALL), s2 AS (SELECT query_id, m.job_id, CAST(sum(x.w * sv.w) AS BIGINT) // 1000000 / 1000000 AS sem_description FROM merged m JOIN dv x ON x.doc_id = m.job_id JOIN sv USING (query_id, b) GROUP BY ALL),
 s3 AS (SELECT query_id, m.job_id, CAST(sum(x.w * sv.w) AS BIGINT) // 1000000 / 1000000 AS sem_skills FROM merged m JOIN jv x ON x.doc_id = m.job_id JOIN sv USING (query_id, b) GROUP BY ALL),
-j1 AS (SELECT DISTINCT query_id, job_id FROM asked JOIN requires USING (skill)), k1 AS (SELECT DISTINCT query_id, dst AS skill FROM asked JOIN linked ON skill = src EXCEPT SELECT * FROM asked),
-j2 AS (SELECT DISTINCT query_id, job_id FROM k1 JOIN requires USING (skill) EXCEPT SELECT * FROM j1), k2 AS (SELECT query_id, skill FROM j1 JOIN requires USING (job_id) UNION SELECT query_id, dst FROM k1 JOIN linked ON skill = src EXCEPT (SELECT * FROM asked UNION SELECT * FROM k1)),
-j3 AS (SELECT DISTINCT query_id, job_id FROM k2 JOIN requires USING (skill) EXCEPT (SELECT * FROM j1 UNION SELECT * FROM j2)), k3 AS (SELECT query_id, skill FROM j2 JOIN requires USING (job_id) UNION SELECT query_id, dst FROM k2 JOIN linked ON skill = src EXCEPT (SELECT * FROM asked UNION SELECT * FROM k1 UNION SELECT * FROM k2)),
-j4 AS (SELECT DISTINCT query_id, job_id FROM k3 JOIN requires USING (skill) EXCEPT (SELECT * FROM j1 UNION SELECT * FROM j2 UNION SELECT * FROM j3)),
-sp AS (SELECT *, 1 AS skill_path FROM j1 UNION ALL SELECT *, 2 FROM j2 UNION ALL SELECT *, 3 FROM j3 UNION ALL SELECT *, 4 FROM j4),
+{LEVELS}
 pl AS (SELECT job_id, lower(city) AS place FROM jobs UNION SELECT job_id, lower(state) FROM jobs), l1 AS (SELECT DISTINCT query_id, job_id FROM sq JOIN pl USING (place)), l3 AS (SELECT DISTINCT l1.query_id, pl.place FROM l1 JOIN pl USING (job_id) ANTI JOIN sq ON sq.query_id = l1.query_id AND sq.place = pl.place),
 lp AS (SELECT query_id, job_id, min(h) AS location_path FROM (SELECT query_id, job_id, 1 AS h FROM l1 UNION ALL SELECT query_id, job_id, 3 FROM l3 JOIN pl USING (place)) GROUP BY ALL), h1 AS (SELECT query_id, job_id, count(DISTINCT skill) AS hop1 FROM requires JOIN asked USING (skill) GROUP BY ALL), na AS (SELECT query_id, count(*) AS na FROM asked GROUP BY query_id)
 SELECT query_id, job_id, coalesce(r.score, 0) AS text_score, CASE WHEN contains(lower(company || ' ' || level), lower(sq.text)) THEN 1 ELSE 0 END AS title_hit, round(coalesce(hop1, 0) / na, 6) AS skill_overlap, CASE WHEN contains(lower(sq.text), lower(city)) OR contains(lower(sq.text), lower(state)) THEN 1 ELSE 0 END AS place_named,

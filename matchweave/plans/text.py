@@ -115,6 +115,9 @@ def _pay_sql(f: str) -> str:
     for p in tx.SINGLE_SALARIES:
         number = f"TRY_CAST(replace(regexp_extract_all(lower(t), '{p}', 1)[i], ',', '') AS BIGINT)"
         parts.append(f"list_transform(regexp_extract_all(lower(t), '{p}', 0), lambda w, i: TRY_CAST(CASE WHEN contains(w, 'k') OR {number} < 1000 THEN 1000 ELSE 1 END * CAST({number} AS HUGEINT) AS BIGINT))")
+    for k in (1, 2):
+        end = f"TRY_CAST(regexp_extract_all(lower(t), '{tx.SALARY_RANGE}', {k})[i] AS BIGINT)"
+        parts.append(f"list_transform(regexp_extract_all(lower(t), '{tx.SALARY_RANGE}', 0), lambda w, i: TRY_CAST(CASE WHEN contains(w, 'k') THEN 1000 ELSE 1 END * CAST({end} AS HUGEINT) AS BIGINT))")
     return f"{f}(flatten([{', '.join(parts)}]))"
 
 

@@ -7,9 +7,9 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("lexical", "vectors", "graph", "matching", "text", "quality", "search", "feeds", "chains")
+PLANS = ("lexical", "vectors", "graph", "matching", "text", "quality", "search", "feeds", "chains", "recommend")
 
-_RANKED = "bm25_filtered bm25_topk bm25_normalized bm25_page bm25_multifield more_like_this cosine_topk cosine_subset_rank skill_hops1 skill_hops2 graph_text_match applications_latest recommendations rerank_six_factor keyword_rerank fusion_rank label_pool structured_filter_page hybrid_search"
+_RANKED = "profile_search reranked_reasons bm25_filtered bm25_topk bm25_normalized bm25_page bm25_multifield more_like_this cosine_topk cosine_subset_rank skill_hops1 skill_hops2 graph_text_match applications_latest recommendations rerank_six_factor keyword_rerank fusion_rank label_pool structured_filter_page hybrid_search"
 #: Columns whose type DuckDB would give otherwise: its window numbers have 64 bits, its plain
 #: fractions are decimals.
 TYPES = {name: {"rank": "INTEGER"} for name in _RANKED.split()} | {

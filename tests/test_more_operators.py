@@ -31,6 +31,7 @@ def test_terms_and_places_in_text(spark):
     t = F.lit("We met in San Jose, CA and near Paris. React and Json Tools; Software")
     assert one(spark, tx.technical_terms(t)) == ["Json Tools", "React"]
     assert one(spark, tx.named_places(t)) == ["Paris", "San Jose, CA"] or "San Jose, CA" in one(spark, tx.named_places(t))
+    assert [one(spark, tx.salaries(F.lit(x))) for x in ("pays 80k to 100k annual", "70 - 90k per year", "500 to 700 yearly", "9999999999999999999 - 5 yearly")] == [(80_000, 100_000), (70_000, 90_000), (500, 700), (5, 5)]
     assert one(spark, tx.salaries(F.lit("$9999999999999999999 and $9223372036854775k"))) == one(spark, tx.salaries(F.lit("$9223372036854775k and $9999999999999999999")))
 
 
