@@ -116,12 +116,40 @@ def factor_reasons(parts: dict[str, Column], need: Column, own: Column, place: C
     return F.create_map(*pairs)
 
 
-def static_features(requires: DataFrame, related: DataFrame) -> DataFrame:
-    """(job_id, required, near): how many skills a job requires and how many lie one edge away."""
-    from .graph import symmetric
-
-    near = requires.join(symmetric(related), F.col("skill") == F.col("src")).groupBy("job_id").agg(F.countDistinct("dst").alias("near"))
-    return requires.groupBy("job_id").agg(F.count("*").alias("required")).join(near, "job_id", "left").fillna(0, ["near"])
+def static_features(skills: DataFrame, related: DataFrame) -> DataFrame:
+    """(job_id, required, preferred, near, near2) of jobs' skills (job_id, skill, required: boolean): how
+    many a job requires and prefers, and how many skills lie one edge and up to two edges away from
+    what it requires. Skills reach others once each, not once a job."""
+    from .graph import reached, symmetric
+
+    counts = skills.groupBy("job_id").agg(F.count_if("required").alias("required"), F.count_if(~F.col("required")).alias("preferred"))
+    need = skills.where("required").select("job_id", "skill")
+    names = need.select(F.col("skill").alias("query_id"), "skill").distinct()
+    one = symmetric(related).select(F.col("src").alias("skill"), F.col("dst").alias("other")).distinct()
+    two = reached(names, related).select(F.col("query_id").alias("skill"), F.col("skill").alias("other"))
+    away = lambda edges, name: need.join(edges, "skill").groupBy("job_id").agg(F.countDistinct("other").alias(name))
+    return counts.join(away(one, "near"), "job_id", "left").join(away(two, "near2"), "job_id", "left").fillna(0, ["near", "near2"])
+
+
+def contents(skills: DataFrame, related: DataFrame) -> DataFrame:
+    """(job_id, content): a digest of what a job's static features depend on: its own skills, and the
+    related edges, which are summed up in one number."""
+    both = F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst"))
+    graph = related.select(both.alias("h")).distinct().agg(F.coalesce(F.bit_xor("h"), F.lit(0)).alias("g"), F.count("*").alias("n"))
+    own = skills.groupBy("job_id").agg(F.array_sort(F.collect_set(F.concat_ws("|", "skill", F.col("required").cast("string")))).alias("s"))
+    return own.crossJoin(F.broadcast(graph)).select("job_id", F.md5(F.concat_ws("\n", F.col("g").cast("string"), F.col("n").cast("string"), "s")).alias("content"))  # one row
+
+
+def refreshed_features(known: DataFrame | None, skills: DataFrame, related: DataFrame) -> DataFrame:
+    """Static features with their content, of all jobs: those of ``known`` whose content is the same stay
+    as they are, others are worked out, and jobs that are no more go."""
+    now = written(contents(skills, related), "contents")
+    if known is None:
+        return static_features(skills, related).join(now, "job_id")
+    kept = known.join(now, ["job_id", "content"], "left_semi")
+    new = written(now.join(known, ["job_id", "content"], "left_anti"), "changed")
+    fresh = static_features(skills.join(new, "job_id", "left_semi"), related).join(new, "job_id")
+    return kept.unionByName(fresh)
 
 
 def hybrid(lists: dict[str, DataFrame], queries: DataFrame, jobs: DataFrame, boosted: str, number: int = 1, size: int = 10, cap: int = 400) -> DataFrame:

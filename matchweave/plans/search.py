@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import graph, lexical, packs, resumes, search
 from ..sources import graph_tables as g
+from ..sources.shared import written
 from ..sources.tables import table
 from .graph import SQL
 from .text import _SKILL_SQL, WHOLE, _cascade_sql, whole
@@ -45,12 +46,26 @@ s AS (SELECT query_id, job_id, sources, round(coalesce(hits, 0) / sqrt(CAST(a *
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, job_id) AS rank FROM s) WHERE rank <= 10"""
 
 
-def static_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.static_features(g.requires(spark, sf_dir), g.related(spark, sf_dir))
+def _job_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job_id, skill, required, done): parts of an order, preferred where all of them came back; done if all are finished."""
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("skill"))
+    joined = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return joined.groupBy(F.col("l_orderkey").alias("job_id"), "skill").agg(F.max(F.col("l_returnflag") != "R").alias("required"), F.min(F.col("l_linestatus") == "F").alias("done"))
 
 
-STATIC = f"""WITH {SQL}, n AS (SELECT job_id, count(DISTINCT dst) AS near FROM requires JOIN linked ON skill = src GROUP BY job_id)
-SELECT job_id, required, coalesce(near, 0) AS near FROM (SELECT job_id, count(*) AS required FROM requires GROUP BY job_id) LEFT JOIN n USING (job_id)"""
+def static_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of all jobs, refreshed after those of the skills that were done before."""
+    skills, related = written(_job_skills(spark, sf_dir)), written(g.related(spark, sf_dir))
+    known = written(search.refreshed_features(None, skills.where("done").drop("done"), related))
+    return search.refreshed_features(known, skills.drop("done"), related).drop("content")
+
+
+STATIC = f"""WITH {SQL}, k AS (SELECT l_orderkey AS job_id, p_name AS skill, bool_or(l_returnflag != 'R') AS need FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+c AS (SELECT job_id, count(*) FILTER (need) AS required, count(*) FILTER (NOT need) AS preferred FROM k GROUP BY job_id),
+n AS (SELECT job_id, count(DISTINCT dst) AS near FROM k JOIN linked ON skill = src WHERE need GROUP BY job_id),
+r2 AS (SELECT src, dst FROM linked UNION SELECT a.src, b.dst FROM linked a JOIN linked b ON a.dst = b.src WHERE b.dst != a.src),
+n2 AS (SELECT job_id, count(DISTINCT dst) AS near2 FROM k JOIN r2 ON skill = src WHERE need GROUP BY job_id)
+SELECT job_id, required, preferred, coalesce(near, 0) AS near, coalesce(near2, 0) AS near2 FROM c LEFT JOIN n USING (job_id) LEFT JOIN n2 USING (job_id)"""
 
 
 def resume_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

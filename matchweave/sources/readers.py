@@ -6,7 +6,6 @@ import csv
 import io
 from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import normalize as nz
+from .shared import written
 
 ENCODINGS = ("utf-8", "gb18030")
 JOB_ALIASES = {
@@ -29,39 +29,71 @@ JOB_ALIASES = {
 }
 
 
-def csv_encodings(spark: SparkSession, path: str) -> dict[str, str]:
-    """File -> encoding, by all bytes of each file: UTF-8 unless a line does not decode so. Only file
-    names leave the tasks."""
-    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).select(F.input_file_name().alias("f")).distinct()
-    other = {unquote(urlsplit(r["f"]).path) for r in broken.collect()}
-    return {f: ENCODINGS[1] if unquote(urlsplit(f).path) in other else ENCODINGS[0] for f in files}
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, line, quotes, utf8): the lines of files as they are in bytes, in any encoding that
+    writes line ends and quotes as ASCII does; block and at give their order. Written, so that the
+    order holds and files are read once; a large file is read by many tasks."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    return written(lines.select(*place, F.col("value").cast("binary").alias("line"), quotes.cast("long").alias("quotes"), F.is_valid_utf8("value").alias("utf8")), "lines")
+
+
+def csv_encodings(lines: DataFrame) -> dict[str, str]:
+    """File -> encoding, by all bytes of each file: UTF-8 unless a line does not decode so."""
+    files = lines.groupBy("file").agg(F.min("utf8").alias("utf8")).collect()  # a row per file
+    return {r["file"]: ENCODINGS[0] if r["utf8"] else ENCODINGS[1] for r in files}
+
+
+def csv_records(lines: DataFrame) -> DataFrame:
+    """(file, block, at, record): lines joined where a quoted field goes over their ends.
+
+    A line begins a record if the quotes before it are even in number. They are counted in blocks,
+    the counts of a file's blocks are added up, and only lines of records that have several are
+    brought together; so a file is not read in order, and no task needs it whole."""
+    by_block, by_file = W.partitionBy("file", "block").orderBy("at"), W.partitionBy("file").orderBy("block")
+    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("q"))
+    before = written(blocks.select("file", "block", (F.sum("q").over(by_file) - F.col("q")).alias("before")), "blocks")
+    seen = F.sum("quotes").over(by_block) - F.col("quotes")
+    told = lines.join(before, ["file", "block"]).withColumn("starts", (F.col("before") + seen) % 2 == 0)
+    told = written(told.select("file", "block", "at", "line", "starts", (F.col("quotes") % 2 == 1).alias("odd")), "starts")
+    place = F.struct("block", "at")
+    # the last start of the blocks before
+    lasts = told.where("starts").groupBy("file", "block").agg(F.max(place).alias("last"))
+    ends = before.select("file", "block").join(lasts, ["file", "block"], "left")
+    carried = written(ends.select("file", "block", F.last("last", ignorenulls=True).over(by_file.rowsBetween(W.unboundedPreceding, -1)).alias("carried")), "carried")
+    alone = told.where("starts and not odd").select("file", "block", "at", F.col("line").alias("record"))
+    # of the others: the start that they belong to
+    open_ = told.where("not starts or odd").join(carried, ["file", "block"])
+    own = F.last(F.when(F.col("starts"), place), ignorenulls=True).over(by_block)
+    joined = open_.withColumn("key", F.coalesce(own, "carried")).groupBy("file", "key").agg(F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("all"))
+    record = F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0]["line"], lambda s, x: F.concat(s, F.lit(b"\n"), x["line"]))
+    return alone.unionByName(joined.select("file", F.col("key.block").alias("block"), F.col("key.at").alias("at"), record.alias("record")))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, with a header; quoted fields may span lines; a byte-order mark goes.
-
-    Spark's reader takes UTF-8 files. Files in another encoding are decoded and split a file at a
-    time; one that is in neither fails the job."""
-    found = csv_encodings(spark, path)
-    plain, other = ([f for f, e in found.items() if e == name] for name in ENCODINGS)
-    parts = []
-    if plain:
-        df = spark.read.csv(plain, header=True, multiLine=True, escape='"')
-        parts.append(df.toDF(*[c.lstrip("\ufeff") for c in df.columns]))
-    if other:
-        files = spark.read.format("binaryFile").load(other).select("content")
-        head = files.select(F.substring("content", 1, 1 << 16).alias("head")).first()["head"]
-        names = next(csv.reader(io.StringIO(bytes(head).decode(ENCODINGS[1], "ignore"))))
-
-        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for content in batch["content"]:
-                    found = [[r.get(n) or None for n in names] for r in csv.DictReader(io.StringIO(bytes(content).decode(ENCODINGS[1])))]
-                    yield pd.DataFrame(found, columns=names, dtype=object)
-
-        parts.append(files.mapInPandas(rows, ", ".join(f"`{n}` string" for n in names)))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    """All columns as text, with a header per file; quoted fields may span lines; a byte-order mark
+    goes; empty fields are null, and empty lines no rows. Files are UTF-8 or, where they do not decode
+    so, GB 18030; one that is in neither fails the job. Any file is read by as many tasks as it has
+    blocks."""
+    lines = raw_lines(spark, path)
+    encodings = csv_encodings(lines)
+    records = csv_records(lines)
+    first = records.withColumn("_r", F.row_number().over(W.partitionBy("file").orderBy("block", "at"))).where("_r = 1")
+    heads = {r["file"]: next(csv.reader(io.StringIO(bytes(r["record"]).decode(encodings[r["file"]]).lstrip("\ufeff"))), []) for r in first.select("file", "record").collect()}  # a row per file
+    names = list(dict.fromkeys(n for f in sorted(heads, key=lambda f: (encodings[f] != ENCODINGS[0], f)) for n in heads[f]))
+    if not names:
+        return spark.createDataFrame([], "_empty string").drop("_empty")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, part in batch.groupby("file", sort=False):
+                text = "\n".join(bytes(r).decode(encodings[file]).removesuffix("\r") for r in part["record"])
+                rows = [dict(zip(heads[file], r)) for r in csv.reader(io.StringIO(text)) if r]
+                yield pd.DataFrame([[r.get(n) or None for n in names] for r in rows], columns=names, dtype=object)
+
+    body = records.join(first.select("file", "block", "at"), ["file", "block", "at"], "left_anti")
+    return body.select("file", "record").mapInPandas(parse, ", ".join(f"`{n}` string" for n in names))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
