@@ -62,6 +62,18 @@ def vertices(edges: DataFrame, type_: str) -> DataFrame:
     return edges.where(F.col("type") == type_).groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("degree"))
 
 
+def upsert_vertices(known: DataFrame, new: DataFrame, key: str, *order: Column) -> DataFrame:
+    """Vertices by key: each property has the last value written to it, and a null writes nothing.
+    ``order``: which of several new rows of a key comes last (descending); works for candidates, jobs,
+    companies and places (with their coordinates) alike."""
+    fields = [c for c in new.columns if c != key]
+    last = keep_latest(new, [key], *(order or (F.desc(F.to_json(F.struct(*new.columns))),)))
+    old = known.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in known.columns if c != key])
+    both = last.withColumn("_n", F.lit(True)).join(old, F.col(key) == F.col("_k"), "full")
+    value = lambda c: F.coalesce(F.col(c), F.col(f"_{c}")) if c in fields and c in known.columns else F.col(c) if c in fields else F.col(f"_{c}")
+    return both.select(F.coalesce(key, "_k").alias(key), *[value(c).alias(c) for c in dict.fromkeys([*[c for c in known.columns if c != key], *fields])])
+
+
 def path_to_place(asked: DataFrame, located: DataFrame, limit: int = 4, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, job_id, hops) of asked places (query_id, place) and jobs' places (job_id, place):
     1 where a job lies in a place asked for, 3 where it shares another place with such a job; with

@@ -71,3 +71,22 @@ def distribution(df: DataFrame, *columns: str) -> DataFrame:
 
 def newest(df: DataFrame, key: str, stamp: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc(stamp), F.to_json(F.struct(*sorted(df.columns)))))).where(F.col("rank") <= k)
+
+
+def compact_job(jobs: DataFrame) -> DataFrame:
+    """Jobs trimmed to what a labeller reads: the first 500 characters of what they are about. Columns
+    that are not there are taken as missing."""
+    none, no_skills = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    some = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names if n in jobs.columns], none, F.lit(""))
+    lists = [F.when(F.size(n) > 0, F.col(n)) for n in ("skills", "required_skills") if n in jobs.columns]
+    return jobs.select(
+        "job_id", some("title", "standard_job").alias("title"), some("company", "company_name").alias("company"), some("job_family").alias("job_family"),
+        F.coalesce(*lists, no_skills, F.array().cast("array<string>")).alias("skills"), F.substring(some("description", "requirements"), 1, 500).alias("description_preview"),
+    )
+
+
+def candidate_snapshot(candidates: DataFrame) -> DataFrame:
+    """(candidate_id, snapshot): what a labeller sees of a candidate; 800 characters of the summary."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    parts = F.substring(F.coalesce("summary", F.lit("")), 1, 800).alias("summary"), F.coalesce("skills", F.array().cast("array<string>")).alias("skills"), blank("target_job_family"), blank("preferred_location")
+    return candidates.select("candidate_id", F.struct(*parts).alias("snapshot"))

@@ -71,11 +71,11 @@ def csv_records(lines: DataFrame) -> DataFrame:
     return alone.unionByName(joined.select("file", F.col("key.block").alias("block"), F.col("key.at").alias("at"), record.alias("record")))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, fields: bool = False) -> DataFrame:
     """All columns as text, with a header per file; quoted fields may span lines; a byte-order mark
     goes; empty fields are null, and empty lines no rows. Files are UTF-8 or, where they do not decode
     so, GB 18030; one that is in neither fails the job. Any file is read by as many tasks as it has
-    blocks."""
+    blocks. With ``fields``, ``extra_fields`` tells how many more fields a row has than its header."""
     lines = raw_lines(spark, path)
     encodings = csv_encodings(lines)
     records = csv_records(lines)
@@ -90,10 +90,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
             for file, part in batch.groupby("file", sort=False):
                 text = "\n".join(bytes(r).decode(encodings[file]).removesuffix("\r") for r in part["record"])
                 rows = [dict(zip(heads[file], r)) for r in csv.reader(io.StringIO(text)) if r]
-                yield pd.DataFrame([[r.get(n) or None for n in names] for r in rows], columns=names, dtype=object)
+                made = pd.DataFrame([[r.get(n) or None for n in names] for r in rows], columns=names, dtype=object)
+                if fields:
+                    made["extra_fields"] = [len(r) - len(heads[file]) for r in csv.reader(io.StringIO(text)) if r]
+                yield made
 
     body = records.join(first.select("file", "block", "at"), ["file", "block", "at"], "left_anti")
-    return body.select("file", "record").mapInPandas(parse, ", ".join(f"`{n}` string" for n in names))
+    return body.select("file", "record").mapInPandas(parse, ", ".join(f"`{n}` string" for n in names) + ", extra_fields int" * fields)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
@@ -117,8 +120,9 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_resumes(spark: SparkSession, path: str) -> DataFrame:
-    """(resume_id, text): a row per text file."""
-    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("resume_id"), F.col("value").alias("text"))
+    """(resume_id, text): a row per text file, also for an empty one."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("resume_id"), F.col("content").cast("string").alias("text"))
 
 
 def flatten_rankings(batch: DataFrame) -> DataFrame:
@@ -184,9 +188,46 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def csv_counts(rows: DataFrame) -> DataFrame:
-    """(rows, without_title, jobs) of any job CSV, from one pass."""
+    """(rows, without_title, jobs) of any job CSV, from one pass; with ``extra_fields``, how many rows are
+    malformed as well, which are no jobs."""
     blank = nz.text_field(rows, *JOB_ALIASES["title"]) == ""
-    return rows.agg(F.count("*").alias("rows"), F.count_if(blank).alias("without_title"), F.count_if(~blank).alias("jobs"))
+    if "extra_fields" not in rows.columns:
+        return rows.agg(F.count("*").alias("rows"), F.count_if(blank).alias("without_title"), F.count_if(~blank).alias("jobs"))
+    bad = F.col("extra_fields") > 0
+    return rows.agg(F.count("*").alias("rows"), F.count_if(bad).alias("malformed"), F.count_if(~bad & blank).alias("without_title"), F.count_if(~bad & ~blank).alias("jobs"))
+
+
+# What a job without a company or with a location that is no object gets.
+NO_COMPANY, DEFAULT_PLACE = "未知公司", ("北京", "北京", "中国")
+
+
+def load_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """Jobs of JSONL files whose fields go by other names: job_id or id, skills or required_skills,
+    company or company_name; a location that is no object is replaced by a default. Blank lines are
+    no jobs; a line that is no object gives one with defaults."""
+    line = F.col("value")
+    field = lambda name: F.get_json_object(line, f"$.{name}")
+    some = lambda *names: F.coalesce(*[F.nullif(field(n), F.lit("")) for n in names])
+    listed = lambda name: F.from_json(field(name), "array<string>")
+    default = F.struct(*[F.lit(v).alias(n) for n, v in zip(("city", "state", "country"), DEFAULT_PLACE)])
+    place = F.from_json(field("location"), "city string, state string, country string")
+    return spark.read.text(path).where(F.trim("value") != "").select(
+        F.coalesce(some("job_id", "id"), F.lit("")).alias("job_id"), F.coalesce(field("title"), F.lit("")).alias("title"), F.coalesce(field("description"), F.lit("")).alias("description"),
+        F.coalesce(F.when(F.size(listed("skills")) > 0, listed("skills")), listed("required_skills"), F.array().cast("array<string>")).alias("skills"),
+        F.coalesce(some("company"), field("company_name"), F.lit(NO_COMPANY)).alias("company"),
+        F.when(field("location").isNull() | F.startswith(F.ltrim(field("location")), F.lit("{")), F.coalesce(F.when(field("location").isNotNull(), place), default)).otherwise(default).alias("location"),
+        F.coalesce(field("job_family"), F.lit("")).alias("job_family"), F.coalesce(field("source"), F.lit("jobs.jsonl")).alias("source"),
+    )
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """One compact object per line, in UTF-8; null fields are left out."""
+    rows.write.json(path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of one row, or few, as indented JSON in one file."""
+    report.coalesce(1).select(F.to_json(F.struct(*report.columns), {"pretty": "true"}).alias("value")).write.text(path)
 
 
 def store(new: DataFrame, old: DataFrame | None, path: str, key: str = "job_id", stamp: str = "ingest_ts") -> None:
