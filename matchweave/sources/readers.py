@@ -120,9 +120,8 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_resumes(spark: SparkSession, path: str) -> DataFrame:
-    """(resume_id, text): a row per text file, also for an empty one."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("resume_id"), F.col("content").cast("string").alias("text"))
+    """(resume_id, text): a row per text file; Spark's readers skip files of no bytes."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("resume_id"), F.col("value").alias("text"))
 
 
 def flatten_rankings(batch: DataFrame) -> DataFrame:

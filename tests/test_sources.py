@@ -42,8 +42,9 @@ def test_reports_and_lines(spark, tmp_path):
 
 def test_resumes_and_merged_sources(spark, tmp_path):
     (tmp_path / "ann.txt").write_text("Ann\nengineer")
-    (tmp_path / "bob.txt").write_text("")
-    assert {r.resume_id: r.text for r in readers.read_resumes(spark, str(tmp_path)).collect()} == {"ann": "Ann\nengineer", "bob": ""}
+    (tmp_path / "bob.txt").write_text("\n")
+    (tmp_path / "none.txt").write_text("")
+    assert {r.resume_id: r.text for r in readers.read_resumes(spark, str(tmp_path)).collect()} == {"ann": "Ann\nengineer", "bob": "\n"}
     one = spark.createDataFrame([(1, "Data Engineer", "Acme", "x")], "job_id long, title string, company string, place string")
     two = spark.createDataFrame([(2, " data engineer", "ACME "), (3, "Cook", "Acme")], "job_id long, title string, company string")
     assert sorted((r.job_id, r.place) for r in readers.merge_sources(one, two).collect()) == [(1, "x"), (3, None)]
