@@ -1,22 +1,23 @@
 """Removes words inside long repeats, found by prefix-partitioned suffix trees.
 
-A suffix is a document's word sequence from some word on, cut at ``min_words`` words: deeper
-nodes cover no further words. Only suffixes that can repeat enter a tree. Every suffix holds
+A suffix is a document's word sequence from some word on. Only suffixes that can repeat enter a tree. Every suffix holds
 one anchor, its smallest run of ``ANCHOR`` words by hash; equal suffixes have equal anchors. So
 suffixes whose anchor occurs once in the corpus are left out, and no repeat is lost.
 
 The others are split by their prefixes into groups that fit into memory. Equal prefixes of
 ``min_words`` words have equal anchors, so the anchor is the first split; it lets neighbouring
-suffixes with one anchor travel as one stretch of words. A group of more than ``GROUP``
-stretches is split again, by prefixes of 4 words, and where those still are too many, of 8, 16
-and ``min_words``. Each group's subtree is built from the words themselves: its suffixes in
-order are the leaves, and leaves that share all their words hang on one deep inner node, whose
-leaves are the occurrences of a repeat. All but the earliest are removed; overlapping ones join
-to the maximal repeats of a document. Hashes only decide where suffixes meet, never which are
-equal.
-
-Each task first builds the subtree of its own suffixes and sends on only one leaf of a node, so
-a passage in a third of all documents reaches its group once per task. Of an anchor that a task
+suffixes with one anchor travel as one stretch of words. A group of more than ``GROUP`` bytes
+is split again, by prefixes of 4 words, and where those still are too large, of 8, 16 and
+``min_words``. Each group's subtree is built from the words themselves: its suffixes in order are
+the leaves, the words that neighbours have in common give the inner nodes, and a node of at least
+``min_words`` words is a repeat, as long as it is deep, that occurs at its leaves. Every leaf but a
+node's earliest loses the words of the deepest node on its way to the root that has an earlier
+one; together these are the maximal repeats of a document. Hashes only decide where suffixes
+meet, never which are equal. A suffix reaches to the end of its stretch, ``DEEPEST`` words at most;
+what goes on longer has suffixes of its own. In groups split by prefixes suffixes have
+``min_words`` words.
+
+Each task first joins the equal suffixes of its own and sends on only one of them, so a passage in a third of all documents reaches its group once per task. Of an anchor that a task
 sees often, two rows meet the other tasks' rows; the rest are known to repeat and are spread.
 
 Edge cases: a null text has no words; documents of fewer than ``min_words`` words keep all; a
@@ -40,9 +41,11 @@ from pyspark.sql import functions as F
 from .common import cut, mix, rolling, word_hashes
 
 MIN_WORDS, ANCHOR = 20, 10
-#: Rows that a group holds at most before longer prefixes split it, unless that makes more than
-#: ``MOST_SPLIT`` groups: then a ``MOST_SPLIT``-th of all rows.
-GROUP, MOST_SPLIT = 1_000, 10_000
+#: Bytes that a group holds at most before longer prefixes split it, unless that makes more than
+#: ``MOST_SPLIT`` groups: then a ``MOST_SPLIT``-th of all bytes.
+GROUP, MOST_SPLIT = 1 << 18, 10_000
+#: Words of a suffix at most.
+DEEPEST = 64
 #: Lengths of the prefixes that split large groups; the last is the whole suffix.
 PREFIXES = (4, 8, 16)
 #: Suffixes whose subtrees are built at a time, and bytes of text that a task holds for its own.
@@ -153,54 +156,101 @@ def _own_leaves(texts: list[_Text], path: np.ndarray, owner: np.ndarray, start:
     return late
 
 
-def _kept(words: list[bytes], starts: np.ndarray, min_words: int) -> tuple[bytes, int]:
-    """The words outside the suffixes that begin at ``starts``, and how many are inside."""
+def _kept(words: list[bytes], starts: np.ndarray, lengths: np.ndarray | int) -> tuple[bytes, int]:
+    """The words outside the repeats that begin at ``starts``, and how many are inside."""
     cover = np.zeros(len(words) + 1, np.int32)
     np.add.at(cover, starts, 1)
-    np.add.at(cover, np.minimum(starts + min_words, len(words)), -1)
+    np.add.at(cover, np.minimum(starts + lengths, len(words)), -1)
     inside = np.cumsum(cover[:-1]) > 0
     return b" ".join([w for w, gone in zip(words, inside) if not gone]), int(inside.sum())
 
 
-def subtree(paths: list[bytes], occurrence: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The leaves of a suffix tree in order, and for each whether it hangs on the same deep node as
-    the leaf before it. Leaves of one node are in the order of their occurrences."""
-    early = np.lexsort(occurrence[::-1]).tolist()
-    early.sort(key=paths.__getitem__)
-    ordered = [paths[i] for i in early]
-    joined = np.fromiter((a == b for a, b in zip(ordered[1:], ordered)), bool, max(0, len(paths) - 1))
-    return np.array(early, np.int64), np.append(np.zeros(min(1, len(paths)), bool), joined)
-
-
-def _suffixes(stretches: pd.DataFrame, min_words: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The suffixes of stretches of words: their words, their stretch and their place in it."""
-    paths, owner, place = [], [], []
+def _common(a: bytes, b: bytes) -> int:
+    """How many words two suffixes share from their beginning; each word ends in a space."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return a.count(b" ", 0, high)
+    while high - low > 1:  # they agree up to low and differ before high
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return a.count(b" ", 0, low)
+
+
+def suffix_tree(suffixes: list[bytes], heads: list[int], rank: np.ndarray, min_words: int) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """(leaves, nodes) of the suffix tree of ``suffixes``, whose words each end in a space.
+
+    The leaves are the suffixes in the order of their words, equal ones by ``rank``. A node (depth,
+    first, stop) has the leaves from first to stop, which share depth words and no more; nodes of fewer
+    than ``min_words`` are left out, and children come before their parents. ``heads``: bytes of
+    each suffix's first ``min_words`` words."""
+    leaves = np.argsort(rank, kind="stable").tolist()
+    leaves.sort(key=suffixes.__getitem__)
+    ordered, sizes = [suffixes[i] for i in leaves], [heads[i] for i in leaves]
+    nodes: list[tuple[int, int, int]] = []
+    open_: list[tuple[int, int]] = []
+    last = b""
+    for i, (own, size) in enumerate(zip(ordered, sizes)):
+        shared = _common(last, own) if last[:size] == own[:size] else 0
+        first = i - 1
+        while open_ and open_[-1][0] > shared:
+            depth, first = open_.pop()
+            nodes.append((depth, first, i))
+        if shared >= min_words and (not open_ or open_[-1][0] < shared):
+            open_.append((shared, first))
+        last = own
+    while open_:
+        depth, first = open_.pop()
+        nodes.append((depth, first, len(leaves)))
+    return leaves, nodes
+
+
+def repeated_depths(nodes: list[tuple[int, int, int]], rank: np.ndarray) -> np.ndarray:
+    """Of each leaf (``rank`` in their order): the depth of the deepest node with an earlier leaf, or 0."""
+    depths = np.zeros(len(rank), np.int32)
+    for depth, first, stop in reversed(nodes):
+        own = rank[first:stop]
+        depths[first:stop][own > own.min()] = depth
+    return depths
+
+
+def _suffixes(stretches: pd.DataFrame, min_words: int) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
+    """The suffixes of stretches of words, each word with a space after it: their bytes, how many of
+    those their first ``min_words`` words take, their stretch and their place in it."""
+    paths, heads, owner, place = [], [], [], []
     for k, words in enumerate(stretches["words"]):
         text = _Text(words)
-        n = len(text.begin) - min_words
-        paths += [text.part(i, i + min_words) for i in range(n)]
+        line, begin, n = text.words + b" ", text.begin.tolist(), len(text.begin) - min_words
+        paths += [line[begin[i] : begin[min(i + DEEPEST, len(begin) - 1)]] for i in range(n)]
+        heads += [begin[i + min_words] - begin[i] for i in range(n)]
         owner.append(np.full(n, k))
         place.append(np.arange(n))
-    return paths, np.concatenate(owner), np.concatenate(place)
+    return paths, heads, np.concatenate(owner), np.concatenate(place)
 
 
 def _late_leaves(min_words: int):
-    """Of stretches sorted by group, the suffixes that are not the earliest leaf of their node."""
+    """Of stretches sorted by group, the leaves of their subtrees that repeat earlier ones, and how far."""
 
     def judge(held: pd.DataFrame, whole: bool) -> tuple[pd.DataFrame, pd.DataFrame | None]:
-        paths, owner, place = _suffixes(held, min_words)
+        paths, heads, owner, place = _suffixes(held, min_words)
         doc, mark = held["doc_id"].to_numpy()[owner], held["mark"].to_numpy()[owner]
         start = held["start"].to_numpy()[owner] + place
-        order, joined = subtree(paths, [doc, mark, start])
-        doc, mark, start = doc[order], mark[order], start[order]
-        head = np.maximum.accumulate(np.where(joined, 0, np.arange(len(order))))
-        late = (doc != doc[head]) | (mark != mark[head]) | (start != start[head])
-        out = pd.DataFrame({"doc_id": doc[late], "mark": mark[late], "start": start[late]})
+        early = np.lexsort([start, mark, doc])
+        new = (np.diff(doc[early]) != 0) | (np.diff(mark[early]) != 0) | (np.diff(start[early]) != 0)
+        rank = np.empty(len(early), np.int64)
+        rank[early] = np.cumsum(np.append(np.zeros(min(1, len(early)), np.int64), new))  # a repeated row is no earlier one
+        order, nodes = suffix_tree(paths, heads, rank, min_words)
+        order = np.array(order, np.int64)
+        depths = repeated_depths(nodes, rank[order])
+        doc, mark, start, late = doc[order], mark[order], start[order], depths > 0
+        out = pd.DataFrame({"doc_id": doc[late], "mark": mark[late], "start": start[late], "length": depths[late]})
         if whole:
             return out, None
-        # the group goes on: its nodes' earliest leaves stay, and no other
-        stay = np.flatnonzero(~joined)
-        return out, pd.DataFrame({"group": held["group"].to_numpy()[owner[order[stay]]], "doc_id": doc[stay], "mark": mark[stay], "start": start[stay], "words": [paths[i] for i in order[stay]]})
+        # the group goes on: of what is equal, the earliest leaves stay, and no other
+        stay = np.flatnonzero(~late)
+        return out, pd.DataFrame({"group": held["group"].to_numpy()[owner[order[stay]]], "doc_id": doc[stay], "mark": mark[stay], "start": start[stay], "words": [paths[i][: heads[i] - 1] for i in order[stay].tolist()]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -231,11 +281,12 @@ def _late_leaves(min_words: int):
 
 def _group(stretches: DataFrame, min_words: int, group: int, most: int) -> DataFrame:
     """Stretches with the group of each: its anchor, or for large groups a prefix that is long enough."""
-    spark, limit = stretches.sparkSession, max(group, stretches.count() // most)
+    spark, size = stretches.sparkSession, F.sum(F.octet_length("words")).alias("size")
+    limit = max(group, (stretches.agg(size).first()["size"] or 0) // most)
 
     def large(rows: DataFrame, key: str) -> DataFrame | None:
         # fewer than ``most`` rows
-        found = [r["g"] for r in rows.groupBy(F.col(key).alias("g")).count().where(F.col("count") > limit).collect()]
+        found = [r["g"] for r in rows.groupBy(F.col(key).alias("g")).agg(size).where(F.col("size") > limit).collect()]
         return F.broadcast(spark.createDataFrame([(g,) for g in found], f"{key} long")) if found else None
 
     columns = ["group", "doc_id", "mark", "start", "words"]
@@ -248,7 +299,8 @@ def _group(stretches: DataFrame, min_words: int, group: int, most: int) -> DataF
         for batch in batches:
             for at in range(0, len(batch), 5000):
                 part = batch.iloc[at : at + 5000]
-                paths, owner, place = _suffixes(part, min_words)
+                paths, heads, owner, place = _suffixes(part, min_words)
+                paths = [p[: h - 1] for p, h in zip(paths, heads)]
                 out = {"doc_id": part["doc_id"].to_numpy()[owner], "mark": part["mark"].to_numpy()[owner], "start": part["start"].to_numpy()[owner] + place, "words": paths}
                 # suffixes have min_words words each, so their hashes lie in rows
                 hashes = word_hashes(b" ".join(paths)).reshape(-1, min_words)
@@ -377,9 +429,10 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool = False, g
             for ident, mark, z, late, more in zip(batch["doc_id"], batch["mark"], batch["z"], batch["late"], batch["starts"]):
                 words = unpack.decompress(z).split()
                 starts = np.frombuffer(late, "<i4").astype(np.int64)
+                lengths = np.full(len(starts), min_words)
                 if more is not None:
-                    starts = np.append(starts, more)
-                kept, removed = _kept(words, starts, min_words)
+                    starts, lengths = np.append(starts, more >> 16), np.append(lengths, more & 0xFFFF)
+                kept, removed = _kept(words, starts, lengths)
                 rows.append((ident, mark, len(words), removed, hashlib.sha256(kept).hexdigest() if digest else kept.decode() if removed else None))
             yield pd.DataFrame(rows, columns=["doc_id", "mark", "n_words", "n_removed", "kept"])
 
@@ -395,8 +448,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool = False, g
     grown = cut(texts.mapInPandas(grow, "doc_id long, mark long, n_words long, kept string, z binary, late binary, key long, start int, words binary"), "suffixes")
 
     grouped = _group(grown.where("words is not null").select("key", "doc_id", "mark", "start", "words"), min_words, group, most)
-    late = grouped.repartition("group").sortWithinPartitions("group").mapInPandas(_late_leaves(min_words), "doc_id long, mark long, start int")
-    starts = late.groupBy("doc_id", "mark").agg(F.collect_list("start").alias("starts"))  # at most a document's length
+    late = grouped.repartition("group").sortWithinPartitions("group").mapInPandas(_late_leaves(min_words), "doc_id long, mark long, start int, length int")
+    starts = late.groupBy("doc_id", "mark").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 16) + F.col("length")).alias("starts"))  # at most a document's length
     open_ = grown.where("z is not null").select("doc_id", "mark", "z", "late").join(starts, ["doc_id", "mark"], "left")
     finished = open_.mapInPandas(finish, "doc_id long, mark long, n_words long, n_removed long, kept string")
     none, zero = F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_removed")
