@@ -48,6 +48,13 @@ def _sql_any(pattern: str, text: str = "lower(t)") -> str:
     return f"regexp_matches({text}, '{pattern}')"
 
 
+def _bordered(source: str) -> str:
+    """Texts whose words end for RE2 where they end for Spark: beyond ASCII, a letter or digit becomes _,
+    which is part of a word and of no pattern or name, and anything else ?."""
+    letters = "regexp_replace(lower(coalesce(t, '')), '[^\\x00-\\x7F\\p{L}\\p{Nd}\\p{Mn}]', '?', 'g')"
+    return f"plain AS (SELECT doc_id, regexp_replace({letters}, '[^\\x00-\\x7F]', '_', 'g') AS t FROM {source})"
+
+
 def hard_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each posting demands, and why it rules out a fixed candidate."""
     # one column per step: the text in lower case, each constraint, the reason from their columns
@@ -71,13 +78,13 @@ def _pick(pairs: list[tuple[str, str]]) -> str:
 
 
 _FLUENT = r"(fluent|fluency|proficient|native|excellent)\s+in\s+{x}\b|{x}\s+(fluency|required)\b"
-CONSTRAINTS = f"""WITH {POSTED}, c AS (SELECT doc_id, {_sql_any(tx.WORK_AUTHORISATION)} AS requires_work_authorisation, {_sql_any(tx.NO_SPONSORSHIP)} AS no_sponsorship,
+CONSTRAINTS = f"""WITH {POSTED}, {_bordered("posted")}, c AS (SELECT doc_id, {_sql_any(tx.WORK_AUTHORISATION)} AS requires_work_authorisation, {_sql_any(tx.NO_SPONSORSHIP)} AS no_sponsorship,
 CASE WHEN {_sql_any(tx.ON_SITE)} THEN false WHEN {_sql_any(tx.REMOTE)} THEN true END AS remote_allowed, nullif(trim(regexp_extract(lower(t), '{tx.LOCATED}', 2)), '') AS location_required,
 list_distinct({_extract_all()}) AS cert_set, {_extract_all()} AS cert_all,
 CASE {" ".join(f"WHEN {_sql_any(rf'(minimum|required)\s+({p})')} THEN '{n}'" for n, p in tx.DEGREES)} END AS min_degree,
 CAST(coalesce(nullif(regexp_extract(lower(t), '{tx.YEARS}', 2), ''), nullif(regexp_extract(lower(t), '{tx.YEARS_PLUS}', 1), '')) AS INTEGER) AS min_years,
 CASE {" ".join(f"WHEN {_sql_any(p)} THEN '{p}'" for p in tx.CLEARANCES)} END AS clearance,
-{_pick([(x, _FLUENT.replace("{x}", x)) for x in tx.LANGUAGES])} AS langs, {_pick([(p, p) for p in tx.LICENCES])} AS lics FROM posted),
+{_pick([(x, _FLUENT.replace("{x}", x)) for x in tx.LANGUAGES])} AS langs, {_pick([(p, p) for p in tx.LICENCES])} AS lics FROM plain),
 d AS (SELECT *, list_transform(list_filter(cert_all, lambda x, i: list_position(cert_all, x) = i), lambda x: upper(x)) AS certs FROM c)
 SELECT doc_id, requires_work_authorisation, no_sponsorship, remote_allowed, location_required, array_to_string(certs, '|') AS certifications, min_degree, min_years, clearance, array_to_string(langs, '|') AS languages, array_to_string(lics, '|') AS licences,
 CASE WHEN requires_work_authorisation AND no_sponsorship AND doc_id % 2 = 0 THEN 'work authorisation' WHEN no_sponsorship AND doc_id % 2 = 0 THEN 'no sponsorship'
@@ -129,7 +136,7 @@ def _cascade_sql(table_: tuple, default: str, text: str = "lower(t)") -> str:
     return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({text}, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{v}'" for v, words in table_) + f" ELSE '{default}' END"
 
 
-KEYWORDS = f"""WITH {WHOLE}, {_PLAIN} SELECT doc_id, array_to_string(list_sort(list_distinct({_TITLE_SQL})), '|') AS titles, {_pay_sql("list_min")} AS low, {_pay_sql("list_max")} AS high,
+KEYWORDS = f"""WITH {WHOLE}, {_bordered("said")} SELECT doc_id, array_to_string(list_sort(list_distinct({_TITLE_SQL})), '|') AS titles, {_pay_sql("list_min")} AS low, {_pay_sql("list_max")} AS high,
 array_to_string(list_sort(list_concat({_PLACE_SQL}, CASE WHEN regexp_matches(lower(t), '\\bremote\\b') THEN ['Remote'] ELSE [] END)), '|') AS places, {_cascade_sql(nz.JOB_TYPES, "full_time")} AS job_type, {_cascade_sql(nz.LEVELS, "entry")} AS level FROM plain"""
 
 
