@@ -1,19 +1,16 @@
 """Applications as a stream with state: the last event of each user about each job.
 
 The state of a user and job is the time, number and status of the last event seen. A later event
-replaces it and goes on downstream; a late one, older than the state, changes nothing, nor does one
-that is delivered again. Of events of one time the larger number is the later. An application
-stands until another event replaces it, so state has no timeout: it grows with pairs, not events.
+replaces it; a late one, older than the state, changes nothing, nor does one that is delivered
+again: what goes on downstream is the state. Of events of one time the larger number is the later.
+An application stands until another event replaces it, so state has no timeout: it grows with
+pairs, not events.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .ingest import Store
 
@@ -23,22 +20,13 @@ KEYS, ORDER = ["user_id", "job_id"], ["applied_us", "event_id"]
 
 def changes(events: DataFrame) -> DataFrame:
     """(user_id, job_id, applied_us, event_id, status): of a stream of (user_id, job_id, applied_at,
-    event_id, status), the events that change what is known, one per user, job and batch. Events
-    without a user, job, time or number are no applications."""
-    rows = events.select("user_id", "job_id", F.unix_micros(F.col("applied_at").cast("timestamp")).alias("applied_us"), "event_id", "status").dropna(subset=["user_id", "job_id", "applied_us", "event_id"])
+    event_id, status), the last event known of each user and job that a batch names, one per batch. Events
+    without a user, job, time or number are no applications.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = best = state.get if state.exists else None
-        for batch in batches:  # in parts: a key may have very many events
-            last = batch.sort_values(["applied_us", "event_id"]).iloc[-1]
-            found = (int(last["applied_us"]), int(last["event_id"]), last["status"])
-            if best is None or found[:2] > tuple(best[:2]):
-                best = found
-        if best is not None and best is not before:
-            state.update(tuple(best))
-            yield pd.DataFrame([(*key, *best)], columns=["user_id", "job_id", "applied_us", "event_id", "status"])
-
-    return rows.groupBy(*KEYS).applyInPandasWithState(step, _ROW, "applied_us long, event_id long, status string", "update", GroupStateTimeout.NoTimeout)
+    A task folds its own events of a pair before they meet its state, and no pair is a call of its own."""
+    rows = events.select("user_id", "job_id", F.unix_micros(F.col("applied_at").cast("timestamp")).alias("applied_us"), "event_id", "status").dropna(subset=["user_id", "job_id", "applied_us", "event_id"])
+    last = rows.groupBy(*KEYS).agg(F.max(F.struct("applied_us", "event_id", "status")).alias("last"))
+    return last.select(*KEYS, "last.*")
 
 
 def store(spark: SparkSession, path: str) -> Store:

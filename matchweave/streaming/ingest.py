@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.shared import written
+
 #: Buckets of a store's keys, unless the keys' own order gives better ones.
 BUCKETS = 64
 
@@ -99,13 +101,10 @@ class Store:
             fs.delete(s.getPath(), False)
 
     def upsert(self, batch: DataFrame, number: int) -> None:
-        batch = batch.persist()  # read for its buckets and for its rows
-        try:
-            versions = self.write(batch, number)
-            if versions is not None:
-                self.commit(number, versions)
-        finally:
-            batch.unpersist()
+        # read for its buckets and for its rows, and a batch with state must not be worked out twice
+        versions = self.write(written(batch, "batch"), number)
+        if versions is not None:
+            self.commit(number, versions)
 
     def current(self, schema) -> DataFrame:
         """The last row of each key: the files of one commit."""

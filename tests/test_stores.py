@@ -74,3 +74,15 @@ def test_applications_with_late_and_repeated_events(spark, tmp_path, restart):
     jobs = spark.createDataFrame([(10, "engineer", "acme")], "job_id long, title string, company string")
     listed = {r.job_id: r.title for r in applications.listed(applications.current(spark, path), jobs).collect()}
     assert listed == {10: "engineer", 11: None}
+
+
+def test_many_applications_keep_state_without_a_call_each(spark, tmp_path):
+    source = str(tmp_path / "in")
+    e = spark.range(300_000).selectExpr("id % 150000 AS user_id", "id % 7 AS job_id", "timestamp_seconds(id % 1000) AS applied_at", "id AS event_id", "string(id) AS status")
+    e.write.parquet(source)
+    stream = applications.changes(spark.readStream.schema(e.schema).parquet(source))
+    assert "Pandas" not in stream._jdf.queryExecution().analyzed().toString()
+    applications.drain(spark.readStream.schema(e.schema).parquet(source), str(tmp_path / "store"), str(tmp_path / "state"))
+    got = applications.current(spark, str(tmp_path / "store"))
+    want = e.groupBy("user_id", "job_id").agg(F.max(F.struct(F.unix_micros("applied_at").alias("applied_us"), "event_id", "status")).alias("x")).select("user_id", "job_id", "x.*")
+    assert got.count() == want.count() and got.select(want.columns).exceptAll(want).isEmpty()
