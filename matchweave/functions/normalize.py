@@ -71,8 +71,9 @@ def boolean_field(text: Column) -> Column:
 
 def dictionary_skills(text: Column, words: tuple[str, ...] = SKILL_WORDS) -> Column:
     """Sorted dictionary words that the lower-case text contains, inside other words too."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_sort(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w)))
+    # a one-element array binds the text in lower case, so that it is not made anew for each word
+    low = F.array(F.lower(F.coalesce(text, F.lit(""))))
+    return F.array_sort(F.flatten(F.transform(low, lambda t: F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w)))))
 
 
 def split_terms(text: Column, pattern: str = r"[,;|\n]") -> Column:

@@ -152,9 +152,11 @@ SELECT doc_id, {_cascade_sql(tx.CATEGORIES, "other", "lower(skill)")} AS categor
 
 
 def marketability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = whole(spark, sf_dir).select("doc_id", F.explode_outer(F.array_distinct(F.concat(tx.skills(F.col("t")), nz.dictionary_skills(F.col("t"))))).alias("skill"))
-    c = F.when(F.col("skill").isNotNull(), tx.category(F.col("skill")))
-    per = named.groupBy("doc_id").agg(F.countDistinct(c).alias("categories"), F.count_if(c.isin("programming_languages", "frameworks", "databases")).alias("technical"), F.count_if(c == "soft_skills").alias("soft"))
+    """Each document's skills counted by kind, and its market score; all within the row."""
+    named = whole(spark, sf_dir).select("doc_id", F.array_distinct(F.concat(tx.skills(F.col("t")), nz.dictionary_skills(F.col("t")))).alias("skills"))
+    kinds = named.select("doc_id", F.transform("skills", lambda s: tx.category(s)).alias("c"))
+    count = lambda *names: F.size(F.filter("c", lambda x: x.isin(*names))).cast("long")
+    per = kinds.select("doc_id", F.size(F.array_distinct("c")).cast("long").alias("categories"), count("programming_languages", "frameworks", "databases").alias("technical"), count("soft_skills").alias("soft"))
     return per.select("doc_id", "categories", "technical", "soft", tx.marketability(F.col("categories"), F.col("doc_id") % 7, F.col("technical"), F.col("soft")).cast("long").alias("score"))
 
 
