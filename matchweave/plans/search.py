@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import graph, lexical, packs, resumes, search
+from ..operators import graph, packs, resumes, search
 from ..sources import graph_tables as g
-from ..sources.shared import written
+from ..sources.shared import bounded, written
 from ..sources.tables import table
 from .graph import SQL
 from .text import _SKILL_SQL, WHOLE, _cascade_sql, whole
@@ -25,12 +25,14 @@ merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page 1 of jobs found directly and by related skills, reranked by how well all the skills
     fit, with more weight for those that the graph found."""
-    asked, need, near = g.asked(spark, sf_dir), g.requires(spark, sf_dir), g.related(spark, sf_dir)
+    asked, need, near = written(g.asked(spark, sf_dir), "asked"), written(g.requires(spark, sf_dir), "requires"), g.related(spark, sf_dir)
     lists = {
-        "direct": lexical.top_k(graph.one_hop(asked, need), 200, item="job_id", score="hits"),
-        "related": lexical.top_k(graph.two_hops(asked, near, need), 100, item="job_id", score="hits"),
+        "direct": graph.best_by_skills(asked, need, 200, any_case=True),
+        "related": graph.best_by_skills(graph.reached(asked, near), need, 100),
     }
-    merged = search.retrieve(lists)
+    merged = written(search.retrieve(lists), "merged")
+    # what else is asked of jobs is worked out for those found
+    need = need.join(bounded(written(merged.select("job_id").distinct(), "found")), "job_id", "left_semi")
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("a")), need.groupBy("job_id").agg(F.count("*").alias("n"))
     both = graph.one_hop(asked, need)
     pairs = merged.join(both, ["query_id", "job_id"], "left").join(sizes[0], "query_id").join(sizes[1], "job_id")
